@@ -52,6 +52,20 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+FILTER_BITS = 2**25
+
+
+def maybe_in(rows: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is in ``ids`` (column ``id``), and few others: a filter before a
+    shuffle.  What is broadcast is a bitmap of FILTER_BITS bits (4 MB), whatever ``ids`` is."""
+    spot = lambda x: F.pmod(F.xxhash64(x), F.lit(FILTER_BITS))
+    bits = ids.select(spot(F.col("id")).alias("s")).groupBy(F.expr("s div 32768").alias("_w")).agg(F.expr("bitmap_construct_agg(s % 32768)").alias("_bits"))
+    names = rows.columns
+    found = rows.withColumn("_s", spot(key)).withColumn("_w", F.expr("_s div 32768")).join(F.broadcast(bits), "_w")
+    byte = F.expr("cast(conv(hex(substring(_bits, cast((_s % 32768) div 8 as int) + 1, 1)), 16, 10) as int)")
+    return found.where(F.call_function("shiftright", byte, F.expr("cast(_s % 8 as int)")).bitwiseAND(F.lit(1)) == 1).select(*names)
+
+
 # --- hashed words -----------------------------------------------------------------
 
 _RNG = np.random.default_rng(20240229)
