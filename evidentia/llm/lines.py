@@ -51,7 +51,8 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
         decided = per_hash.where(F.col("docs") >= min_docs)
     else:
         decided = per_hash.where(F.col("n") > 1)
-    decided = decided.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
+    # a table of its own: the join may then split a line that fills many tasks
+    decided = staged(decided.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first"))
     hit = seen.join(decided, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
     if mode != "common":
         hit = hit.where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))

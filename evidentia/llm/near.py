@@ -171,10 +171,12 @@ def _blocks(rows: DataFrame, sizes: DataFrame, classes: DataFrame, match: int) -
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def links(classes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Confirmed links (u, v) that connect what all links would connect."""
+def links(post: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Confirmed links (u, v) that connect what all links between classes that share a posting
+    would connect.  ``post``: key, node, n, popular; ``classes``: node, n, sig; ``docs``: id,
+    text of each node."""
     match = match_threshold(similarity)
-    post = staged(_prefixes(classes, match))
+    post = staged(post)
     ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
     hubs = post.groupBy("key").agg(
@@ -198,7 +200,7 @@ def links(classes: DataFrame, docs: DataFrame, width: int, similarity: float) ->
     long_ = _blocks(rest, sizes.where(F.col("_size") > SHORT), classes, match).join(tried, ["u", "v"], "left_anti")
     more = staged(_colliding(pairs, classes, match).unionByName(long_).distinct())
     second = _confirmed(more, docs, width, similarity)
-    return staged(first.unionByName(second).distinct())
+    return staged(first.unionByName(second))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.75) -> DataFrame:
@@ -206,7 +208,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     signed = staged(signatures(docs, doc_id, text, width))
     classes = staged(signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("node"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig")))
-    linked = links(classes.where("node is not null").select("node", "n", "sig"), texts, width, similarity)
+    nodes = classes.where("node is not null").select("node", "n", "sig")
+    linked = links(_prefixes(nodes, match_threshold(similarity)), nodes, texts, width, similarity)
     label = components(linked, "u", "v")
     named = classes.select("cls", "node").join(label, "node", "left").select("cls", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, licenses, lines, near, packing, quality, sharding, tokens
+from . import contamination, licenses, lines, near, packing, quality, sharding, substrings, tokens
 from .common import table
 
 
@@ -34,6 +34,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.repeated(table(spark, sf_dir, "documents"), width=5, similarity=0.75)
+    return out.select("doc_id", "paragraph", "n_words", "cluster_id", "n_docs", "removed")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), window=2048, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_minhash_near_dedup, op3_quality_rules, op4_line_dedup, op6_license_scan, op7_token_counts, op8_decontamination, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_minhash_near_dedup, op3_quality_rules, op4_line_dedup, op5_substring_dedup, op6_license_scan, op7_token_counts, op8_decontamination, op9_packing)}
 
 _BLANK = r"\x09-\x0D\x20"
 
