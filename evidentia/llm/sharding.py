@@ -48,7 +48,10 @@ def _number(df: DataFrame, name: str) -> Column:
 
 def _with(rows: DataFrame, schema: str, params: list[tuple], how: str = "inner") -> DataFrame:
     """Join ``_node`` with a row per node: as many rows as shards at most."""
-    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(params, "_node int, " + schema)), "_node", how)
+    names, kinds = zip(*(x.split() for x in ["_node int", *schema.split(", ")]), strict=True)
+    values = ", ".join("(" + ", ".join(f"cast({v} as {k})" for v, k in zip(row, kinds, strict=True)) + ")" for row in params)
+    table = rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+    return rows.join(F.broadcast(table), "_node", how)
 
 
 def _quantiles(rows: DataFrame, spans: dict[int, tuple[int, int, int]]) -> dict[int, tuple[int, int]]:
