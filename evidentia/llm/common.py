@@ -46,6 +46,18 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROWS_PER_BATCH = 256
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches of ROWS_PER_BATCH rows at most in this
+    session: with Spark's own 10,000, a batch of long texts would outgrow an executor."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= ROWS_PER_BATCH:
+        conf.set(key, str(ROWS_PER_BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else.  ``lower`` has a fast path for ASCII strings and would
     change other letters too, so it serves only strings without any."""

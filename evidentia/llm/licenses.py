@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER
+from .common import ASCII_LOWER, mapped
 
 #: Fixed by contract.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -172,4 +172,4 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             rows = [(i, *scan(x)) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for _, t in kinds], schema=out)
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")).mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, permissive boolean")
+    return mapped(docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")), run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, permissive boolean")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, BLANKS, encode, hashed_words, maybe_in, mix, shingles, staged, text_groups
+from .common import ASCII_LOWER, BLANKS, encode, hashed_words, mapped, maybe_in, mix, shingles, staged, text_groups
 from .graph import components
 
 K = 64
@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
                     sig.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], schema=out)
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")).mapInArrow(run, "doc_id long, n long, cls binary, sig array<int>")
+    return mapped(docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")), run, "doc_id long, n long, cls binary, sig array<int>")
 
 
 def _prefixes(classes: DataFrame, match: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, similarity: float)
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], schema=out)
 
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct()
+    return mapped(both.select("u", "v", "a", "b"), run, "u long, v long").distinct()
 
 
 def _blocks(rows: DataFrame, sizes: DataFrame, classes: DataFrame, match: int) -> DataFrame:

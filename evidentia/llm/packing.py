@@ -24,7 +24,7 @@ import bisect
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slots, staged
+from .common import mapped, slots, staged
 from .tokens import pieces
 
 
@@ -115,4 +115,4 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
                 offsets.append(offset + k % each * length)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence, pa.int64()), pa.array(offsets, pa.int64())], schema=out)
 
-    return ranked.select(*names[:5], "slot").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return mapped(ranked.select(*names[:5], "slot"), run, ", ".join(f"{c} long" for c in names))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, SPACES, encode, hashed_words, shingles, text_groups
+from .common import BLANKS, SPACES, encode, hashed_words, mapped, shingles, text_groups
 
 SAMPLE = 1500
 SYMBOLS = b"#*$%&|<>"
@@ -141,7 +141,7 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: l
                 rows.append((i, *base, failed, by is None and not failed, by))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in out.types], schema=out)
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, kept boolean, rejected_by string")
+    return mapped(docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")), run, "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, kept boolean, rejected_by string")
 
 
 def filtered(docs: DataFrame, text: str = "text", order: list[str] | None = None) -> DataFrame:
@@ -154,4 +154,4 @@ def filtered(docs: DataFrame, text: str = "text", order: list[str] | None = None
             keep = [verdict(d, order) is None for d in _docs(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ASCII_LOWER, encode, hashed_words, maybe_in, mix, shingles, staged, text_groups
+from .common import ASCII_LOWER, BLANKS, encode, hashed_words, mapped, maybe_in, mix, shingles, staged, text_groups
 from .graph import components
 from .near import K, links, signature
 
@@ -60,7 +60,7 @@ def paragraphs(docs: DataFrame, doc_id: str, text: str, width: int, min_words: i
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
 
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return docs.select(F.col(f"`{doc_id}`").cast("long"), F.xxhash64(body), body).mapInArrow(run, "doc_id long, th long, pos int, n_words long, n long, node long, sig array<int>")
+    return mapped(docs.select(F.col(f"`{doc_id}`").cast("long"), F.xxhash64(body), body), run, "doc_id long, th long, pos int, n_words long, n long, node long, sig array<int>")
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.75, min_words: int = MIN_WORDS) -> DataFrame:

@@ -74,7 +74,7 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(encode(x)) for x in batch.column(1).to_pylist()], pa.int64())], schema=out)
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")).mapInArrow(run, "doc_id long, n_tokens long")
+    return mapped(docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")), run, "doc_id long, n_tokens long")
 
 
 def length_histogram(counts: DataFrame) -> DataFrame:
@@ -132,4 +132,4 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
                     rows.append((i, at, len(part), zlib.crc32(part.tobytes()), len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, schema=out)
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return mapped(docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")), run, ", ".join(f"{c} long" for c in names))
