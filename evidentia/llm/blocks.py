@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, hashed_words, text_groups
+from .common import BLANKS, hashed_words, mapped, text_groups
 
 BUCKETS = 512
 PATH, WORD, HIDDEN = 16, 8, 16
@@ -287,4 +287,4 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source
                 texts += main_texts(raw[a:b], weights)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=out)
 
-    return pages.select(F.col(f"`{page_id}`").cast("long"), F.col(f"`{url}`"), F.col(f"`{source}`")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return mapped(pages.select(F.col(f"`{page_id}`").cast("long"), F.col(f"`{url}`"), F.col(f"`{source}`")), run, "page_id long, url string, text string, n_chars long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, licenses, lines, near, packing, quality, sharding, substrings, tokens
+from . import blocks, contamination, licenses, lines, near, packing, quality, sharding, substrings, tokens
 from .common import table
 
 
@@ -57,7 +57,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), window=2048, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_minhash_near_dedup, op3_quality_rules, op4_line_dedup, op5_substring_dedup, op6_license_scan, op7_token_counts, op8_decontamination, op9_packing)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_minhash_near_dedup, op3_quality_rules, op4_line_dedup, op5_substring_dedup, op6_license_scan, op7_token_counts, op8_decontamination, op9_packing, op10_html_extraction)}
 
 _BLANK = r"\x09-\x0D\x20"
 
