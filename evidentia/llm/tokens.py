@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 #: Text on which both libraries split words alike.
 PLAIN = re.compile("[\n\r\t\\x20-\\x7e\xa1-\xac\xae-ʯ‐-‧‰-⁞₠-₿]*\\Z")
 
