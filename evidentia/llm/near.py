@@ -11,11 +11,11 @@
    coordinates, and one by hash): linear in the postings, however long a list is.  Collisions
    of a pair are counted over the whole signatures; pairs of MATCH or more are confirmed on
    the full shingle sets of both texts.
-4. Round two takes the lists whose members are still in two or more components and counts
-   collisions of all pairs across components that round one has not tried: short lists by a
-   self join, long ones in blocks of BLOCK x BLOCK that are compared inside a task and leave
-   only pairs with MATCH collisions.  No pair inside a component is made, so a group of
-   copies of any size costs a number of pairs in proportion to its size.
+4. Round two takes the lists whose members are still in two or more components and tries all
+   pairs across components that round one has not tried: those of short lists by a self join,
+   those of long lists inside tasks, block by block, each pair once.  There a pair is counted
+   and confirmed in place and only links that merge components leave the task, so neither
+   links nor failed pairs of a large group become rows.
 
 Defined cases: null or empty text and texts without words have empty sets, link with nothing
 and are their own component; fewer than ``width`` words are one shingle; rows that share a
@@ -39,7 +39,8 @@ from .graph import components
 K = 64
 MISS = 1e-6
 SHORT = 40
-BLOCK = 512
+BLOCK_ROWS = 768
+BLOCK_ITEMS = 500_000
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, K, dtype=np.uint64) | np.uint64(1)
@@ -93,7 +94,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
 
 
 def _prefixes(classes: DataFrame, match: int) -> DataFrame:
-    """Postings (key, node, n, popular) of each class's prefix."""
+    """Postings (key, slot, node, n, popular) of each class's prefix."""
     from pyspark.sql import Window as W
 
     posted = classes.select("node", "n", F.posexplode("sig").alias("i", "x"))
@@ -103,7 +104,7 @@ def _prefixes(classes: DataFrame, match: int) -> DataFrame:
     mine = W.partitionBy("node", "n")
     multi = multi.withColumn("_many", F.count("*").over(mine)).where(F.col("_many") >= match)
     multi = multi.withColumn("popular", F.sum("f").over(mine)).withColumn("_k", F.row_number().over(mine.orderBy("f", "key")))
-    return multi.where(F.col("_k") <= F.col("_many") - (match - 1)).select("key", "node", "n", "popular")
+    return multi.where(F.col("_k") <= F.col("_many") - (match - 1)).select("key", F.expr("cast(shiftright(key, 32) as int)").alias("slot"), "node", "n", "popular")
 
 
 def _near_size(similarity: float):
@@ -145,35 +146,105 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, similarity: float)
     return mapped(both.select("u", "v", "a", "b"), run, "u long, v long").distinct()
 
 
-def _blocks(rows: DataFrame, sizes: DataFrame, classes: DataFrame, match: int) -> DataFrame:
-    """Pairs of long lists across components, compared block by block inside tasks."""
-    many = F.ceil(F.col("_size") / BLOCK).cast("int")
-    dealt = rows.join(sizes, "key").withColumn("_n", many).withColumn("_at", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+def _forest(u: np.ndarray, v: np.ndarray, comp: np.ndarray) -> list[int]:
+    """Which of the links u-v (indices) still join two components, taken in order."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for k, (a, b) in enumerate(zip(comp[u].tolist(), comp[v].tolist(), strict=True)):
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append(k)
+    return out
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], wide: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every left set with every right one, by products of 0/1
+    matrices over the elements that two sets or more hold, ``wide`` of them at a time."""
+    flat = np.concatenate([*left, *right])
+    values, index, n = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[index]
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    row, number = row[number >= 0], number[number >= 0]
+    order = np.argsort(number, kind="stable")
+    row, number = row[order], number[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int((n > 1).sum()), wide):
+        a, b = np.searchsorted(number, (at, at + wide))
+        m = np.zeros((len(left) + len(right), wide), np.float32)
+        m[row[a:b], number[a:b] - at] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _blocks(rows: DataFrame, sizes: DataFrame, classes: DataFrame, docs: DataFrame, match: int, width: int, similarity: float, per_slot: int) -> DataFrame:
+    """Confirmed links of long lists across components.
+
+    A list is dealt to blocks of BLOCK_ROWS sets and BLOCK_ITEMS shingles at most, and pairs
+    of blocks are tasks of their own.  A task tries each pair at the first long list that it
+    shares only, counts its collisions, and confirms it on the full sets in place; what
+    leaves a task is a forest: one link for each merge of components at most.
+    """
+    percent = round(100 * similarity)
+    listed = rows.join(sizes, "key")
+    masks = listed.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, slot)")).alias("mask")).withColumnRenamed("node", "_m")
+    many = F.greatest(F.ceil(F.col("_size") / BLOCK_ROWS), F.ceil(F.col("_items") / BLOCK_ITEMS)).cast("int")
+    dealt = listed.withColumn("_n", many).withColumn("_at", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+    dealt = dealt.join(masks, F.col("node") == F.col("_m")).join(classes.select("node", "sig"), "node")
+    known = maybe_in(docs, F.col("id"), listed.select(F.col("node").alias("id")))
+    dealt = dealt.join(known, F.col("node") == F.col("id"))
     dealt = dealt.withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    dealt = dealt.join(classes.select("node", "sig"), "node")
-    dealt = dealt.select("key", F.least("_at", "_to").alias("_i"), F.greatest("_at", "_to").alias("_j"), "_at", "node", "comp", "sig")
+    dealt = dealt.select("key", "slot", F.least("_at", "_to").alias("_i"), F.greatest("_at", "_to").alias("_j"), "_at", "node", "comp", "mask", "sig", "text")
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
-        at = t["_at"].to_numpy()
-        node, comp = t["node"].to_numpy(), t["comp"].to_numpy()
+        at, node, comp, mask = (t[c].to_numpy() for c in ("_at", "node", "comp", "mask"))
+        slot = t["slot"][0].as_py()
         sig = t["sig"].combine_chunks().flatten().to_numpy().reshape(len(at), K)
+        sets = list(shingle_sets(t["text"].to_pylist(), width))
+        n = np.array([len(x) for x in sets])
         a, b = np.flatnonzero(at == i), np.flatnonzero(at == j)
         us, vs = [], []
+        before = np.int64((1 << slot) - 1) if slot < 63 else np.int64(2**63 - 1)
         for x in a:
             other = b[(comp[b] != comp[x]) & ((i != j) | (b > x))]
-            hit = other[(sig[other] == sig[x]).sum(axis=1) >= match]
-            us += [node[x]] * len(hit)
-            vs += node[hit].tolist()
-        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+            other = other[percent * np.maximum(n[other], n[x]) <= 100 * np.minimum(n[other], n[x])]
+            same = sig[other] == sig[x]
+            full = same.sum(axis=1) >= match
+            other, same = other[full], same[full]
+            held = same if per_slot == 1 else same[:, : K // per_slot * per_slot].reshape(len(other), -1, per_slot).all(axis=2)
+            earlier = (held[:, :slot] & (((mask[other, None] & mask[x] & before) >> np.arange(slot)) & 1).astype(bool)).any(axis=1)
+            other = other[~earlier]
+            us.append(np.full(len(other), x))
+            vs.append(other)
+        us, vs = np.concatenate(us or [at[:0]]).astype(np.int64), np.concatenate(vs or [at[:0]]).astype(np.int64)
+        if len(us):
+            ua, ub = np.unique(us), np.unique(vs)
+            if len(us) * 20 > len(ua) * len(ub):
+                both = shared_counts([sets[x] for x in ua], [sets[x] for x in ub])[np.searchsorted(ua, us), np.searchsorted(ub, vs)]
+            else:
+                both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(us, vs, strict=True)])
+            ok = (both > 0) & (100 * both >= percent * (n[us] + n[vs] - both))
+            us, vs = us[ok], vs[ok]
+            keep = _forest(us, vs, comp)
+            us, vs = us[keep], vs[keep]
+        return pa.table({"u": pa.array(node[us], pa.int64()), "v": pa.array(node[vs], pa.int64())})
 
     found = dealt.groupBy("key", "_i", "_j").applyInArrow(compare, "u long, v long")
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def links(post: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+def links(post: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float, per_slot: int = 1) -> DataFrame:
     """Confirmed links (u, v) that connect what all links between classes that share a posting
-    would connect.  ``post``: key, node, n, popular; ``classes``: node, n, sig; ``docs``: id,
+    would connect.  ``post``: key, slot, node, n, popular, where slot s says that the key stands
+    for signature coordinates from s * per_slot on; ``classes``: node, n, sig; ``docs``: id,
     text of each node."""
     match = match_threshold(similarity)
     post = staged(post)
@@ -191,16 +262,16 @@ def links(post: DataFrame, classes: DataFrame, docs: DataFrame, width: int, simi
 
     label = components(first, "u", "v")
     rest = post.join(label.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = staged(rest.select("key", "node", "n", "comp"))
-    sizes = rest.groupBy("key").agg(F.count("*").alias("_size"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("key", "_size")
+    rest = staged(rest.select("key", "slot", "node", "n", "comp"))
+    sizes = rest.groupBy("key").agg(F.count("*").alias("_size"), F.sum("n").alias("_items"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
+    sizes = staged(sizes.where("_lo != _hi").select("key", "_size", "_items"))
     short = rest.join(sizes.where(F.col("_size") <= SHORT), "key")
     other = short.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("comp").alias("_c"))
     pairs = short.select("key", F.col("node").alias("u"), "n", "comp").join(other, "key").where("u < v and comp != _c").where(_near_size(similarity)).select("u", "v").distinct()
     pairs = pairs.join(tried, ["u", "v"], "left_anti")
-    long_ = _blocks(rest, sizes.where(F.col("_size") > SHORT), classes, match).join(tried, ["u", "v"], "left_anti")
-    more = staged(_colliding(pairs, classes, match).unionByName(long_).distinct())
-    second = _confirmed(more, docs, width, similarity)
-    return staged(first.unionByName(second))
+    second = _confirmed(staged(_colliding(pairs, classes, match)), docs, width, similarity)
+    third = _blocks(rest, sizes.where(F.col("_size") > SHORT), classes, docs, match, width, similarity, per_slot)
+    return staged(first.unionByName(second).unionByName(third))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.75) -> DataFrame:

@@ -72,9 +72,9 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     classes = staged(classes)
     r, b = bands(similarity)
     band = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * r + 1, F.lit(r))))
-    post = classes.select(F.explode(band).alias("key"), "node", "n")
+    post = classes.select(F.posexplode(band).alias("slot", "key"), "node", "n")
     shared = post.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
-    post = post.join(shared, "key").select("key", "node", "n", F.col("f").alias("popular"))
+    post = post.join(shared, "key").select("key", "slot", "node", "n", F.col("f").alias("popular"))
 
     shown = post.select(F.col("node").alias("id")).distinct().join(classes.select(F.col("node").alias("id"), "at.th", "at.pos"), "id")
     shown = staged(shown)
@@ -83,7 +83,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     texts = maybe_in(texts, F.col("th"), shown.select(F.col("th").alias("id"))).dropDuplicates(["th"])
     texts = staged(texts.join(shown, "th").select("id", F.element_at(F.split("body", "\n", -1), F.col("pos") + 1).alias("text")))
 
-    label = components(links(post, classes.select("node", "n", "sig"), texts, width, similarity), "u", "v")
+    label = components(links(post, classes.select("node", "n", "sig"), texts, width, similarity, r), "u", "v")
     named = seen.select("doc_id", "th", "pos", "n_words", "node").join(label, "node", "left")
     named = staged(named.withColumn("cluster", F.coalesce("component", "node")).drop("component", "node"))
     per_doc = named.groupBy("cluster", "doc_id").agg(F.min("pos").alias("pos"))
