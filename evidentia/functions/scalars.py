@@ -22,13 +22,13 @@ def match_projection(aligned: Column, rf: Column) -> Column:
 
 def lineage_rank(lineage: Column, prefix: str) -> Column:
     """The field of a ``;`` lineage that starts with ``prefix`` and says more than it."""
-    fields = F.transform(F.split(lineage, ";"), F.trim)
+    fields = F.transform(F.split(lineage, ";"), lambda x: F.trim(x))
     return F.get(F.filter(fields, lambda x: x.startswith(prefix) & (F.length(x) > 3)), 0)
 
 
 def lineage_order(lineage: Column) -> Column:
     """The ``o__`` field, as it stands even if bare."""
-    return F.get(F.filter(F.transform(F.split(lineage, ";"), F.trim), lambda x: x.startswith("o__")), 0)
+    return F.get(F.filter(F.transform(F.split(lineage, ";"), lambda x: F.trim(x)), lambda x: x.startswith("o__")), 0)
 
 
 def clean_rank(s: Column) -> Column:

@@ -51,9 +51,9 @@ def column_entropy(long: DataFrame, weight: str = "weight") -> DataFrame:
 
 def candidates(stats: DataFrame, residue: str, min_occupancy: float, min_freq: float, cap: int = 40) -> DataFrame:
     """Positions where a residue is frequent: (pos, freq, occupancy, rank), the most frequent
-    ``cap`` of them; ties go to the smaller position.  The cap is part of the method."""
+    ``cap`` of them; ties (to 9 places) go to the smaller position.  The cap is part of the method."""
     ok = stats.where((F.col("residue") == residue) & (F.col("occupancy") >= min_occupancy) & (F.col("freq") >= min_freq))
-    ranked = ok.withColumn("rank", F.row_number().over(W.orderBy(F.col("freq").desc(), "pos")))
+    ranked = ok.withColumn("rank", F.row_number().over(W.orderBy(F.round("freq", 9).desc(), "pos")))
     return ranked.where(F.col("rank") <= cap).select("pos", "freq", "occupancy", "rank")
 
 

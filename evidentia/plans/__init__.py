@@ -1,6 +1,6 @@
 """Queries over the driver tables, with SQL counterparts."""
 
-from . import matrix, screen  # noqa: F401
+from . import entities, matrix, screen  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -29,18 +29,19 @@ stats AS (SELECT *, -sum(freq * log2(freq)) OVER (PARTITION BY pos) AS entropy_b
 
 
 def _cands(res: str) -> str:
-    return f"(SELECT pos, freq, occupancy, row_number() OVER (ORDER BY freq DESC, pos) AS rank FROM stats WHERE residue = '{res}' AND occupancy >= {MIN_OCC} AND freq >= {MIN_FREQ} QUALIFY rank <= {CAP})"
+    return f"(SELECT pos, freq, occupancy, row_number() OVER (ORDER BY round(freq, 9) DESC, pos) AS rk FROM stats WHERE residue = '{res}' AND occupancy >= {MIN_OCC} AND freq >= {MIN_FREQ} QUALIFY rk <= {CAP})"
 
 
 def _triples(h: str, k: int) -> str:
-    return f"""SELECT '{h}' AS hypothesis, {k} AS hk, a.rank AS r1, a.pos AS col_1, b.pos AS col_2, c.pos AS col_3, a.freq AS freq_1, b.freq AS freq_2, c.freq AS freq_3,
+    return f"""SELECT '{h}' AS hypothesis, {k} AS hk, a.rk AS r1, a.pos AS col_1, b.pos AS col_2, c.pos AS col_3, a.freq AS freq_1, b.freq AS freq_2, c.freq AS freq_3,
  {PENALTY} * (abs(b.pos - a.pos - {GAPS[0]}) + abs(c.pos - b.pos - {GAPS[1]})) / {TOLERANCE} AS spacing_penalty,
  a.freq + b.freq + c.freq - {PENALTY} * (abs(b.pos - a.pos - {GAPS[0]}) + abs(c.pos - b.pos - {GAPS[1]})) / {TOLERANCE} AS score
- FROM {_cands(h[0])} a, {_cands(h[1])} b, {_cands(h[2])} c WHERE a.pos < b.pos AND b.pos < c.pos"""
+ FROM cand_{h[0]} a, cand_{h[1]} b, cand_{h[2]} c WHERE a.pos < b.pos AND b.pos < c.pos"""
 
 
 TRIPLE_SQL = f"""{STATS_SQL},
-tr AS ({_triples('CHD', 0)} UNION ALL {_triples('CHN', 1)}),
+{', '.join(f'cand_{r} AS {_cands(r)}' for r in 'THDN')},
+tr AS ({_triples('THD', 0)} UNION ALL {_triples('THN', 1)}),
 best AS (SELECT * FROM tr ORDER BY round(score, 9) DESC, hk, r1, col_2, col_3 LIMIT 1)"""
 OUTCOME_SQL = f"""{TRIPLE_SQL},
 o AS (SELECT x.*, length(replace(row, '-', '')) / {LENGTH} AS match_coverage,
@@ -63,9 +64,9 @@ def _stats(m):
 
 
 def _triple_tables(stats):
-    c = {r: A.candidates(stats, r, MIN_OCC, MIN_FREQ, CAP) for r in "CHDN"}
+    c = {r: A.candidates(stats, r, MIN_OCC, MIN_FREQ, CAP) for r in "THDN"}
     out = {}
-    for h in ("CHD", "CHN"):
+    for h in ("THD", "THN"):
         t = A.score_triples(c[h[0]], c[h[1]], c[h[2]], *GAPS, TOLERANCE, PENALTY)
         out[h] = t.withColumn("score", F.round("score", 9))
     return out
@@ -84,15 +85,15 @@ def column_entropy(spark, sf_dir):
     return out.select("pos", (F.round("entropy_bits", 6) + 0.0).alias("entropy_bits"), F.round("conservation", 6).alias("conservation"))
 
 
-@query(f"WITH {STATS_SQL} SELECT 'C' AS residue, pos, round(freq, 6) AS freq, rank FROM {_cands('C')} UNION ALL SELECT 'H', pos, round(freq, 6), rank FROM {_cands('H')} UNION ALL SELECT 'D', pos, round(freq, 6), rank FROM {_cands('D')}")
+@query(f"WITH {STATS_SQL} SELECT 'T' AS residue, pos, round(freq, 6) AS freq, rk AS rank FROM {_cands('T')} UNION ALL SELECT 'H', pos, round(freq, 6), rk FROM {_cands('H')} UNION ALL SELECT 'D', pos, round(freq, 6), rk FROM {_cands('D')}")
 def anchor_candidates(spark, sf_dir):
     stats = _stats(matrix(spark, sf_dir))
-    parts = [A.candidates(stats, r, MIN_OCC, MIN_FREQ, CAP).select(F.lit(r).alias("residue"), "pos", F.round("freq", 6).alias("freq"), "rank") for r in "CHD"]
+    parts = [A.candidates(stats, r, MIN_OCC, MIN_FREQ, CAP).select(F.lit(r).alias("residue"), "pos", F.round("freq", 6).alias("freq"), "rank") for r in "THD"]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(f"""WITH {TRIPLE_SQL} SELECT hypothesis, rank, col_1, col_2, col_3, round(score, 6) AS score, round(spacing_penalty, 6) AS spacing_penalty FROM
- (SELECT *, row_number() OVER (PARTITION BY hypothesis ORDER BY round(score, 9) DESC, r1, col_2, col_3) AS rank FROM tr) WHERE rank <= 20""")
+ (SELECT *, row_number() OVER (PARTITION BY hypothesis ORDER BY round(score, 9) DESC, r1, col_2, col_3) AS rank FROM tr) z WHERE z.rank <= 20""")
 def anchor_triples(spark, sf_dir):
     parts = [A.ranked_triples(t).withColumn("hypothesis", F.lit(h)) for h, t in _triple_tables(_stats(matrix(spark, sf_dir))).items()]
     both = parts[0].unionByName(parts[1])
