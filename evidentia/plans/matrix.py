@@ -1,5 +1,6 @@
-"""Alignment queries.  Sequences are the letters of ``documents`` (residue alphabet); the
-aligned matrix is their first LENGTH letters, padded with gaps; tier A is English."""
+"""Alignment queries.  Sequences are the letters of ``documents`` (residue alphabet), whole; an
+aligned row is each stretch of LENGTH letters of one, the last padded with gaps; tier A is
+English."""
 
 from __future__ import annotations
 
@@ -17,9 +18,10 @@ GAPS, TOLERANCE, PENALTY = (14, 9), 5.0, 0.02
 MIN_COVERAGE = 0.7
 
 MATRIX_SQL = f"""
-q AS (SELECT doc_id AS seq_id, lang, source, {CLEAN_SQL} AS s FROM documents),
-x AS (SELECT seq_id, lang, source, rpad(substr(s, 1, {LENGTH}), {LENGTH}, '-') AS row, round(1 / count(*) OVER (PARTITION BY s), 8) AS weight,
-  CASE WHEN lang = 'en' THEN 'specific' ELSE 'ssf_only' END AS tier FROM q WHERE s IS NOT NULL),
+q AS (SELECT doc_id, lang, source, {CLEAN_SQL} AS s FROM documents),
+w AS (SELECT doc_id * 1000000 + k AS seq_id, lang, source, rpad(substr(s, k * {LENGTH} + 1, {LENGTH}), {LENGTH}, '-') AS row
+  FROM (SELECT *, unnest(range(0, (length(s) + {LENGTH - 1}) // {LENGTH})) AS k FROM q WHERE s IS NOT NULL)),
+x AS (SELECT seq_id, lang, source, row, round(1 / count(*) OVER (PARTITION BY row), 8) AS weight, CASE WHEN lang = 'en' THEN 'specific' ELSE 'ssf_only' END AS tier FROM w),
 lf AS (SELECT seq_id, tier, weight, lang, source, pos, substr(row, pos + 1, 1) AS residue FROM x, range(0, {LENGTH}) t(pos))"""
 STATS_SQL = f"""{MATRIX_SQL},
 mass AS (SELECT pos, residue, sum(weight) AS mass FROM lf WHERE tier = 'specific' GROUP BY ALL),
@@ -53,10 +55,12 @@ j AS (SELECT *, CASE WHEN match_coverage < {MIN_COVERAGE} THEN 'low_coverage' WH
 def matrix(spark, sf_dir):
     """(seq_id, row, lang, source, tier, weight)."""
     docs = table(spark, sf_dir, "documents")
-    seqs = docs.select(F.col("doc_id").alias("seq_id"), "lang", "source", S.clean_sequence(F.col("text")).alias("s")).where("s is not null")
-    seqs = seqs.select("seq_id", "lang", "source", F.rpad(F.substring("s", 1, LENGTH), LENGTH, "-").alias("row"), F.sha2("s", 256).alias("_h"))
-    sizes = seqs.groupBy("_h").agg(F.count("*").alias("_n"))
-    return seqs.join(sizes, "_h").select("seq_id", "lang", "source", "row", F.when(F.col("lang") == "en", "specific").otherwise("ssf_only").alias("tier"), F.round(1 / F.col("_n"), 8).alias("weight"))
+    seqs = docs.select("doc_id", "lang", "source", S.clean_sequence(F.col("text")).alias("s")).where("s is not null")
+    at = F.explode(F.sequence(F.lit(0), F.ceil(F.length("s") / LENGTH).cast("int") - 1)).alias("k")
+    cut = seqs.select("doc_id", "lang", "source", "s", at)
+    rows = cut.select((F.col("doc_id") * 1000000 + F.col("k")).alias("seq_id"), "lang", "source", F.rpad(F.substring(F.col("s"), F.col("k") * LENGTH + 1, F.lit(LENGTH)), LENGTH, "-").alias("row"))
+    sizes = rows.groupBy("row").agg(F.count("*").alias("_n"))
+    return rows.join(sizes, "row").select("seq_id", "lang", "source", "row", F.when(F.col("lang") == "en", "specific").otherwise("ssf_only").alias("tier"), F.round(1 / F.col("_n"), 8).alias("weight"))
 
 
 def _stats(m):
@@ -121,17 +125,26 @@ def outcomes_by_tier(spark, sf_dir):
     return out.select(*[F.round(c, 6).alias(c) if c in rounded else c for c in out.columns])
 
 
-@query(f"""WITH {TRIPLE_SQL} SELECT seq_id, substr(row, greatest(0, col_1 - {HALF}) + 1, least({LENGTH - 1}, col_1 + {HALF}) - greatest(0, col_1 - {HALF}) + 1)
+BARCODE_SQL = f"""{TRIPLE_SQL},
+bc AS (SELECT seq_id, substr(row, greatest(0, col_1 - {HALF}) + 1, least({LENGTH - 1}, col_1 + {HALF}) - greatest(0, col_1 - {HALF}) + 1)
  || substr(row, greatest(0, col_2 - {HALF}) + 1, least({LENGTH - 1}, col_2 + {HALF}) - greatest(0, col_2 - {HALF}) + 1)
- || substr(row, greatest(0, col_3 - {HALF}) + 1, least({LENGTH - 1}, col_3 + {HALF}) - greatest(0, col_3 - {HALF}) + 1) AS barcode FROM x, best""")
-def anchor_window(spark, sf_dir):
+ || substr(row, greatest(0, col_3 - {HALF}) + 1, least({LENGTH - 1}, col_3 + {HALF}) - greatest(0, col_3 - {HALF}) + 1) AS barcode FROM x, best)"""
+
+
+def barcodes(spark, sf_dir):
+    """(seq_id, barcode, source, weight)."""
     m = matrix(spark, sf_dir)
     best = A.best_triple(_triple_tables(_stats(m)))
     both = m.crossJoin(F.broadcast(best.select("col_1", "col_2", "col_3")))
-    return both.select("seq_id", A.anchor_window(F.col("row"), [F.col(f"col_{i}") for i in (1, 2, 3)], HALF).alias("barcode"))
+    return both.select("seq_id", A.anchor_window(F.col("row"), [F.col(f"col_{i}") for i in (1, 2, 3)], HALF).alias("barcode"), "source", "weight")
+
+
+@query(f"WITH {BARCODE_SQL} SELECT seq_id, barcode FROM bc")
+def anchor_window(spark, sf_dir):
+    return barcodes(spark, sf_dir).select("seq_id", "barcode")
 
 
-@query(f"""WITH {MATRIX_SQL}, m AS (SELECT source, pos, residue, sum(weight) AS w FROM lf WHERE pos < 20 GROUP BY ALL),
+@query(f"""WITH {MATRIX_SQL}, m AS (SELECT source, pos, residue, sum(weight) AS w FROM lf GROUP BY ALL),
 t AS (SELECT source, pos, sum(w) FILTER (residue <> '-') AS total FROM m GROUP BY ALL),
 r AS (SELECT m.source, m.pos, residue, w / total AS share FROM m JOIN t ON m.source = t.source AND m.pos = t.pos
  QUALIFY row_number() OVER (PARTITION BY m.source, m.pos ORDER BY CASE WHEN residue = '-' THEN -1 ELSE round(w, 6) END DESC, ascii(residue)) = 1)
@@ -139,7 +152,7 @@ SELECT source, count(*) AS n_positions, string_agg(CASE WHEN residue = '-' THEN
 def consensus_motifs(spark, sf_dir):
     m = matrix(spark, sf_dir)
     # weights summed in another order differ in their last bits; whole millionths make ties exact
-    long = A.long_form(m.select("source", F.expr("cast(round(weight * 1e8) as bigint)").alias("weight"), F.substring("row", 1, 20).alias("row")))
+    long = A.long_form(m.select("source", F.expr("cast(round(weight * 1e8) as bigint)").alias("weight"), "row"))
     return A.consensus(long, "source")
 
 
