@@ -219,7 +219,7 @@ def _blocks(rows: DataFrame, sizes: DataFrame, classes: DataFrame, docs: DataFra
             same = sig[other] == sig[x]
             full = same.sum(axis=1) >= match
             other, same = other[full], same[full]
-            held = same if per_slot == 1 else same[:, : K // per_slot * per_slot].reshape(len(other), -1, per_slot).all(axis=2)
+            held = same if per_slot == 1 else same[:, : K // per_slot * per_slot].reshape(len(other), K // per_slot, per_slot).all(axis=2)
             earlier = (held[:, :slot] & (((mask[other, None] & mask[x] & before) >> np.arange(slot)) & 1).astype(bool)).any(axis=1)
             other = other[~earlier]
             us.append(np.full(len(other), x))
