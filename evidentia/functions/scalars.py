@@ -101,13 +101,12 @@ def translate_codons(nt: Column) -> Column:
     dna = F.translate(F.upper(nt), "U", "T")
     at = lambda codon, k: F.call_function("locate", F.substring(codon, F.lit(k), F.lit(1)), F.lit(BASES)) - 1
 
-    def one(i: Column) -> Column:
-        codon = F.substring(dna, i * 3 + 1, F.lit(3))
+    def one(codon: Column) -> Column:
         known = codon.rlike(f"^[{BASES}]{{3}}$")
         return F.when(known, F.substring(F.lit(CODE), at(codon, 1) * 16 + at(codon, 2) * 4 + at(codon, 3) + 1, F.lit(1))).otherwise("X")
 
-    n = F.floor(F.length(dna) / 3).cast("int")
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), one), "")).when(nt.isNotNull(), "")
+    # codons are cut in one pass: a substring by place would start from the front each time
+    return F.array_join(F.transform(F.regexp_extract_all(dna, F.lit("(.{3})"), F.lit(1)), one), "")
 
 
 def span_slices(seq: Column, spans: Column) -> Column:
@@ -123,20 +122,26 @@ PK_NEGATIVE = {"C_TERM": 2.34, "D": 4.05, "E": 4.45, "C": 9.0, "Y": 10.0}
 
 def isoelectric_point(seq: Column, steps: int = 18) -> Column:
     """pH of zero net charge by bisection of [0, 14]; null for an empty sequence."""
-    count = lambda r: F.lit(1.0) if r.endswith("_TERM") else (F.length(seq) - F.length(F.replace(seq, F.lit(r), F.lit("")))).cast("double")
+    sides = [r for r in (*PK_POSITIVE, *PK_NEGATIVE) if not r.endswith("_TERM")]
+    counts = F.struct(*[(F.length(seq) - F.length(F.replace(seq, F.lit(r), F.lit("")))).cast("double").alias(r) for r in sides])
 
-    def charge(ph: Column) -> Column:
-        plus = [count(r) / (1 + F.pow(F.lit(10.0), ph - pk)) for r, pk in PK_POSITIVE.items()]
-        minus = [count(r) / (1 + F.pow(F.lit(10.0), pk - ph)) for r, pk in PK_NEGATIVE.items()]
+    def charge(n: Column, ph: Column) -> Column:
+        of = lambda r: F.lit(1.0) if r.endswith("_TERM") else n[r]
+        plus = [of(r) / (1 + F.pow(F.lit(10.0), ph - pk)) for r, pk in PK_POSITIVE.items()]
+        minus = [of(r) / (1 + F.pow(F.lit(10.0), pk - ph)) for r, pk in PK_NEGATIVE.items()]
         return sum(plus[1:], plus[0]) - sum(minus[1:], minus[0])
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        up = charge(mid) > 0
-        return F.struct(F.when(up, mid).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi"))
+    def solve(n: Column) -> Column:
+        def halve(s: Column, _: Column) -> Column:
+            mid = (s["lo"] + s["hi"]) / 2
+            up = charge(n, mid) > 0
+            return F.struct(F.when(up, mid).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi"))
 
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(14.0).alias("hi"))
-    return F.when(F.length(seq) > 0, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: F.round((s["lo"] + s["hi"]) / 2, 2)))
+        start = F.struct(F.lit(0.0).alias("lo"), F.lit(14.0).alias("hi"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: F.round((s["lo"] + s["hi"]) / 2, 2))
+
+    # residues are counted once, as the one element of an array that the bisection runs over
+    return F.when(F.length(seq) > 0, F.get(F.transform(F.array(counts), solve), 0))
 
 
 def support_value(label: Column) -> Column:
