@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, BLANKS, encode, hashed_words, mapped, maybe_in, mix, shingles, staged, text_groups
@@ -68,20 +69,22 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     paragraphs whose component spans two documents or more.  ``cluster`` is the component's
     least node, ``cluster_id`` the doc_id that keeps its paragraph."""
     seen = staged(paragraphs(docs, doc_id, text, width, min_words))
-    classes = seen.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.min(F.struct("th", "pos")).alias("at"))
-    classes = staged(classes)
     r, b = bands(similarity)
     band = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * r + 1, F.lit(r))))
-    post = classes.select(F.posexplode(band).alias("slot", "key"), "node", "n")
-    shared = post.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
-    post = post.join(shared, "key").select("key", "slot", "node", "n", F.col("f").alias("popular"))
-
-    shown = post.select(F.col("node").alias("id")).distinct().join(classes.select(F.col("node").alias("id"), "at.th", "at.pos"), "id")
-    shown = staged(shown)
+    held = seen.select(F.posexplode(band).alias("slot", "key"), "node", "n")
+    shared = held.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
+    post = held.join(shared, "key").select("key", "slot", "node", "n").distinct()
+    post = staged(post.withColumn("popular", F.count("*").over(W.partitionBy("node"))))
+
+    # from here on only classes that share a band with another matter
+    ids = post.select(F.col("node").alias("id")).distinct()
+    some = maybe_in(seen, F.col("node"), ids).join(ids, F.col("node") == F.col("id"), "left_semi")
+    classes = staged(some.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.min(F.struct("doc_id", "th", "pos")).alias("at")))
+    shown = classes.select(F.col("node").alias("id"), F.col("at.doc_id").alias("_d"), F.col("at.th").alias("_t"), F.col("at.pos").alias("pos"))
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    texts = docs.select(F.xxhash64(body).alias("th"), body.alias("body"))
-    texts = maybe_in(texts, F.col("th"), shown.select(F.col("th").alias("id"))).dropDuplicates(["th"])
-    texts = staged(texts.join(shown, "th").select("id", F.element_at(F.split("body", "\n", -1), F.col("pos") + 1).alias("text")))
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("body"))
+    texts = maybe_in(texts, F.col("th"), shown.select(F.col("_t").alias("id"))).join(shown, (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    texts = staged(texts.select("id", F.element_at(F.split("body", "\n", -1), F.col("pos") + 1).alias("text")))
 
     label = components(links(post, classes.select("node", "n", "sig"), texts, width, similarity, r), "u", "v")
     named = seen.select("doc_id", "th", "pos", "n_words", "node").join(label, "node", "left")
