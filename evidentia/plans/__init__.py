@@ -1,6 +1,6 @@
 """Queries over the driver tables, with SQL counterparts."""
 
-from . import entities, genomics, matrix, networks, screen, statistics  # noqa: F401
+from . import entities, genomics, matrix, networks, rules, screen, statistics  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
