@@ -101,6 +101,14 @@ def spread(df: DataFrame, features: str, cluster: str) -> tuple[float, float]:
     return float(ch), float(ratio.max(1).mean()) if k > 1 else float("nan")
 
 
+def inertia(df: DataFrame, k: int, seed: int = 1) -> float:
+    """Sum of squared distances to the nearest of k centres; for one centre, to the mean."""
+    if k > 1:
+        return float(KMeans(k=k, seed=seed, featuresCol="features").fit(df).summary.trainingCost)
+    per = df.select(F.posexplode(vector_to_array("features")).alias("j", "x")).groupBy("j").agg((F.var_pop("x") * F.count("x")).alias("ss"))
+    return float(per.agg(F.sum("ss")).first()[0] or 0.0)
+
+
 def gap_statistic(df: DataFrame, k_min: int, k_max: int, references: int = 10, seed: int = 1) -> tuple[int, pd.DataFrame]:
     """Smallest k whose gap is at least the next one's less its standard error, with the table.
     References are uniform draws in the data's box, made on the executors."""
@@ -108,7 +116,7 @@ def gap_statistic(df: DataFrame, k_min: int, k_max: int, references: int = 10, s
     box = df.select(F.posexplode(vector_to_array("features")).alias("j", "x")).groupBy("j").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("j").collect()
     rows = []
     for k in range(k_min, k_max + 1):
-        cost = lambda d, k=k: np.log(max(1e-12, float(KMeans(k=k, seed=seed, featuresCol="features").fit(d).summary.trainingCost)))
+        cost = lambda d, k=k: np.log(max(1e-12, inertia(d, k, seed)))
         refs = []
         for r in range(references):
             draw = df.sparkSession.range(n).select(array_to_vector(F.array(*[F.lit(b["lo"]) + F.rand(seed * 1000 + r * 100 + i) * (b["hi"] - b["lo"]) for i, b in enumerate(box)])).alias("features"))

@@ -144,10 +144,10 @@ def anchor_window(spark, sf_dir):
     return barcodes(spark, sf_dir).select("seq_id", "barcode")
 
 
-@query(f"""WITH {MATRIX_SQL}, m AS (SELECT source, pos, residue, sum(weight) AS w FROM lf GROUP BY ALL),
+@query(f"""WITH {MATRIX_SQL}, m AS (SELECT source, pos, residue, sum(round(weight * 1e8)::BIGINT) AS w FROM lf GROUP BY ALL),
 t AS (SELECT source, pos, sum(w) FILTER (residue <> '-') AS total FROM m GROUP BY ALL),
 r AS (SELECT m.source, m.pos, residue, w / total AS share FROM m JOIN t ON m.source = t.source AND m.pos = t.pos
- QUALIFY row_number() OVER (PARTITION BY m.source, m.pos ORDER BY CASE WHEN residue = '-' THEN -1 ELSE round(w, 6) END DESC, ascii(residue)) = 1)
+ QUALIFY row_number() OVER (PARTITION BY m.source, m.pos ORDER BY CASE WHEN residue = '-' THEN -1 ELSE w END DESC, ascii(residue)) = 1)
 SELECT source, count(*) AS n_positions, string_agg(CASE WHEN residue = '-' THEN '-' WHEN share >= 0.5 THEN upper(residue) ELSE lower(residue) END, '' ORDER BY pos) AS motif FROM r GROUP BY source""")
 def consensus_motifs(spark, sf_dir):
     m = matrix(spark, sf_dir)
