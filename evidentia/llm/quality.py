@@ -82,6 +82,7 @@ FEATURES: dict[str, Callable[[Doc], int]] = {
     "n_symbols": lambda d: len(d.text.translate(None, NOT_SYMBOL)),
     "n_dup_lines": dup_lines,
     "n_repeat_words": repeat_words,
+    "n_stutter": lambda d: int((d.words[1:] == d.words[:-1]).sum()),
     "n_lines": lambda d: sum(1 for x in d.text.split(b"\n") if x.strip(DROP_BLANKS)),
     "n_upper": lambda d: len(d.text.translate(None, NOT_UPPER)),
     "n_letters": lambda d: len(d.text.translate(None, NOT_LETTER)),
@@ -95,6 +96,7 @@ RULES: dict[str, Callable[[Doc], bool]] = {
     "symbols": lambda d: 10 * d.get("n_symbols") > 3 * d.get("n_words"),
     "shouting": lambda d: 2 * d.get("n_upper") > d.get("n_letters") and d.get("n_letters") >= 20,
     "duplicate_lines": lambda d: 2 * d.get("n_dup_lines") > d.get("n_lines"),
+    "stutter": lambda d: 10 * d.get("n_stutter") > 3 * d.get("n_words"),
     "word_length": lambda d: not 2 * d.get("n_words") <= d.get("word_chars") <= 15 * d.get("n_words"),
 }
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

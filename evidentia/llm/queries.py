@@ -101,14 +101,14 @@ l AS (SELECT r, line, count(*) AS n FROM (SELECT r, unnest(string_split(t, chr(1
 dup AS (SELECT r, sum(n - 1) AS n, sum(n) AS total FROM l GROUP BY r),
 f AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-  coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(dup.total, 0) AS n_lines,
+  coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(dup.total, 0) AS n_lines, len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_stutter,
   length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS up, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS letters
   FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > 3 * n_words
-    OR (2 * up > letters AND letters >= 20) OR 2 * n_dup_lines > n_lines
+    OR (2 * up > letters AND letters >= 20) OR 2 * n_dup_lines > n_lines OR 10 * n_stutter > 3 * n_words
     OR NOT (word_chars BETWEEN 2 * n_words AND 15 * n_words)) AS kept
 FROM f""",
     "op4_line_dedup": rf"""
