@@ -10,7 +10,12 @@ from .alphabet import SEQUENCE_LETTERS
 
 def clean_sequence(s: Column, letters: str = SEQUENCE_LETTERS) -> Column:
     """Upper case, only ``letters`` kept; nothing left is null."""
-    return F.nullif(F.regexp_replace(F.upper(F.regexp_replace(s, "[^A-Za-z]", "")), f"[^{letters}]", ""), F.lit(""))
+    return F.nullif(F.upper(F.regexp_replace(s, f"[^{letters}{letters.lower()}]+", "")), F.lit(""))
+
+
+def has_sequence(s: Column, letters: str = SEQUENCE_LETTERS) -> Column:
+    """Whether ``clean_sequence`` leaves anything; stops at the first letter."""
+    return s.rlike(f"[{letters}{letters.lower()}]")
 
 
 def match_projection(aligned: Column, rf: Column) -> Column:

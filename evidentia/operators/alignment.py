@@ -15,14 +15,23 @@ from ..functions.alphabet import GAP, RESIDUES
 
 
 def long_form(matrix: DataFrame, row: str = "row") -> DataFrame:
-    """(…, pos, residue) for each character."""
+    """(…, pos, residue) for each character.  Positions are generated and characters cut by
+    place inside generated code, without an array of strings per row."""
     keep = [c for c in matrix.columns if c != row]
-    return matrix.select(*keep, F.posexplode(F.split(row, "")).alias("pos", "residue")).where("residue != ''")
+    at = matrix.where(F.length(row) > 0).select(*keep, row, F.explode(F.sequence(F.lit(0), F.length(row) - 1)).alias("pos"))
+    return at.select(*keep, "pos", F.substring(F.col(row), F.col("pos") + 1, F.lit(1)).alias("residue"))
+
+
+def counted(long: DataFrame, by: list[str], **sums) -> DataFrame:
+    """Grouped sums by ``by``, position and residue; residues are grouped by code, as a fixed
+    width key aggregates faster than a string."""
+    codes = long.groupBy(*by, "pos", F.ascii("residue").alias("_code")).agg(*[e.alias(k) for k, e in sums.items()])
+    return codes.withColumn("residue", F.char("_code")).drop("_code")
 
 
 def residue_masses(long: DataFrame, weight: str = "weight") -> DataFrame:
     """(pos, residue, mass)."""
-    return long.groupBy("pos", "residue").agg(F.sum(weight).alias("mass"))
+    return counted(long, [], mass=F.sum(weight))
 
 
 def column_stats(long: DataFrame, weight: str = "weight") -> DataFrame:
@@ -104,14 +113,17 @@ def outcomes(matrix: DataFrame, triple: DataFrame, min_coverage: float) -> DataF
     )
 
 
-def tier_census(judged: DataFrame, tier: str = "tier") -> DataFrame:
-    """Counts and shares by tier; the denominator of the positive share is what is testable."""
+def tier_census(judged: DataFrame, tier: str = "tier", copies: str | None = None) -> DataFrame:
+    """Counts and shares by tier; the denominator of the positive share is what is testable.
+    ``copies`` names how many sequences a row stands for; ``weight`` is theirs together."""
     is_ = lambda o: F.col("outcome") == o
     testable = is_("positive") | is_("negative")
+    n = F.col(copies) if copies else F.lit(1)
+    count = lambda which: F.sum(F.when(which, n).otherwise(0)).cast("long")
     out = judged.groupBy(tier).agg(
-        F.count("*").alias("n_aligned"), F.count_if(testable).alias("n_testable"), F.count_if(is_("low_coverage")).alias("n_low_coverage"),
-        F.count_if(is_("gapped")).alias("n_gapped"), F.count_if(is_("negative")).alias("n_negative"),
-        F.count_if(is_("negative") & F.col("has_all_anywhere")).alias("n_negative_with_all_three"), F.count_if(is_("positive")).alias("n_positive"),
+        F.sum(n).cast("long").alias("n_aligned"), count(testable).alias("n_testable"), count(is_("low_coverage")).alias("n_low_coverage"),
+        count(is_("gapped")).alias("n_gapped"), count(is_("negative")).alias("n_negative"),
+        count(is_("negative") & F.col("has_all_anywhere")).alias("n_negative_with_all_three"), count(is_("positive")).alias("n_positive"),
         F.sum("weight").alias("effective_n"), F.sum(F.when(is_("positive"), F.col("weight")).otherwise(0.0)).alias("effective_positive"),
     )
     return out.withColumn("frac_positive", F.when(F.col("n_testable") > 0, F.col("n_positive") / F.col("n_testable"))).withColumn("frac_testable", F.col("n_testable") / F.col("n_aligned"))
@@ -131,7 +143,7 @@ def anchor_window(row: Column, columns: list[Column], half: int) -> Column:
 def consensus(long: DataFrame, group: str, weight: str = "weight") -> DataFrame:
     """(group, n_positions, motif): the heaviest residue at each position, upper case from
     half the mass of non-gaps on, ``-`` where all are gaps; ties go to the smaller letter."""
-    mass = long.groupBy(group, "pos", "residue").agg(F.sum(weight).alias("mass"))
+    mass = counted(long, [group], mass=F.sum(weight))
     full = F.when(F.col("residue") != GAP, F.col("mass"))
     at = mass.groupBy(group, "pos").agg(F.max_by("residue", F.struct(full, -F.ascii("residue"))).alias("r"), F.max(full).alias("top"), F.sum(full).alias("all"))
     letter = F.when(F.col("top").isNull(), GAP).when(F.col("top") / F.col("all") >= 0.5, F.upper("r")).otherwise(F.lower("r"))

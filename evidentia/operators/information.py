@@ -15,22 +15,27 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import GAP, RESIDUES
 from ..functions.special import gamma_tail, normal_sf
+from .alignment import counted
 from .joins import CheckFailed
 
 
-def varied_columns(long: DataFrame, min_occupancy: float) -> DataFrame:
+def varied_columns(long: DataFrame, min_occupancy: float, copies: str | None = None) -> DataFrame:
     """Positions occupied often enough that show more than one symbol, the gap being one."""
-    at = long.groupBy("pos").agg(F.avg((F.col("residue") != GAP).cast("double")).alias("occupancy"), F.count_distinct("residue").alias("symbols"))
+    n = counted(long, [], n=F.sum(copies) if copies else F.count("*"))
+    at = n.groupBy("pos").agg((F.sum(F.when(F.col("residue") != GAP, F.col("n")).otherwise(0)) / F.sum("n")).alias("occupancy"), F.count("*").alias("symbols"))
     return at.where((F.col("occupancy") >= min_occupancy) & (F.col("symbols") > 1)).select("pos")
 
 
 def pair_information(matrix: DataFrame) -> DataFrame:
     """(col_i, col_j, n, mi_bits) of all column pairs, over rows where both are occupied;
     fewer than two such rows give 0."""
-    last = F.length("row") - 1
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda x: F.transform(F.sequence(x + 1, last), lambda y: F.struct(x.alias("i"), y.alias("j")))))
-    long = matrix.select("row", F.explode(pairs).alias("p")).select(F.col("p.i").alias("col_i"), F.col("p.j").alias("col_j"), F.substring("row", F.col("p.i") + 1, F.lit(1)).alias("a"), F.substring("row", F.col("p.j") + 1, F.lit(1)).alias("b"))
-    cells = long.groupBy("col_i", "col_j", "a", "b").agg(F.count("*").alias("n")).where((F.col("a") != GAP) & (F.col("b") != GAP))
+    n = F.length("row")
+    # places are numbers k = i * n + j, so all of this stays in generated code
+    long = matrix.where(n > 1).select("row", n.alias("_n"), F.explode(F.sequence(F.lit(1), n * n - 1)).alias("_k"))
+    long = long.select("row", F.expr("_k div _n").cast("int").alias("col_i"), F.expr("_k % _n").cast("int").alias("col_j")).where("col_i < col_j")
+    code = lambda c: F.ascii(F.substring(F.col("row"), F.col(c) + 1, F.lit(1)))
+    cells = long.groupBy("col_i", "col_j", code("col_i").alias("a"), code("col_j").alias("b")).agg(F.count("*").alias("n"))
+    cells = cells.where((F.col("a") != ord(GAP)) & (F.col("b") != ord(GAP)))
     at = lambda *c: F.sum("n").over(W.partitionBy("col_i", "col_j", *c))
     c = cells.withColumn("t", at()).withColumn("na", at("a")).withColumn("nb", at("b"))
     term = F.col("n") / F.col("t") * F.log2(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))
@@ -41,6 +46,7 @@ def pair_information(matrix: DataFrame) -> DataFrame:
 def average_product(mi: DataFrame, value: str = "mi_bits") -> DataFrame:
     """Adds ``mi_apc``: value less mean_i * mean_j / grand mean over off-diagonal pairs; as it
     is where the grand mean is not positive."""
+    mi = mi.cache()  # one row per pair of columns, read three times
     both = mi.select(F.col("col_i").alias("c"), value).unionByName(mi.select(F.col("col_j").alias("c"), value))
     mean = both.groupBy("c").agg(F.avg(value).alias("m"))
     grand = mi.agg(F.avg(value).alias("g"))
@@ -48,11 +54,12 @@ def average_product(mi: DataFrame, value: str = "mi_bits") -> DataFrame:
     return out.withColumn("mi_apc", F.when(F.col("g") > 0, F.col(value) - F.col("_mi") * F.col("_mj") / F.col("g")).otherwise(F.col(value))).drop("_mi", "_mj", "g")
 
 
-def label_information(long: DataFrame, label: str, weight: str = "weight") -> DataFrame:
+def label_information(long: DataFrame, label: str, weight: str = "weight", copies: str | None = None) -> DataFrame:
     """(pos, mi_bits, entropy_bits): weighted information of a residue about a label with the
     gap as a symbol of its own, and the unweighted entropy of the column."""
     symbol = F.when(F.col("residue").isin(*RESIDUES), F.col("residue")).otherwise(GAP)
-    cells = long.groupBy("pos", symbol.alias("a"), F.col(label).alias("b")).agg(F.sum(weight).alias("m"), F.count("*").alias("k"))
+    exact = counted(long, [label], m=F.sum(weight), k=F.sum(copies) if copies else F.count("*"))
+    cells = exact.groupBy("pos", symbol.alias("a"), F.col(label).alias("b")).agg(F.sum("m").alias("m"), F.sum("k").alias("k"))
     at = lambda x, *c: F.sum(x).over(W.partitionBy("pos", *c))
     c = cells.withColumn("t", at("m")).withColumn("ma", at("m", "a")).withColumn("mb", at("m", "b")).withColumn("ka", at("k", "a")).withColumn("kt", at("k"))
     mi = F.sum(F.when(F.col("m") > 0, F.col("m") / F.col("t") * F.log2(F.col("m") * F.col("t") / (F.col("ma") * F.col("mb")))))

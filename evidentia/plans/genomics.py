@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import intervals as V
 from ..operators import sequences as Q
 from ..operators import synteny as Y
-from .registry import query, table
+from .registry import query, spread, table
 from .screen import CLEAN_SQL
 
 def hits(spark, sf_dir):
@@ -134,7 +134,8 @@ NT_SQL = f"{SEQ_SQL}, nt AS (SELECT id, translate(s, 'DEFHIKLMNOPQRSUVWXYBZ', 'A
 
 
 def sequences(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), S.clean_sequence(F.col("text")).alias("s")).where("s is not null")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where(S.has_sequence(F.col("text")))
+    return docs.select(F.col("doc_id").alias("id"), S.clean_sequence(F.col("text")).alias("s"))
 
 
 def nucleotides(spark, sf_dir):

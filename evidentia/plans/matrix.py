@@ -4,11 +4,12 @@ English."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import alignment as A
-from .registry import query, table
+from .registry import query, spread, table
 from .screen import CLEAN_SQL
 
 LENGTH = 60
@@ -52,15 +53,22 @@ j AS (SELECT *, CASE WHEN match_coverage < {MIN_COVERAGE} THEN 'low_coverage' WH
  contains(row, h[1]) AND contains(row, h[2]) AND contains(row, h[3]) AS has_all_anywhere FROM o)"""
 
 
+def rows(spark, sf_dir):
+    """(seq_id, lang, source, tier, row); a document without letters has no row."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    seqs = docs.select("doc_id", "lang", "source", S.clean_sequence(F.col("text")).alias("s"))
+    cut = seqs.select("doc_id", "lang", "source", "s", F.explode(F.sequence(F.lit(0), F.ceil(F.length("s") / LENGTH).cast("int") - 1)).alias("k"))
+    row = F.rpad(F.substring(F.col("s"), F.col("k") * LENGTH + 1, F.lit(LENGTH)), LENGTH, "-")
+    return cut.select((F.col("doc_id") * 1000000 + F.col("k")).alias("seq_id"), "lang", "source", F.when(F.col("lang") == "en", "specific").otherwise("ssf_only").alias("tier"), row.alias("row"))
+
+
 def matrix(spark, sf_dir):
-    """(seq_id, row, lang, source, tier, weight)."""
-    docs = table(spark, sf_dir, "documents")
-    seqs = docs.select("doc_id", "lang", "source", S.clean_sequence(F.col("text")).alias("s")).where("s is not null")
-    at = F.explode(F.sequence(F.lit(0), F.ceil(F.length("s") / LENGTH).cast("int") - 1)).alias("k")
-    cut = seqs.select("doc_id", "lang", "source", "s", at)
-    rows = cut.select((F.col("doc_id") * 1000000 + F.col("k")).alias("seq_id"), "lang", "source", F.rpad(F.substring(F.col("s"), F.col("k") * LENGTH + 1, F.lit(LENGTH)), LENGTH, "-").alias("row"))
-    sizes = rows.groupBy("row").agg(F.count("*").alias("_n"))
-    return rows.join(sizes, "row").select("seq_id", "lang", "source", "row", F.when(F.col("lang") == "en", "specific").otherwise("ssf_only").alias("tier"), F.round(1 / F.col("_n"), 8).alias("weight"))
+    """(row, lang, source, tier, copies, weight): equal rows of one label set once, with how many
+    they are and the sum of their weights (1 / all copies of the row).  What meets per row is a
+    count for each label set, so a row of any number of copies is no heavy group."""
+    one = rows(spark, sf_dir).groupBy("row", "lang", "source", "tier").agg(F.count("*").alias("copies"))
+    share = F.round(1 / F.sum("copies").over(W.partitionBy("row")), 8)
+    return one.withColumn("weight", F.col("copies") * share)
 
 
 def _stats(m):
@@ -68,6 +76,8 @@ def _stats(m):
 
 
 def _triple_tables(stats):
+    # a few rows per position, read by every candidate list
+    stats = stats.cache()
     c = {r: A.candidates(stats, r, MIN_OCC, MIN_FREQ, CAP) for r in "THDN"}
     out = {}
     for h in ("THD", "THN"):
@@ -104,14 +114,14 @@ def anchor_triples(spark, sf_dir):
     return both.select("hypothesis", "rank", "col_1", "col_2", "col_3", F.round("score", 6).alias("score"), F.round("spacing_penalty", 6).alias("spacing_penalty"))
 
 
-def judged(spark, sf_dir):
-    m = matrix(spark, sf_dir)
-    return A.outcomes(m, A.best_triple(_triple_tables(_stats(m))), MIN_COVERAGE)
+def _best(spark, sf_dir):
+    return A.best_triple(_triple_tables(_stats(matrix(spark, sf_dir))))
 
 
 @query(f"WITH {OUTCOME_SQL} SELECT seq_id, tier, round(match_coverage, 6) AS match_coverage, outcome, has_all_anywhere FROM j")
 def anchor_outcomes(spark, sf_dir):
-    return judged(spark, sf_dir).select("seq_id", "tier", F.round("match_coverage", 6).alias("match_coverage"), "outcome", "has_all_anywhere")
+    judged = A.outcomes(rows(spark, sf_dir), _best(spark, sf_dir), MIN_COVERAGE)
+    return judged.select("seq_id", "tier", F.round("match_coverage", 6).alias("match_coverage"), "outcome", "has_all_anywhere")
 
 
 @query(f"""WITH {OUTCOME_SQL} SELECT tier, count(*) AS n_aligned, count(*) FILTER (outcome IN ('positive', 'negative')) AS n_testable, count(*) FILTER (outcome = 'low_coverage') AS n_low_coverage,
@@ -120,7 +130,7 @@ def anchor_outcomes(spark, sf_dir):
  round(count(*) FILTER (outcome = 'positive') / nullif(count(*) FILTER (outcome IN ('positive', 'negative')), 0), 6) AS frac_positive,
  round(count(*) FILTER (outcome IN ('positive', 'negative')) / count(*), 6) AS frac_testable FROM j GROUP BY tier""")
 def outcomes_by_tier(spark, sf_dir):
-    out = A.tier_census(judged(spark, sf_dir))
+    out = A.tier_census(A.outcomes(matrix(spark, sf_dir), _best(spark, sf_dir), MIN_COVERAGE), copies="copies")
     rounded = ("effective_n", "effective_positive", "frac_positive", "frac_testable")
     return out.select(*[F.round(c, 6).alias(c) if c in rounded else c for c in out.columns])
 
@@ -131,17 +141,15 @@ bc AS (SELECT seq_id, substr(row, greatest(0, col_1 - {HALF}) + 1, least({LENGTH
  || substr(row, greatest(0, col_3 - {HALF}) + 1, least({LENGTH - 1}, col_3 + {HALF}) - greatest(0, col_3 - {HALF}) + 1) AS barcode FROM x, best)"""
 
 
-def barcodes(spark, sf_dir):
-    """(seq_id, barcode, source, weight)."""
-    m = matrix(spark, sf_dir)
-    best = A.best_triple(_triple_tables(_stats(m)))
-    both = m.crossJoin(F.broadcast(best.select("col_1", "col_2", "col_3")))
-    return both.select("seq_id", A.anchor_window(F.col("row"), [F.col(f"col_{i}") for i in (1, 2, 3)], HALF).alias("barcode"), "source", "weight")
+def barcodes(df, spark, sf_dir):
+    """``df`` with a column ``barcode`` in place of ``row``."""
+    both = df.crossJoin(F.broadcast(_best(spark, sf_dir).select("col_1", "col_2", "col_3")))
+    return both.withColumn("barcode", A.anchor_window(F.col("row"), [F.col(f"col_{i}") for i in (1, 2, 3)], HALF)).drop("row", "col_1", "col_2", "col_3")
 
 
 @query(f"WITH {BARCODE_SQL} SELECT seq_id, barcode FROM bc")
 def anchor_window(spark, sf_dir):
-    return barcodes(spark, sf_dir).select("seq_id", "barcode")
+    return barcodes(rows(spark, sf_dir), spark, sf_dir).select("seq_id", "barcode")
 
 
 @query(f"""WITH {MATRIX_SQL}, m AS (SELECT source, pos, residue, sum(round(weight * 1e8)::BIGINT) AS w FROM lf GROUP BY ALL),
@@ -150,9 +158,8 @@ r AS (SELECT m.source, m.pos, residue, w / total AS share FROM m JOIN t ON m.sou
  QUALIFY row_number() OVER (PARTITION BY m.source, m.pos ORDER BY CASE WHEN residue = '-' THEN -1 ELSE w END DESC, ascii(residue)) = 1)
 SELECT source, count(*) AS n_positions, string_agg(CASE WHEN residue = '-' THEN '-' WHEN share >= 0.5 THEN upper(residue) ELSE lower(residue) END, '' ORDER BY pos) AS motif FROM r GROUP BY source""")
 def consensus_motifs(spark, sf_dir):
-    m = matrix(spark, sf_dir)
-    # weights summed in another order differ in their last bits; whole millionths make ties exact
-    long = A.long_form(m.select("source", F.expr("cast(round(weight * 1e8) as bigint)").alias("weight"), "row"))
+    # weights summed in another order differ in their last bits; whole units of 1e-8 make ties exact
+    long = A.long_form(matrix(spark, sf_dir).select("source", F.expr("cast(round(weight * 1e8) as bigint)").alias("weight"), "row"))
     return A.consensus(long, "source")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import evidence as E
 from ..operators import joins as J
-from .registry import query, table
+from .registry import query, spread, table
 
 MATCHES = """
 m AS (SELECT l_suppkey AS sample, l_partkey % 10 AS protein, l_returnflag AS profile, l_extendedprice AS dom_score,
@@ -99,10 +99,12 @@ c AS (SELECT g.profile, bit_score, count(*) FILTER (decoy = 0 AND score >= bit_s
   FROM g JOIN v ON g.profile = v.profile GROUP BY ALL)
 SELECT profile, round(bit_score, 6) AS bit_score, n_target, n_decoy, CASE WHEN n_target > 0 THEN round(n_decoy / n_target, 6) END AS fdr FROM c""")
 def decoy_fdr_curve(spark, sf_dir):
-    seqs = table(spark, sf_dir, "documents").select(F.col("lang").alias("profile"), S.clean_sequence(F.col("text")).alias("s")).where("s is not null")
-    # one scan scores both the sequence and its reversal
-    both = seqs.select("profile", F.explode(F.array(F.struct(F.lit(0).alias("decoy"), bigram_score(F.col("s")).cast("double").alias("score")), F.struct(F.lit(1).alias("decoy"), bigram_score(F.reverse("s")).cast("double").alias("score")))).alias("x"))
-    curve = E.empirical_fdr(both.select("profile", "x.decoy", "x.score"))
+    docs = spread(table(spark, sf_dir, "documents").select("lang", "text")).where(S.has_sequence(F.col("text")))
+    seqs = docs.select(F.col("lang").alias("profile"), S.clean_sequence(F.col("text")).alias("s"))
+    # one scan makes both the sequence and its reversal; a generated column is computed once
+    both = seqs.select("profile", F.posexplode(F.array("s", F.reverse("s"))).alias("decoy", "s"))
+    both = both.select("profile", "decoy", bigram_score(F.col("s")).cast("double").alias("score"))
+    curve = E.empirical_fdr(both)
     return curve.select("profile", F.round("bit_score", 6).alias("bit_score"), "n_target", "n_decoy", F.round("fdr", 6).alias("fdr"))
 
 
@@ -179,7 +181,8 @@ def prevalence(spark, sf_dir):
 WITH q AS (SELECT doc_id, {CLEAN_SQL} AS s FROM documents), g AS (SELECT s, count(*) AS n, min(doc_id) AS rep FROM q WHERE s IS NOT NULL GROUP BY s)
 SELECT doc_id AS seq_id, rep AS representative, n AS cluster_size, round(1 / n, 8) AS weight FROM q JOIN g USING (s)""")
 def redundancy_weights(spark, sf_dir):
-    seqs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), F.sha2(S.clean_sequence(F.col("text")), 256).alias("s")).where("s is not null")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where(S.has_sequence(F.col("text")))
+    seqs = docs.select(F.col("doc_id").alias("seq_id"), F.sha2(S.clean_sequence(F.col("text")), 256).alias("s"))
     groups = seqs.groupBy("s").agg(F.count("*").alias("cluster_size"), F.min("seq_id").alias("representative"))
     return seqs.join(groups, "s").select("seq_id", "representative", "cluster_size", F.round(1 / F.col("cluster_size"), 8).alias("weight"))
 

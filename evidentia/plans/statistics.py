@@ -19,7 +19,8 @@ mi AS (SELECT i AS col_i, j AS col_j, sum(n)::BIGINT AS n, greatest(0, sum(n / t
 
 def _pairs(spark, sf_dir):
     """Pairs of window columns over distinct windows (dereplicated, as the method has it)."""
-    return I.pair_information(barcodes(spark, sf_dir).select(F.col("barcode").alias("row")).distinct())
+    distinct = barcodes(matrix(spark, sf_dir).select("row"), spark, sf_dir).select(F.col("barcode").alias("row")).distinct()
+    return I.pair_information(distinct)
 
 
 @query(f"WITH {PAIR_SQL} SELECT col_i, col_j, n, round(mi, 6) + 0.0 AS mi_bits FROM mi")
@@ -41,14 +42,14 @@ li AS (SELECT pos, greatest(0, sum(m / t * log2(m * t / (ma * mb)))) AS mi, -sum
 
 @query(f"WITH {LABEL_SQL} SELECT pos, round(mi, 6) AS mi_bits, round(h, 6) AS entropy_bits, round(mi - h * (SELECT avg(mi) FROM li) / (SELECT avg(h) FROM li), 6) + 0.0 AS corrected FROM li")
 def label_information(spark, sf_dir):
-    long = A.long_form(matrix(spark, sf_dir).select("lang", "weight", "row"))
-    out = I.entropy_scaled(I.label_information(long, "lang"))
+    long = A.long_form(matrix(spark, sf_dir).select("lang", "weight", "copies", "row"))
+    out = I.entropy_scaled(I.label_information(long, "lang", copies="copies"))
     return out.select("pos", F.round("mi_bits", 6).alias("mi_bits"), F.round("entropy_bits", 6).alias("entropy_bits"), (F.round("corrected", 6) + 0.0).alias("corrected"))
 
 
 @query(f"WITH {MATRIX_SQL} SELECT pos FROM lf GROUP BY pos HAVING avg((residue <> '-')::INT) >= 0.5 AND count(DISTINCT residue) > 1")
 def varied_columns(spark, sf_dir):
-    return I.varied_columns(A.long_form(matrix(spark, sf_dir).select("row")), 0.5)
+    return I.varied_columns(A.long_form(matrix(spark, sf_dir).select("copies", "row")), 0.5, copies="copies")
 
 
 @query("""
@@ -131,8 +132,9 @@ def label_partitions(spark, sf_dir):
 
 
 def _windows(spark, sf_dir):
-    b = barcodes(spark, sf_dir)
-    return b.groupBy("barcode").agg(F.min("seq_id").alias("seq_id"), F.min_by("source", "seq_id").alias("source"), F.min_by("weight", "seq_id").alias("weight")).orderBy("barcode")
+    """Distinct windows, each with its most common source and the weight of its rows."""
+    b = barcodes(matrix(spark, sf_dir).select("row", "source", "weight"), spark, sf_dir).groupBy("barcode", "source").agg(F.sum("weight").alias("weight"))
+    return b.groupBy("barcode").agg(F.max_by("source", F.struct("weight", "source")).alias("source"), F.sum("weight").alias("weight")).orderBy("barcode")
 
 
 @query()
