@@ -46,12 +46,13 @@ def pair_information(matrix: DataFrame) -> DataFrame:
 def average_product(mi: DataFrame, value: str = "mi_bits") -> DataFrame:
     """Adds ``mi_apc``: value less mean_i * mean_j / grand mean over off-diagonal pairs; as it
     is where the grand mean is not positive."""
-    mi = mi.cache()  # one row per pair of columns, read three times
-    both = mi.select(F.col("col_i").alias("c"), value).unionByName(mi.select(F.col("col_j").alias("c"), value))
-    mean = both.groupBy("c").agg(F.avg(value).alias("m"))
-    grand = mi.agg(F.avg(value).alias("g"))
-    out = mi.join(F.broadcast(mean.select(F.col("c").alias("col_i"), F.col("m").alias("_mi"))), "col_i", "left").join(F.broadcast(mean.select(F.col("c").alias("col_j"), F.col("m").alias("_mj"))), "col_j", "left").crossJoin(F.broadcast(grand))
-    return out.withColumn("mi_apc", F.when(F.col("g") > 0, F.col(value) - F.col("_mi") * F.col("_mj") / F.col("g")).otherwise(F.col(value))).drop("_mi", "_mj", "g")
+    # windows over pairs of columns, so that what made them runs once
+    own = [c for c in mi.columns if c not in ("col_i", "col_j")]
+    ends = mi.withColumn("_g", F.avg(value).over(W.partitionBy())).select("*", F.explode(F.array("col_i", "col_j")).alias("_c"))
+    ends = ends.withColumn("_m", F.avg(value).over(W.partitionBy("_c")))
+    pick = lambda c: F.max(F.when(F.col("_c") == F.col(c), F.col("_m")))
+    out = ends.groupBy("col_i", "col_j").agg(*[F.max(c).alias(c) for c in own], F.max("_g").alias("_g"), pick("col_i").alias("_mi"), pick("col_j").alias("_mj"))
+    return out.withColumn("mi_apc", F.when(F.col("_g") > 0, F.col(value) - F.col("_mi") * F.col("_mj") / F.col("_g")).otherwise(F.col(value))).drop("_g", "_mi", "_mj")
 
 
 def label_information(long: DataFrame, label: str, weight: str = "weight", copies: str | None = None) -> DataFrame:
