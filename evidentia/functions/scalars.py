@@ -163,3 +163,8 @@ def ph_advice(pi: Column, assay: float = 7.0, near: float = 1.0) -> Column:
     far = F.format_string("pI %.1f: test binding near that pH; a negative at the assay pH may be one of binding", pi)
     close = F.format_string(f"pI %.1f: near the assay pH of {assay}; look at aggregation before reading a negative", pi)
     return F.when(pi.isNull(), "no binding region, so its pH does not matter").when(F.abs(pi - assay) < near, close).otherwise(far)
+
+
+def sister_path(path: Column, old: str = "faa", new: str = "gff") -> Column:
+    """The file beside another, with another suffix."""
+    return F.regexp_replace(path, rf"\.{old}$", f".{new}")

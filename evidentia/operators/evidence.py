@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .joins import first_per_key
+from .staging import numbered
 
 
 def best_match(rows: DataFrame, keys: list[str], score: str, ties: list[str]) -> DataFrame:
@@ -75,9 +76,9 @@ def null_census(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def survival(rows: DataFrame, group: str, value: str, ties: list[str]) -> DataFrame:
     """Share of a group's rows that score no better than each row's rank: 1 - rank/n from the top."""
-    w = W.partitionBy(group)
-    rank = F.row_number().over(w.orderBy(F.col(value), *ties)) - 1
-    return rows.withColumn("survival", 1 - rank / F.count("*").over(w))
+    ranked = numbered(rows, [F.col(group), F.col(value), *[F.col(t) for t in ties]], "_r")
+    first = ranked.groupBy(group).agg(F.min("_r").alias("_first"), F.count("*").alias("_n")).withColumnRenamed(group, "_g")
+    return ranked.join(first, F.col(group).eqNullSafe(F.col("_g"))).withColumn("survival", 1 - (F.col("_r") - F.col("_first")) / F.col("_n")).drop("_r", "_first", "_n", "_g")
 
 
 def histogram(rows: DataFrame, value: str, lo: float, hi: float, bins: int, by: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import numbered, staged
 
 
 def canonical_edges(edges: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b", cost: str = "evalue") -> DataFrame:
@@ -44,7 +44,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     node = nodes.select(F.col(nodes.columns[0]).alias("node"))
     full = node.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = full.groupBy("component").agg(F.count("*").alias("size"))
-    sizes = sizes.withColumn("rank", F.row_number().over(W.orderBy(F.col("size").desc(), "component")) - 1)
+    sizes = numbered(sizes, [F.col("size").desc(), F.col("component")])
     return full.join(sizes, "component").select("node", "component", "size", "rank")
 
 

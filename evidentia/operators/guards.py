@@ -63,3 +63,31 @@ def coverage_check(mapped: DataFrame, flag: str, least: float = 0.5) -> DataFram
     if r < least:
         raise CheckFailed(f"only {r:.0%} of the columns map; at least {least:.0%} must")
     return mapped
+
+
+def spot_check(df: DataFrame, ok: str, fraction: float, seed: int, name: str) -> DataFrame:
+    """A report row from a seeded sample (sampling is the feature): WARN where a sampled row fails."""
+    one = df.sample(fraction=fraction, seed=seed).agg(F.count("*").alias("n"), F.count_if(~F.coalesce(F.col(ok), F.lit(False))).alias("bad"))
+    return _line(one, f"{name}: spot check", "bad", "WARN", "%d of %d sampled rows fail")
+
+
+def seed_checks(seeds: DataFrame, priors: dict[str, int | None], tolerance: int) -> DataFrame:
+    """``seeds``: name, family, anchor, next (null where unassigned), candidates (gaps to later
+    residues).  ERROR where a family's prior would discard a seed of its own: the assigned gap,
+    or every candidate gap, lies outside it.  A family without a prior admits all."""
+    prior = F.lit(None).cast("int")
+    for family, gap in priors.items():
+        prior = F.when(F.col("family") == family, F.lit(gap).cast("int")).otherwise(prior)
+    gap = F.col("next") - F.col("anchor")
+    inside = lambda g: F.abs(g - prior) <= tolerance
+    admitted = F.when(prior.isNull(), True).when(gap.isNotNull(), inside(gap)).otherwise(F.exists("candidates", inside))
+    return seeds.select(F.when(F.coalesce(admitted, F.lit(False)), "OK").otherwise("ERROR").alias("level"), F.concat(F.lit("seed: "), "name").alias("check"), F.when(F.coalesce(admitted, F.lit(False)), "found by its family's spacing").otherwise("its family's spacing would discard it").alias("detail"))
+
+
+def structure_identity(pairs: DataFrame, least: float = 0.9) -> DataFrame:
+    """``pairs``: residue of the structure and of the sequence at each mapped column.  Raises
+    where they agree in fewer than ``least`` of the columns: the wrong structure was given."""
+    r = pairs.agg(F.avg((F.col("structure") == F.col("sequence")).cast("double")).alias("s")).first()["s"] or 0.0
+    if r < least:
+        raise CheckFailed(f"structure and sequence agree in {r:.0%} of the mapped columns; {least:.0%} are wanted")
+    return pairs

@@ -15,6 +15,15 @@ class CheckFailed(ValueError):
     """A guard found the input to be other than promised."""
 
 
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast once it is counted and found within ``limit`` rows; beyond it
+    the join it is for shuffles."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def require_unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
     dup = df.groupBy(*keys).count().where("count > 1").limit(5).collect()
     if dup:
@@ -85,7 +94,7 @@ def variant_join(left: DataFrame, right: DataFrame, key: str, variants: Column,
 
 def lookup(left: DataFrame, table: DataFrame, key: str, value: str, default: str | None = None) -> DataFrame:
     """Map a column through a small table, first row per key, with a default."""
-    one = F.broadcast(table.groupBy(key).agg(F.min(value).alias(value)))
+    one = small(table.groupBy(key).agg(F.min(value).alias(value)))
     out = left.join(one, key, "left")
     return out.withColumn(value, F.coalesce(value, F.lit(default))) if default is not None else out
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import translate_codons
+from .joins import CheckFailed
 
 
 def residue_index(aligned: Column, rf: Column, offset: Column) -> Column:
@@ -49,8 +50,14 @@ def cds_status(cds: Column, protein: Column) -> Column:
     return F.when(cds.isNull(), "no_cds").when(F.contains(read, F.lit("*")), "internal_stop").when(read == F.upper(F.regexp_replace(protein, r"\*+$", "")), "ok").otherwise("mismatch")
 
 
+SEEDS = 10_000
+
+
 def region_distance(points: DataFrame, seeds: DataFrame, radius: float) -> DataFrame:
-    """(point_id, distance, in_region): least distance to a broadcast set of seeds (vectors)."""
+    """(point_id, distance, in_region): least distance to a set of seeds (vectors), which goes to
+    every task once it is found within SEEDS rows."""
+    if seeds.limit(SEEDS + 1).count() > SEEDS:
+        raise CheckFailed(f"over {SEEDS} seeds")
     packed = seeds.agg(F.collect_list("vector").alias("_seeds"))
     gap = lambda s: F.sqrt(F.aggregate(F.zip_with(F.col("vector"), s, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
     both = points.crossJoin(F.broadcast(packed))

@@ -124,3 +124,22 @@ def jaccard_matrix(sets: DataFrame, name: str, element: str, names: list[str]) -
     counts = held.agg(*[F.struct(F.count_if(here(p) & here(q)).alias("shared"), F.count_if(here(p) | here(q)).alias("either")).alias(f"p{k}") for k, (p, q) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(p).alias("a"), F.lit(q).alias("b"), F.col(f"p{k}.shared").alias("shared"), F.col(f"p{k}.either").alias("either")) for k, (p, q) in enumerate(pairs)])
     return counts.select(F.explode(rows).alias("x")).select("x.*").withColumn("jaccard", F.when(F.col("either") > 0, F.col("shared") / F.col("either")))
+
+
+def region_enrichment(positions: DataFrame, called: str, regions: list[str]) -> DataFrame:
+    """Per region flag: called and uncalled positions inside and outside, odds ratio, one-sided p.
+    One aggregate for all regions."""
+    c = F.col(called)
+    cell = lambda r: F.struct(F.lit(r).alias("region"), F.count_if(c & F.col(r)).alias("n11"), F.count_if(c).alias("n1x"), F.count_if(F.col(r)).alias("nx1"), F.count("*").alias("nxx"))
+    one = positions.agg(*[cell(r).alias(f"r{i}") for i, r in enumerate(regions)])
+    return fisher_greater(one.select(F.explode(F.array(*[F.col(f"r{i}") for i in range(len(regions))])).alias("x")).select("x.*"))
+
+
+def cumulative_cut(variance: list[float], share: float) -> int:
+    """How many leading components reach a share of the variance."""
+    total, run = sum(variance), 0.0
+    for k, v in enumerate(variance):
+        run += v
+        if run >= share * total - 1e-12:
+            return k + 1
+    return len(variance)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import small
+
 ROLES = ("muramyl_ligase", "mray_like", "cps")
 #: Orders whose walls have the polymer.
 EXPECTED_ORDERS = ("o__Methanobacteriales", "o__Methanopyrales")
@@ -62,7 +64,7 @@ def marker_presence(scores: DataFrame, models: DataFrame, entity: str, floor: fl
     and model: best score, and whether it meets the model's own bar."""
     low = F.least(F.lit(floor), F.coalesce(F.col("_least"), F.lit(floor)))
     m = models.withColumn("cutoff", F.coalesce("cutoff", F.lit(floor))).crossJoin(models.agg(F.min("cutoff").alias("_least")))
-    rows = scores.join(F.broadcast(m), "model").where(F.col("score") >= low)
+    rows = scores.join(small(m), "model").where(F.col("score") >= low)
     return rows.groupBy(entity, "model").agg(F.max("score").alias("best_score"), F.max((F.col("score") >= F.col("cutoff")).cast("int")).alias("present"))
 
 

@@ -188,3 +188,20 @@ def kmer_similarity(spark, sf_dir):
     s = table(spark, sf_dir, "part").select("p_partkey", F.upper(F.regexp_replace("p_name", "[^A-Za-z]", "")).alias("q"))
     out = G.kmer_similarity(s, "p_partkey", "q", 4, 0.5)
     return out.select("u", "v", F.col("shared").cast("long").alias("shared"), F.round("jaccard", 6).alias("jaccard"))
+
+
+@query()
+def greedy_clusters(spark, sf_dir):
+    """Names of parts by shared 4-mers: classes of equal sets, then greedy from the longest."""
+    s = table(spark, sf_dir, "part").select("p_partkey", F.upper(F.regexp_replace("p_name", "[^A-Za-z]", "")).alias("q"))
+    one = s.groupBy("q").agg(F.min("p_partkey").alias("p_partkey")).withColumn("n", F.length("q"))
+    return G.greedy_clusters(one, "p_partkey", "n", G.kmer_similarity(one, "p_partkey", "q", 4, 0.5))
+
+
+@query()
+def tree_input(spark, sf_dir):
+    """Rows of the matrix without repeats, with provenance."""
+    from .matrix import rows
+
+    _, prov = P.tree_input(rows(spark, sf_dir).select("seq_id", "row"), "seq_id", "row")
+    return prov

@@ -192,3 +192,26 @@ SELECT l_suppkey AS sample, threshold, count(*) FILTER (l_quantity >= threshold)
 def threshold_grid(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sample"), "l_quantity")
     return J.threshold_counts(rows, "l_quantity", F.array(*[F.lit(float(t)) for t in (1, 10, 20, 30, 40, 50)]), ["sample"])
+
+
+@query("""
+WITH r AS (SELECT r_name AS dom, n_name AS taxon, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (ORDER BY n DESC, taxon) AS k FROM (SELECT taxon, sum(n) AS n FROM r GROUP BY taxon)),
+l AS (SELECT r.dom, CASE WHEN k.k <= 8 THEN r.taxon ELSE 'Other' END AS taxon, r.n FROM r JOIN k ON k.taxon = r.taxon)
+SELECT dom, taxon, sum(n)::BIGINT AS n, round(sum(n) / sum(sum(n)) OVER (PARTITION BY dom), 6) AS share FROM l GROUP BY dom, taxon""")
+def taxonomy_composition(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    per = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    named = per.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    ranked = named.groupBy("n_name").agg(F.sum("n").alias("t")).withColumn("k", F.row_number().over(W.orderBy(F.col("t").desc(), "n_name")))
+    lab = named.join(ranked, "n_name").select(F.col("r_name").alias("dom"), F.when(F.col("k") <= 8, F.col("n_name")).otherwise("Other").alias("taxon"), "n")
+    out = lab.groupBy("dom", "taxon").agg(F.sum("n").alias("n"))
+    return out.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("dom")), 6))
+
+
+@query("""
+SELECT l_returnflag AS profile, count(*) AS n, round(quantile_cont(l_quantity::DOUBLE, 0.25), 6) AS q1, round(quantile_cont(l_quantity::DOUBLE, 0.5), 6) AS median, round(quantile_cont(l_quantity::DOUBLE, 0.75), 6) AS q3, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1""")
+def coverage_length(spark, sf_dir):
+    q = lambda p, name: F.round(F.percentile("full_score", F.lit(p)), 6).alias(name)
+    return matches(spark, sf_dir).groupBy("profile").agg(F.count("*").alias("n"), q(0.25, "q1"), q(0.5, "median"), q(0.75, "q3"), F.round(F.avg("full_score"), 6).alias("mean"))

@@ -131,6 +131,20 @@ def label_partitions(spark, sf_dir):
     return I.partitions(parts, "seq_id", 20, 8)
 
 
+@query(f"""
+WITH p AS (SELECT p_partkey AS id, p_retailprice > (SELECT avg(p_retailprice) FROM part) AS called, p_size <= 10 AS small, p_brand = (SELECT min(p_brand) FROM part) AS first_brand FROM part),
+c AS (SELECT 'small' AS region, count(*) FILTER (called AND small) AS a, count(*) FILTER (called) AS r, count(*) FILTER (small) AS k, count(*) AS n FROM p UNION ALL SELECT 'first_brand', count(*) FILTER (called AND first_brand), count(*) FILTER (called), count(*) FILTER (first_brand), count(*) FROM p),
+z AS (SELECT *, unnest(range(a, least(r, k) + 1)) AS i FROM c)
+SELECT region, a AS n11, round(CASE WHEN any_value((r - a) * (k - a)) > 0 THEN any_value(a::DOUBLE * (n - r - k + a) / ((r - a) * (k - a))) END, 6) AS odds_ratio,
+ round(least(1, sum(exp(lgamma(r + 1) + lgamma(n - r + 1) + lgamma(k + 1) + lgamma(n - k + 1) - lgamma(n + 1) - lgamma(i + 1) - lgamma(r - i + 1) - lgamma(k - i + 1) - lgamma(n - r - k + i + 1)))), 6) AS p FROM z GROUP BY region, a""")
+def region_enrichment(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    one = p.agg(F.avg("p_retailprice").alias("_m"), F.min("p_brand").alias("_b"))
+    flags = p.crossJoin(F.broadcast(one)).select((F.col("p_retailprice") > F.col("_m")).alias("called"), (F.col("p_size") <= 10).alias("small"), (F.col("p_brand") == F.col("_b")).alias("first_brand"))
+    out = T.region_enrichment(flags, "called", ["small", "first_brand"])
+    return out.select("region", "n11", F.round("odds_ratio", 6).alias("odds_ratio"), F.round("p", 6).alias("p"))
+
+
 def _windows(spark, sf_dir):
     """Distinct windows, each with its most common source and the weight of its rows."""
     b = barcodes(matrix(spark, sf_dir).select("row", "source", "weight"), spark, sf_dir).groupBy("barcode", "source").agg(F.sum("weight").alias("weight"))

@@ -23,6 +23,7 @@ from evidentia.operators import sequences as Q
 from evidentia.operators import stats as T
 from evidentia.operators import synteny as Y
 from evidentia.operators import tree as P
+from evidentia.operators.staging import numbered
 
 
 def one(spark, expr, **values):
@@ -475,3 +476,44 @@ def test_gap_statistic(spark):
     df = C.normalised(spark.createDataFrame([([float(v) for v in p],) for p in pts + 1], "v array<double>"), "v")
     k, table = C.gap_statistic(df, 1, 3, references=2)
     assert k in (1, 2, 3) and len(table) == 3
+
+
+# --- the rest ---------------------------------------------------------------------------------
+
+
+def test_numbered(spark):
+    df = spark.createDataFrame([(i * 7 % 50, i) for i in range(200)], "a long, b long")
+    got = sorted(((r["a"], -r["b"]), r["rank"]) for r in numbered(df, [F.col("a"), F.col("b").desc()]).collect())
+    assert [n for _, n in got] == list(range(200))
+    assert numbered(df.limit(0), [F.col("a")]).collect() == []
+
+
+def test_tree_input(spark):
+    rows = spark.createDataFrame([("a", "AC-"), ("b", "AC-"), ("c", "AD-"), ("d", "GD-")], "id string, row string")
+    clusters = spark.createDataFrame([("c", "a"), ("a", "a"), ("d", "d")], "member string, representative string")
+    tips, prov = P.tree_input(rows, "id", "row", clusters, max_tips=2)
+    assert {(r["id"], r["row"]) for r in tips.collect()} == {("a", "AC"), ("d", "GD")}
+    got = {r["sequence"]: (r["representative"], r["is_tip"], r["dereplicated"], r["clustered"]) for r in prov.collect()}
+    assert got == {"a": ("a", True, False, False), "b": ("a", False, True, False), "c": ("a", False, False, True), "d": ("d", True, False, False)}
+
+
+def test_seed_and_structure_checks(spark):
+    seeds = spark.createDataFrame([("w", "x", 10, 45, [35, 80]), ("r", "y", 10, None, [14, 72])], "name string, family string, anchor int, next int, candidates array<int>")
+    level = lambda priors: {r["check"]: r["level"] for r in V.seed_checks(seeds, priors, 5).collect()}
+    assert level({"x": 35, "y": None}) == {"seed: w": "OK", "seed: r": "OK"}
+    assert level({"x": 35, "y": 35}) == {"seed: w": "OK", "seed: r": "ERROR"}
+    pairs = spark.createDataFrame([("A", "A"), ("C", "D")], "structure string, sequence string")
+    with pytest.raises(J.CheckFailed):
+        V.structure_identity(pairs)
+    checked = spark.createDataFrame([(True,), (None,)], "ok boolean")
+    assert V.spot_check(checked, "ok", 1.0, 1, "t").first()["level"] == "WARN"
+    assert T.cumulative_cut([5.0, 3.0, 2.0], 0.8) == 2
+
+
+def test_config():
+    from evidentia import config
+
+    s = config.screen({"profiles": [{"label": "a"}, {"label": "b", "enabled": False}], "anchor": {"gaps": [35, 24]}})
+    assert s.active() == ["a"] and s.anchor.gaps == (35, 24)
+    with pytest.raises(ValueError):
+        config.screen({"no_such": 1})
