@@ -12,6 +12,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -199,25 +200,18 @@ def text_groups(sizes: list[int], limit: int = 4 << 20):
         yield start, len(sizes)
 
 
-def slots(df: DataFrame, group: str, order: list[str], per_block: int = 50_000) -> DataFrame:
+def slots(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     """``slot``: a gapless number from 0 within each ``group``, without one task per group.
 
-    Rows are dealt to blocks by a hash of ``order``; block counts (one row per group and
-    block) give each block's first slot, and only a block is ever sorted as a whole.
+    Rows are dealt to ranges of (group, order) and sorted in them, so a group of any size
+    spreads over many tasks; a row's number in its range and the sizes of the ranges before
+    give its place in all, and a group's least place is its slot 0.  Groups must be few (shards,
+    token lengths): their least places go to every task.
     """
-    total = df.count()
-    blocks = max(1, -(-total // per_block))
-    keyed = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
-    from pyspark.sql import Window as W
-
-    counts = keyed.groupBy(group, "_block").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    first = counts.select(group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    first = first.withColumnsRenamed({group: "_g", "_block": "_b"})
-    within = W.partitionBy(group, "_block").orderBy(*[F.col(c) for c in order])
-    numbered = keyed.withColumn("_k", F.row_number().over(within) - 1)
-    return (
-        numbered.join(first, (F.col(group) == F.col("_g")) & (F.col("_block") == F.col("_b")))
-        .withColumn("slot", (F.col("_first") + F.col("_k")).cast("long"))
-        .drop("_block", "_n", "_first", "_k", "_g", "_b")
-    )
+    by = [F.col(c) for c in (group, *order)]
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    kept = staged(ranged.withColumn("_p", F.shiftright("_id", 33)).withColumn("_k", F.col("_id").bitwiseAND(2**33 - 1)).drop("_id"))
+    sizes = kept.groupBy("_p", group).agg(F.count("*").alias("_n"), F.min("_k").alias("_from"))
+    upto = W.partitionBy(group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    first = sizes.select(F.col("_p").alias("_q"), F.col(group).alias("_g"), (F.coalesce(F.sum("_n").over(upto), F.lit(0)) - F.col("_from")).alias("_shift"))
+    return kept.join(first, (F.col("_p") == F.col("_q")) & (F.col(group) == F.col("_g"))).withColumn("slot", (F.col("_k") + F.col("_shift")).cast("long")).drop("_p", "_k", "_q", "_g", "_shift")

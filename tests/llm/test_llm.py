@@ -76,7 +76,7 @@ def test_hashed_words_segments(monkeypatch):
 
 def test_slots(spark):
     df = spark.createDataFrame([(g, i) for g in ("a", "b") for i in range(50)] + [("a", 3)], "g string, i long")
-    got = common.slots(df, "g", ["i"], per_block=7).collect()
+    got = common.slots(df, "g", ["i"]).collect()
     for g in "ab":
         assert sorted(r["slot"] for r in got if r["g"] == g) == list(range(sum(r["g"] == g for r in got)))
 
