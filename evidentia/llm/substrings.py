@@ -1,6 +1,11 @@
 """Paragraph-level substring dedup: MinHash banding, exact confirmation, components.
 
-Paragraphs are lines of ``min_words`` words or more.  Equal shingle sets are one class; each
+Paragraphs are lines of ``min_words`` words or more, and stretches inside lines that other
+texts share: windows of WINDOW words, picked by their own content so that of EVERY in a row
+one at least is, are counted by hash, and runs of shared ones are cut out of their lines.  A
+passage of WINDOW + EVERY words or more is thus a paragraph wherever it stands.
+
+Equal shingle sets are one class; each
 class is posted under its bands (``bands`` picks rows and bands for the wanted recall at the
 similarity threshold).  Colliding classes are paired through hubs first and exhaustively
 across components after that (see ``near.links``), confirmed by exact Jaccard on their full
@@ -21,12 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, BLANKS, encode, hashed_words, mapped, maybe_in, mix, shingles, staged, text_groups
+from .common import ASCII_LOWER, BLANKS, _powers, encode, hashed_words, mapped, maybe_in, mix, shingles, staged, text_groups
 from .graph import components
 from .near import K, links, signature
 
 MIN_WORDS = 30
 RECALL = 0.9999
+WINDOW = 40
+EVERY = 10
+_Q = 0xD6E8FEB86659FD93
+_QINV = pow(_Q, -1, 2**64)
 
 
 def bands(similarity: float, recall: float = RECALL, k: int = K) -> tuple[int, int]:
@@ -39,36 +48,127 @@ def bands(similarity: float, recall: float = RECALL, k: int = K) -> tuple[int, i
     return best
 
 
-def paragraphs(docs: DataFrame, doc_id: str, text: str, width: int, min_words: int) -> DataFrame:
-    """Rows (doc_id, th, pos, n_words, n, node, sig) of each paragraph; ``node`` is a hash of
-    its set, ``th`` of the whole text."""
-    out = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("n_words", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.list_(pa.int32()))])
+_OUT = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("start", pa.int32()), ("n_words", pa.int32()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.list_(pa.int32()))])
+_DDL = "doc_id long, th long, pos int, start int, n_words int, n long, node long, sig array<int>"
+
+
+def _row(doc_id, th, pos: int, start: int, words: np.ndarray, width: int) -> tuple:
+    s = np.unique(shingles(words, width))
+    return doc_id, th, pos, start, len(words), len(s), int(mix(s).sum().astype(np.int64)), signature(s)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _OUT.types, strict=True)], schema=_OUT)
+
+
+def _lines(texts: list, least: int):
+    """For groups of texts: (index of the text, line number) of lines that may have ``least``
+    words, their word hashes one after another, and where each line's start."""
+    raw = [x.translate(ASCII_LOWER) for x in encode(texts)]
+    for a, b in text_groups([len(x) for x in raw]):
+        parts = [(i, p, x) for i in range(a, b) for p, x in enumerate(raw[i].split(b"\n")) if len(x) >= 2 * least - 1]
+        words, cut = hashed_words([x for *_, x in parts], BLANKS)
+        yield [(i, p) for i, p, _ in parts], words, cut
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("body"))
+
+
+def paragraphs(texts: DataFrame, width: int, min_words: int) -> DataFrame:
+    """Rows of _DDL for each line of ``min_words`` words or more; ``node`` is a hash of its
+    shingle set, ``th`` of the whole text."""
 
     def run(batches):
         for batch in batches:
             ids, ths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            raw = [x.translate(ASCII_LOWER) for x in encode(batch.column(2).to_pylist())]
-            for a, b in text_groups([len(x) for x in raw]):
-                rows = []
-                parts = [(i, p, x) for i in range(a, b) for p, x in enumerate(raw[i].split(b"\n")) if len(x) >= 2 * min_words - 1]
-                words, cut = hashed_words([x for *_, x in parts], BLANKS)
-                for k, (i, p, _) in enumerate(parts):
-                    w = words[cut[k] : cut[k + 1]]
-                    if len(w) >= min_words:
-                        s = np.unique(shingles(w, width))
-                        rows.append((ids[i], ths[i], p, len(w), len(s), int(mix(s).sum().astype(np.int64)), signature(s)))
+            for parts, words, cut in _lines(batch.column(2).to_pylist(), min_words):
+                rows = [_row(ids[i], ths[i], p, 0, words[cut[k] : cut[k + 1]], width) for k, (i, p) in enumerate(parts) if cut[k + 1] - cut[k] >= min_words]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
+                    yield _batch(rows)
+
+    return mapped(texts, run, _DDL)
+
+
+def _slide(x: np.ndarray, n: int, least: bool) -> np.ndarray:
+    """Minimum (maximum) of each n consecutive values, by doubling."""
+    f, have = np.minimum if least else np.maximum, 1
+    while have < n:
+        step = min(have, n - have)
+        x = f(x[: len(x) - step], x[step:])
+        have += step
+    return x
+
+
+def picked(words: np.ndarray, cut: np.ndarray, window: int = WINDOW, every: int = EVERY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, offset, hash) of windows of ``window`` words inside lines, one at least among any
+    ``every`` consecutive ones; which ones depends on their own words only."""
+    n = len(words)
+    if n < window:
+        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
+    top = np.uint64(2**64 - 1)
+    line = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    starts = np.arange(n - window + 1)
+    inside = line[starts] == line[starts + window - 1]
+    key = np.where(inside, shingles(words, 5)[: len(starts)], top)
+    edge = np.full(every - 1, top)
+    least = _slide(np.concatenate([edge, key, edge]), every, True)  # windows that end at and after each start
+    pick = starts[inside & (_slide(least, every, False) == key)]
+    powers = _powers(_Q, n + 1)
+    total = np.concatenate(([np.uint64(0)], np.cumsum(words * powers[:n], dtype=np.uint64)))
+    h = mix((total[pick + window] - total[pick]) * _powers(_QINV, n + 1)[pick])
+    return line[pick], pick - cut[line[pick]], h
+
+
+def stretches(texts: DataFrame) -> DataFrame:
+    """Rows (th, cuts): stretches (pos, start, end in words) of lines that other texts share word
+    by word.  Windows are compared by hash; runs of shared ones that touch are one stretch, so
+    a passage is cut out at the same words wherever it stands."""
+    out = pa.schema([("th", pa.int64()), ("pos", pa.int32()), ("start", pa.int32()), ("h", pa.int64())])
 
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return mapped(docs.select(F.col(f"`{doc_id}`").cast("long"), F.xxhash64(body), body), run, "doc_id long, th long, pos int, n_words long, n long, node long, sig array<int>")
+    def run(batches):
+        for batch in batches:
+            ths = np.array(batch.column(0).to_pylist(), np.int64)
+            for parts, words, cut in _lines(batch.column(1).to_pylist(), WINDOW):
+                line, at, h = picked(words, cut)
+                place = np.array(parts, np.int64).reshape(-1, 2)[line]
+                yield pa.RecordBatch.from_arrays([pa.array(ths[place[:, 0]]), pa.array(place[:, 1].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], schema=out)
+
+    seen = staged(mapped(texts.select("th", "body"), run, "th long, pos int, start int, h long"))
+    shared = seen.groupBy("h").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo != hi").select("h")
+    hit = seen.join(shared, "h").select("th", "pos", "start").distinct()
+    by = W.partitionBy("th", "pos").orderBy("start")
+    fresh = F.coalesce(F.col("start") > F.lag("start").over(by) + WINDOW, F.lit(True)).cast("int")
+    runs = hit.withColumn("_f", fresh).withColumn("_run", F.sum("_f").over(by)).groupBy("th", "pos", "_run").agg(F.min("start").alias("start"), (F.max("start") + WINDOW).alias("end"))
+    return runs.groupBy("th").agg(F.collect_list(F.struct("pos", "start", "end")).alias("cuts"))
+
+
+def passages(texts: DataFrame, cuts: DataFrame, width: int) -> DataFrame:
+    """Rows of _DDL for the stretches of ``cuts``, in every document of their text."""
+    held = maybe_in(texts, F.col("th"), cuts.select(F.col("th").alias("id"))).join(cuts.withColumnRenamed("th", "_t"), F.col("th") == F.col("_t"))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for i, th, body, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines = encode([body])[0].translate(ASCII_LOWER).split(b"\n")
+                words, cut = hashed_words([lines[c["pos"]] for c in found], BLANKS)
+                rows += [_row(i, th, c["pos"], c["start"], words[cut[k] + c["start"] : cut[k] + c["end"]], width) for k, c in enumerate(found) if not (c["start"] == 0 and c["end"] == cut[k + 1] - cut[k])]
+            if rows:
+                yield _batch(rows)
+
+    return mapped(held.select("doc_id", "th", "body", "cuts"), run, _DDL)
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.75, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc_id, th, paragraph, n_words, cluster, cluster_id, n_docs, removed): the
-    paragraphs whose component spans two documents or more.  ``cluster`` is the component's
-    least node, ``cluster_id`` the doc_id that keeps its paragraph."""
-    seen = staged(paragraphs(docs, doc_id, text, width, min_words))
+    """Rows (doc_id, th, paragraph, start, n_words, cluster, cluster_id, n_docs, removed): the
+    paragraphs whose component spans two documents or more.  ``paragraph`` is the line, ``start``
+    the word in it; ``cluster`` is the component's least node, ``cluster_id`` the doc_id that
+    keeps its paragraph."""
+    texts = _texts(docs, doc_id, text)
+    whole = paragraphs(texts, width, min_words)
+    seen = staged(whole.unionByName(passages(texts, staged(stretches(texts)), width)))
     r, b = bands(similarity)
     band = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * r + 1, F.lit(r))))
     held = seen.select(F.posexplode(band).alias("slot", "key"), "node", "n")
@@ -79,17 +179,17 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     # from here on only classes that share a band with another matter
     ids = post.select(F.col("node").alias("id")).distinct()
     some = maybe_in(seen, F.col("node"), ids).join(ids, F.col("node") == F.col("id"), "left_semi")
-    classes = staged(some.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.min(F.struct("doc_id", "th", "pos")).alias("at")))
-    shown = classes.select(F.col("node").alias("id"), F.col("at.doc_id").alias("_d"), F.col("at.th").alias("_t"), F.col("at.pos").alias("pos"))
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("body"))
-    texts = maybe_in(texts, F.col("th"), shown.select(F.col("_t").alias("id"))).join(shown, (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    texts = staged(texts.select("id", F.element_at(F.split("body", "\n", -1), F.col("pos") + 1).alias("text")))
-
-    label = components(links(post, classes.select("node", "n", "sig"), texts, width, similarity, r), "u", "v")
-    named = seen.select("doc_id", "th", "pos", "n_words", "node").join(label, "node", "left")
+    classes = staged(some.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.min(F.struct("doc_id", "th", "pos", "start", "n_words")).alias("at")))
+    shown = classes.select(F.col("node").alias("id"), F.col("at.doc_id").alias("_d"), F.col("at.th").alias("_t"), F.col("at.pos").alias("pos"), F.col("at.start").alias("start"), F.col("at.n_words").alias("k"))
+    held = maybe_in(texts, F.col("th"), shown.select(F.col("_t").alias("id"))).join(shown, (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    words = F.array_remove(F.split(F.element_at(F.split("body", "\n", -1), F.col("pos") + 1), r"[\x20\x09-\x0D]+"), "")
+    found = staged(held.select("id", F.array_join(F.slice(words, F.col("start") + 1, F.col("k")), " ").alias("text")))
+
+    label = components(links(post, classes.select("node", "n", "sig"), found, width, similarity, r), "u", "v")
+    named = seen.select("doc_id", "th", "pos", "start", "n_words", "node").join(label, "node", "left")
     named = staged(named.withColumn("cluster", F.coalesce("component", "node")).drop("component", "node"))
-    per_doc = named.groupBy("cluster", "doc_id").agg(F.min("pos").alias("pos"))
-    spans = per_doc.groupBy("cluster").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "pos")).alias("first")).where("n_docs > 1")
+    place = F.struct("doc_id", "pos", "start", "n_words")
+    per_doc = named.groupBy("cluster", "doc_id").agg(F.min(place).alias("first"))
+    spans = per_doc.groupBy("cluster").agg(F.count("*").alias("n_docs"), F.min("first").alias("first")).where("n_docs > 1")
     out = named.join(staged(spans), "cluster")
-    return out.select("doc_id", "th", F.col("pos").alias("paragraph"), "n_words", "cluster", F.col("first.doc_id").alias("cluster_id"), "n_docs", (~F.struct("doc_id", "pos").eqNullSafe(F.col("first"))).alias("removed"))
+    return out.select("doc_id", "th", F.col("pos").alias("paragraph"), "start", "n_words", "cluster", F.col("first.doc_id").alias("cluster_id"), "n_docs", (~place.eqNullSafe(F.col("first"))).alias("removed"))

@@ -246,7 +246,18 @@ def test_bands():
 
 
 def test_substrings(docs, rows, empty):
-    paras = {(i, p): shingle_set(x) for i, t, *_ in rows for p, x in enumerate((t or "").split("\n")) if len(words_of(x)) >= 30}
+    texts = substrings._texts(docs, "doc_id", "text")
+    named = {r["th"]: r["body"] for r in texts.collect()}
+    cuts = {(named[r["th"]], c["pos"], c["start"], c["end"]) for r in substrings.stretches(texts).collect() for c in r["cuts"]}
+    paras = {}
+    for i, t, *_ in rows:
+        for p, x in enumerate((t or "").split("\n")):
+            w = words_of(x.translate(UP))
+            if len(w) >= 30:
+                paras[i, p, 0, len(w)] = shingle_set(x)
+            for body, q, a, b in cuts:
+                if body == (t or "") and q == p and (a, b) != (0, len(w)):
+                    paras[i, p, a, b - a] = shingle_set(" ".join(w[a:b]))
     keys = sorted(paras, key=lambda k: (k[0] is not None, k))
     parent = {k: k for k in keys}
 
@@ -265,12 +276,38 @@ def test_substrings(docs, rows, empty):
     groups = collections.defaultdict(set)
     for k in keys:
         groups[find(k)].add(k)
-    want = {k: (min(g)[0], k != min(g)) for g in groups.values() if len({i for i, _ in g}) > 1 for k in g}
-    got = {(r["doc_id"], r["paragraph"]): (r["cluster_id"], r["removed"]) for r in substrings.repeated(docs).collect()}
+    want = {k: (min(g)[0], k != min(g)) for g in groups.values() if len({i for i, *_ in g}) > 1 for k in g}
+    got = {(r["doc_id"], r["paragraph"], r["start"], r["n_words"]): (r["cluster_id"], r["removed"]) for r in substrings.repeated(docs).collect()}
     assert got == want and len({c for c, _ in want.values()}) > 3
     assert substrings.repeated(empty).collect() == []
 
 
+def test_passage_inside_lines(spark):
+    r = random.Random(9)
+    fresh = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passage = fresh(51)
+    rows = [(i, f"{fresh(20)}\n{fresh(3 * i)} {passage} {fresh(40)}\n{fresh(9)}") for i in range(1, 6)]
+    rows += [(6, passage), (7, fresh(300)), (8, f"{fresh(60)}\n{fresh(60)}"), (9, f"{passage.rsplit(' ', 30)[0]} {fresh(50)}")]
+    got = substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"] for x in got} == set(range(1, 7))
+    assert {x["doc_id"] for x in got if not x["removed"]} == {1} and {x["cluster_id"] for x in got} == {1}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_picked_windows(seed):
+    rng = np.random.default_rng(seed)
+    lens = rng.integers(0, 90, 12)
+    words = rng.integers(1, 2**60, lens.sum(), dtype=np.uint64)
+    cut = np.concatenate(([0], np.cumsum(lens)))
+    line, at, h = substrings.picked(words, cut, 20, 6)
+    for k, n in enumerate(lens):
+        mine = set(at[line == k].tolist())
+        assert all(mine & set(range(s, s + 6)) for s in range(max(0, n - 20 + 1 - 5)))
+        assert all(0 <= x <= n - 20 for x in mine)
+    again, at2, h2 = substrings.picked(words[cut[3] : cut[4]], np.array([0, lens[3]]), 20, 6)
+    assert dict(zip(at2.tolist(), h2.tolist(), strict=True)) == {a: b for k, a, b in zip(line.tolist(), at.tolist(), h.tolist(), strict=True) if k == 3}
+
+
 # --- 6 ----------------------------------------------------------------------------------------
 
 
