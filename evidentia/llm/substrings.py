@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, BLANKS, _powers, encode, hashed_words, mapped, maybe_in, mix, shingles, staged, text_groups
 from .graph import components
-from .near import K, links, signature
+from .near import K, links, shingle_sets, signature
 
 MIN_WORDS = 30
 RECALL = 0.9999
-WINDOW = 40
-EVERY = 10
+WINDOW = 30
+EVERY = 21
 _Q = 0xD6E8FEB86659FD93
 _QINV = pow(_Q, -1, 2**64)
 
@@ -48,13 +48,23 @@ def bands(similarity: float, recall: float = RECALL, k: int = K) -> tuple[int, i
     return best
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("start", pa.int32()), ("n_words", pa.int32()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.list_(pa.int32()))])
-_DDL = "doc_id long, th long, pos int, start int, n_words int, n long, node long, sig array<int>"
+_OUT = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("start", pa.int32()), ("n_words", pa.int32()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_DDL = "doc_id long, th long, pos int, start int, n_words int, node long, bands array<long>"
 
 
-def _row(doc_id, th, pos: int, start: int, words: np.ndarray, width: int) -> tuple:
+_STEPS = np.random.default_rng(11).integers(1, 2**63, K, dtype=np.uint64) | np.uint64(1)
+
+
+def band_keys(sig: np.ndarray, r: int, b: int) -> np.ndarray:
+    """One key for each band of ``r`` coordinates; the band's number is in its lowest six bits."""
+    parts = sig[: r * b].view(np.uint32).astype(np.uint64).reshape(b, r)
+    h = mix((parts * _STEPS[:r]).sum(axis=1, dtype=np.uint64) + np.uint64(1))
+    return ((h & ~np.uint64(63)) | np.arange(b, dtype=np.uint64)).view(np.int64)
+
+
+def _row(doc_id, th, pos: int, start: int, words: np.ndarray, width: int, rb: tuple[int, int]) -> tuple:
     s = np.unique(shingles(words, width))
-    return doc_id, th, pos, start, len(words), len(s), int(mix(s).sum().astype(np.int64)), signature(s)
+    return doc_id, th, pos, start, len(words), int(mix(s).sum().astype(np.int64)), band_keys(signature(s), *rb)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -76,7 +86,7 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("body"))
 
 
-def paragraphs(texts: DataFrame, width: int, min_words: int) -> DataFrame:
+def paragraphs(texts: DataFrame, width: int, min_words: int, rb: tuple[int, int]) -> DataFrame:
     """Rows of _DDL for each line of ``min_words`` words or more; ``node`` is a hash of its
     shingle set, ``th`` of the whole text."""
 
@@ -84,7 +94,7 @@ def paragraphs(texts: DataFrame, width: int, min_words: int) -> DataFrame:
         for batch in batches:
             ids, ths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for parts, words, cut in _lines(batch.column(2).to_pylist(), min_words):
-                rows = [_row(ids[i], ths[i], p, 0, words[cut[k] : cut[k + 1]], width) for k, (i, p) in enumerate(parts) if cut[k + 1] - cut[k] >= min_words]
+                rows = [_row(ids[i], ths[i], p, 0, words[cut[k] : cut[k + 1]], width, rb) for k, (i, p) in enumerate(parts) if cut[k + 1] - cut[k] >= min_words]
                 if rows:
                     yield _batch(rows)
 
@@ -144,7 +154,7 @@ def stretches(texts: DataFrame) -> DataFrame:
     return runs.groupBy("th").agg(F.collect_list(F.struct("pos", "start", "end")).alias("cuts"))
 
 
-def passages(texts: DataFrame, cuts: DataFrame, width: int) -> DataFrame:
+def passages(texts: DataFrame, cuts: DataFrame, width: int, rb: tuple[int, int]) -> DataFrame:
     """Rows of _DDL for the stretches of ``cuts``, in every document of their text."""
     held = maybe_in(texts, F.col("th"), cuts.select(F.col("th").alias("id"))).join(cuts.withColumnRenamed("th", "_t"), F.col("th") == F.col("_t"))
 
@@ -154,37 +164,50 @@ def passages(texts: DataFrame, cuts: DataFrame, width: int) -> DataFrame:
             for i, th, body, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lines = encode([body])[0].translate(ASCII_LOWER).split(b"\n")
                 words, cut = hashed_words([lines[c["pos"]] for c in found], BLANKS)
-                rows += [_row(i, th, c["pos"], c["start"], words[cut[k] + c["start"] : cut[k] + c["end"]], width) for k, c in enumerate(found) if not (c["start"] == 0 and c["end"] == cut[k + 1] - cut[k])]
+                rows += [_row(i, th, c["pos"], c["start"], words[cut[k] + c["start"] : cut[k] + c["end"]], width, rb) for k, c in enumerate(found) if not (c["start"] == 0 and c["end"] == cut[k + 1] - cut[k])]
             if rows:
                 yield _batch(rows)
 
     return mapped(held.select("doc_id", "th", "body", "cuts"), run, _DDL)
 
 
+def signed(texts: DataFrame, width: int) -> DataFrame:
+    """(node, n, sig) of rows (id, text)."""
+    out = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("sig", pa.list_(pa.int32()))])
+
+    def run(batches):
+        for batch in batches:
+            sets = list(shingle_sets(batch.column(1).to_pylist(), width))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x) for x in sets], pa.list_(pa.int32()))], schema=out)
+
+    return mapped(texts.select("id", "text"), run, "node long, n long, sig array<int>").dropDuplicates(["node"])
+
+
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.75, min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (doc_id, th, paragraph, start, n_words, cluster, cluster_id, n_docs, removed): the
     paragraphs whose component spans two documents or more.  ``paragraph`` is the line, ``start``
     the word in it; ``cluster`` is the component's least node, ``cluster_id`` the doc_id that
     keeps its paragraph."""
-    texts = _texts(docs, doc_id, text)
-    whole = paragraphs(texts, width, min_words)
-    seen = staged(whole.unionByName(passages(texts, staged(stretches(texts)), width)))
     r, b = bands(similarity)
-    band = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * r + 1, F.lit(r))))
-    held = seen.select(F.posexplode(band).alias("slot", "key"), "node", "n")
+    texts = _texts(docs, doc_id, text)
+    whole = paragraphs(texts, width, min_words, (r, b))
+    seen = staged(whole.unionByName(passages(texts, staged(stretches(texts)), width, (r, b))))
+    held = seen.select(F.explode("bands").alias("key"), "node")
     shared = held.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
-    post = held.join(shared, "key").select("key", "slot", "node", "n").distinct()
-    post = staged(post.withColumn("popular", F.count("*").over(W.partitionBy("node"))))
+    post = staged(held.join(shared, "key").distinct())
 
     # from here on only classes that share a band with another matter
     ids = post.select(F.col("node").alias("id")).distinct()
-    some = maybe_in(seen, F.col("node"), ids).join(ids, F.col("node") == F.col("id"), "left_semi")
-    classes = staged(some.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.min(F.struct("doc_id", "th", "pos", "start", "n_words")).alias("at")))
+    some = maybe_in(seen.drop("bands"), F.col("node"), ids).join(ids, F.col("node") == F.col("id"), "left_semi")
+    classes = staged(some.groupBy("node").agg(F.min(F.struct("doc_id", "th", "pos", "start", "n_words")).alias("at")))
     shown = classes.select(F.col("node").alias("id"), F.col("at.doc_id").alias("_d"), F.col("at.th").alias("_t"), F.col("at.pos").alias("pos"), F.col("at.start").alias("start"), F.col("at.n_words").alias("k"))
     held = maybe_in(texts, F.col("th"), shown.select(F.col("_t").alias("id"))).join(shown, (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
     words = F.array_remove(F.split(F.element_at(F.split("body", "\n", -1), F.col("pos") + 1), r"[\x20\x09-\x0D]+"), "")
     found = staged(held.select("id", F.array_join(F.slice(words, F.col("start") + 1, F.col("k")), " ").alias("text")))
 
+    classes = staged(signed(found, width))
+    post = post.join(classes.select("node", "n"), "node").withColumn("popular", F.count("*").over(W.partitionBy("node")))
+    post = post.select("key", F.col("key").bitwiseAND(63).cast("int").alias("slot"), "node", "n", "popular")
     label = components(links(post, classes.select("node", "n", "sig"), found, width, similarity, r), "u", "v")
     named = seen.select("doc_id", "th", "pos", "start", "n_words", "node").join(label, "node", "left")
     named = staged(named.withColumn("cluster", F.coalesce("component", "node")).drop("component", "node"))
