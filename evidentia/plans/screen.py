@@ -188,7 +188,7 @@ def redundancy_weights(spark, sf_dir):
 
 
 @query("""
-SELECT l_suppkey AS sample, threshold, count(*) FILTER (l_quantity >= threshold) AS n FROM lineitem, (SELECT unnest([1.0, 10.0, 20.0, 30.0, 40.0, 50.0]) AS threshold) GROUP BY ALL""")
+SELECT l_suppkey AS sample, threshold, count(*) FILTER (l_quantity >= threshold) AS n FROM lineitem, (SELECT unnest([1.0, 10.0, 20.0, 30.0, 40.0, 50.0]::DOUBLE[]) AS threshold) GROUP BY ALL""")
 def threshold_grid(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sample"), "l_quantity")
     return J.threshold_counts(rows, "l_quantity", F.array(*[F.lit(float(t)) for t in (1, 10, 20, 30, 40, 50)]), ["sample"])
