@@ -128,6 +128,10 @@ def picked(words: np.ndarray, cut: np.ndarray, window: int = WINDOW, every: int
     powers = _powers(_Q, n + 1)
     total = np.concatenate(([np.uint64(0)], np.cumsum(words * powers[:n], dtype=np.uint64)))
     h = mix((total[pick + window] - total[pick]) * _powers(_QINV, n + 1)[pick])
+    # a window that recurs in its line (stuttered words) counts once, at its first place
+    order = np.lexsort((pick, h, line[pick]))
+    same = np.concatenate(([False], (h[order][1:] == h[order][:-1]) & (line[pick][order][1:] == line[pick][order][:-1])))
+    pick, h = pick[np.sort(order[~same])], h[np.sort(order[~same])]
     return line[pick], pick - cut[line[pick]], h
 
 
@@ -146,7 +150,8 @@ def stretches(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ths[place[:, 0]]), pa.array(place[:, 1].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], schema=out)
 
     seen = staged(mapped(texts.select("th", "body"), run, "th long, pos int, start int, h long"))
-    shared = seen.groupBy("h").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo != hi").select("h")
+    # a table of its own: the join may then split a window that fills many tasks
+    shared = staged(seen.groupBy("h").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo != hi").select("h"))
     hit = seen.join(shared, "h").select("th", "pos", "start").distinct()
     by = W.partitionBy("th", "pos").orderBy("start")
     fresh = F.coalesce(F.col("start") > F.lag("start").over(by) + WINDOW, F.lit(True)).cast("int")
