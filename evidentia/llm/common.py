@@ -65,9 +65,16 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+BROADCAST_ROWS = 500_000
 FILTER_BITS = 2**25
 
 
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast once it is counted and found within ``limit`` rows; beyond it
+    the join that it is for shuffles."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def maybe_in(rows: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
     """The rows whose ``key`` is in ``ids`` (column ``id``), and few others: a filter before a
     shuffle.  What is broadcast is a bitmap of FILTER_BITS bits (4 MB), whatever ``ids`` is."""

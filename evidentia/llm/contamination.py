@@ -29,18 +29,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, maybe_in, staged
+from .common import small as _small
 
 WIDTH = 13
 BROADCAST_ROWS = 500_000
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def words(text: Column) -> Column:
-    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAK), "")
+def small(df: DataFrame) -> DataFrame:
+    return _small(df, BROADCAST_ROWS)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= limit else df
+def words(text: Column) -> Column:
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAK), "")
 
 
 def _numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, BLANKS, encode, hashed_words, mapped, maybe_in, mix, shingles, staged, text_groups
+from .common import ASCII_LOWER, BLANKS, encode, hashed_words, mapped, maybe_in, mix, shingles, small, staged, text_groups
 from .graph import components
 
 K = 64
@@ -41,6 +41,7 @@ MISS = 1e-6
 SHORT = 40
 BLOCK_ROWS = 768
 BLOCK_ITEMS = 500_000
+PAIRS_PER_COPY = 256
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, K, dtype=np.uint64) | np.uint64(1)
@@ -126,7 +127,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, similarity: float)
     percent = round(100 * similarity)
     ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id")))
     known = maybe_in(docs, F.col("id"), ids)
-    both = pairs.join(known.select(F.col("id").alias("v"), F.col("text").alias("b")), "v").join(known.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
+    # a hub of very many pairs is dealt over tasks, each with a copy of its text
+    heavy = pairs.groupBy("u").agg(F.ceil(F.count("*") / PAIRS_PER_COPY).cast("int").alias("copies")).where("copies > 1").withColumnRenamed("u", "_u")
+    heavy = small(staged(heavy))
+    dealt = pairs.join(heavy, F.col("u") == F.col("_u"), "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("copies", F.lit(1))).cast("int").alias("copy"))
+    copied = known.join(heavy, F.col("id") == F.col("_u"), "left")
+    copied = copied.select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"), F.col("text").alias("a"))
+    both = dealt.join(known.select(F.col("id").alias("v"), F.col("text").alias("b")), "v").join(copied, ["u", "copy"])
     out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):

@@ -131,6 +131,7 @@ def brute_components(rows):
 @pytest.mark.parametrize("short", [40, 2])
 def test_near_duplicates(docs, rows, empty, short, monkeypatch):
     monkeypatch.setattr(near, "SHORT", short)
+    monkeypatch.setattr(near, "PAIRS_PER_COPY", 2)
     got = near.near_duplicates(docs).collect()
     want = brute_components(rows)
     assert len(got) == len(rows)
@@ -446,7 +447,6 @@ def brute_hits(rows, items, width):
 @pytest.mark.parametrize("limit", [500_000, 0])
 def test_contamination(spark, docs, rows, empty, limit, monkeypatch):
     monkeypatch.setattr(contamination, "BROADCAST_ROWS", limit)
-    monkeypatch.setattr(contamination.small, "__defaults__", (limit,))
     long = words_of(rows[2][1])
     items = [(1, " ".join(long[3:30]).upper().replace("É", "é")), (2, "One two"), (10, "the the the the"), (3, None), (4, ""), (5, " ".join(long[10:14]) + " nowhere found " * 9), (6, " ".join(words_of(rows[6][1])[:13])), (7, rows[9][1])]
     extra = [(900 + k, "x the the the the the y"[: 5 + 6 * k], "en", "s", 1, "", "", "") for k in range(4)]
