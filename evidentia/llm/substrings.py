@@ -1,9 +1,14 @@
 """Paragraph-level substring dedup: MinHash banding, exact confirmation, components.
 
-Paragraphs are lines of ``min_words`` words or more, and stretches inside lines that other
-texts share: windows of WINDOW words, picked by their own content so that of EVERY in a row
-one at least is, are counted by hash, and runs of shared ones are cut out of their lines.  A
-passage of WINDOW + EVERY words or more is thus a paragraph wherever it stands.
+Paragraphs are lines of ``min_words`` words or more, and stretches that other texts share,
+whatever line breaks are in them.  Windows of WINDOW words, picked by their own content so that
+of EVERY in a row one at least is (seeds), are counted by hash.  Around seeds that two texts
+hold all windows are counted; runs of shared ones are stretches, cut where the places that share
+them change, so that each stretch stands as a whole in all its places (neighbours overlap by
+WINDOW - 1 words).  A passage of WINDOW + EVERY - 1 words or more that two texts share word by
+word is thus covered by stretches to its ends, at every place; one with an edit in every 50
+words is found only where it fills lines.  A text of short lines that two documents have is a
+stretch as a whole.
 
 Equal shingle sets are one class; each
 class is posted under its bands (``bands`` picks rows and bands for the wanted recall at the
@@ -48,8 +53,8 @@ def bands(similarity: float, recall: float = RECALL, k: int = K) -> tuple[int, i
     return best
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("start", pa.int32()), ("n_words", pa.int32()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
-_DDL = "doc_id long, th long, pos int, start int, n_words int, node long, bands array<long>"
+_OUT = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("start", pa.int32()), ("n_words", pa.int32()), ("lines", pa.int32()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_DDL = "doc_id long, th long, pos int, start int, n_words int, lines int, node long, bands array<long>"
 
 
 _STEPS = np.random.default_rng(11).integers(1, 2**63, K, dtype=np.uint64) | np.uint64(1)
@@ -62,9 +67,9 @@ def band_keys(sig: np.ndarray, r: int, b: int) -> np.ndarray:
     return ((h & ~np.uint64(63)) | np.arange(b, dtype=np.uint64)).view(np.int64)
 
 
-def _row(doc_id, th, pos: int, start: int, words: np.ndarray, width: int, rb: tuple[int, int]) -> tuple:
+def _row(doc_id, th, pos: int, start: int, words: np.ndarray, width: int, rb: tuple[int, int], lines: int = 1, sign: bool = True) -> tuple:
     s = np.unique(shingles(words, width))
-    return doc_id, th, pos, start, len(words), int(mix(s).sum().astype(np.int64)), band_keys(signature(s), *rb)
+    return doc_id, th, pos, start, len(words), lines, int(mix(s).sum().astype(np.int64)), band_keys(signature(s), *rb) if sign else np.empty(0, np.int64)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -111,9 +116,18 @@ def _slide(x: np.ndarray, n: int, least: bool) -> np.ndarray:
     return x
 
 
+def _sums(words: np.ndarray) -> np.ndarray:
+    return np.concatenate(([np.uint64(0)], np.cumsum(words * _powers(_Q, len(words) + 1)[: len(words)], dtype=np.uint64)))
+
+
+def _hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words from ``start`` to ``end``, wherever they stand."""
+    return mix((total[end] - total[start]) * _powers(_QINV, len(total))[start])
+
+
 def picked(words: np.ndarray, cut: np.ndarray, window: int = WINDOW, every: int = EVERY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, offset, hash) of windows of ``window`` words inside lines, one at least among any
-    ``every`` consecutive ones; which ones depends on their own words only."""
+    """(part, offset, hash) of windows of ``window`` words inside the parts that ``cut`` bounds, one
+    at least among any ``every`` consecutive ones; which ones depends on their own words only."""
     n = len(words)
     if n < window:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
@@ -125,55 +139,199 @@ def picked(words: np.ndarray, cut: np.ndarray, window: int = WINDOW, every: int
     edge = np.full(every - 1, top)
     least = _slide(np.concatenate([edge, key, edge]), every, True)  # windows that end at and after each start
     pick = starts[inside & (_slide(least, every, False) == key)]
-    powers = _powers(_Q, n + 1)
-    total = np.concatenate(([np.uint64(0)], np.cumsum(words * powers[:n], dtype=np.uint64)))
-    h = mix((total[pick + window] - total[pick]) * _powers(_QINV, n + 1)[pick])
-    # a window that recurs in its line (stuttered words) counts once, at its first place
-    order = np.lexsort((pick, h, line[pick]))
-    same = np.concatenate(([False], (h[order][1:] == h[order][:-1]) & (line[pick][order][1:] == line[pick][order][:-1])))
-    pick, h = pick[np.sort(order[~same])], h[np.sort(order[~same])]
+    h = _hash(_sums(words), pick, pick + window)
     return line[pick], pick - cut[line[pick]], h
 
 
+_POST = pa.schema([("th", pa.int64()), ("h", pa.int64()), ("left", pa.int32()), ("right", pa.int32())])
+_POST_DDL = "th long, h long, left int, right int"
+_NONE = 0
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    """32 bits of a hash, other than _NONE."""
+    x = (h >> np.uint64(32)).astype(np.uint32)
+    return np.maximum(x, np.uint32(1)).view(np.int32)
+
+
+def _posts(th: int, h: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    """Rows of _POST of one text, equal ones once."""
+    sides = (left.view(np.uint32).astype(np.uint64) << np.uint64(32)) | right.view(np.uint32)
+    h, left, right = (x[np.unique(np.stack([h, sides]), axis=1, return_index=True)[1]] if len(h) != len(np.unique(h)) else x for x in (h, left, right))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), th, np.int64)), pa.array(h.view(np.int64)), pa.array(left), pa.array(right)], schema=_POST)
+
+
+def _hashed(bodies: list):
+    """(index, word hashes) of each text."""
+    raw = [x.translate(ASCII_LOWER) for x in encode(bodies)]
+    for a, b in text_groups([len(x) for x in raw]):
+        words, cut = hashed_words(raw[a:b], BLANKS)
+        for i in range(b - a):
+            yield a + i, words[cut[i] : cut[i + 1]]
+
+
+def _seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    _, at, h = picked(words, np.array([0, len(words)]))
+    return at, h
+
+
+def _marks(posts: DataFrame) -> DataFrame:
+    """Rows (th, marks) of windows that two texts or more hold; a mark is the window's hash, with
+    its lowest bits telling whether one and the same neighbour stands at its left (2) and at its
+    right (1) in all its places, and whether this text is the least that holds it (4)."""
+    one = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != _NONE)
+    found = posts.groupBy("h").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), one("left").alias("l"), one("right").alias("r")).where("lo != hi")
+    # a table of its own: the join may then split a window that fills many tasks
+    shared = staged(found.select("h", "lo", F.expr("(h & -8L) | if(l, 2L, 0L) | if(r, 1L, 0L)").alias("mark")))
+    return posts.select("th", "h").distinct().join(shared, "h").groupBy("th").agg(F.collect_list(F.expr("mark | if(th = lo, 4L, 0L)")).alias("marks"))
+
+
+def _looked_up(h: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(shared, same at the left, same at the right, least text) of windows."""
+    if not len(marks) or not len(h):
+        return (np.zeros(len(h), bool),) * 4
+    marks = np.sort(marks.view(np.uint64))
+    key = h & ~np.uint64(7)
+    mark = marks[np.minimum(np.searchsorted(marks, key), len(marks) - 1)]
+    known = (mark & ~np.uint64(7)) == key
+    return known, *(known & (mark & np.uint64(bit) > 0) for bit in (2, 1, 4))
+
+
+def _around(words: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The starts of all windows within EVERY - 1 of a shared seed, in order."""
+    at, h = _seeds(words)
+    at, last = at[_looked_up(h, marks)[0]], len(words) - WINDOW
+    wanted = np.zeros(last + 2, np.int32)  # how many ranges hold a start, by differences
+    np.add.at(wanted, np.maximum(at - EVERY + 1, 0), 1)
+    np.add.at(wanted, np.minimum(at + EVERY - 1, last) + 1, -1)
+    return np.flatnonzero(np.cumsum(wanted)[: last + 1] > 0)
+
+
+def _periodic(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether windows repeat themselves with a period of half a window or less."""
+    out = np.zeros(len(starts), bool)
+    for p in range(1, WINDOW // 2 + 1):
+        same = np.concatenate(([0], np.cumsum(words[:-p] == words[p:])))
+        out |= same[starts + WINDOW - p] - same[starts] == WINDOW - p
+    return out
+
+
+def _seed_posts(texts: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            ths = batch.column(0).to_pylist()
+            for i, words in _hashed(batch.column(1).to_pylist()):
+                at, h = _seeds(words)
+                if len(at):
+                    none = np.full(len(at), _NONE, np.int32)
+                    yield _posts(ths[i], h, none, none)
+
+    return mapped(texts.select("th", "body"), run, _POST_DDL)
+
+
+def _with(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    held = maybe_in(texts, F.col("th"), marks.select(F.col("th").alias("id")))
+    return held.join(marks.withColumnRenamed("th", "_t"), F.col("th") == F.col("_t")).drop("_t")
+
+
+def _window_posts(marked: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            ths, marks = batch.column(0).to_pylist(), batch.column(2)
+            for i, words in _hashed(batch.column(1).to_pylist()):
+                if len(words) < WINDOW:
+                    continue
+                starts = _around(words, marks[i].values.to_numpy(zero_copy_only=False))
+                if not len(starts):
+                    continue
+                h = _hash(_sums(words), starts, starts + WINDOW)
+                none, next_ = np.full(1, _NONE, np.int32), np.diff(starts) == 1
+                left = np.concatenate((none, np.where(next_, _short(h[:-1]), _NONE).astype(np.int32)))
+                right = np.concatenate((np.where(next_, _short(h[1:]), _NONE).astype(np.int32), none))
+                yield _posts(ths[i], h, left, right)
+
+    return mapped(marked.select("th", "body", "marks"), run, _POST_DDL)
+
+
+def _runs(words: np.ndarray, marks: np.ndarray, windows: np.ndarray) -> list[tuple[int, int, bool]]:
+    """(start, end, whether this text signs it) in words of the stretches of a text that all their places share as a whole:
+    runs of shared windows, cut where the places that share them change.  Windows that repeat
+    themselves (stuttered words) are one stretch however often they do.  Equal stretches are signed
+    in the least of their texts only."""
+    if len(words) < WINDOW:
+        return []
+    starts = _around(words, marks)
+    known, left, right, least = _looked_up(_hash(_sums(words), starts, starts + WINDOW), windows)
+    loop = _periodic(words, starts)
+    one = (np.diff(starts) == 1) & known[:-1] & known[1:]
+    one &= np.where(loop[:-1] | loop[1:], loop[:-1] & loop[1:], right[:-1] & left[1:])
+    first = known & ~np.concatenate((np.zeros(1, bool), one))[: len(known)]
+    end = known & ~np.concatenate((one, np.zeros(1, bool)))[: len(known)]
+    return list(zip(starts[first].tolist(), (starts[end] + WINDOW).tolist(), (least | loop)[first].tolist(), strict=True))
+
+
+def marked(texts: DataFrame) -> DataFrame:
+    """Rows (th, marks, windows, whole) of texts that share windows with another (see _marks: of
+    seeds, and of all windows around them) or that stand in two documents (``whole``)."""
+    seeds = staged(_marks(staged(_seed_posts(texts))))
+    windows = _marks(staged(_window_posts(_with(texts, seeds)))).withColumnRenamed("marks", "windows")
+    place = F.struct("doc_id")
+    copies = texts.groupBy("th").agg((~F.min(place).eqNullSafe(F.max(place))).alias("whole")).where("whole")
+    out = seeds.join(windows, "th", "left").join(copies, "th", "full")
+    empty = F.array().cast("array<long>")
+    return out.select("th", F.coalesce("marks", empty).alias("marks"), F.coalesce("windows", empty).alias("windows"), F.coalesce("whole", F.lit(False)).alias("whole"))
+
+
+def _cuts(body: str, marks: np.ndarray, windows: np.ndarray, whole: bool) -> tuple[np.ndarray, list[tuple]]:
+    """(words, [(line, start in it, lines, start in the text, end in the text, whether to sign)])"""
+    lines = encode([body])[0].translate(ASCII_LOWER).split(b"\n")
+    words, cut = hashed_words(lines, BLANKS)
+    found = _runs(words, marks, windows)
+    size = np.diff(cut)
+    if whole and len(words) >= WINDOW and ((size > 0) & (size < MIN_WORDS)).any():
+        found = [x for x in found if x[:2] != (0, len(words))] + [(0, len(words), True)]
+    out = []
+    for a, b, sign in found:
+        i, j = (int(x) - 1 for x in np.searchsorted(cut, [a, b - 1], "right"))
+        if b - a != size[i] or a != cut[i]:  # else a line, which is a paragraph anyway
+            out.append((i, a - int(cut[i]), j - i + 1, a, b, sign))
+    return words, out
+
+
+def _each(batch):
+    """(position, body, marks, windows, whole) of the rows of a batch."""
+    names = batch.schema.names
+    marks, windows = (batch.column(names.index(c)) for c in ("marks", "windows"))
+    for k, (body, whole) in enumerate(zip(batch.column(names.index("body")).to_pylist(), batch.column(names.index("whole")).to_pylist(), strict=True)):
+        yield k, body, *(c[k].values.to_numpy(zero_copy_only=False) for c in (marks, windows)), whole
+
+
 def stretches(texts: DataFrame) -> DataFrame:
-    """Rows (th, cuts): stretches (pos, start, end in words) of lines that other texts share word
-    by word.  Windows are compared by hash; runs of shared ones that touch are one stretch, so
-    a passage is cut out at the same words wherever it stands."""
-    out = pa.schema([("th", pa.int64()), ("pos", pa.int32()), ("start", pa.int32()), ("h", pa.int64())])
+    """Rows (th, cuts): stretches (pos, start, end in words, from the start of line ``pos``) that
+    stand word by word in other texts, or in this one's copies."""
+    one = pa.list_(pa.struct([("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         for batch in batches:
-            ths = np.array(batch.column(0).to_pylist(), np.int64)
-            for parts, words, cut in _lines(batch.column(1).to_pylist(), WINDOW):
-                line, at, h = picked(words, cut)
-                place = np.array(parts, np.int64).reshape(-1, 2)[line]
-                yield pa.RecordBatch.from_arrays([pa.array(ths[place[:, 0]]), pa.array(place[:, 1].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], schema=out)
+            cuts = [[{"pos": i, "start": s, "end": s + b - a} for i, s, _, a, b, _ in _cuts(*row)[1]] for _, *row in _each(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cuts, one)], names=["th", "cuts"])
 
-    seen = staged(mapped(texts.select("th", "body"), run, "th long, pos int, start int, h long"))
-    # a table of its own: the join may then split a window that fills many tasks
-    shared = staged(seen.groupBy("h").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo != hi").select("h"))
-    hit = seen.join(shared, "h").select("th", "pos", "start").distinct()
-    by = W.partitionBy("th", "pos").orderBy("start")
-    fresh = F.coalesce(F.col("start") > F.lag("start").over(by) + WINDOW, F.lit(True)).cast("int")
-    runs = hit.withColumn("_f", fresh).withColumn("_run", F.sum("_f").over(by)).groupBy("th", "pos", "_run").agg(F.min("start").alias("start"), (F.max("start") + WINDOW).alias("end"))
-    return runs.groupBy("th").agg(F.collect_list(F.struct("pos", "start", "end")).alias("cuts"))
+    return mapped(_with(texts, staged(marked(texts))).select("th", "body", "marks", "windows", "whole"), run, "th long, cuts array<struct<pos:int,start:int,end:int>>").dropDuplicates(["th"])
 
 
-def passages(texts: DataFrame, cuts: DataFrame, width: int, rb: tuple[int, int]) -> DataFrame:
-    """Rows of _DDL for the stretches of ``cuts``, in every document of their text."""
-    held = maybe_in(texts, F.col("th"), cuts.select(F.col("th").alias("id"))).join(cuts.withColumnRenamed("th", "_t"), F.col("th") == F.col("_t"))
+def passages(texts: DataFrame, marks: DataFrame, width: int, rb: tuple[int, int]) -> DataFrame:
+    """Rows of _DDL for the stretches of texts, in every document of their text."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for i, th, body, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lines = encode([body])[0].translate(ASCII_LOWER).split(b"\n")
-                words, cut = hashed_words([lines[c["pos"]] for c in found], BLANKS)
-                rows += [_row(i, th, c["pos"], c["start"], words[cut[k] + c["start"] : cut[k] + c["end"]], width, rb) for k, c in enumerate(found) if not (c["start"] == 0 and c["end"] == cut[k + 1] - cut[k])]
+            ids, ths, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for k, *row in _each(batch):
+                words, found = _cuts(*row)
+                rows += [_row(ids[k], ths[k], i, s, words[a:b], width, rb, n, sign) for i, s, n, a, b, sign in found]
             if rows:
                 yield _batch(rows)
 
-    return mapped(held.select("doc_id", "th", "body", "cuts"), run, _DDL)
+    return mapped(_with(texts, marks).select("doc_id", "th", "body", "marks", "windows", "whole"), run, _DDL)
 
 
 def signed(texts: DataFrame, width: int) -> DataFrame:
@@ -196,7 +354,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     r, b = bands(similarity)
     texts = _texts(docs, doc_id, text)
     whole = paragraphs(texts, width, min_words, (r, b))
-    seen = staged(whole.unionByName(passages(texts, staged(stretches(texts)), width, (r, b))))
+    seen = staged(whole.unionByName(passages(texts, staged(marked(texts)), width, (r, b))))
     held = seen.select(F.explode("bands").alias("key"), "node")
     shared = held.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
     post = staged(held.join(shared, "key").distinct())
@@ -204,10 +362,11 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     # from here on only classes that share a band with another matter
     ids = post.select(F.col("node").alias("id")).distinct()
     some = maybe_in(seen.drop("bands"), F.col("node"), ids).join(ids, F.col("node") == F.col("id"), "left_semi")
-    classes = staged(some.groupBy("node").agg(F.min(F.struct("doc_id", "th", "pos", "start", "n_words")).alias("at")))
-    shown = classes.select(F.col("node").alias("id"), F.col("at.doc_id").alias("_d"), F.col("at.th").alias("_t"), F.col("at.pos").alias("pos"), F.col("at.start").alias("start"), F.col("at.n_words").alias("k"))
+    classes = staged(some.groupBy("node").agg(F.min(F.struct("doc_id", "th", "pos", "start", "n_words", "lines")).alias("at")))
+    shown = classes.select(F.col("node").alias("id"), F.col("at.doc_id").alias("_d"), F.col("at.th").alias("_t"), F.col("at.pos").alias("pos"), F.col("at.start").alias("start"), F.col("at.n_words").alias("k"), F.col("at.lines").alias("lines"))
     held = maybe_in(texts, F.col("th"), shown.select(F.col("_t").alias("id"))).join(shown, (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    words = F.array_remove(F.split(F.element_at(F.split("body", "\n", -1), F.col("pos") + 1), r"[\x20\x09-\x0D]+"), "")
+    part = F.array_join(F.slice(F.split("body", "\n", -1), F.col("pos") + 1, F.col("lines")), " ")
+    words = F.array_remove(F.split(part, r"[\x20\x09-\x0D]+"), "")
     found = staged(held.select("id", F.array_join(F.slice(words, F.col("start") + 1, F.col("k")), " ").alias("text")))
 
     classes = staged(signed(found, width))

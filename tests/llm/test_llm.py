@@ -294,6 +294,30 @@ def test_passage_inside_lines(spark):
     assert {x["doc_id"] for x in got if not x["removed"]} == {1} and {x["cluster_id"] for x in got} == {1}
 
 
+def covered(spark, rows):
+    """{doc_id: words of the text that the rows found cover}"""
+    held = collections.defaultdict(set)
+    text = {i: t.split("\n") for i, t in rows}
+    for x in substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        first = sum(len(words_of(t)) for t in text[x["doc_id"]][: x["paragraph"]]) + x["start"]
+        held[x["doc_id"]] |= set(range(first, first + x["n_words"]))
+    return held
+
+
+def fresh_words(seed):
+    r = random.Random(seed)
+    return lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+
+
+def test_passage_over_line_breaks(spark):
+    fresh = fresh_words(21)
+    a, b, verse = fresh(29), fresh(29), "\n".join(fresh(6) for _ in range(12))
+    rows = [(1, f"{fresh(40)} {a}\n{b}\n{fresh(12)}"), (2, f"{fresh(7)}\n{a} {b} {fresh(60)}"), (3, f"{a}\n\n{b}")]
+    rows += [(4, verse), (5, verse), (6, "\n".join(fresh(8) for _ in range(20)))]
+    got = covered(spark, rows)
+    assert got == {1: set(range(40, 98)), 2: set(range(7, 65)), 3: set(range(58)), 4: set(range(72)), 5: set(range(72))}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_picked_windows(seed):
     rng = np.random.default_rng(seed)
