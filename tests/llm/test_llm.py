@@ -318,6 +318,15 @@ def test_passage_over_line_breaks(spark):
     assert got == {1: set(range(40, 98)), 2: set(range(7, 65)), 3: set(range(58)), 4: set(range(72)), 5: set(range(72))}
 
 
+def test_passage_inside_a_longer_shared_span(spark):
+    fresh = fresh_words(22)
+    p, before, after, q = fresh(60), fresh(150), fresh(150), fresh(55)
+    span = f"{before} {p} {after}"
+    rows = [(1, f"{fresh(30)} {span} {fresh(30)}"), (2, f"{fresh(20)} {span} {fresh(90)}"), (3, f"{fresh(80)} {p} {fresh(80)}"), (4, f"{fresh(70)} {p} {q} {fresh(70)}"), (5, f"{fresh(90)} {q} {fresh(90)}")]
+    got = covered(spark, rows)
+    assert got == {1: set(range(30, 390)), 2: set(range(20, 380)), 3: set(range(80, 140)), 4: set(range(70, 185)), 5: set(range(90, 145))}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_picked_windows(seed):
     rng = np.random.default_rng(seed)
