@@ -327,6 +327,14 @@ def test_passage_inside_a_longer_shared_span(spark):
     assert got == {1: set(range(30, 390)), 2: set(range(20, 380)), 3: set(range(80, 140)), 4: set(range(70, 185)), 5: set(range(90, 145))}
 
 
+@pytest.mark.parametrize("n", [50, 51, 63, 70])
+def test_passage_to_its_ends(spark, n):
+    fresh = fresh_words(n)
+    p = fresh(n)
+    got = covered(spark, [(i, f"{fresh(100)} {p} {fresh(100)}") for i in range(4)])
+    assert got == {i: set(range(100, 100 + n)) for i in range(4)}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_picked_windows(seed):
     rng = np.random.default_rng(seed)
