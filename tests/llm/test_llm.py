@@ -335,6 +335,14 @@ def test_passage_to_its_ends(spark, n):
     assert got == {i: set(range(100, 100 + n)) for i in range(4)}
 
 
+def test_passage_at_all_its_places(spark):
+    fresh = fresh_words(23)
+    p, stutter = fresh(55), " ".join(["na"] * 200)
+    rows = [(1, f"{p} {fresh(100)} {p} {fresh(100)} {p}"), (2, f"{fresh(90)} {p}"), (3, f"{fresh(40)} {stutter}"), (4, f"{stutter} {stutter} {fresh(120)}")]
+    got = covered(spark, rows)
+    assert got == {1: set(range(55)) | set(range(155, 210)) | set(range(310, 365)), 2: set(range(90, 145)), 3: set(range(40, 240)), 4: set(range(400))}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_picked_windows(seed):
     rng = np.random.default_rng(seed)
