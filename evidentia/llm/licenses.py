@@ -2,8 +2,8 @@
 
 A text is lower-cased (A-Z), its words joined by single spaces; an automaton of notice
 phrases and identifier tags, each with a space on both sides, finds every place where they
-stand as whole words.  ``SPDX-License-Identifier:`` lines of the raw text are parsed by a
-shunting-yard parser with ``with`` over ``and`` over ``or`` and brackets; the labels of an
+stand as whole words.  What follows ``SPDX-License-Identifier:`` in its line of the
+raw text, however long, is parsed by a shunting-yard parser with ``with`` over ``and`` over ``or`` and brackets; the labels of an
 expression are its identifiers, and its score tells whether the permissive branch of each
 ``or`` suffices.
 
@@ -55,14 +55,16 @@ OWN = {
 }
 PERMISSIVE = {"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "0bsd", "unlicense", "cc0-1.0", "zlib"}
 SEPARATE = ASCII_LOWER.translate(bytes(32 if x < 0x30 or 0x3A <= x <= 0x40 or 0x5B <= x <= 0x60 or 0x7B <= x <= 0x7F else x for x in range(256)))
-TAG = re.compile(r"SPDX-License-Identifier:[ \t]*([^\n\r]{1,400})", re.I)
+TAG = re.compile(r"SPDX-License-Identifier:", re.I)
+LINE_END = re.compile(r"[\n\r]|\Z")
 TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*)")
 RANK = {"or": 1, "and": 2, "with": 3}
 
 
-def parse_expression(text: str):
+def parse_expression(text: str, at: int = 0, end: int | None = None):
     """Nested tuples (operator, left, right) or an identifier; None where it doesn't parse.
-    Reading stops at the first character that can't belong to an expression."""
+    Reading goes from ``at`` to ``end`` and stops at the first character that can't belong to an
+    expression."""
     values: list = []
     stack: list[str] = []
 
@@ -73,8 +75,8 @@ def parse_expression(text: str):
         values.append((stack.pop(), left, right))
         return True
 
-    at, value_next = 0, True
-    while m := TOKEN.match(text, at):
+    value_next, end = True, len(text) if end is None else end
+    while m := TOKEN.match(text, at, end):
         token, low = m[1], m[1].lower()
         if token == "(":
             if not value_next:
@@ -112,20 +114,31 @@ def parse_expression(text: str):
 
 
 def identifiers(tree) -> list[str]:
-    if isinstance(tree, str):
-        return [tree]
-    op, left, right = tree
-    return identifiers(left) + ([] if op == "with" else identifiers(right))
+    out, todo = [], [tree]
+    while todo:  # no recursion: a list of thousands is a tree as deep
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            op, left, right = x
+            todo += [left] if op == "with" else [right, left]
+    return out
 
 
 def permissive(tree) -> bool:
     """Whether the expression can be met by permissive licences alone."""
-    if isinstance(tree, str):
-        return tree in PERMISSIVE
-    op, left, right = tree
-    if op == "or":
-        return permissive(left) or permissive(right)
-    return permissive(left) and (op == "with" or permissive(right))
+    values, todo = [], [tree]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            values.append(x in PERMISSIVE)
+        elif len(x) == 1:
+            right, left = values.pop(), values.pop()
+            values.append(left or right if x[0] == "or" else left and right)
+        else:
+            op, left, right = x
+            todo += [left] if op == "with" else [(op,), right, left]
+    return values[0]
 
 
 @lru_cache
@@ -155,8 +168,11 @@ def scan(text: str | None) -> tuple:
         labels.add(BASE.get(phrase) or OWN[phrase])
     free = None
     if flat and " spdx license identifier " in flat:
+        end = -1
         for m in TAG.finditer(text):
-            if (tree := parse_expression(m[1])) is not None:
+            if end < m.end():
+                end = LINE_END.search(text, m.end()).start()
+            if (tree := parse_expression(text, m.end(), end)) is not None:
                 labels.update(f"spdx:{x}" for x in identifiers(tree))
                 free = permissive(tree) if free is None else free and permissive(tree)
     score = 1.0 if free is not None or len(base) > 1 else 0.75 if base else 0.5 if labels else 0.0

@@ -390,6 +390,17 @@ def test_licence_scan(docs, rows, empty):
     assert got.count() == len(rows) and licenses.scanned(empty).collect() == []
 
 
+def test_long_licence_expression():
+    ids = [f"l-{i}" for i in range(3000)]
+    many = " AND ".join(ids)
+    labels = {f"spdx:{x}" for x in ids}
+    for text, free in [(f"SPDX-License-Identifier: {many}\nAND x-1", False), (f"SPDX-License-Identifier: (({many}) OR MIT) SPDX-License-Identifier: ISC", True)]:
+        *_, got, score, permissive = licenses.scan(text)
+        assert set(got.split(",")) - {"spdx:mit", "spdx:isc"} == labels and score == 1.0 and permissive is free
+    assert "spdx:isc" in got.split(",")
+    assert licenses.scan("SPDX-License-Identifier:\nMIT")[5] == ""
+
+
 # --- 7 and 9 ----------------------------------------------------------------------------------
 
 tokenizers = pytest.importorskip("tokenizers")
