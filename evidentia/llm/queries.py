@@ -36,7 +36,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.repeated(table(spark, sf_dir, "documents"), width=5, similarity=0.75)
-    return out.select("doc_id", "paragraph", "start", "n_words", "cluster_id", "n_docs", "removed")
+    return out.select("doc_id", "start", "n_words", "cluster_id", "n_docs", "removed")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

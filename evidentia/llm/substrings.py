@@ -1,21 +1,23 @@
 """Paragraph-level substring dedup: MinHash banding, exact confirmation, components.
 
-Paragraphs are lines of ``min_words`` words or more, and stretches that other texts share,
-whatever line breaks are in them.  Windows of WINDOW words, picked by their own content so that
-of EVERY in a row one at least is (seeds), are counted by hash.  Around seeds that two texts
-hold all windows are counted; runs of shared ones are stretches, cut where the places that share
-them change, so that each stretch stands as a whole in all its places (neighbours overlap by
-WINDOW - 1 words).  A passage of WINDOW + EVERY - 1 words or more that two texts share word by
-word is thus covered by stretches to its ends, at every place; one with an edit in every 50
-words is found only where it fills lines.  A text of short lines that two documents have is a
-stretch as a whole.
-
-Equal shingle sets are one class; each
-class is posted under its bands (``bands`` picks rows and bands for the wanted recall at the
-similarity threshold).  Colliding classes are paired through hubs first and exhaustively
-across components after that (see ``near.links``), confirmed by exact Jaccard on their full
-shingle sets, and joined to components.  In a component that spans two documents or more the
-first paragraph (least document, then position) stays and the others are removals.
+Paragraphs of a text are
+
+- lines of ``min_words`` words or more, and blocks (lines up to the next blank one) of as many;
+- stretches: runs of words that stand word for word in another text too, wherever line breaks
+  fall in either (see ``stretches``); each stretch stands as a whole in the text it is credited
+  to, its source, and is a paragraph there also;
+- the whole text, where two documents or more have it.
+
+Equal shingle sets are one class.  Each class is posted under its bands (``bands`` picks rows
+and bands for the wanted recall at the similarity threshold).  Colliding classes are paired
+through hubs first and exhaustively across components after that (see ``near.links``), confirmed
+by exact Jaccard on their full shingle sets, and joined to components.  In a component that
+spans two documents or more the least document keeps its paragraphs, once each; the others
+are removals.
+
+What is found: every passage of ``min_words`` words or more that two texts share word for word,
+to its ends and at all its places; passages with edits only where they are lines or blocks
+of that length with a Jaccard similarity of ``similarity`` or more.
 
 Defined cases: null or empty text has no paragraphs; a document that repeats its own
 paragraph, alone in that, is not reported; rows that repeat (doc_id and text) are one
@@ -25,20 +27,21 @@ columns are ignored.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, BLANKS, _powers, encode, hashed_words, mapped, maybe_in, mix, shingles, staged, text_groups
 from .graph import components
-from .near import K, links, shingle_sets, signature
+from .near import _A, _B, K, links, shingle_sets, signature
 
-MIN_WORDS = 30
+MIN_WORDS = 50
 RECALL = 0.9999
-WINDOW = 30
-EVERY = 21
+SEED = 30
 _Q = 0xD6E8FEB86659FD93
 _QINV = pow(_Q, -1, 2**64)
 
@@ -53,57 +56,39 @@ def bands(similarity: float, recall: float = RECALL, k: int = K) -> tuple[int, i
     return best
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("start", pa.int32()), ("n_words", pa.int32()), ("lines", pa.int32()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
-_DDL = "doc_id long, th long, pos int, start int, n_words int, lines int, node long, bands array<long>"
-
+# --- kernels on arrays of word hashes ------------------------------------------------------------
 
 _STEPS = np.random.default_rng(11).integers(1, 2**63, K, dtype=np.uint64) | np.uint64(1)
-
-
-def band_keys(sig: np.ndarray, r: int, b: int) -> np.ndarray:
-    """One key for each band of ``r`` coordinates; the band's number is in its lowest six bits."""
-    parts = sig[: r * b].view(np.uint32).astype(np.uint64).reshape(b, r)
-    h = mix((parts * _STEPS[:r]).sum(axis=1, dtype=np.uint64) + np.uint64(1))
-    return ((h & ~np.uint64(63)) | np.arange(b, dtype=np.uint64)).view(np.int64)
-
-
-def _row(doc_id, th, pos: int, start: int, words: np.ndarray, width: int, rb: tuple[int, int], lines: int = 1, sign: bool = True) -> tuple:
-    s = np.unique(shingles(words, width))
-    return doc_id, th, pos, start, len(words), lines, int(mix(s).sum().astype(np.int64)), band_keys(signature(s), *rb) if sign else np.empty(0, np.int64)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _OUT.types, strict=True)], schema=_OUT)
-
-
-def _lines(texts: list, least: int):
-    """For groups of texts: (index of the text, line number) of lines that may have ``least``
-    words, their word hashes one after another, and where each line's start."""
-    raw = [x.translate(ASCII_LOWER) for x in encode(texts)]
-    for a, b in text_groups([len(x) for x in raw]):
-        parts = [(i, p, x) for i in range(a, b) for p, x in enumerate(raw[i].split(b"\n")) if len(x) >= 2 * least - 1]
-        words, cut = hashed_words([x for *_, x in parts], BLANKS)
-        yield [(i, p) for i, p, _ in parts], words, cut
-
-
-def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("body"))
-
-
-def paragraphs(texts: DataFrame, width: int, min_words: int, rb: tuple[int, int]) -> DataFrame:
-    """Rows of _DDL for each line of ``min_words`` words or more; ``node`` is a hash of its
-    shingle set, ``th`` of the whole text."""
-
-    def run(batches):
-        for batch in batches:
-            ids, ths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for parts, words, cut in _lines(batch.column(2).to_pylist(), min_words):
-                rows = [_row(ids[i], ths[i], p, 0, words[cut[k] : cut[k + 1]], width, rb) for k, (i, p) in enumerate(parts) if cut[k + 1] - cut[k] >= min_words]
-                if rows:
-                    yield _batch(rows)
-
-    return mapped(texts, run, _DDL)
+_CHUNK = 1 << 17
+
+
+def sign(words: np.ndarray, start: np.ndarray, end: np.ndarray, width: int, rb: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(node, band keys) of the parts [start, end) of ``words``, each of ``width`` words or more,
+    all at once.  ``node`` is a hash of a part's shingle set; a band's number is in the lowest
+    six bits of its key."""
+    r, b = rb
+    n = end - start - (width - 1)
+    node = np.zeros(len(n), np.uint64)
+    sig = np.full((r * b, len(n)), np.uint64(2**64 - 1))
+    every = shingles(words, width) if len(words) >= width else words[:0]
+    first, upto = 0, np.cumsum(n)
+    while first < len(n):  # parts of about _CHUNK shingles together
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] - n[first] + _CHUNK)))
+        size = n[first:last]
+        at = np.concatenate(([0], np.cumsum(size)[:-1]))
+        part = np.repeat(np.arange(len(size)), size)
+        s = every[np.arange(int(size.sum())) - at[part] + start[first:last][part]]
+        for k in range(r * b):
+            sig[k, first:last] = np.minimum.reduceat(s * _A[k] + _B[k], at)
+        order = np.lexsort((s, part))
+        s, part = s[order], part[order]
+        new = np.concatenate(([True], (s[1:] != s[:-1]) | (part[1:] != part[:-1])))
+        node[first:last] = np.add.reduceat(np.where(new, mix(s), np.uint64(0)), at)
+        first = last
+    parts = (mix(sig) >> np.uint64(32)).reshape(b, r, len(n))
+    keys = mix((parts * _STEPS[:r, None]).sum(axis=1, dtype=np.uint64) + np.uint64(1))
+    keys = (keys & ~np.uint64(63)) | np.arange(b, dtype=np.uint64)[:, None]
+    return node.view(np.int64), np.ascontiguousarray(keys.T).view(np.int64)
 
 
 def _slide(x: np.ndarray, n: int, least: bool) -> np.ndarray:
@@ -116,16 +101,13 @@ def _slide(x: np.ndarray, n: int, least: bool) -> np.ndarray:
     return x
 
 
-def _sums(words: np.ndarray) -> np.ndarray:
-    return np.concatenate(([np.uint64(0)], np.cumsum(words * _powers(_Q, len(words) + 1)[: len(words)], dtype=np.uint64)))
-
+def _hash(words: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the ``n`` words from each ``start`` on, wherever they stand."""
+    total = np.concatenate(([np.uint64(0)], np.cumsum(words * _powers(_Q, len(words) + 1)[: len(words)], dtype=np.uint64)))
+    return mix((total[start + n] - total[start]) * _powers(_QINV, len(total))[start])
 
-def _hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the words from ``start`` to ``end``, wherever they stand."""
-    return mix((total[end] - total[start]) * _powers(_QINV, len(total))[start])
 
-
-def picked(words: np.ndarray, cut: np.ndarray, window: int = WINDOW, every: int = EVERY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def picked(words: np.ndarray, cut: np.ndarray, window: int, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(part, offset, hash) of windows of ``window`` words inside the parts that ``cut`` bounds, one
     at least among any ``every`` consecutive ones; which ones depends on their own words only."""
     n = len(words)
@@ -139,199 +121,193 @@ def picked(words: np.ndarray, cut: np.ndarray, window: int = WINDOW, every: int
     edge = np.full(every - 1, top)
     least = _slide(np.concatenate([edge, key, edge]), every, True)  # windows that end at and after each start
     pick = starts[inside & (_slide(least, every, False) == key)]
-    h = _hash(_sums(words), pick, pick + window)
-    return line[pick], pick - cut[line[pick]], h
-
+    return line[pick], pick - cut[line[pick]], _hash(words, pick, window)
 
-_POST = pa.schema([("th", pa.int64()), ("h", pa.int64()), ("left", pa.int32()), ("right", pa.int32())])
-_POST_DDL = "th long, h long, left int, right int"
-_NONE = 0
 
+def _seed_size(min_words: int) -> tuple[int, int]:
+    """(words of a seed, starts in a row of which one is picked) so that every run of
+    ``min_words`` words holds a seed, the same one wherever the run stands."""
+    window = min(SEED, min_words)
+    return window, min_words - window + 1
 
-def _short(h: np.ndarray) -> np.ndarray:
-    """32 bits of a hash, other than _NONE."""
-    x = (h >> np.uint64(32)).astype(np.uint32)
-    return np.maximum(x, np.uint32(1)).view(np.int32)
 
+def spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 byte of each word."""
+    edge = np.diff((~BLANKS[np.frombuffer(raw, np.uint8)]).view(np.int8), prepend=0, append=0)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
-def _posts(th: int, h: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
-    """Rows of _POST of one text, equal ones once."""
-    sides = (left.view(np.uint32).astype(np.uint64) << np.uint64(32)) | right.view(np.uint32)
-    h, left, right = (x[np.unique(np.stack([h, sides]), axis=1, return_index=True)[1]] if len(h) != len(np.unique(h)) else x for x in (h, left, right))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), th, np.int64)), pa.array(h.view(np.int64)), pa.array(left), pa.array(right)], schema=_POST)
 
+def cut_texts(raw: list[bytes], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes of all texts, bounds of the texts in them; text, start and end in them of each
+    line and block of ``min_words`` words or more)."""
+    lines = [x.split(b"\n") for x in raw]
+    words, cut = hashed_words(list(chain.from_iterable(lines)), BLANKS)
+    per = np.array([len(x) for x in lines], np.int64)
+    of = np.repeat(np.arange(len(raw)), per)
+    full = np.diff(cut) > 0
+    joined = full[1:] & full[:-1] & (of[1:] == of[:-1])  # a line goes on with the next one
+    first = np.flatnonzero(full & ~np.concatenate(([False], joined)))
+    last = np.flatnonzero(full & ~np.concatenate((joined, [False])))
+    many = first < last
+    each = np.flatnonzero(full)
+    a, b = np.concatenate((each, first[many])), np.concatenate((each, last[many]))
+    a, b = (x[(cut[b + 1] - cut[a]) >= min_words] for x in (a, b))
+    order = np.argsort(of[a], kind="stable")
+    return words, cut[np.concatenate(([0], np.cumsum(per)))], of[a][order], cut[a][order], cut[b + 1][order]
 
-def _hashed(bodies: list):
-    """(index, word hashes) of each text."""
-    raw = [x.translate(ASCII_LOWER) for x in encode(bodies)]
-    for a, b in text_groups([len(x) for x in raw]):
-        words, cut = hashed_words(raw[a:b], BLANKS)
-        for i in range(b - a):
-            yield a + i, words[cut[i] : cut[i + 1]]
 
+# --- tables --------------------------------------------------------------------------------------
 
-def _seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    _, at, h = picked(words, np.array([0, len(words)]))
-    return at, h
 
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("body"))
 
-def _marks(posts: DataFrame) -> DataFrame:
-    """Rows (th, marks) of windows that two texts or more hold; a mark is the window's hash, with
-    its lowest bits telling whether one and the same neighbour stands at its left (2) and at its
-    right (1) in all its places, and whether this text is the least that holds it (4)."""
-    one = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != _NONE)
-    found = posts.groupBy("h").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), one("left").alias("l"), one("right").alias("r")).where("lo != hi")
-    # a table of its own: the join may then split a window that fills many tasks
-    shared = staged(found.select("h", "lo", F.expr("(h & -8L) | if(l, 2L, 0L) | if(r, 1L, 0L)").alias("mark")))
-    return posts.select("th", "h").distinct().join(shared, "h").groupBy("th").agg(F.collect_list(F.expr("mark | if(th = lo, 4L, 0L)")).alias("marks"))
 
+_PART = pa.struct([("start", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_PARTS_DDL = "array<struct<start:long,n:long,node:long,bands:array<long>>>"
 
-def _looked_up(h: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(shared, same at the left, same at the right, least text) of windows."""
-    if not len(marks) or not len(h):
-        return (np.zeros(len(h), bool),) * 4
-    marks = np.sort(marks.view(np.uint64))
-    key = h & ~np.uint64(7)
-    mark = marks[np.minimum(np.searchsorted(marks, key), len(marks) - 1)]
-    known = (mark & ~np.uint64(7)) == key
-    return known, *(known & (mark & np.uint64(bit) > 0) for bit in (2, 1, 4))
 
+def _lists(values: pa.Array, of: np.ndarray, n: int) -> pa.ListArray:
+    """``values`` as ``n`` lists; ``of`` (in order) is the list of each."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), values)
 
-def _around(words: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """The starts of all windows within EVERY - 1 of a shared seed, in order."""
-    at, h = _seeds(words)
-    at, last = at[_looked_up(h, marks)[0]], len(words) - WINDOW
-    wanted = np.zeros(last + 2, np.int32)  # how many ranges hold a start, by differences
-    np.add.at(wanted, np.maximum(at - EVERY + 1, 0), 1)
-    np.add.at(wanted, np.minimum(at + EVERY - 1, last) + 1, -1)
-    return np.flatnonzero(np.cumsum(wanted)[: last + 1] > 0)
 
+def _parts(start: np.ndarray, n: np.ndarray, node: np.ndarray, keys: np.ndarray) -> pa.StructArray:
+    held = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
+    return pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), held], fields=list(_PART))
 
-def _periodic(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Whether windows repeat themselves with a period of half a window or less."""
-    out = np.zeros(len(starts), bool)
-    for p in range(1, WINDOW // 2 + 1):
-        same = np.concatenate(([0], np.cumsum(words[:-p] == words[p:])))
-        out |= same[starts + WINDOW - p] - same[starts] == WINDOW - p
-    return out
 
+def read(texts: DataFrame, width: int, min_words: int, rb: tuple[int, int]) -> DataFrame:
+    """Rows (doc_id, th, n_words, seeds, parts), one for each of ``texts``: hashes of its seeds,
+    and its lines and blocks of ``min_words`` words or more."""
+    window, every = _seed_size(min_words)
+    out = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("seeds", pa.list_(pa.int64())), ("parts", pa.list_(_PART))])
 
-def _seed_posts(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ths = batch.column(0).to_pylist()
-            for i, words in _hashed(batch.column(1).to_pylist()):
-                at, h = _seeds(words)
-                if len(at):
-                    none = np.full(len(at), _NONE, np.int32)
-                    yield _posts(ths[i], h, none, none)
+            raw = [x.translate(ASCII_LOWER) for x in encode(batch.column(2).to_pylist())]
+            for a, b in text_groups([len(x) for x in raw]):
+                words, bound, of, start, end = cut_texts(raw[a:b], min_words)
+                text, _, h = picked(words, bound, window, every)
+                parts = _parts(start - bound[of], end - start, *sign(words, start, end, width, rb))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(np.diff(bound), pa.int64()), _lists(pa.array(h.view(np.int64)), text, b - a), _lists(parts, of, b - a)],
+                    schema=out,
+                )
+
+    return mapped(texts, run, f"doc_id long, th long, n_words long, seeds array<long>, parts {_PARTS_DDL}")
+
+
+def _bodies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (th, doc_id and more) with the ``body`` of that document; only texts that
+    may be wanted are shuffled."""
+    key = F.xxhash64("th", "doc_id")
+    held = maybe_in(texts, key, wanted.select(key.alias("id")))
+    held = held.select(F.col("th").alias("_t"), F.col("doc_id").alias("_d"), "body")
+    return wanted.join(held, (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_t", "_d")
 
-    return mapped(texts.select("th", "body"), run, _POST_DDL)
 
+def _shared(posts: DataFrame, *more: Column) -> DataFrame:
+    """The hashes ``h`` that two texts or more hold, with the least of these texts.  A table of its
+    own: a join with it may split a hash that fills many tasks."""
+    return staged(posts.groupBy("h").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), *more).where("lo != hi").drop("hi"))
 
-def _with(texts: DataFrame, marks: DataFrame) -> DataFrame:
-    held = maybe_in(texts, F.col("th"), marks.select(F.col("th").alias("id")))
-    return held.join(marks.withColumnRenamed("th", "_t"), F.col("th") == F.col("_t")).drop("_t")
 
+def window_posts(marked: DataFrame, min_words: int) -> DataFrame:
+    """Rows (th, h, pos, first) for the windows of ``min_words`` words of rows (th, body, marks)
+    that hold a seed in ``marks``; ``first`` at the first place of a hash in its text."""
+    window, every = _seed_size(min_words)
+    out = pa.schema([("th", pa.int64()), ("h", pa.int64()), ("pos", pa.int64()), ("first", pa.bool_())])
 
-def _window_posts(marked: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ths, marks = batch.column(0).to_pylist(), batch.column(2)
-            for i, words in _hashed(batch.column(1).to_pylist()):
-                if len(words) < WINDOW:
-                    continue
-                starts = _around(words, marks[i].values.to_numpy(zero_copy_only=False))
-                if not len(starts):
-                    continue
-                h = _hash(_sums(words), starts, starts + WINDOW)
-                none, next_ = np.full(1, _NONE, np.int32), np.diff(starts) == 1
-                left = np.concatenate((none, np.where(next_, _short(h[:-1]), _NONE).astype(np.int32)))
-                right = np.concatenate((np.where(next_, _short(h[1:]), _NONE).astype(np.int32), none))
-                yield _posts(ths[i], h, left, right)
-
-    return mapped(marked.select("th", "body", "marks"), run, _POST_DDL)
-
-
-def _runs(words: np.ndarray, marks: np.ndarray, windows: np.ndarray) -> list[tuple[int, int, bool]]:
-    """(start, end, whether this text signs it) in words of the stretches of a text that all their places share as a whole:
-    runs of shared windows, cut where the places that share them change.  Windows that repeat
-    themselves (stuttered words) are one stretch however often they do.  Equal stretches are signed
-    in the least of their texts only."""
-    if len(words) < WINDOW:
-        return []
-    starts = _around(words, marks)
-    known, left, right, least = _looked_up(_hash(_sums(words), starts, starts + WINDOW), windows)
-    loop = _periodic(words, starts)
-    one = (np.diff(starts) == 1) & known[:-1] & known[1:]
-    one &= np.where(loop[:-1] | loop[1:], loop[:-1] & loop[1:], right[:-1] & left[1:])
-    first = known & ~np.concatenate((np.zeros(1, bool), one))[: len(known)]
-    end = known & ~np.concatenate((one, np.zeros(1, bool)))[: len(known)]
-    return list(zip(starts[first].tolist(), (starts[end] + WINDOW).tolist(), (least | loop)[first].tolist(), strict=True))
-
-
-def marked(texts: DataFrame) -> DataFrame:
-    """Rows (th, marks, windows, whole) of texts that share windows with another (see _marks: of
-    seeds, and of all windows around them) or that stand in two documents (``whole``)."""
-    seeds = staged(_marks(staged(_seed_posts(texts))))
-    windows = _marks(staged(_window_posts(_with(texts, seeds)))).withColumnRenamed("marks", "windows")
-    place = F.struct("doc_id")
-    copies = texts.groupBy("th").agg((~F.min(place).eqNullSafe(F.max(place))).alias("whole")).where("whole")
-    out = seeds.join(windows, "th", "left").join(copies, "th", "full")
-    empty = F.array().cast("array<long>")
-    return out.select("th", F.coalesce("marks", empty).alias("marks"), F.coalesce("windows", empty).alias("windows"), F.coalesce("whole", F.lit(False)).alias("whole"))
-
-
-def _cuts(body: str, marks: np.ndarray, windows: np.ndarray, whole: bool) -> tuple[np.ndarray, list[tuple]]:
-    """(words, [(line, start in it, lines, start in the text, end in the text, whether to sign)])"""
-    lines = encode([body])[0].translate(ASCII_LOWER).split(b"\n")
-    words, cut = hashed_words(lines, BLANKS)
-    found = _runs(words, marks, windows)
-    size = np.diff(cut)
-    if whole and len(words) >= WINDOW and ((size > 0) & (size < MIN_WORDS)).any():
-        found = [x for x in found if x[:2] != (0, len(words))] + [(0, len(words), True)]
-    out = []
-    for a, b, sign in found:
-        i, j = (int(x) - 1 for x in np.searchsorted(cut, [a, b - 1], "right"))
-        if b - a != size[i] or a != cut[i]:  # else a line, which is a paragraph anyway
-            out.append((i, a - int(cut[i]), j - i + 1, a, b, sign))
-    return words, out
-
-
-def _each(batch):
-    """(position, body, marks, windows, whole) of the rows of a batch."""
-    names = batch.schema.names
-    marks, windows = (batch.column(names.index(c)) for c in ("marks", "windows"))
-    for k, (body, whole) in enumerate(zip(batch.column(names.index("body")).to_pylist(), batch.column(names.index("whole")).to_pylist(), strict=True)):
-        yield k, body, *(c[k].values.to_numpy(zero_copy_only=False) for c in (marks, windows)), whole
-
-
-def stretches(texts: DataFrame) -> DataFrame:
-    """Rows (th, cuts): stretches (pos, start, end in words, from the start of line ``pos``) that
-    stand word by word in other texts, or in this one's copies."""
-    one = pa.list_(pa.struct([("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+            raw = [x.translate(ASCII_LOWER) for x in encode(batch.column(1).to_pylist())]
+            marks = batch.column(2)
+            for a, b in text_groups([len(x) for x in raw]):
+                words, bound = hashed_words(raw[a:b], BLANKS)
+                text, at, h = picked(words, bound, window, every)
+                for k in range(b - a):
+                    lo, hi = np.searchsorted(text, (k, k + 1))
+                    mine = at[lo:hi][np.isin(h[lo:hi].view(np.int64), marks[a + k].values.to_numpy(zero_copy_only=False))]
+                    own = words[bound[k] : bound[k + 1]]
+                    if not len(mine) or len(own) < min_words:
+                        continue
+                    held = np.zeros(len(own) - min_words + 2, np.int32)  # ranges that hold a start, by differences
+                    np.add.at(held, np.maximum(mine - (every - 1), 0), 1)
+                    np.add.at(held, np.minimum(mine, len(own) - min_words) + 1, -1)
+                    pos = np.flatnonzero(np.cumsum(held)[:-1] > 0)
+                    hashes = _hash(own, pos, min_words).view(np.int64)
+                    first = np.zeros(len(pos), bool)
+                    first[np.unique(hashes, return_index=True)[1]] = True
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), batch.column(0)[a + k].as_py(), np.int64)), pa.array(hashes), pa.array(pos, pa.int64()), pa.array(first)], schema=out)
+
+    return mapped(marked.select("th", "body", "marks"), run, "th long, h long, pos long, first boolean")
+
+
+def stretches(texts: DataFrame, per: DataFrame, reps: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (th, start, n, src, at) of places and (src, at, n, src2, at2, n2) of links.
+
+    A stretch is a longest run of windows of ``min_words`` words that are credited to one text:
+    the least that holds them.  Equal places have the same (src, at, n), which names a place
+    where their words stand.  Runs that meet the text they are credited to at other places than
+    in a row (a stuttered word, a passage that it repeats itself) name their own place, and a
+    link tells where they are credited.
+    """
+    seeds = per.select("th", F.explode("seeds").alias("h"))
+    shared = _shared(seeds)
+    marks = maybe_in(seeds, F.col("h"), shared.select(F.col("h").alias("id"))).distinct().join(shared, "h")
+    marks = staged(marks.groupBy("th").agg(F.collect_list("h").alias("marks")).join(reps.select("th", "doc_id"), "th"))
+    posts = staged(window_posts(_bodies(texts, marks), min_words))
+    # one first place in each text, so the place in the least text is one
+    shared = _shared(posts.where("first"), F.min_by("pos", "th").alias("at"))
+    held = posts.select("th", "h", "pos").join(shared, "h").repartition("th").dropDuplicates(["th", "pos"])
+    by = W.partitionBy("th").orderBy("pos")
+    new = (F.col("pos") - 1).eqNullSafe(F.lag("pos").over(by)) & F.col("lo").eqNullSafe(F.lag("lo").over(by))
+    held = held.withColumn("new", F.when(new, 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
+    runs = held.groupBy("th", "run").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + min_words).alias("n"), F.min("lo").alias("lo"), F.min_by("at", "pos").alias("at"), F.max_by("at", "pos").alias("end"))
+    runs = staged(runs.withColumn("own", (F.col("lo") == F.col("th")) & (F.col("at") == F.col("start"))).withColumn("row", F.col("end") - F.col("at") == F.col("n") - min_words).drop("run", "end"))
+    copy = runs.where("not own")
+    named = copy.select("th", "start", "n", F.when(F.col("row"), F.col("lo")).otherwise(F.col("th")).alias("src"), F.when(F.col("row"), F.col("at")).otherwise(F.col("start")).alias("at"))
+    source = copy.where("row").select(F.col("lo").alias("th"), F.col("at").alias("start"), "n", F.col("lo").alias("src"), "at").distinct()
+    mine = runs.where("own").select(F.col("th").alias("lo"), F.col("start").alias("at2"), F.col("n").alias("n2"))
+    odd = copy.where("not row").join(mine, "lo").where(f"at between at2 and at2 + n2 - {min_words}")
+    link = staged(odd.select(F.col("th").alias("src"), F.col("start").alias("at"), "n", F.col("lo").alias("src2"), "at2", "n2"))
+    credited = link.select(F.col("src2").alias("th"), F.col("at2").alias("start"), F.col("n2").alias("n"), F.col("src2").alias("src"), F.col("at2").alias("at")).distinct()
+    return named.unionByName(source).unionByName(credited), link
+
+
+def signed_places(held: DataFrame, width: int, rb: tuple[int, int]) -> DataFrame:
+    """Rows (src, at, n, node, bands) of rows (th, body, places)."""
+    out = pa.schema([("src", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            cuts = [[{"pos": i, "start": s, "end": s + b - a} for i, s, _, a, b, _ in _cuts(*row)[1]] for _, *row in _each(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cuts, one)], names=["th", "cuts"])
+            ths, places = batch.column(0), batch.column(2)
+            raw = [x.translate(ASCII_LOWER) for x in encode(batch.column(1).to_pylist())]
+            for a, b in text_groups([len(x) for x in raw]):
+                words, bound = hashed_words(raw[a:b], BLANKS)
+                mine = [places[i].values for i in range(a, b)]
+                of = np.repeat(np.arange(b - a), [len(x) for x in mine])
+                start, n = (np.concatenate([x.field(c).to_numpy(zero_copy_only=False) for x in mine]) for c in ("at", "n"))
+                from_ = start + bound[of]
+                parts = _parts(start, n, *sign(words, from_, from_ + n, width, rb)).flatten()
+                yield pa.RecordBatch.from_arrays([ths.take(pa.array(of + a)), *parts], schema=out)
 
-    return mapped(_with(texts, staged(marked(texts))).select("th", "body", "marks", "windows", "whole"), run, "th long, cuts array<struct<pos:int,start:int,end:int>>").dropDuplicates(["th"])
+    return mapped(held.select("th", "body", "places"), run, "src long, at long, n long, node long, bands array<long>")
 
 
-def passages(texts: DataFrame, marks: DataFrame, width: int, rb: tuple[int, int]) -> DataFrame:
-    """Rows of _DDL for the stretches of texts, in every document of their text."""
+def paragraph_texts(held: DataFrame) -> DataFrame:
+    """Rows (id, text) of rows (body, places) with places (id, start, n in words)."""
+    out = pa.schema([("id", pa.int64()), ("text", pa.string())])
 
     def run(batches):
         for batch in batches:
-            ids, ths, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for k, *row in _each(batch):
-                words, found = _cuts(*row)
-                rows += [_row(ids[k], ths[k], i, s, words[a:b], width, rb, n, sign) for i, s, n, a, b, sign in found]
-            if rows:
-                yield _batch(rows)
+            for body, places in zip(encode(batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True):
+                first, last = spans(body)
+                yield pa.RecordBatch.from_arrays([pa.array([x["id"] for x in places], pa.int64()), pa.array([body[first[x["start"]] : last[x["start"] + x["n"] - 1]].decode("utf-8", "surrogatepass") for x in places], pa.string())], schema=out)
 
-    return mapped(_with(texts, marks).select("doc_id", "th", "body", "marks", "windows", "whole"), run, _DDL)
+    return mapped(held.select("body", "places"), run, "id long, text string")
 
 
 def signed(texts: DataFrame, width: int) -> DataFrame:
@@ -347,36 +323,51 @@ def signed(texts: DataFrame, width: int) -> DataFrame:
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.75, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc_id, th, paragraph, start, n_words, cluster, cluster_id, n_docs, removed): the
-    paragraphs whose component spans two documents or more.  ``paragraph`` is the line, ``start``
-    the word in it; ``cluster`` is the component's least node, ``cluster_id`` the doc_id that
-    keeps its paragraph."""
+    """Rows (doc_id, th, start, n_words, cluster, cluster_id, n_docs, removed): the paragraphs
+    whose component spans two documents or more.  ``start`` is the paragraph's first word in
+    the text, from 0; ``th`` the hash of the text; ``cluster`` the component's least node,
+    ``cluster_id`` the doc_id that keeps its paragraphs."""
+    if min_words < width:
+        raise ValueError("min_words must reach width")
     r, b = bands(similarity)
     texts = _texts(docs, doc_id, text)
-    whole = paragraphs(texts, width, min_words, (r, b))
-    seen = staged(whole.unionByName(passages(texts, staged(marked(texts)), width, (r, b))))
-    held = seen.select(F.explode("bands").alias("key"), "node")
+    per = staged(read(texts, width, min_words, (r, b)))
+    docs_of = per.select("doc_id", "th").distinct()
+    reps = staged(docs_of.groupBy("th").agg(F.min("doc_id").alias("doc_id"), (F.count("*") > 1).alias("many")))
+
+    found, link = stretches(texts, per, reps, min_words)
+    whole = per.where(F.col("n_words") >= min_words).select("th", F.col("n_words").alias("n")).distinct().join(reps.where("many"), "th", "left_semi")
+    found = staged(found.unionByName(whole.select("th", F.lit(0).cast("long").alias("start"), "n", F.col("th").alias("src"), F.lit(0).cast("long").alias("at"))).distinct())
+    places = found.select("src", "at", "n").distinct().groupBy("src").agg(F.collect_list(F.struct("at", "n")).alias("places"))
+    known = staged(signed_places(_bodies(texts, staged(places.withColumnRenamed("src", "th").join(reps, "th").drop("many"))), width, (r, b)))
+    node = known.select("src", "at", "n", "node").distinct()
+    found = staged(found.join(node, ["src", "at", "n"]).select("th", "start", "n", "node"))
+
+    parts = per.select("doc_id", "th", F.explode("parts").alias("p")).select("doc_id", "th", "p.start", "p.n", "p.node", "p.bands")
+    held = parts.select("node", "bands").unionByName(known.select("node", "bands")).select("node", F.explode("bands").alias("key"))
     shared = held.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
-    post = staged(held.join(shared, "key").distinct())
+    shared = staged(shared)
+    post = staged(maybe_in(held, F.col("key"), shared.select(F.col("key").alias("id"))).distinct().join(shared, "key"))
 
     # from here on only classes that share a band with another matter
     ids = post.select(F.col("node").alias("id")).distinct()
-    some = maybe_in(seen.drop("bands"), F.col("node"), ids).join(ids, F.col("node") == F.col("id"), "left_semi")
-    classes = staged(some.groupBy("node").agg(F.min(F.struct("doc_id", "th", "pos", "start", "n_words", "lines")).alias("at")))
-    shown = classes.select(F.col("node").alias("id"), F.col("at.doc_id").alias("_d"), F.col("at.th").alias("_t"), F.col("at.pos").alias("pos"), F.col("at.start").alias("start"), F.col("at.n_words").alias("k"), F.col("at.lines").alias("lines"))
-    held = maybe_in(texts, F.col("th"), shown.select(F.col("_t").alias("id"))).join(shown, (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    part = F.array_join(F.slice(F.split("body", "\n", -1), F.col("pos") + 1, F.col("lines")), " ")
-    words = F.array_remove(F.split(part, r"[\x20\x09-\x0D]+"), "")
-    found = staged(held.select("id", F.array_join(F.slice(words, F.col("start") + 1, F.col("k")), " ").alias("text")))
-
-    classes = staged(signed(found, width))
+    seen = staged(parts.select("th", "start", "n", "node").unionByName(found).distinct())
+    some = maybe_in(seen, F.col("node"), ids).join(ids, F.col("node") == F.col("id"), "left_semi")
+    one = some.groupBy("node").agg(F.min(F.struct("th", "start", "n")).alias("p"))
+    one = one.groupBy(F.col("p.th").alias("th")).agg(F.collect_list(F.struct(F.col("node").alias("id"), "p.start", "p.n")).alias("places"))
+    body = staged(paragraph_texts(_bodies(texts, staged(one.join(reps, "th").drop("many")))).dropDuplicates(["id"]))
+    classes = staged(signed(body, width))
     post = post.join(classes.select("node", "n"), "node").withColumn("popular", F.count("*").over(W.partitionBy("node")))
     post = post.select("key", F.col("key").bitwiseAND(63).cast("int").alias("slot"), "node", "n", "popular")
-    label = components(links(post, classes.select("node", "n", "sig"), found, width, similarity, r), "u", "v")
-    named = seen.select("doc_id", "th", "pos", "start", "n_words", "node").join(label, "node", "left")
-    named = staged(named.withColumn("cluster", F.coalesce("component", "node")).drop("component", "node"))
-    place = F.struct("doc_id", "pos", "start", "n_words")
-    per_doc = named.groupBy("cluster", "doc_id").agg(F.min(place).alias("first"))
-    spans = per_doc.groupBy("cluster").agg(F.count("*").alias("n_docs"), F.min("first").alias("first")).where("n_docs > 1")
-    out = named.join(staged(spans), "cluster")
-    return out.select("doc_id", "th", F.col("pos").alias("paragraph"), "start", "n_words", "cluster", F.col("first.doc_id").alias("cluster_id"), "n_docs", (~place.eqNullSafe(F.col("first"))).alias("removed"))
+    near = links(post, classes.select("node", "n", "sig"), body, width, similarity, r).select("u", "v")
+    other = node.select(F.col("src").alias("src2"), F.col("at").alias("at2"), F.col("n").alias("n2"), F.col("node").alias("v"))
+    exact = link.join(node, ["src", "at", "n"]).join(other, ["src2", "at2", "n2"]).select(F.col("node").alias("u"), "v")
+    label = components(near.unionByName(exact), "u", "v")
+
+    named = seen.join(label, "node", "left").select("th", "start", "n", "node", F.coalesce("component", "node").alias("cluster"))
+    named = staged(named.join(docs_of, "th"))
+    count = named.groupBy("cluster", "doc_id").agg(F.lit(1)).groupBy("cluster").agg(F.count("*").alias("n_docs"), F.count("doc_id").alias("_ids"), F.min("doc_id").alias("_least")).where("n_docs > 1")
+    keeps = staged(count.select("cluster", "n_docs", F.when(F.col("_ids") == F.col("n_docs"), F.col("_least")).alias("cluster_id")))
+    out = named.join(keeps, "cluster")
+    again = F.row_number().over(W.partitionBy("cluster", "doc_id", "node").orderBy("start", "n", "th")) > 1
+    return out.select("doc_id", "th", "start", F.col("n").alias("n_words"), "cluster", "cluster_id", "n_docs", (~F.col("doc_id").eqNullSafe(F.col("cluster_id")) | again).alias("removed"))

@@ -246,101 +246,144 @@ def test_bands():
     assert 1 - (1 - 0.75**r) ** b >= 0.9999 and r * b <= near.K
 
 
-def test_substrings(docs, rows, empty):
-    texts = substrings._texts(docs, "doc_id", "text")
-    named = {r["th"]: r["body"] for r in texts.collect()}
-    cuts = {(named[r["th"]], c["pos"], c["start"], c["end"]) for r in substrings.stretches(texts).collect() for c in r["cuts"]}
-    paras = {}
-    for i, t, *_ in rows:
-        for p, x in enumerate((t or "").split("\n")):
-            w = words_of(x.translate(UP))
-            if len(w) >= 30:
-                paras[i, p, 0, len(w)] = shingle_set(x)
-            for body, q, a, b in cuts:
-                if body == (t or "") and q == p and (a, b) != (0, len(w)):
-                    paras[i, p, a, b - a] = shingle_set(" ".join(w[a:b]))
-    keys = sorted(paras, key=lambda k: (k[0] is not None, k))
-    parent = {k: k for k in keys}
+def low(t):
+    return words_of((t or "").translate(UP))
+
+
+def blocks_of(t, least):
+    """(start, n) of the lines and blocks of ``least`` words or more."""
+    out, at, block = set(), 0, None
+    for line in [*(t or "").split("\n"), ""]:
+        n = len(words_of(line))
+        if n >= least:
+            out.add((at, n))
+        if n:
+            block = at if block is None else block
+        elif block is not None:
+            out |= {(block, at - block)} if at - block >= least else set()
+            block = None
+        at += n
+    return out
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for n, a in enumerate(keys):
-        for b in keys[:n]:
-            s, u = paras[a], paras[b]
-            both = len(s & u)
-            if 100 * both >= 75 * (len(s) + len(u) - both):
-                x, y = find(a), find(b)
-                parent[max(x, y, key=keys.index)] = min(x, y, key=keys.index)
-    groups = collections.defaultdict(set)
-    for k in keys:
-        groups[find(k)].add(k)
-    want = {k: (min(g)[0], k != min(g)) for g in groups.values() if len({i for i, *_ in g}) > 1 for k in g}
-    got = {(r["doc_id"], r["paragraph"], r["start"], r["n_words"]): (r["cluster_id"], r["removed"]) for r in substrings.repeated(docs).collect()}
-    assert got == want and len({c for c, _ in want.values()}) > 3
-    assert substrings.repeated(empty).collect() == []
-
-
-def test_passage_inside_lines(spark):
-    r = random.Random(9)
-    fresh = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
-    passage = fresh(51)
-    rows = [(i, f"{fresh(20)}\n{fresh(3 * i)} {passage} {fresh(40)}\n{fresh(9)}") for i in range(1, 6)]
-    rows += [(6, passage), (7, fresh(300)), (8, f"{fresh(60)}\n{fresh(60)}"), (9, f"{passage.rsplit(' ', 30)[0]} {fresh(50)}")]
-    got = substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {x["doc_id"] for x in got} == set(range(1, 7))
-    assert {x["doc_id"] for x in got if not x["removed"]} == {1} and {x["cluster_id"] for x in got} == {1}
-
-
-def covered(spark, rows):
-    """{doc_id: words of the text that the rows found cover}"""
-    held = collections.defaultdict(set)
-    text = {i: t.split("\n") for i, t in rows}
-    for x in substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        first = sum(len(words_of(t)) for t in text[x["doc_id"]][: x["paragraph"]]) + x["start"]
-        held[x["doc_id"]] |= set(range(first, first + x["n_words"]))
-    return held
+def similar(a, b, width=5):
+    s, u = ({tuple(x[i : i + width]) for i in range(max(1, len(x) - width + 1))} for x in (a, b))
+    return 100 * len(s & u) >= 75 * len(s | u)
 
 
-def fresh_words(seed):
-    r = random.Random(seed)
-    return lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+def check_substrings(frame, got, least=50):
+    """Every word of every shared run of ``least`` words is covered, similar lines and blocks are in one
+    cluster, nothing else is reported, and each cluster stays once."""
+    held = collections.defaultdict(set)
+    name = {(i, th): t for i, th, t in frame.selectExpr("doc_id", "xxhash64(coalesce(text, ''))", "coalesce(text, '')").collect()}
+    texts = {(i, t) for (i, _), t in name.items()}
+    for i, t in texts:
+        w = low(t)
+        for k in range(len(w) - least + 1):
+            held[tuple(w[k : k + least])].add(i)
+    places = collections.defaultdict(set)
+    for x in got:
+        places[x["doc_id"], x["th"]].add((x["start"], x["n_words"], x["cluster"]))
+    back = collections.defaultdict(list)
+    for k, t in name.items():
+        back[k[0], t].append(k)
+    for i, t in texts:
+        w = low(t)
+        want = {p for k in range(len(w) - least + 1) if len(held[tuple(w[k : k + least])]) > 1 for p in range(k, k + least)}
+        mine = {p for k in back[i, t] for s, n, _ in places[k] for p in range(s, s + n)}
+        assert want <= mine, (i, sorted(want - mine)[:5])
+    paras = [(i, t, s, n) for i, t in texts for s, n in blocks_of(t, least)]
+    cluster = {(i, t, s, n): c for (i, t), ks in back.items() for k in ks for s, n, c in places[k]}
+    for a in paras:
+        for b in paras:
+            if a[0] != b[0] and similar(low(a[1])[a[2] : a[2] + a[3]], low(b[1])[b[2] : b[2] + b[3]]):
+                assert cluster[a] == cluster[b]
+    groups = collections.defaultdict(list)
+    for (i, t, s, n), c in cluster.items():
+        groups[c].append((i, low(t)[s : s + n]))
+    for g in groups.values():
+        for i, w in g:
+            own = {tuple(w[k : k + least]) for k in range(len(w) - least + 1)}
+            assert any(j != i and (similar(w, v) or own & {tuple(v[k : k + least]) for k in range(len(v) - least + 1)}) for j, v in g) or any(j == i and v != w and similar(w, v) for j, v in g)
+    order = lambda i: (i is not None, i or 0)
+    for c in groups:
+        ids = {x["doc_id"] for x in got if x["cluster"] == c}
+        keeps = min(ids, key=order)
+        assert {x["cluster_id"] for x in got if x["cluster"] == c} == {keeps} and {x["n_docs"] for x in got if x["cluster"] == c} == {len(ids)}
+        assert {x["doc_id"] for x in got if x["cluster"] == c and not x["removed"]} == {keeps}
 
 
-def test_passage_over_line_breaks(spark):
-    fresh = fresh_words(21)
-    a, b, verse = fresh(29), fresh(29), "\n".join(fresh(6) for _ in range(12))
-    rows = [(1, f"{fresh(40)} {a}\n{b}\n{fresh(12)}"), (2, f"{fresh(7)}\n{a} {b} {fresh(60)}"), (3, f"{a}\n\n{b}")]
-    rows += [(4, verse), (5, verse), (6, "\n".join(fresh(8) for _ in range(20)))]
-    got = covered(spark, rows)
-    assert got == {1: set(range(40, 98)), 2: set(range(7, 65)), 3: set(range(58)), 4: set(range(72)), 5: set(range(72))}
+def test_substrings(docs, rows, empty):
+    got = substrings.repeated(docs).collect()
+    check_substrings(docs, got)
+    assert len({x["cluster"] for x in got}) > 3 and substrings.repeated(empty).collect() == []
 
 
-def test_passage_inside_a_longer_shared_span(spark):
-    fresh = fresh_words(22)
+@pytest.mark.parametrize("seed", range(2))
+def test_substrings_on_families(spark, seed):
+    r = random.Random(seed)
+    fresh = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    broken = lambda w: " ".join(x + ("\n" if r.random() < 0.06 else "\n\n" if r.random() < 0.03 else "") for x in w)
+    known = [fresh(r.choice([49, 50, 51, 55, 70, 120])) for _ in range(8)]
+    base = fresh(260)
+    texts = []
+    for _ in range(25):
+        w = []
+        for _ in range(r.randint(1, 4)):
+            p = list(r.choice(known))
+            if r.random() < 0.3:
+                p[r.randrange(len(p))] = "edited"
+            w += fresh(r.choice([0, 3, 40])) + p
+        texts.append(broken(w))
+    for _ in range(12):
+        w = list(base)
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = r.choice(["x", "y"])
+        texts.append(" ".join(w) if r.random() < 0.5 else broken(w))
+    texts += [" ".join(["na"] * r.randint(60, 150)) for _ in range(3)] + [" ".join(["ha", "ho"] * 50 + fresh(20)), " ".join(["ho", "ha"] * 40)]
+    texts += [texts[3], texts[3].upper(), texts[30], broken(known[4] + fresh(30) + known[4]), None, ""]
+    rows = list(enumerate(texts)) + [(2, texts[2]), (7, texts[8]), (None, texts[0])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    check_substrings(frame, substrings.repeated(frame).collect())
+
+
+def passage_cases():
+    """{name: ({doc: text}, {doc: words that are repeated})}, no words in common."""
+    r = random.Random(21)
+    fresh = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    span = lambda *ab: set().union(*(range(a, b) for a, b in ab))
+    out = {}
+    p = fresh(51)
+    texts = {i: f"{fresh(20)}\n{fresh(3 * i)} {p} {fresh(40)}\n{fresh(9)}" for i in range(1, 6)} | {6: p, 7: fresh(300), 8: f"{fresh(60)}\n{fresh(60)}", 9: f"{p.rsplit(' ', 30)[0]} {fresh(50)}"}
+    out["inside lines"] = texts, {i: span((20 + 3 * i, 71 + 3 * i)) for i in range(1, 6)} | {6: span((0, 51))}
+    a, b, verse = fresh(29), fresh(29), "\n".join(fresh(6) for _ in range(12))
+    texts = {1: f"{fresh(40)} {a}\n{b}\n{fresh(12)}", 2: f"{fresh(7)}\n{a} {b} {fresh(60)}", 3: f"{a}\n\n{b}", 4: verse, 5: verse, 6: "\n".join(fresh(8) for _ in range(20))}
+    out["over line breaks"] = texts, {1: span((40, 98)), 2: span((7, 65)), 3: span((0, 58)), 4: span((0, 72)), 5: span((0, 72))}
     p, before, after, q = fresh(60), fresh(150), fresh(150), fresh(55)
-    span = f"{before} {p} {after}"
-    rows = [(1, f"{fresh(30)} {span} {fresh(30)}"), (2, f"{fresh(20)} {span} {fresh(90)}"), (3, f"{fresh(80)} {p} {fresh(80)}"), (4, f"{fresh(70)} {p} {q} {fresh(70)}"), (5, f"{fresh(90)} {q} {fresh(90)}")]
-    got = covered(spark, rows)
-    assert got == {1: set(range(30, 390)), 2: set(range(20, 380)), 3: set(range(80, 140)), 4: set(range(70, 185)), 5: set(range(90, 145))}
-
-
-@pytest.mark.parametrize("n", [50, 51, 63, 70])
-def test_passage_to_its_ends(spark, n):
-    fresh = fresh_words(n)
-    p = fresh(n)
-    got = covered(spark, [(i, f"{fresh(100)} {p} {fresh(100)}") for i in range(4)])
-    assert got == {i: set(range(100, 100 + n)) for i in range(4)}
+    long = f"{before} {p} {after}"
+    texts = {1: f"{fresh(200)} {long} {fresh(200)}", 2: f"{fresh(120)} {long} {fresh(190)}", 3: f"{fresh(80)} {p} {fresh(80)}", 4: f"{fresh(70)} {p} {q} {fresh(70)}", 5: f"{fresh(90)} {q} {fresh(90)}"}
+    out["inside a longer shared span"] = texts, {1: span((200, 560)), 2: span((120, 480)), 3: span((80, 140)), 4: span((70, 185)), 5: span((90, 145))}
+    for n in (49, 50, 51, 63, 70):
+        p = fresh(n)
+        out[f"{n} words"] = {i: f"{fresh(100)} {p} {fresh(100)}" for i in range(4)}, {i: span((100, 100 + n)) for i in range(4) if n > 49}
+    p, stutter = fresh(55), " ".join(["na"] * 200)
+    texts = {1: f"{p} {fresh(100)} {p} {fresh(100)} {p}", 2: f"{fresh(90)} {p}", 3: f"{fresh(40)} {stutter}", 4: f"{stutter} {stutter} {fresh(120)}"}
+    out["at all places"] = texts, {1: span((0, 55), (155, 210), (310, 365)), 2: span((90, 145)), 3: span((40, 240)), 4: span((0, 400))}
+    return out
 
 
-def test_passage_at_all_its_places(spark):
-    fresh = fresh_words(23)
-    p, stutter = fresh(55), " ".join(["na"] * 200)
-    rows = [(1, f"{p} {fresh(100)} {p} {fresh(100)} {p}"), (2, f"{fresh(90)} {p}"), (3, f"{fresh(40)} {stutter}"), (4, f"{stutter} {stutter} {fresh(120)}")]
-    got = covered(spark, rows)
-    assert got == {1: set(range(55)) | set(range(155, 210)) | set(range(310, 365)), 2: set(range(90, 145)), 3: set(range(40, 240)), 4: set(range(400))}
+def test_passages(spark):
+    cases = passage_cases()
+    rows = [(100 * k + i, t) for k, (texts, _) in enumerate(cases.values()) for i, t in texts.items()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.repeated(frame).collect()
+    held = collections.defaultdict(set)
+    for x in got:
+        held[x["doc_id"]] |= set(range(x["start"], x["start"] + x["n_words"]))
+    for k, (name, (_, want)) in enumerate(cases.items()):
+        assert {i - 100 * k: w for i, w in held.items() if i // 100 == k} == want, name
+    assert {x["doc_id"] for x in got if x["doc_id"] < 100 and not x["removed"]} == {1}
+    check_substrings(frame, got)
 
 
 @pytest.mark.parametrize("seed", range(3))
