@@ -153,30 +153,46 @@ def codon_translate(spark, sf_dir):
 
 
 RF = "xxx.xx.xxxxx..xxxx"
-MAP_SQL = f"""{SEQ_SQL}, a AS (SELECT id, s, rpad(substr(s, 5, 6) || '-' || substr(s, 11, 4) || '.' || substr(s, 15, 6), {len(RF)}, '-') AS al FROM q WHERE length(s) >= 5),
-o AS (SELECT id, s, al, instr(s, regexp_replace(al, '[-.]', '', 'g')) - 1 AS off FROM a),
-c AS (SELECT id, s, i, substr(al, i, 1) AS c, substr('{RF}', i, 1) AS m, off FROM o, range(1, {len(RF) + 1}) t(i) WHERE off >= 0),
-x AS (SELECT id, s, i, m, c, off + sum((c NOT IN ('-', '.'))::INT) OVER (PARTITION BY id ORDER BY i) - (c NOT IN ('-', '.'))::INT AS k FROM c),
-v AS (SELECT id, any_value(s) AS s, array_to_string(list(CASE WHEN c IN ('-', '.') THEN 'null' ELSE k::BIGINT::VARCHAR END ORDER BY i) FILTER (m = 'x'), ',') AS residue_index FROM x GROUP BY id)"""
+STEP, BEFORE = 16, 4
+MAP_SQL = f"""{SEQ_SQL}, e AS (SELECT id, s, unnest(range(0, (length(s) + {STEP - 1}) // {STEP})) AS k FROM q WHERE s IS NOT NULL),
+f AS (SELECT id, k, s, {STEP} * k + 1 AS i0, greatest(1, {STEP} * k + 1 - {BEFORE}) AS p0 FROM e),
+a AS (SELECT id, k, substr(s, p0, i0 + {STEP} - p0) AS p, rpad(substr(s, i0, 6) || '-' || substr(s, i0 + 6, 4) || '.' || substr(s, i0 + 10, 6), {len(RF)}, '-') AS al FROM f),
+o AS (SELECT *, instr(p, regexp_replace(al, '[-.]', '', 'g')) - 1 AS off FROM a),
+c AS (SELECT id, k, p, i, substr(al, i, 1) AS c, substr('{RF}', i, 1) AS m, off FROM o, range(1, {len(RF) + 1}) t(i) WHERE off >= 0),
+x AS (SELECT id, k, p, i, m, c, off + sum((c NOT IN ('-', '.'))::INT) OVER (PARTITION BY id, k ORDER BY i) - (c NOT IN ('-', '.'))::INT AS r FROM c),
+v AS (SELECT id, k, any_value(p) AS p, array_to_string(list(CASE WHEN c IN ('-', '.') THEN 'null' ELSE r::BIGINT::VARCHAR END ORDER BY i) FILTER (m = 'x'), ',') AS residue_index FROM x GROUP BY id, k)"""
+
+
+def stretches(spark, sf_dir, step):
+    """(id, k, s): a row for each stretch of ``step`` letters of a whole sequence."""
+    s = sequences(spark, sf_dir)
+    return s.select("id", "s", F.explode(F.sequence(F.lit(0), F.ceil(F.length("s") / step).cast("int") - 1)).alias("k"))
 
 
 def _aligned(spark, sf_dir):
-    """A stretch of each sequence with two gaps put into it."""
-    s = sequences(spark, sf_dir).where(F.length("s") >= 5)
-    al = F.rpad(F.concat(F.substring("s", 5, 6), F.lit("-"), F.substring("s", 11, 4), F.lit("."), F.substring("s", 15, 6)), len(RF), "-")
-    s = s.withColumn("al", al).withColumn("off", Q.fragment_offset(F.col("al"), F.col("s"))).where("off is not null")
+    """Every stretch of each sequence, with two gaps put into it, and its protein: the stretch
+    and up to BEFORE letters before it."""
+    s = stretches(spark, sf_dir, STEP).withColumn("i0", STEP * F.col("k") + 1).withColumn("p0", F.greatest(F.lit(1), F.col("i0") - BEFORE))
+    part = lambda at, n: F.substring(F.col("s"), F.col("i0") + at, F.lit(n))
+    al = F.rpad(F.concat(part(0, 6), F.lit("-"), part(6, 4), F.lit("."), part(10, 6)), len(RF), "-")
+    s = s.select("id", "k", F.substring(F.col("s"), F.col("p0"), F.col("i0") + STEP - F.col("p0")).alias("p"), al.alias("al"))
+    s = s.withColumn("off", Q.fragment_offset(F.col("al"), F.col("p"))).where("off is not null")
     return s.withColumn("ix", Q.residue_index(F.col("al"), F.lit(RF), F.col("off")))
 
 
-@query(f"WITH {MAP_SQL} SELECT id, residue_index FROM v")
+@query(f"WITH {MAP_SQL} SELECT id, k, residue_index FROM v")
 def residue_index_map(spark, sf_dir):
-    return _aligned(spark, sf_dir).select("id", F.array_join(F.transform("ix", lambda i: F.coalesce(i.cast("string"), F.lit("null"))), ",").alias("residue_index"))
+    return _aligned(spark, sf_dir).select("id", "k", F.array_join(F.transform("ix", lambda i: F.coalesce(i.cast("string"), F.lit("null"))), ",").alias("residue_index"))
 
 
-@query(f"""WITH {MAP_SQL}, r AS (SELECT id, s, unnest(string_split(residue_index, ',')) AS k, unnest(range(1, len(string_split(residue_index, ',')) + 1)) AS i FROM v)
-SELECT id, string_agg(CASE WHEN k = 'null' THEN '---' ELSE substr(s, 3 * k::BIGINT + 1, 3) END, '' ORDER BY i) AS codons FROM r GROUP BY id HAVING bool_and(k = 'null' OR 3 * try_cast(k AS BIGINT) + 3 <= length(s))""")
+@query(f"""WITH {MAP_SQL}, r AS (SELECT id, k, p || p || CASE WHEN k % 4 = 3 THEN substr(p, 4) ELSE p END AS cds, unnest(string_split(residue_index, ',')) AS r, unnest(range(1, len(string_split(residue_index, ',')) + 1)) AS i FROM v)
+SELECT id, k, string_agg(CASE WHEN r = 'null' THEN '---' ELSE substr(cds, 3 * r::BIGINT + 1, 3) END, '' ORDER BY i) AS codons FROM r GROUP BY id, k HAVING bool_and(r = 'null' OR 3 * try_cast(r AS BIGINT) + 3 <= length(cds))""")
 def codon_align(spark, sf_dir):
-    return _aligned(spark, sf_dir).select("id", Q.codon_row(F.col("ix"), F.col("s")).alias("codons")).where("codons is not null")
+    """Letters three times over stand for the coding sequence; every fourth is one codon short, and
+    rows that use its last residue go."""
+    last = F.when(F.col("k") % 4 == 3, F.substring(F.col("p"), F.lit(4), F.length("p"))).otherwise(F.col("p"))
+    s = _aligned(spark, sf_dir).withColumn("cds", F.concat("p", "p", last))
+    return s.select("id", "k", Q.codon_row(F.col("ix"), F.col("cds")).alias("codons")).where("codons is not null")
 
 
 _CH = "1 / (1 + 10 ** (m - 9.69)) - 1 / (1 + 10 ** (2.34 - m)) + k / (1 + 10 ** (m - 10.0)) + r / (1 + 10 ** (m - 12.0)) + h / (1 + 10 ** (m - 6.0)) - d / (1 + 10 ** (4.05 - m)) - e / (1 + 10 ** (4.45 - m)) - c / (1 + 10 ** (9.0 - m)) - y / (1 + 10 ** (10.0 - m))"
@@ -207,10 +223,11 @@ def provenance_decode(spark, sf_dir):
     return s.select("id", part["target"].alias("target"), part["protein_id"].alias("protein_id"), part["sample"].alias("sample")).crossJoin(F.broadcast(s.agg(F.count("*").alias("n"))))
 
 
-@query(f"""WITH {SEQ_SQL}, a AS (SELECT id, rpad(substr(s, 1, {len(RF)}), {len(RF)}, '.') AS al FROM q WHERE s IS NOT NULL) SELECT id, {' || '.join(f"replace(al[{i + 1}], '.', '-')" for i, c in enumerate(RF) if c == 'x')} AS projected FROM a""")
+@query(f"""WITH {SEQ_SQL}, e AS (SELECT id, s, unnest(range(0, (length(s) + {len(RF) - 1}) // {len(RF)})) AS k FROM q WHERE s IS NOT NULL),
+a AS (SELECT id, k, rpad(substr(s, {len(RF)} * k + 1, {len(RF)}), {len(RF)}, '.') AS al FROM e) SELECT id, k, {' || '.join(f"replace(al[{i + 1}], '.', '-')" for i, c in enumerate(RF) if c == 'x')} AS projected FROM a""")
 def match_projection(spark, sf_dir):
-    al = F.rpad(F.substring("s", 1, len(RF)), len(RF), ".")
-    return sequences(spark, sf_dir).select("id", S.match_projection(al, F.lit(RF)).alias("projected"))
+    al = F.rpad(F.substring(F.col("s"), len(RF) * F.col("k") + 1, F.lit(len(RF))), len(RF), ".")
+    return stretches(spark, sf_dir, len(RF)).select("id", "k", S.match_projection(al, F.lit(RF)).alias("projected"))
 
 
 @query(f"""WITH {SEQ_SQL} SELECT id, substr(s, 3, 8) || substr(s, 15, 6) AS module FROM q WHERE s IS NOT NULL""")

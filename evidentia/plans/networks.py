@@ -64,8 +64,8 @@ def connected_components(spark, sf_dir):
 
 
 SWEEP_SQL = f"""WITH RECURSIVE {EDGE_SQL}, th AS (SELECT unnest({THRESHOLDS}) AS threshold),
-bo AS (SELECT threshold, u, v FROM ed, th WHERE cosine >= threshold AND threshold >= 0.34 UNION SELECT threshold, v, u FROM ed, th WHERE cosine >= threshold AND threshold >= 0.34),
-r AS (SELECT threshold, vec_id AS node, vec_id AS seen FROM embeddings, th WHERE threshold >= 0.34 UNION SELECT r.threshold, r.node, bo.v FROM r JOIN bo ON bo.u = r.seen AND bo.threshold = r.threshold),
+bo AS (SELECT threshold, u, v FROM ed, th WHERE cosine >= threshold UNION SELECT threshold, v, u FROM ed, th WHERE cosine >= threshold),
+r AS (SELECT threshold, vec_id AS node, vec_id AS seen FROM embeddings, th UNION SELECT r.threshold, r.node, bo.v FROM r JOIN bo ON bo.u = r.seen AND bo.threshold = r.threshold),
 c AS (SELECT threshold, node, min(seen) AS component FROM r GROUP BY ALL), s AS (SELECT threshold, component, count(*) AS size FROM c GROUP BY ALL)
 SELECT s.threshold::DOUBLE AS threshold, any_value(ne.n) AS n_edges, count(*) AS n_components, max(size) AS largest_component, count(*) FILTER (size = 1) AS n_singletons
 FROM s JOIN (SELECT threshold, count(u) AS n FROM th LEFT JOIN ed ON cosine >= threshold GROUP BY threshold) ne ON ne.threshold = s.threshold GROUP BY s.threshold"""
@@ -73,7 +73,7 @@ FROM s JOIN (SELECT threshold, count(u) AS n FROM th LEFT JOIN ed ON cosine >= t
 
 @query(SWEEP_SQL)
 def threshold_sweep(spark, sf_dir):
-    return G.threshold_sweep(nodes(spark, sf_dir), edges(spark, sf_dir), "cosine", [t for t in THRESHOLDS if t >= 0.34])
+    return G.threshold_sweep(nodes(spark, sf_dir), edges(spark, sf_dir), "cosine", THRESHOLDS)
 
 
 @query("""
