@@ -44,7 +44,15 @@ def staged(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = jpath
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``staged`` wrote, once all that was made from them is staged too."""
+    for df in tables:
+        df._staged.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(df._staged, True)
 
 
 ROWS_PER_BATCH = 256

@@ -121,6 +121,16 @@ def _colliding(pairs: DataFrame, classes: DataFrame, match: int) -> DataFrame:
     return both.where(same >= match).select("u", "v").distinct()
 
 
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sets, pair by pair, by one sort of them all."""
+    both = [np.concatenate(x) for x in zip(left, right, strict=True)]
+    pair, s = np.repeat(np.arange(len(both)), [len(x) for x in both]), np.concatenate(both)
+    order = np.lexsort((s, pair))
+    pair, s = pair[order], s[order]
+    twice = (s[1:] == s[:-1]) & (pair[1:] == pair[:-1])
+    return np.bincount(pair[1:][twice], minlength=len(both))
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Pairs that reach ``similarity`` on the full sets of their texts.  Only texts that the
     pairs may need are shuffled."""
@@ -137,17 +147,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, similarity: float)
     out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
-        last = (None, None)
         for batch in batches:
             u, v, a, b = (batch.column(i).to_pylist() for i in range(4))
-            ok = []
-            for k, right in enumerate(shingle_sets(b, width)):
-                if last[0] != (u[k], a[k]):
-                    last = ((u[k], a[k]), next(shingle_sets([a[k]], width)))
-                left = last[1]
-                inter = len(np.intersect1d(left, right, assume_unique=True))
-                ok.append(bool(len(left)) and 100 * inter >= percent * (len(left) + len(right) - inter))
-            mask = pa.array(ok, pa.bool_())
+            new = [k for k in range(len(u)) if not k or (u[k], a[k]) != (u[k - 1], a[k - 1])]  # rows of one u come together
+            left = list(shingle_sets([a[k] for k in new], width))
+            of = np.searchsorted(new, np.arange(len(u)), "right") - 1
+            right = list(shingle_sets(b, width))
+            inter = np.concatenate([_intersections([left[i] for i in of[k : k + 64]], right[k : k + 64]) for k in range(0, len(u), 64)])
+            n, m = np.array([len(left[i]) for i in of]), np.array([len(x) for x in right])
+            mask = pa.array((n > 0) & (100 * inter >= percent * (n + m - inter)), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], schema=out)
 
     return mapped(both.select("u", "v", "a", "b"), run, "u long, v long").distinct()
@@ -249,7 +257,7 @@ def _blocks(rows: DataFrame, sizes: DataFrame, classes: DataFrame, docs: DataFra
 
 
 def links(post: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float, per_slot: int = 1) -> DataFrame:
-    """Confirmed links (u, v) that connect what all links between classes that share a posting
+    """Pairs (u, v) that connect what all confirmed links between classes that share a posting
     would connect.  ``post``: key, slot, node, n, popular, where slot s says that the key stands
     for signature coordinates from s * per_slot on; ``classes``: node, n, sig; ``docs``: id,
     text of each node."""
@@ -278,7 +286,9 @@ def links(post: DataFrame, classes: DataFrame, docs: DataFrame, width: int, simi
     pairs = pairs.join(tried, ["u", "v"], "left_anti")
     second = _confirmed(staged(_colliding(pairs, classes, match)), docs, width, similarity)
     third = _blocks(rest, sizes.where(F.col("_size") > SHORT), classes, docs, match, width, similarity, per_slot)
-    return staged(first.unionByName(second).unionByName(third))
+    # the components of round one, as stars, connect what its links do
+    star = label.where("node != component").select(F.col("component").alias("u"), F.col("node").alias("v"))
+    return staged(star.unionByName(second).unionByName(third))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.75) -> DataFrame:

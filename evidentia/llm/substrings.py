@@ -12,8 +12,8 @@ Equal shingle sets are one class.  Each class is posted under its bands (``bands
 and bands for the wanted recall at the similarity threshold).  Colliding classes are paired
 through hubs first and exhaustively across components after that (see ``near.links``), confirmed
 by exact Jaccard on their full shingle sets, and joined to components.  In a component that
-spans two documents or more the least document keeps its paragraphs, once each; the others
-are removals.
+spans two documents or more the least document keeps its paragraphs, once in a text; the
+others are removals.
 
 What is found: every passage of ``min_words`` words or more that two texts share word for word,
 to its ends and at all its places; passages with edits only where they are lines or blocks
@@ -35,9 +35,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, BLANKS, _powers, encode, hashed_words, mapped, maybe_in, mix, shingles, staged, text_groups
+from .common import ASCII_LOWER, BLANKS, _powers, discard, encode, hashed_words, mapped, maybe_in, mix, shingles, staged, text_groups
 from .graph import components
-from .near import _A, _B, K, links, shingle_sets, signature
+from .near import _A, _B, K, links
 
 MIN_WORDS = 50
 RECALL = 0.9999
@@ -62,33 +62,40 @@ _STEPS = np.random.default_rng(11).integers(1, 2**63, K, dtype=np.uint64) | np.u
 _CHUNK = 1 << 17
 
 
-def sign(words: np.ndarray, start: np.ndarray, end: np.ndarray, width: int, rb: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(node, band keys) of the parts [start, end) of ``words``, each of ``width`` words or more,
-    all at once.  ``node`` is a hash of a part's shingle set; a band's number is in the lowest
-    six bits of its key."""
-    r, b = rb
+def signed(words: np.ndarray, start: np.ndarray, end: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, signature, size of the shingle set) of the parts [start, end) of ``words``, each of
+    ``width`` words or more, all at once.  ``node`` is a hash of a part's shingle set; a signature
+    is a column of ``k`` coordinates, those of ``near.signature``."""
     n = end - start - (width - 1)
-    node = np.zeros(len(n), np.uint64)
-    sig = np.full((r * b, len(n)), np.uint64(2**64 - 1))
+    node, size = np.zeros(len(n), np.uint64), np.zeros(len(n), np.int64)
+    sig = np.full((k, len(n)), np.uint64(2**64 - 1))
     every = shingles(words, width) if len(words) >= width else words[:0]
     first, upto = 0, np.cumsum(n)
     while first < len(n):  # parts of about _CHUNK shingles together
         last = max(first + 1, int(np.searchsorted(upto, upto[first] - n[first] + _CHUNK)))
-        size = n[first:last]
-        at = np.concatenate(([0], np.cumsum(size)[:-1]))
-        part = np.repeat(np.arange(len(size)), size)
-        s = every[np.arange(int(size.sum())) - at[part] + start[first:last][part]]
-        for k in range(r * b):
-            sig[k, first:last] = np.minimum.reduceat(s * _A[k] + _B[k], at)
+        many = n[first:last]
+        at = np.concatenate(([0], np.cumsum(many)[:-1]))
+        part = np.repeat(np.arange(len(many)), many)
+        s = every[np.arange(int(many.sum())) - at[part] + start[first:last][part]]
+        for i in range(k):
+            sig[i, first:last] = np.minimum.reduceat(s * _A[i] + _B[i], at)
         order = np.lexsort((s, part))
         s, part = s[order], part[order]
         new = np.concatenate(([True], (s[1:] != s[:-1]) | (part[1:] != part[:-1])))
         node[first:last] = np.add.reduceat(np.where(new, mix(s), np.uint64(0)), at)
+        size[first:last] = np.add.reduceat(new, at, dtype=np.int64)
         first = last
-    parts = (mix(sig) >> np.uint64(32)).reshape(b, r, len(n))
+    return node.view(np.int64), (mix(sig) >> np.uint64(32)).astype(np.uint32).view(np.int32), size
+
+
+def sign(words: np.ndarray, start: np.ndarray, end: np.ndarray, width: int, rb: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(node, band keys) of parts of ``words``; a band's number is in the lowest six bits of its key."""
+    r, b = rb
+    node, sig, _ = signed(words, start, end, width, r * b)
+    parts = sig.view(np.uint32).astype(np.uint64).reshape(b, r, len(node))
     keys = mix((parts * _STEPS[:r, None]).sum(axis=1, dtype=np.uint64) + np.uint64(1))
     keys = (keys & ~np.uint64(63)) | np.arange(b, dtype=np.uint64)[:, None]
-    return node.view(np.int64), np.ascontiguousarray(keys.T).view(np.int64)
+    return node, np.ascontiguousarray(keys.T).view(np.int64)
 
 
 def _slide(x: np.ndarray, n: int, least: bool) -> np.ndarray:
@@ -200,12 +207,13 @@ def read(texts: DataFrame, width: int, min_words: int, rb: tuple[int, int]) -> D
 
 
 def _bodies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (th, doc_id and more) with the ``body`` of that document; only texts that
-    may be wanted are shuffled."""
+    """``wanted`` (th, doc_id and more, each th once) with the ``body`` of that document; only texts
+    that may be wanted are shuffled."""
     key = F.xxhash64("th", "doc_id")
     held = maybe_in(texts, key, wanted.select(key.alias("id")))
     held = held.select(F.col("th").alias("_t"), F.col("doc_id").alias("_d"), "body")
-    return wanted.join(held, (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_t", "_d")
+    both = wanted.join(held, F.col("th") == F.col("_t")).where(F.col("doc_id").eqNullSafe(F.col("_d")))
+    return both.drop("_t", "_d").dropDuplicates(["th"])  # of repeated rows
 
 
 def _shared(posts: DataFrame, *more: Column) -> DataFrame:
@@ -260,13 +268,14 @@ def stretches(texts: DataFrame, per: DataFrame, reps: DataFrame, min_words: int)
     marks = staged(marks.groupBy("th").agg(F.collect_list("h").alias("marks")).join(reps.select("th", "doc_id"), "th"))
     posts = staged(window_posts(_bodies(texts, marks), min_words))
     # one first place in each text, so the place in the least text is one
-    shared = _shared(posts.where("first"), F.min_by("pos", "th").alias("at"))
-    held = posts.select("th", "h", "pos").join(shared, "h").repartition("th").dropDuplicates(["th", "pos"])
+    known = _shared(posts.where("first"), F.min_by("pos", "th").alias("at"))
+    held = posts.select("th", "h", "pos").join(known, "h")
     by = W.partitionBy("th").orderBy("pos")
     new = (F.col("pos") - 1).eqNullSafe(F.lag("pos").over(by)) & F.col("lo").eqNullSafe(F.lag("lo").over(by))
     held = held.withColumn("new", F.when(new, 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
     runs = held.groupBy("th", "run").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + min_words).alias("n"), F.min("lo").alias("lo"), F.min_by("at", "pos").alias("at"), F.max_by("at", "pos").alias("end"))
     runs = staged(runs.withColumn("own", (F.col("lo") == F.col("th")) & (F.col("at") == F.col("start"))).withColumn("row", F.col("end") - F.col("at") == F.col("n") - min_words).drop("run", "end"))
+    discard(shared, marks, posts, known)
     copy = runs.where("not own")
     named = copy.select("th", "start", "n", F.when(F.col("row"), F.col("lo")).otherwise(F.col("th")).alias("src"), F.when(F.col("row"), F.col("at")).otherwise(F.col("start")).alias("at"))
     source = copy.where("row").select(F.col("lo").alias("th"), F.col("at").alias("start"), "n", F.col("lo").alias("src"), "at").distinct()
@@ -297,29 +306,22 @@ def signed_places(held: DataFrame, width: int, rb: tuple[int, int]) -> DataFrame
     return mapped(held.select("th", "body", "places"), run, "src long, at long, n long, node long, bands array<long>")
 
 
-def paragraph_texts(held: DataFrame) -> DataFrame:
-    """Rows (id, text) of rows (body, places) with places (id, start, n in words)."""
-    out = pa.schema([("id", pa.int64()), ("text", pa.string())])
+def paragraph_texts(held: DataFrame, width: int) -> DataFrame:
+    """Rows (node, text, n, sig) of rows (body, places) with places (id, start, n in words)."""
+    out = pa.schema([("node", pa.int64()), ("text", pa.string()), ("n", pa.int64()), ("sig", pa.list_(pa.int32()))])
 
     def run(batches):
         for batch in batches:
             for body, places in zip(encode(batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True):
                 first, last = spans(body)
-                yield pa.RecordBatch.from_arrays([pa.array([x["id"] for x in places], pa.int64()), pa.array([body[first[x["start"]] : last[x["start"] + x["n"] - 1]].decode("utf-8", "surrogatepass") for x in places], pa.string())], schema=out)
-
-    return mapped(held.select("body", "places"), run, "id long, text string")
-
-
-def signed(texts: DataFrame, width: int) -> DataFrame:
-    """(node, n, sig) of rows (id, text)."""
-    out = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("sig", pa.list_(pa.int32()))])
-
-    def run(batches):
-        for batch in batches:
-            sets = list(shingle_sets(batch.column(1).to_pylist(), width))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x) for x in sets], pa.list_(pa.int32()))], schema=out)
+                words, _ = hashed_words([body.translate(ASCII_LOWER)], BLANKS)
+                start, n = (np.array([x[c] for x in places]) for c in ("start", "n"))
+                _, sig, size = signed(words, start, start + n, width, K)
+                texts = [body[first[x["start"]] : last[x["start"] + x["n"] - 1]].decode("utf-8", "surrogatepass") for x in places]
+                held = pa.ListArray.from_arrays(pa.array(np.arange(len(places) + 1) * K, pa.int32()), pa.array(np.ascontiguousarray(sig.T).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([x["id"] for x in places], pa.int64()), pa.array(texts, pa.string()), pa.array(size, pa.int64()), held], schema=out)
 
-    return mapped(texts.select("id", "text"), run, "node long, n long, sig array<int>").dropDuplicates(["node"])
+    return mapped(held.select("body", "places"), run, "node long, text string, n long, sig array<int>")
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.75, min_words: int = MIN_WORDS) -> DataFrame:
@@ -340,7 +342,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     found = staged(found.unionByName(whole.select("th", F.lit(0).cast("long").alias("start"), "n", F.col("th").alias("src"), F.lit(0).cast("long").alias("at"))).distinct())
     places = found.select("src", "at", "n").distinct().groupBy("src").agg(F.collect_list(F.struct("at", "n")).alias("places"))
     known = staged(signed_places(_bodies(texts, staged(places.withColumnRenamed("src", "th").join(reps, "th").drop("many"))), width, (r, b)))
-    node = known.select("src", "at", "n", "node").distinct()
+    node = known.select("src", "at", "n", "node")
     found = staged(found.join(node, ["src", "at", "n"]).select("th", "start", "n", "node"))
 
     parts = per.select("doc_id", "th", F.explode("parts").alias("p")).select("doc_id", "th", "p.start", "p.n", "p.node", "p.bands")
@@ -355,19 +357,18 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     some = maybe_in(seen, F.col("node"), ids).join(ids, F.col("node") == F.col("id"), "left_semi")
     one = some.groupBy("node").agg(F.min(F.struct("th", "start", "n")).alias("p"))
     one = one.groupBy(F.col("p.th").alias("th")).agg(F.collect_list(F.struct(F.col("node").alias("id"), "p.start", "p.n")).alias("places"))
-    body = staged(paragraph_texts(_bodies(texts, staged(one.join(reps, "th").drop("many")))).dropDuplicates(["id"]))
-    classes = staged(signed(body, width))
+    classes = staged(paragraph_texts(_bodies(texts, staged(one.join(reps, "th").drop("many"))), width))
     post = post.join(classes.select("node", "n"), "node").withColumn("popular", F.count("*").over(W.partitionBy("node")))
     post = post.select("key", F.col("key").bitwiseAND(63).cast("int").alias("slot"), "node", "n", "popular")
-    near = links(post, classes.select("node", "n", "sig"), body, width, similarity, r).select("u", "v")
+    near = links(post, classes.select("node", "n", "sig"), classes.select(F.col("node").alias("id"), "text"), width, similarity, r).select("u", "v")
     other = node.select(F.col("src").alias("src2"), F.col("at").alias("at2"), F.col("n").alias("n2"), F.col("node").alias("v"))
     exact = link.join(node, ["src", "at", "n"]).join(other, ["src2", "at2", "n2"]).select(F.col("node").alias("u"), "v")
     label = components(near.unionByName(exact), "u", "v")
 
-    named = seen.join(label, "node", "left").select("th", "start", "n", "node", F.coalesce("component", "node").alias("cluster"))
+    again = F.row_number().over(W.partitionBy("th", "node").orderBy("start", "n")) > 1
+    named = seen.withColumn("again", again).join(label, "node", "left").select("th", "start", "n", "again", F.coalesce("component", "node").alias("cluster"))
     named = staged(named.join(docs_of, "th"))
     count = named.groupBy("cluster", "doc_id").agg(F.lit(1)).groupBy("cluster").agg(F.count("*").alias("n_docs"), F.count("doc_id").alias("_ids"), F.min("doc_id").alias("_least")).where("n_docs > 1")
     keeps = staged(count.select("cluster", "n_docs", F.when(F.col("_ids") == F.col("n_docs"), F.col("_least")).alias("cluster_id")))
     out = named.join(keeps, "cluster")
-    again = F.row_number().over(W.partitionBy("cluster", "doc_id", "node").orderBy("start", "n", "th")) > 1
-    return out.select("doc_id", "th", "start", F.col("n").alias("n_words"), "cluster", "cluster_id", "n_docs", (~F.col("doc_id").eqNullSafe(F.col("cluster_id")) | again).alias("removed"))
+    return out.select("doc_id", "th", "start", F.col("n").alias("n_words"), "cluster", "cluster_id", "n_docs", (~F.col("doc_id").eqNullSafe(F.col("cluster_id")) | F.col("again")).alias("removed"))
