@@ -55,6 +55,16 @@ def discard(*tables: DataFrame) -> None:
         df._staged.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(df._staged, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores put before it until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 ROWS_PER_BATCH = 256
 
 

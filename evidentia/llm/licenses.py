@@ -55,10 +55,12 @@ OWN = {
 }
 PERMISSIVE = {"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "0bsd", "unlicense", "cc0-1.0", "zlib"}
 SEPARATE = ASCII_LOWER.translate(bytes(32 if x < 0x30 or 0x3A <= x <= 0x40 or 0x5B <= x <= 0x60 or 0x7B <= x <= 0x7F else x for x in range(256)))
-TAG = re.compile(r"SPDX-License-Identifier:", re.I)
+TAG = "spdx-license-identifier:"
 LINE_END = re.compile(r"[\n\r]|\Z")
 TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*)")
 RANK = {"or": 1, "and": 2, "with": 3}
+#: A text without these words in a row has no tag.
+WORDS_OF_TAG = ("spdx license identifier",)
 
 
 def parse_expression(text: str, at: int = 0, end: int | None = None):
@@ -142,12 +144,13 @@ def permissive(tree) -> bool:
 
 
 @lru_cache
-def automaton():
+def automaton(of: str = "notices"):
+    """Of notice phrases, over normalised words; or of tags, over text as it stands."""
     import ahocorasick
 
     out = ahocorasick.Automaton()
-    for phrase in {**OWN, **BASE}:
-        out.add_word(f" {phrase} ", phrase)
+    for word, name in [(TAG, TAG)] if of == "tags" else [(f" {x} ", x) for x in (*OWN, *BASE, *WORDS_OF_TAG)]:
+        out.add_word(word, name)
     out.make_automaton()
     return out
 
@@ -158,7 +161,11 @@ def scan(text: str | None) -> tuple:
     flat = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} " if words else ""
     starts, base, labels = [], set(), set()
     at = nth = 0
+    tagged = False
     for end, phrase in automaton().iter(flat):
+        if phrase in WORDS_OF_TAG:
+            tagged = True
+            continue
         if phrase in BASE:
             begin = end - len(phrase) - 1
             nth += flat.count(" ", at, begin) if begin >= at else -flat.count(" ", begin, at)
@@ -167,12 +174,13 @@ def scan(text: str | None) -> tuple:
             base.add(BASE[phrase])
         labels.add(BASE.get(phrase) or OWN[phrase])
     free = None
-    if flat and " spdx license identifier " in flat:
+    if tagged:
         end = -1
-        for m in TAG.finditer(text):
-            if end < m.end():
-                end = LINE_END.search(text, m.end()).start()
-            if (tree := parse_expression(text, m.end(), end)) is not None:
+        raw = text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).decode("utf-8", "surrogatepass")
+        for last, _ in automaton("tags").iter(raw):
+            if end <= last:
+                end = LINE_END.search(text, last + 1).start()
+            if (tree := parse_expression(text, last + 1, end)) is not None:
                 labels.update(f"spdx:{x}" for x in identifiers(tree))
                 free = permissive(tree) if free is None else free and permissive(tree)
     score = 1.0 if free is not None or len(base) > 1 else 0.75 if base else 0.5 if labels else 0.0

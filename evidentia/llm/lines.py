@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, staged
+from .common import SPACES, ascii_lower, fresh, staged
 
 
 def _body(text: str) -> Column:
@@ -70,12 +70,14 @@ def kept_lines(body: Column, keep: Column) -> Column:
     return F.when(keep.isNull(), body).otherwise(F.array_join(lines, "\n"))
 
 
-def apply(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with dropped lines taken out of ``text``, and two last columns: ``_n_lines``
-    before dropping and ``_dropped``."""
-    maps = bitmaps.select(F.col("doc_id").alias("_bm_id"), F.col("th").alias("_bm_th"), F.col("n_dropped").alias("_bm_n"), F.col("keep").alias("_bm_keep"))
-    joined = docs.join(maps, F.col(f"`{doc_id}`").eqNullSafe(F.col("_bm_id")) & (F.xxhash64(_body(text)) == F.col("_bm_th")), "left")
-    body = F.when(F.col("_bm_keep").isNull(), F.col(f"`{text}`")).otherwise(kept_lines(_body(text), F.col("_bm_keep")))
-    out = [body.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+def apply(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("_n_lines", "_dropped")) -> DataFrame:
+    """``docs`` with dropped lines taken out of ``text``, and two last columns, named ``counts``:
+    lines before dropping and lines dropped.  A column of ``docs`` with such a name goes."""
+    own = fresh(docs, "_bm_id", "_bm_th", "_bm_n", "_bm_keep")
+    i, th, dropped, keep = map(F.col, own)
+    maps = bitmaps.select("doc_id", "th", "n_dropped", "keep").toDF(*own)
+    joined = docs.join(maps, F.col(f"`{doc_id}`").eqNullSafe(i) & (F.xxhash64(_body(text)) == th), "left")
+    body = F.when(keep.isNull(), F.col(f"`{text}`")).otherwise(kept_lines(_body(text), keep))
+    out = [body.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in counts]
     n = F.size(split_lines(_body(text))).cast("long")
-    return joined.select(*out, n.alias("_n_lines"), F.coalesce(F.col("_bm_n"), F.lit(0)).cast("long").alias("_dropped"))
+    return joined.select(*out, n.alias(counts[0]), F.coalesce(dropped, F.lit(0)).cast("long").alias(counts[1]))

@@ -34,6 +34,7 @@ class Node:
     id: int
     leaves: int
     children: "tuple[Node, Node] | None" = None
+    rows: int = -1
 
 
 def _number(df: DataFrame, name: str) -> Column:
@@ -84,7 +85,7 @@ def _quantiles(rows: DataFrame, spans: dict[int, tuple[int, int, int]]) -> dict[
 
 def kd_tree(base: DataFrame, dims: list[str], shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """``base`` (``dims``, TIES, ``_bytes``) with a last column ``shard``.  Stops at ``shards``
-    leaves, or where leaves reach ``target_bytes``."""
+    leaves, or where a node's bytes are within ``target_bytes`` (or it can't be cut)."""
     whole = base.agg(F.sum("_bytes"), F.count("*"), *[F.min(d) for d in dims], *[F.max(d) for d in dims]).first()
     k = shards or max(1, -(-(whole[0] or 0) // target_bytes))
     root, ids = Node(0, k), 1
@@ -93,8 +94,16 @@ def kd_tree(base: DataFrame, dims: list[str], shards: int | None = None, target_
     level = [root] if k > 1 and whole[1] else []
     while level:
         stats = _with(rows, "_open int", [(x.id, 1) for x in level]).groupBy("_node")
-        got = {r["_node"]: r for r in stats.agg(F.sum("_bytes").alias("b"), *[f(d).alias(n + d) for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).collect()}
+        got = {r["_node"]: r for r in stats.agg(F.sum("_bytes").alias("b"), F.count("*").alias("c"), *[f(d).alias(n + d) for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).collect()}
+        for x in level:
+            x.leaves = x.leaves if x.id in got or not target_bytes else 0  # an empty side of a cut is no shard
         level = [x for x in level if x.id in got]
+        if target_bytes:  # each node by its own bytes; one that its parent's cut left whole can't be cut
+            for x in level:
+                x.leaves = 1 if x.rows == got[x.id]["c"] else -(-got[x.id]["b"] // target_bytes)
+            level = [x for x in level if x.leaves > 1]
+            if not level:
+                break
         widest = {x.id: max(dims, key=lambda d, r=got[x.id]: ((r["hi" + d] - r["lo" + d]) / width[d], -dims.index(d))) for x in level}
         valued = _with(rows, "_dim int", [(i, dims.index(d) + 1) for i, d in widest.items()]).withColumn("_v", F.element_at(F.array(*dims), F.col("_dim")))
         want = {x.id: got[x.id]["b"] * (x.leaves // 2) // x.leaves for x in level}
@@ -103,10 +112,10 @@ def kd_tree(base: DataFrame, dims: list[str], shards: int | None = None, target_
         ties = _quantiles(tied.select("_node", F.col(TIES).alias("_v"), "_bytes"), {i: (0, 2**24 - 1, want[i] - b) for i, (_, b) in cuts.items()})
         params, below = [], []
         for x in level:
-            x.children = (Node(ids, x.leaves // 2), Node(ids + 1, x.leaves - x.leaves // 2))
+            x.children = tuple(Node(ids + i, n, rows=got[x.id]["c"]) for i, n in enumerate((x.leaves // 2, x.leaves - x.leaves // 2)))
             ids += 2
             params.append((x.id, dims.index(widest[x.id]) + 1, cuts[x.id][0], ties[x.id][0], x.children[0].id))
-            below += [y for y in x.children if y.leaves > 1]
+            below += [y for y in x.children if y.leaves > 1 or target_bytes]
         split = _with(rows, "_dim int, _cut long, _tie long, _left int", params, "left")
         value = F.element_at(F.array(*dims), F.col("_dim"))
         right = (value > F.col("_cut")) | ((value == F.col("_cut")) & (F.col(TIES) >= F.col("_tie")))
@@ -117,7 +126,7 @@ def kd_tree(base: DataFrame, dims: list[str], shards: int | None = None, target_
         x = stack.pop()
         if x.children:
             stack += x.children[::-1]
-        else:
+        elif x.leaves:
             numbers.append((x.id, len(numbers)))
     return _with(rows, "shard int", numbers).drop("_node")
 

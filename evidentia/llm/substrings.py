@@ -312,14 +312,20 @@ def paragraph_texts(held: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for body, places in zip(encode(batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True):
-                first, last = spans(body)
-                words, _ = hashed_words([body.translate(ASCII_LOWER)], BLANKS)
-                start, n = (np.array([x[c] for x in places]) for c in ("start", "n"))
-                _, sig, size = signed(words, start, start + n, width, K)
-                texts = [body[first[x["start"]] : last[x["start"] + x["n"] - 1]].decode("utf-8", "surrogatepass") for x in places]
-                held = pa.ListArray.from_arrays(pa.array(np.arange(len(places) + 1) * K, pa.int32()), pa.array(np.ascontiguousarray(sig.T).ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array([x["id"] for x in places], pa.int64()), pa.array(texts, pa.string()), pa.array(size, pa.int64()), held], schema=out)
+            bodies, places = encode(batch.column(0).to_pylist()), batch.column(1)
+            for a, b in text_groups([len(x) for x in bodies]):
+                words, bound = hashed_words([x.translate(ASCII_LOWER) for x in bodies[a:b]], BLANKS)
+                mine = [places[i].values for i in range(a, b)]
+                of = np.repeat(np.arange(b - a), [len(x) for x in mine])
+                node, start, n = (np.concatenate([x.field(c).to_numpy(zero_copy_only=False) for x in mine]) for c in ("id", "start", "n"))
+                _, sig, size = signed(words, start + bound[of], start + n + bound[of], width, K)
+                texts = []
+                for i, x in enumerate(mine):
+                    first, last = spans(bodies[a + i])
+                    at = slice(*np.searchsorted(of, (i, i + 1)))
+                    texts += [bodies[a + i][p:q].decode("utf-8", "surrogatepass") for p, q in zip(first[start[at]].tolist(), last[start[at] + n[at] - 1].tolist(), strict=True)]
+                held = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * K, pa.int32()), pa.array(np.ascontiguousarray(sig.T).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(texts, pa.string()), pa.array(size, pa.int64()), held], schema=out)
 
     return mapped(held.select("body", "places"), run, "node long, text string, n long, sig array<int>")
 

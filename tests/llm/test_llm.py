@@ -107,6 +107,19 @@ def test_sharding_hot_value_and_target(spark):
     assert len(n) == 6 and max(n.values()) - min(n.values()) <= 40
 
 
+def test_sharding_to_target_bytes(spark):
+    r = random.Random(3)
+    made = [(i, "x" * r.choice([1, 5, 40, 300]), "en", f"s{i % 5}", i) for i in range(400)] + [(1000, "y" * 9000, "en", "s1", 9000), (1001, "y" * 9000, "en", "s1", 9000)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sharding.shard(df, shards=None, target_bytes=2500).collect()
+    held = collections.defaultdict(list)
+    for x in got:
+        held[x["shard"]].append(x["size"])
+    assert len(got) == len(made) and set(held) == set(range(len(held)))
+    assert all(sum(v) <= 2500 or 9008 in v for v in held.values())
+    assert len(held) <= 4 * sum(x["size"] for x in got) / 2500
+
+
 # --- 2 ----------------------------------------------------------------------------------------
 
 
@@ -618,31 +631,78 @@ def test_extract(spark):
 # --- pipeline ---------------------------------------------------------------------------------
 
 
-def test_pipeline(spark, rows, empty, tmp_path):
+CLASHING = "_dropped _n_lines _bm_id _own _least _node _th _d _t".split()
+
+
+def test_pipeline(spark, rows, empty, tmp_path, reference):
     import corpus_pipeline as p
 
     clean = [("Word%d " % i) + " ".join(f"q{i}x{k}" for k in range(40)) for i in range(3)]
     extra = [(1000 + i, t, "en", "s", len(t), "", "", "") for i, t in enumerate(clean)]
-    dirty = (2000, "lead in words " + " ".join(f"bench{k}" for k in range(20)), "en", "s", 1, "", "", "")
-    docs = spark.createDataFrame([*rows, *extra, dirty], SCHEMA)
+    bench = " ".join(f"bench{k}" for k in range(20))
+    dirty = [(2000, "lead in words " + bench, "en", "s", 1, "", "", ""), (2001, "so " * 3 + " ".join(f"f{k}" for k in range(900)) + " " + bench, "en", "s", 1, "", "", "")]
+    twice = [(3000, " ".join(f"z{k}" for k in range(30)), "en", "s", 1, "", "", ""), (3000, " ".join(f"y{k}" for k in range(30)), "en", "s", 1, "", "", "")]
+    docs = spark.createDataFrame([*rows, *extra, *dirty, *twice], SCHEMA)
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.lit("kept"))
     d = str(tmp_path)
-    spark.createDataFrame([(1, " ".join(f"bench{k}" for k in range(20)))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     docs.write.parquet(f"{d}/documents.parquet")
-    step = docs
+    step, at = docs, {}
     for k, (name, stage) in enumerate(p.STAGES):
         out = stage(spark, step, d)
         if k < len(p.STAGES) - 1:
             assert out.columns == docs.columns, name
         out.write.parquet(f"{d}/out{k}")
         step = spark.read.parquet(f"{d}/out{k}")
-    last = {r["doc_id"] for r in step.collect()}
-    assert {1000, 1001, 1002} <= last and 2000 not in last
+        at[name] = [tuple(r) for r in step.collect()]
+    first = [tuple(r) for r in docs.collect()]
+    some = lambda x: (x is not None, x)
+    by = lambda t: sorted(t, key=lambda r: tuple(map(some, map(str, r))))
+    # quality: the verdict of each row alone
+    order = list(quality.RULES)
+    assert by(at["quality"]) == by(r for r in first if quality.verdict(next(iter(quality._docs([r[1]]))), order) is None)
+    # lines: those that ten documents or more have
+    docs_with = collections.defaultdict(set)
+    for i, t, *_ in at["quality"]:
+        for line in (t or "").split("\n"):
+            docs_with[key_of(line)].add(i)
+    common = {k for k, ids in docs_with.items() if k and len(ids) >= 10}
+    want = []
+    for r in at["quality"]:
+        left = [x for x in (r[1] or "").split("\n") if key_of(x) not in common]
+        text = "\n".join(left)
+        want.append(r if len(left) == len((r[1] or "").split("\n")) else (r[0], text, *r[2:4], len(text), *r[5:]))
+    assert by(at["line_dedup"]) == by(want) and by(want) != by(at["quality"])
+    # near copies: the least document of each component, once
+    comp = brute_components(at["line_dedup"])
+    stay = {i for i, c in comp.items() if i == c}
+    assert sorted(r[0] for r in at["near_dedup"] if r[0] is not None) == sorted(stay) and len(stay) < len(comp)
+    assert set(at["near_dedup"]) <= set(at["line_dedup"]) and [r for r in at["near_dedup"] if r[0] is None] == [r for r in at["line_dedup"] if r[0] is None]
+    # benchmark: one word in twenty inside a hit or more
+    item = low(bench)
+    windows = {tuple(item[k : k + 13]) for k in range(len(item) - 12)}
+
+    def dirty_text(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(UP))
+        hit = {p for k in range(len(w) - 12) if tuple(w[k : k + 13]) in windows for p in range(k, k + 13)}
+        return bool(hit) and 20 * len(hit) >= len(w)
+
+    assert by(at["decontamination"]) == by(r for r in at["near_dedup"] if not dirty_text(r[1]))
+    ids = {r[0] for r in at["decontamination"]}
+    assert {1000, 1001, 1002, 2001, 3000} <= ids and 2000 not in ids
+    # packing: every id once, in order
+    held = collections.defaultdict(list)
+    names = step.columns
+    for r in at["packing"]:
+        x = dict(zip(names, r, strict=True))
+        held[x["doc_id"], x["doc_tokens"]].append((x["start"], x["length"], x["ids_crc32"]))
+    for i, t, *_ in at["decontamination"]:
+        w = np.array([*reference.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        assert [(a, n, zlib.crc32(w[a : a + n].tobytes())) for a, n, _ in sorted(held[i, len(w)])] == sorted(held[i, len(w)]) and sum(n for _, n, _ in held[i, len(w)]) == len(w)
+    assert len(held) == len(at["decontamination"])
     whole = p.run(spark, d)
     key = lambda df: sorted(map(tuple, df.select("doc_id", "start", "length", "ids_crc32", "sequence_id", "offset").collect()), key=str)
     assert key(whole) == key(step)
-    before = spark.read.parquet(f"{d}/out1")
-    comp = brute_components([tuple(r) for r in before.collect()])
-    kept = [r["doc_id"] for r in spark.read.parquet(f"{d}/out2").where("doc_id is not null").collect()]
-    assert sorted(kept) == sorted(i for i, c in comp.items() if i == c)
     for _, stage in p.STAGES:
         assert stage(spark, empty, d).count() == 0
