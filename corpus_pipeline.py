@@ -10,7 +10,7 @@ all but the last return the columns of ``documents``.
 - packing: pieces of at most 2048 tokens with their places in sequences.
 
 Null doc_ids are never taken for copies of each other; rows that repeat a doc_id are one
-document to near_dedup.  Empty tables pass through as empty.
+document to near_dedup, which keeps one of them, the same in every run.  Empty tables pass through as empty.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import contamination, lines, near, packing
 from evidentia.llm import quality as rules
-from evidentia.llm.common import staged, table
+from evidentia.llm.common import fresh, staged, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,21 +28,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.apply(docs, lines.keep_bitmaps(docs, mode="common", min_docs=10))
-    n = F.when(F.col("_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    n_lines, dropped = fresh(docs, "_n_lines", "_dropped")
+    out = lines.apply(docs, lines.keep_bitmaps(docs, mode="common", min_docs=10), counts=(n_lines, dropped))
+    n = F.when(F.col(dropped) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    own, least, node = fresh(docs, "_own", "_least", "_node")
+    # of several rows with one doc_id the one with the least hash stays, in any run
+    row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    first = docs.groupBy(F.col("doc_id").alias(node)).agg(F.min(row).alias(least))
+    kept = near.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(node)).distinct()
+    once = docs.withColumn(own, row).join(first.join(kept, node), F.col("doc_id") == F.col(node)).where(F.col(own) == F.col(least))
+    return once.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    node, th = fresh(docs, "_node", "_th")
     found = contamination.contaminated(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    found = staged(found.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_t"))
+    found = staged(found.select(F.col("doc_id").alias(node), F.col("th").alias(th)))
+    same = F.col("doc_id").eqNullSafe(F.col(node)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(th))
     return docs.join(found, same, "left_anti")
 
 
