@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .joins import first_per_key
 from .staging import numbered
 
 
 def best_match(rows: DataFrame, keys: list[str], score: str, ties: list[str]) -> DataFrame:
-    """The best-scored row of each key, with ``n_matches`` of the key."""
-    n = F.count("*").over(W.partitionBy(*keys))
-    return first_per_key(rows.withColumn("n_matches", n), keys, [F.col(score).desc(), *ties])
+    """The best-scored row of each key, with ``n_matches`` of the key: one aggregate, so a key of any
+    number of rows is reduced in parts."""
+    others = [c for c in rows.columns if c not in keys]
+    s = F.col(score).cast("double")
+    order = F.struct(s.isNull().alias("_0"), (~F.isnan(s)).alias("_1"), (-s).alias("_2"), *[F.col(t).alias(f"_t{i}") for i, t in enumerate(ties)])
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_b"), F.count("*").alias("n_matches"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_b.{c}").alias(c) for c in rows.columns], "n_matches")
 
 
 def profile_sets(rows: DataFrame, item: list[str], profile: str) -> DataFrame:
@@ -87,8 +90,10 @@ def histogram(rows: DataFrame, value: str, lo: float, hi: float, bins: int, by:
 
 
 def exact_duplicates(rows: DataFrame, row_id: str, value: str) -> DataFrame:
-    """member -> representative: rows of equal value, the least id represents."""
-    return rows.withColumn("representative", F.min(row_id).over(W.partitionBy(value))).select(F.col(row_id).alias("member"), "representative")
+    """member -> representative: rows of equal value, the least id represents.  Values are
+    aggregated before they meet the rows, so copies of any number are reduced in parts."""
+    one = rows.groupBy(value).agg(F.min(row_id).alias("representative")).withColumnRenamed(value, "_v")
+    return rows.join(one, F.col(value).eqNullSafe(F.col("_v"))).select(F.col(row_id).alias("member"), "representative")
 
 
 def inverse_cluster_weights(rows: DataFrame, row_id: str, cluster: Column) -> DataFrame:

@@ -5,18 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def folder(spark: SparkSession) -> str:
+    """The shared folder that the session names; one of our own only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="evidentia-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
 def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="evidentia-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.staging import folder
 from ..sources import sinks as K
 from ..sources import text as X
 from .registry import query, table
@@ -14,11 +17,7 @@ from .screen import CLEAN_SQL
 @query(f"SELECT doc_id::VARCHAR AS seq_id, length(s) AS n, md5(s) AS digest FROM (SELECT doc_id, {CLEAN_SQL} AS s FROM documents) WHERE s IS NOT NULL")
 def fasta_roundtrip(spark, sf_dir):
     """Written as wrapped FASTA to the shared folder and read back."""
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="evidentia-")
-    path = f"{folder}/fasta-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/fasta-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(" some words")).alias("name"), S.clean_sequence(F.col("text")).alias("s")).where("s is not null")
     K.fasta(docs, "name", "s", path)
     read = X.fasta(spark, path)

@@ -32,9 +32,10 @@ def json_document(df: DataFrame, path: str) -> None:
 
 
 def matrix(long: DataFrame, row: str, column: str, value: str, columns: list, path: str) -> None:
-    """Dense matrix with two decimals from a long form and a stated column list."""
+    """Dense matrix with two decimals from a long form and a stated column list; empty where a
+    cell has no value."""
     wide = long.groupBy(row).pivot(column, columns).agg(F.first(value))
-    wide.select(row, *[F.format_string("%.2f", F.col(f"`{c}`")).alias(str(c)) for c in columns]).orderBy(row).coalesce(1).write.csv(path, sep="\t", header=True)
+    wide.select(row, *[F.when(F.col(f"`{c}`").isNotNull(), F.format_string("%.2f", F.col(f"`{c}`"))).alias(str(c)) for c in columns]).orderBy(row).coalesce(1).write.csv(path, sep="\t", header=True)
 
 
 def graphml(nodes: DataFrame, edges: DataFrame, attributes: list[str], weight: str) -> Iterable[str]:
