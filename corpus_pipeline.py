@@ -40,7 +40,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
     first = docs.groupBy(F.col("doc_id").alias(node)).agg(F.min(row).alias(least))
     kept = near.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(node)).distinct()
-    once = docs.withColumn(own, row).join(first.join(kept, node), F.col("doc_id") == F.col(node)).where(F.col(own) == F.col(least))
+    # not an equality: the join stays on doc_id alone, so that one shuffle of texts does for both
+    once = docs.withColumn(own, row).join(first.join(kept, node), F.col("doc_id") == F.col(node)).where(F.col(own) <= F.col(least))
     return once.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
