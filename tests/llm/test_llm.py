@@ -446,6 +446,24 @@ def test_licence_scan(docs, rows, empty):
     assert got.count() == len(rows) and licenses.scanned(empty).collect() == []
 
 
+def test_licence_columns_on_random_texts():
+    """Every column against places found word by word."""
+    r = random.Random(8)
+    pieces = [*licenses.BASE, *licenses.OWN, "cc by by sa", "apache", "the licence", "É", "gnu general", "MIT\nLicense", "Cc-By", "SPDX-License-Identifier: (MIT OR Zlib) AND isc\n", "spdx license identifier", "SPDX-License-Identifier: OR\n"]
+    texts = ["".join(r.choice(pieces) + r.choice([" ", "  ", "-", "\n", ", "]) for _ in range(r.randint(0, 30))) for _ in range(300)]
+    for t in [*texts, "", "mit license" * 3, " ".join(["cc by"] * 20_000)]:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(UP))
+        at = {p: [i for i in range(len(w)) if w[i : i + len(p.split())] == p.split()] for p in (*licenses.BASE, *licenses.OWN)}
+        places = sorted(i for p in licenses.BASE for i in at[p])
+        base = {licenses.BASE[p] for p in licenses.BASE if at[p]}
+        own = base | {licenses.OWN[p] for p in licenses.OWN if at[p]}
+        n, n_base, first, last, base_labels, labels, score, _ = licenses.scan(t)
+        assert (n, n_base, first, last) == (len(w), len(places), places[0] if places else None, places[-1] if places else None)
+        assert base_labels == ",".join(sorted(base)) and {x for x in labels.split(",") if x and not x.startswith("spdx:")} == own
+        tagged = "SPDX-License-Identifier: (" in t
+        assert {x for x in labels.split(",") if x.startswith("spdx:")} == ({"spdx:mit", "spdx:zlib", "spdx:isc"} if tagged else set()) and 0 <= score <= 1
+
+
 def test_long_licence_expression():
     ids = [f"l-{i}" for i in range(3000)]
     many = " AND ".join(ids)
