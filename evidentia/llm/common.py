@@ -26,11 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named."""
+    """The shared folder that the cluster names; a folder of our own only where none is named and
+    all of Spark is this one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="evidentia-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -69,12 +72,10 @@ ROWS_PER_BATCH = 256
 
 
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` with batches of ROWS_PER_BATCH rows at most in this
-    session: with Spark's own 10,000, a batch of long texts would outgrow an executor."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key, "10000")) <= ROWS_PER_BATCH:
-        conf.set(key, str(ROWS_PER_BATCH))
-    return df.mapInArrow(run, schema)
+    """``df.mapInArrow(run, schema)``, where ``run`` sees ROWS_PER_BATCH rows at most at a time,
+    so what it makes of them stays small.  Batches come bounded in bytes by Spark itself
+    (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB, one row at least)."""
+    return df.mapInArrow(lambda batches: run(b.slice(at, ROWS_PER_BATCH) for b in batches for at in range(0, max(1, b.num_rows), ROWS_PER_BATCH)), schema)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -84,19 +85,32 @@ def ascii_lower(text: Column) -> Column:
 
 
 BROADCAST_ROWS = 500_000
-FILTER_BITS = 2**25
+BROADCAST_BYTES = 64 << 20
+FILTER_BITS = (2**20, 2**29)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast once it is counted and found within ``limit`` rows; beyond it
-    the join that it is for shuffles."""
-    return F.broadcast(df) if df.count() <= limit else df
+def fits(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``limit`` rows and ``most`` bytes of strings and word arrays."""
+    sizes = [F.octet_length(F.col(f"`{c}`")) for c, kind in df.dtypes if kind == "string"]
+    sizes += [F.octet_length(F.array_join(F.col(f"`{c}`"), "")) + 8 * F.size(F.col(f"`{c}`")) for c, kind in df.dtypes if kind == "array<string>"]
+    held = [F.coalesce(x.cast("long"), F.lit(0)) for x in sizes]
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(sum(held, F.lit(0).cast("long"))), F.lit(0))).first()
+    return rows <= limit and size <= most
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it is measured and ``fits``; beyond it the join that it is
+    for shuffles."""
+    return F.broadcast(df) if fits(df, limit, most) else df
 
 
 def maybe_in(rows: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
     """The rows whose ``key`` is in ``ids`` (column ``id``), and few others: a filter before a
-    shuffle.  What is broadcast is a bitmap of FILTER_BITS bits (4 MB), whatever ``ids`` is."""
-    spot = lambda x: F.pmod(F.xxhash64(x), F.lit(FILTER_BITS))
+    shuffle.  What is broadcast is a bitmap of eight bits or more for each of ``ids``, within the
+    bounds of FILTER_BITS (128 KB to 64 MB); beyond some 60 million ids more of the others pass."""
+    least, most = FILTER_BITS
+    size = min(most, max(least, 1 << (8 * ids.count()).bit_length()))
+    spot = lambda x: F.pmod(F.xxhash64(x), F.lit(size))
     bits = ids.select(spot(F.col("id")).alias("s")).groupBy(F.expr("s div 32768").alias("_w")).agg(F.expr("bitmap_construct_agg(s % 32768)").alias("_bits"))
     names = rows.columns
     found = rows.withColumn("_s", spot(key)).withColumn("_w", F.expr("_s div 32768")).join(F.broadcast(bits), "_w")

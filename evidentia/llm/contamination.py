@@ -11,8 +11,8 @@
 4. The other words of an alignment are compared exactly; runs of ``width`` equal words or
    more are phrase matches.
 
-Item-side tables (terms, windows, items) are broadcast only when counted and found within
-BROADCAST_ROWS; beyond it the same joins shuffle.  No corpus-side table is broadcast, and
+Item-side tables (terms, windows, items) are broadcast only when measured and found within
+BROADCAST_ROWS and 64 MB; beyond it the same joins shuffle.  No corpus-side table is broadcast, and
 none is grouped by term or item, so a term or passage that fills a third of the corpus stays
 spread over its documents.
 
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, maybe_in, staged
+from .common import ascii_lower, fits, maybe_in, staged
 from .common import small as _small
 
 WIDTH = 13
@@ -61,7 +61,7 @@ def item_terms(items: DataFrame, item_id: str = "item_id", text: str = "text") -
 
 def frequencies(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """Occurrences in the corpus of each of ``terms`` that occurs."""
-    if terms.count() <= BROADCAST_ROWS:
+    if fits(terms, BROADCAST_ROWS):
         return _tokens(rows).join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("f"))
     return _tokens(rows).groupBy("term").agg(F.count("*").alias("f")).join(terms, "term")
 

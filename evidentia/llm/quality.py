@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule has a cost and a rejection rate, both estimated on a bounded sample (SAMPLE rows);
-rules then run in order of rejection per cost, each one only on documents that no earlier
-rule rejected.  A document's verdict is the conjunction of all rules, so it does not depend
-on the order that was estimated; only the time does.
+Each rule has a cost and a rejection rate, both estimated on a bounded sample (the first SAMPLE
+rows of SAMPLE_TEXT bytes or fewer, some 25 MB at most); rules then run in order of rejection per
+cost, each one only on documents that no earlier rule rejected.  A document's verdict is the
+conjunction of all rules, so it does not depend on the order that was estimated, which is a
+measurement; the time does, and so does which of several rules is named in ``rejected_by``.  Give
+``order`` to have the same name in every run.
 
 Words are maximal runs of non-blank characters (blank: space, tab to carriage return).
 Defined cases: a null or empty text has no words and is rejected by the length rule; very
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import BLANKS, SPACES, encode, hashed_words, mapped, shingles, text_groups
 
 SAMPLE = 1500
+SAMPLE_TEXT = 16384
 SYMBOLS = b"#*$%&|<>"
 DROP_BLANKS = SPACES.encode()
 NOT_SYMBOL = bytes(x for x in range(256) if x not in SYMBOLS)
@@ -111,8 +114,10 @@ def _docs(texts: list) -> Iterator[Doc]:
 
 
 def rule_order(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> list[str]:
-    """Rules by rejection per cost on a sample of at most ``sample`` rows."""
-    rows = docs.select(F.col(f"`{text}`").alias("t")).limit(sample).toPandas()["t"].tolist()
+    """Rules by rejection per cost on a sample of at most ``sample`` rows, none beyond
+    SAMPLE_TEXT bytes."""
+    body = F.col(f"`{text}`")
+    rows = docs.where(body.isNull() | (F.octet_length(body) <= SAMPLE_TEXT)).select(body.alias("t")).limit(sample).toPandas()["t"].tolist()
     got = list(_docs([x if isinstance(x, str) else None for x in rows]))
     score = {}
     for name, rule in RULES.items():
@@ -129,7 +134,8 @@ def verdict(d: Doc, order: list[str]) -> str | None:
 
 
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: list[str] | None = None) -> DataFrame:
-    """Per row: doc_id, the base features, base_failed, kept, rejected_by (null if kept)."""
+    """Per row: doc_id, the base features, base_failed, kept, rejected_by (null if kept; the first
+    rule in ``order`` that rejects)."""
     order = order or rule_order(docs, text)
     out = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in BASE], ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("rejected_by", pa.string())])
 
