@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where none is named."""
+    """The shared folder that the session names; one of our own only where none is named and all
+    of Spark is this one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="evidentia-")
         spark.sparkContext.setCheckpointDir(named)
     return named
