@@ -72,10 +72,13 @@ ROWS_PER_BATCH = 256
 
 
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:
-    """``df.mapInArrow(run, schema)``, where ``run`` sees ROWS_PER_BATCH rows at most at a time,
-    so what it makes of them stays small.  Batches come bounded in bytes by Spark itself
-    (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB, one row at least)."""
-    return df.mapInArrow(lambda batches: run(b.slice(at, ROWS_PER_BATCH) for b in batches for at in range(0, max(1, b.num_rows), ROWS_PER_BATCH)), schema)
+    """``df.mapInArrow(run, schema)`` with batches of ROWS_PER_BATCH rows at most from here on in
+    this session, as Python holds several objects for each row.  Spark bounds batches in bytes as
+    well (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB, one row at least)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= ROWS_PER_BATCH:
+        conf.set(key, str(ROWS_PER_BATCH))
+    return df.mapInArrow(run, schema)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -86,7 +89,7 @@ def ascii_lower(text: Column) -> Column:
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
-FILTER_BITS = (2**20, 2**29)
+FILTER_BITS = (2**25, 2**29)
 
 
 def fits(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
@@ -106,10 +109,10 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTE
 
 def maybe_in(rows: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
     """The rows whose ``key`` is in ``ids`` (column ``id``), and few others: a filter before a
-    shuffle.  What is broadcast is a bitmap of eight bits or more for each of ``ids``, within the
-    bounds of FILTER_BITS (128 KB to 64 MB); beyond some 60 million ids more of the others pass."""
+    shuffle.  What is broadcast is a bitmap of 32 bits or more for each of ``ids``, within the
+    bounds of FILTER_BITS (4 to 64 MB); beyond some 16 million ids more than 3 % of the others pass."""
     least, most = FILTER_BITS
-    size = min(most, max(least, 1 << (8 * ids.count()).bit_length()))
+    size = min(most, max(least, 1 << (32 * ids.count()).bit_length()))
     spot = lambda x: F.pmod(F.xxhash64(x), F.lit(size))
     bits = ids.select(spot(F.col("id")).alias("s")).groupBy(F.expr("s div 32768").alias("_w")).agg(F.expr("bitmap_construct_agg(s % 32768)").alias("_bits"))
     names = rows.columns
