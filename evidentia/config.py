@@ -1,4 +1,4 @@
-"""Settings of a screen as a frozen tree; read from a mapping or a JSON file on the driver."""
+"""Settings of a screen as a frozen tree; read from a mapping or a JSON or YAML file on the driver."""
 
 from __future__ import annotations
 
@@ -58,5 +58,12 @@ def screen(data: dict) -> Screen:
 
 
 def load(path: str) -> Screen:
+    """Settings of a file; YAML by its suffix, if a parser is installed."""
     with open(path) as f:
-        return screen(json.load(f))
+        if not path.endswith((".yaml", ".yml")):
+            return screen(json.load(f))
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("YAML settings need a YAML parser; JSON does not") from e
+        return screen(yaml.safe_load(f) or {})

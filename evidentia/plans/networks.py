@@ -153,14 +153,49 @@ def rf_splits(spark, sf_dir):
     return out.withColumn("rf_normalised", F.round("rf_normalised", 6))
 
 
-@query("""
-WITH p AS (SELECT abs(a.n_nationkey - b.n_nationkey) AS x, abs(a.n_regionkey - b.n_regionkey) AS y FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey) SELECT count(*) AS n_pairs, round(corr(x, y), 6) AS mantel_r FROM p""")
-def mantel_r(spark, sf_dir):
+REPLICATES = 199
+
+
+def _nation_pairs(spark, sf_dir):
     n = F.broadcast(table(spark, sf_dir, "nation"))
     a, b = n.select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("ra")), n.select(F.col("n_nationkey").alias("b"), F.col("n_regionkey").alias("rb"))
     pairs = a.join(b, F.col("a") < F.col("b"))
-    one, two = pairs.select("a", "b", F.abs(F.col("a") - F.col("b")).alias("distance")), pairs.select("a", "b", F.abs(F.col("ra") - F.col("rb")).alias("distance"))
-    return P.mantel(one, two).withColumn("mantel_r", F.round("mantel_r", 6))
+    return [pairs.select("a", "b", F.abs(F.col(x) - F.col(y)).alias("distance")) for x, y in (("a", "b"), ("ra", "rb"))]
+
+
+@query("""
+WITH p AS (SELECT abs(a.n_nationkey - b.n_nationkey) AS x, abs(a.n_regionkey - b.n_regionkey) AS y FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey) SELECT count(*) AS n_pairs, round(corr(x, y), 6) AS mantel_r FROM p""")
+def mantel_r(spark, sf_dir):
+    return P.mantel(*_nation_pairs(spark, sf_dir)).withColumn("mantel_r", F.round("mantel_r", 6))
+
+
+def _moves(name):
+    return f"""m AS (SELECT r, {name} AS tip, row_number() OVER (PARTITION BY r ORDER BY md5('1:' || r || ':' || {name}), {name}) AS k FROM nation, range({REPLICATES}) t(r)),
+c AS (SELECT {name} AS dest, row_number() OVER (ORDER BY {name}) AS k FROM nation), mv AS (SELECT r, tip, dest FROM m JOIN c USING (k))"""
+
+
+@query(f"""
+WITH {_moves('n_nationkey')}, d AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b, abs(a.n_nationkey - b.n_nationkey) AS x, abs(a.n_regionkey - b.n_regionkey) AS y FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey),
+q AS (SELECT i.r, least(i.dest, j.dest) AS a, greatest(i.dest, j.dest) AS b, y FROM d JOIN mv i ON i.tip = d.a JOIN mv j ON j.tip = d.b AND j.r = i.r),
+nl AS (SELECT r, corr(d.x, q.y) AS nr FROM d JOIN q ON d.a = q.a AND d.b = q.b GROUP BY r), o AS (SELECT count(*) AS n_pairs, corr(x, y) AS mr FROM d)
+SELECT n_pairs, round(mr, 6) AS mantel_r, round((1 + count(*) FILTER (round(nr, 9) >= round(mr, 9))) / {REPLICATES + 1}, 6) AS p_value FROM nl, o GROUP BY n_pairs, mr""")
+def mantel_test(spark, sf_dir):
+    out = P.mantel_test(*_nation_pairs(spark, sf_dir), REPLICATES)
+    return out.select("n_pairs", F.round("mantel_r", 6).alias("mantel_r"), F.round("p_value", 6).alias("p_value"))
+
+
+@query(f"""
+WITH {_moves('n_name')}, g AS (SELECT n_name, n_regionkey AS a, n_nationkey % 5 + CASE WHEN n_nationkey = 7 THEN 1 ELSE 0 END AS b FROM nation),
+sa AS (SELECT string_agg(n_name, ',' ORDER BY n_name) AS s FROM g GROUP BY a HAVING count(*) > 1), sb AS (SELECT string_agg(n_name, ',' ORDER BY n_name) AS s FROM g GROUP BY b HAVING count(*) > 1),
+q AS (SELECT r, b, string_agg(dest, ',' ORDER BY dest) AS s FROM g JOIN mv ON tip = n_name GROUP BY r, b HAVING count(*) > 1),
+nl AS (SELECT r, count(*) + (SELECT count(*) FROM sa) - 2 * count(sa.s) AS d FROM q LEFT JOIN sa ON q.s = sa.s GROUP BY r),
+o AS (SELECT count(*) FILTER (sa.s IS NULL OR sb.s IS NULL) AS rf_distance FROM sa FULL JOIN sb ON sa.s = sb.s)
+SELECT rf_distance, round(avg(d), 6) AS null_mean, round((1 + count(*) FILTER (d <= rf_distance)) / {REPLICATES + 1}, 6) AS p_value FROM nl, o GROUP BY rf_distance""")
+def rf_test(spark, sf_dir):
+    b = F.col("n_nationkey") % 5 + F.when(F.col("n_nationkey") == 7, 1).otherwise(0)
+    out = P.robinson_foulds_test(_nation_tree(spark, sf_dir, F.col("n_regionkey")), _nation_tree(spark, sf_dir, b), REPLICATES)
+    return out.select("rf_distance", F.round("null_mean", 6).alias("null_mean"), F.round("p_value", 6).alias("p_value"))
+
 
 
 @query()

@@ -517,3 +517,13 @@ def test_config():
     assert s.active() == ["a"] and s.anchor.gaps == (35, 24)
     with pytest.raises(ValueError):
         config.screen({"no_such": 1})
+
+
+def test_yaml_settings(tmp_path):
+    from evidentia import config
+
+    pytest.importorskip("yaml")
+    p = tmp_path / "screen.yaml"
+    p.write_text("profiles:\n- {label: a}\n- {label: b, enabled: false}\nanchor:\n  gaps: [35, 24]\n")
+    s = config.load(str(p))
+    assert s.active() == ["a"] and s.anchor.gaps == (35, 24)
