@@ -30,9 +30,10 @@ def pair_information(matrix: DataFrame) -> DataFrame:
     """(col_i, col_j, n, mi_bits) of all column pairs, over rows where both are occupied;
     fewer than two such rows give 0."""
     n = F.length("row")
-    # places are numbers k = i * n + j, so all of this stays in generated code
-    long = matrix.where(n > 1).select("row", n.alias("_n"), F.explode(F.sequence(F.lit(1), n * n - 1)).alias("_k"))
-    long = long.select("row", F.expr("_k div _n").cast("int").alias("col_i"), F.expr("_k % _n").cast("int").alias("col_j")).where("col_i < col_j")
+    # pairs i < j are numbers k = j (j - 1) / 2 + i, so all of this stays in generated code
+    long = matrix.where(n > 1).select("row", F.explode(F.sequence(F.lit(0), F.expr("length(row) * (length(row) - 1) div 2 - 1"))).alias("_k"))
+    long = long.withColumn("col_j", F.expr("cast(floor((1 + sqrt(1 + 8.0D * _k)) / 2) as int)"))
+    long = long.select("row", F.expr("cast(_k - cast(col_j as bigint) * (col_j - 1) div 2 as int)").alias("col_i"), "col_j")
     code = lambda c: F.ascii(F.substring(F.col("row"), F.col(c) + 1, F.lit(1)))
     cells = long.groupBy("col_i", "col_j", code("col_i").alias("a"), code("col_j").alias("b")).agg(F.count("*").alias("n"))
     cells = cells.where((F.col("a") != ord(GAP)) & (F.col("b") != ord(GAP)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import alignment as A
+from ..operators.staging import staged
 from .registry import query, spread, table
 from .screen import CLEAN_SQL
 
@@ -77,7 +78,7 @@ def _stats(m):
 
 def _triple_tables(stats):
     # a few rows per position, read by every candidate list
-    stats = stats.cache()
+    stats = staged(stats)
     c = {r: A.candidates(stats, r, MIN_OCC, MIN_FREQ, CAP) for r in "THDN"}
     out = {}
     for h in ("THD", "THN"):
@@ -114,13 +115,13 @@ def anchor_triples(spark, sf_dir):
     return both.select("hypothesis", "rank", "col_1", "col_2", "col_3", F.round("score", 6).alias("score"), F.round("spacing_penalty", 6).alias("spacing_penalty"))
 
 
-def _best(spark, sf_dir):
-    return A.best_triple(_triple_tables(_stats(matrix(spark, sf_dir))))
+def _best(m):
+    return A.best_triple(_triple_tables(_stats(m)))
 
 
 @query(f"WITH {OUTCOME_SQL} SELECT seq_id, tier, round(match_coverage, 6) AS match_coverage, outcome, has_all_anywhere FROM j")
 def anchor_outcomes(spark, sf_dir):
-    judged = A.outcomes(rows(spark, sf_dir), _best(spark, sf_dir), MIN_COVERAGE)
+    judged = A.outcomes(rows(spark, sf_dir), _best(matrix(spark, sf_dir)), MIN_COVERAGE)
     return judged.select("seq_id", "tier", F.round("match_coverage", 6).alias("match_coverage"), "outcome", "has_all_anywhere")
 
 
@@ -130,7 +131,8 @@ def anchor_outcomes(spark, sf_dir):
  round(count(*) FILTER (outcome = 'positive') / nullif(count(*) FILTER (outcome IN ('positive', 'negative')), 0), 6) AS frac_positive,
  round(count(*) FILTER (outcome IN ('positive', 'negative')) / count(*), 6) AS frac_testable FROM j GROUP BY tier""")
 def outcomes_by_tier(spark, sf_dir):
-    out = A.tier_census(A.outcomes(matrix(spark, sf_dir), _best(spark, sf_dir), MIN_COVERAGE), copies="copies")
+    m = staged(matrix(spark, sf_dir))
+    out = A.tier_census(A.outcomes(m, _best(m), MIN_COVERAGE), copies="copies")
     rounded = ("effective_n", "effective_positive", "frac_positive", "frac_testable")
     return out.select(*[F.round(c, 6).alias(c) if c in rounded else c for c in out.columns])
 
@@ -141,15 +143,15 @@ bc AS (SELECT seq_id, substr(row, greatest(0, col_1 - {HALF}) + 1, least({LENGTH
  || substr(row, greatest(0, col_3 - {HALF}) + 1, least({LENGTH - 1}, col_3 + {HALF}) - greatest(0, col_3 - {HALF}) + 1) AS barcode FROM x, best)"""
 
 
-def barcodes(df, spark, sf_dir):
-    """``df`` with a column ``barcode`` in place of ``row``."""
-    both = df.crossJoin(F.broadcast(_best(spark, sf_dir).select("col_1", "col_2", "col_3")))
+def barcodes(df, m):
+    """``df`` with a column ``barcode``, around the best triple of the matrix ``m``, in place of ``row``."""
+    both = df.crossJoin(F.broadcast(_best(m).select("col_1", "col_2", "col_3")))
     return both.withColumn("barcode", A.anchor_window(F.col("row"), [F.col(f"col_{i}") for i in (1, 2, 3)], HALF)).drop("row", "col_1", "col_2", "col_3")
 
 
 @query(f"WITH {BARCODE_SQL} SELECT seq_id, barcode FROM bc")
 def anchor_window(spark, sf_dir):
-    return barcodes(rows(spark, sf_dir), spark, sf_dir).select("seq_id", "barcode")
+    return barcodes(rows(spark, sf_dir), matrix(spark, sf_dir)).select("seq_id", "barcode")
 
 
 @query(f"""WITH {MATRIX_SQL}, m AS (SELECT source, pos, residue, sum(round(weight * 1e8)::BIGINT) AS w FROM lf GROUP BY ALL),

@@ -3,41 +3,54 @@ world -> region -> nation -> customer, which has polytomies at every level."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import tree as P
+from ..operators.staging import staged
 from .registry import query, table
 
 MIN_COSINE = 0.25
 THRESHOLDS = [0.25, 0.28, 0.3, 0.32, 0.34, 0.36, 0.38, 0.4, 0.45, 0.5]
 COS = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6)"
 EDGE_SQL = f"ed AS (SELECT a.vec_id AS u, b.vec_id AS v, {COS} AS cosine FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND {COS} >= {MIN_COSINE})"
-BLOCKS = 8
+MIN_BLOCKS, BLOCK_ROWS, TILE_ROWS = 8, 4096, 512
 
 
-def edges(spark, sf_dir):
-    """All pairs above MIN_COSINE, block by block: vectors are dealt to BLOCKS blocks and each pair
-    of blocks is one task of dense products, so no cross join of rows is made."""
-    import numpy as np
-    import pandas as pd
-
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    at = F.pmod(F.xxhash64("vec_id"), F.lit(BLOCKS)).cast("int")
-    dealt = e.withColumn("_at", at).withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+def edges(vectors: DataFrame) -> DataFrame:
+    """All pairs of ``vectors`` (vec_id, embedding) from MIN_COSINE on, block by block: vectors are
+    dealt to blocks of some BLOCK_ROWS (by a count) and each pair of blocks is one task of dense
+    products of TILE_ROWS rows at a time, so no cross join of rows is made.  Written once, as
+    its readers go over it again and again."""
+    blocks = max(MIN_BLOCKS, -(-vectors.count() // BLOCK_ROWS))
+    at = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    dealt = vectors.withColumn("_at", at).withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = dealt.select("vec_id", "embedding", "_at", F.least("_at", "_to").alias("_i"), F.greatest("_at", "_to").alias("_j"))
 
-    def products(key, p: pd.DataFrame) -> pd.DataFrame:
+    def products(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         v = np.stack(p["embedding"].to_numpy()).astype(float)
         v = v / np.linalg.norm(v, axis=1, keepdims=True)
         ids, at = p["vec_id"].to_numpy(), p["_at"].to_numpy()
-        a, b = np.flatnonzero(at == key[0]), np.flatnonzero(at == key[1])
-        c = np.round(v[a] @ v[b].T, 6)
-        x, y = np.nonzero((c >= MIN_COSINE) & ((key[0] != key[1]) | (ids[a][:, None] < ids[b][None, :])))
-        u, w = ids[a][x], ids[b][y]
-        return pd.DataFrame({"u": np.minimum(u, w), "v": np.maximum(u, w), "cosine": c[x, y]})
+        left, b = np.flatnonzero(at == key[0]), np.flatnonzero(at == key[1])
+        us, vs, cs = [ids[:0]], [ids[:0]], [np.empty(0)]
+        for k in range(0, len(left), TILE_ROWS):
+            a = left[k : k + TILE_ROWS]
+            c = np.round(v[a] @ v[b].T, 6)
+            x, y = np.nonzero((c >= MIN_COSINE) & ((key[0] != key[1]) | (ids[a][:, None] < ids[b][None, :])))
+            us.append(ids[a][x])
+            vs.append(ids[b][y])
+            cs.append(c[x, y])
+        u, w = np.concatenate(us), np.concatenate(vs)
+        return pd.DataFrame({"u": np.minimum(u, w), "v": np.maximum(u, w), "cosine": np.concatenate(cs)})
+
+    return staged(dealt.groupBy("_i", "_j").applyInPandas(products, "u long, v long, cosine double"))
+
 
-    return dealt.groupBy("_i", "_j").applyInPandas(products, "u long, v long, cosine double")
+def vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
 
 
 def nodes(spark, sf_dir):
@@ -46,9 +59,11 @@ def nodes(spark, sf_dir):
 
 @query(f"WITH {EDGE_SQL} SELECT u, v, round(1 - cosine, 6) AS evalue FROM ed WHERE u IN (SELECT vec_id FROM embeddings WHERE label > 0) AND v IN (SELECT vec_id FROM embeddings WHERE label > 0)")
 def ssn_edges(spark, sf_dir):
-    e = edges(spark, sf_dir)
+    # nodes that are not wanted go before pairs are made
+    labelled = table(spark, sf_dir, "embeddings").where("label > 0").select("vec_id", "embedding")
+    e = edges(labelled)
     twice = e.select(F.col("v").alias("a"), F.col("u").alias("b"), (1 - F.col("cosine")).alias("evalue")).unionByName(e.select(F.col("u").alias("a"), F.col("v").alias("b"), (2 - F.col("cosine")).alias("evalue")))
-    return G.canonical_edges(twice, table(spark, sf_dir, "embeddings").where("label > 0").select("vec_id")).withColumn("evalue", F.round("evalue", 6))
+    return G.canonical_edges(twice, labelled.select("vec_id")).withColumn("evalue", F.round("evalue", 6))
 
 
 CC_SQL = f"""WITH RECURSIVE {EDGE_SQL}, bo AS (SELECT u, v FROM ed WHERE cosine >= 0.34 UNION SELECT v, u FROM ed WHERE cosine >= 0.34),
@@ -60,7 +75,7 @@ SELECT node, c.component, size, rank FROM c JOIN k ON c.component = k.component"
 
 @query(CC_SQL)
 def connected_components(spark, sf_dir):
-    return G.components(nodes(spark, sf_dir), edges(spark, sf_dir).where("cosine >= 0.34"))
+    return G.components(nodes(spark, sf_dir), edges(vectors(spark, sf_dir)).where("cosine >= 0.34"))
 
 
 SWEEP_SQL = f"""WITH RECURSIVE {EDGE_SQL}, th AS (SELECT unnest({THRESHOLDS}) AS threshold),
@@ -73,7 +88,7 @@ FROM s JOIN (SELECT threshold, count(u) AS n FROM th LEFT JOIN ed ON cosine >= t
 
 @query(SWEEP_SQL)
 def threshold_sweep(spark, sf_dir):
-    return G.threshold_sweep(nodes(spark, sf_dir), edges(spark, sf_dir), "cosine", THRESHOLDS)
+    return G.threshold_sweep(nodes(spark, sf_dir), edges(vectors(spark, sf_dir)), "cosine", THRESHOLDS)
 
 
 @query("""

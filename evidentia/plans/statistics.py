@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import alignment as A
 from ..operators import information as I
 from ..operators import stats as T
+from ..operators.staging import staged
 from .matrix import BARCODE_SQL, MATRIX_SQL, barcodes, matrix
 from .registry import query, table
 
@@ -19,7 +20,8 @@ mi AS (SELECT i AS col_i, j AS col_j, sum(n)::BIGINT AS n, greatest(0, sum(n / t
 
 def _pairs(spark, sf_dir):
     """Pairs of window columns over distinct windows (dereplicated, as the method has it)."""
-    distinct = barcodes(matrix(spark, sf_dir).select("row"), spark, sf_dir).select(F.col("barcode").alias("row")).distinct()
+    m = staged(matrix(spark, sf_dir))
+    distinct = barcodes(m.select("row"), m).select(F.col("barcode").alias("row")).distinct()
     return I.pair_information(distinct)
 
 
@@ -147,7 +149,8 @@ def region_enrichment(spark, sf_dir):
 
 def _windows(spark, sf_dir):
     """Distinct windows, each with its most common source and the weight of its rows."""
-    b = barcodes(matrix(spark, sf_dir).select("row", "source", "weight"), spark, sf_dir).groupBy("barcode", "source").agg(F.sum("weight").alias("weight"))
+    m = staged(matrix(spark, sf_dir))
+    b = barcodes(m.select("row", "source", "weight"), m).groupBy("barcode", "source").agg(F.sum("weight").alias("weight"))
     return b.groupBy("barcode").agg(F.max_by("source", F.struct("weight", "source")).alias("source"), F.sum("weight").alias("weight")).orderBy("barcode")
 
 
