@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, contamination, licenses, lines, near, packing, quality, sharding, substrings, tokens
+from . import audit, blocks, contamination, licenses, lines, merkle, near, packing, quality, sharding, substrings, tokens, topk
 from .common import table
 
 
@@ -61,13 +61,34 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_minhash_near_dedup, op3_quality_rules, op4_line_dedup, op5_substring_dedup, op6_license_scan, op7_token_counts, op8_decontamination, op9_packing, op10_html_extraction)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_minhash_near_dedup, op3_quality_rules, op4_line_dedup, op5_substring_dedup, op6_license_scan, op7_token_counts, op8_decontamination, op9_packing, op10_html_extraction, op11_filter_audit, op12_merkle_manifest, op13_exact_topk)}
 
 _BLANK = r"\x09-\x0D\x20"
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[a-z0-9\x{{80}}-\x{{10FFFF}}]+')"
 
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+
+
+#: unsigned crc32 of the decimal id, bit by bit
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, c: list_reduce(list_concat([xor(a, c)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda s, t: xor(s >> 1, (s & 1) * 3988292384))), 4294967295)"""
+
 ORACLES = {
     "op2_minhash_near_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^{_BLANK}]+') AS ws FROM documents),
@@ -119,4 +140,45 @@ hot AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(hot.key)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (hot.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN hot ON k.key = hot.key GROUP BY r, doc_id""",
+    "op11_filter_audit": rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+') AS ws FROM documents),
+m AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+y AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT
+  + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS fails
+  FROM d JOIN m USING (t) LEFT JOIN y USING (doc_id)),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM l a, l b, l c, l d, l e WHERE a.b + b.b + c.b + d.b + e.b = 31 AND len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+s AS (SELECT filter_order, step, bits[step] AS f, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS p FROM o, range(1, 6) AS t(step)),
+r AS (SELECT part, filter_order, step::INT AS step, f, coalesce(sum(n) FILTER (fails & (p + f) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails & p = 0 AND fails & f > 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (fails & p > 0 AND fails & f > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = f), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (fails & p = 0 AND fails & f > 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails & p = 0 AND fails & f > 0), 0)::BIGINT AS toxic_lost
+  FROM g, s GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r""",
+    "op12_merkle_manifest": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, source, {_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("n_chars")} AS head, text FROM documents),
+h AS (SELECT r, doc_id, source, sha256(head || {_field("text")}) AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN sha256(head || {_field("lower_text")}) END AS forged
+  FROM (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_text FROM d)),
+t AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM h),
+a AS (SELECT tree, 0 AS level, i, n, leaf AS digest FROM t
+  UNION ALL SELECT tree, level + 1, i // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY i)) FROM a WHERE n > 1 GROUP BY tree, level, i // 16, n),
+b AS (SELECT 0 AS level, tree AS i, count(*) OVER () AS n, digest FROM a WHERE n = 1
+  UNION ALL SELECT level + 1, i // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY i)) FROM b WHERE n > 1 GROUP BY level, i // 16, n),
+nodes AS (SELECT * FROM a UNION ALL SELECT -1 AS tree, level, i, n, digest FROM b),
+s AS (SELECT x.tree, x.level, x.i, coalesce(string_agg(y.digest, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS before, coalesce(string_agg(y.digest, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS after
+  FROM nodes x JOIN nodes y ON x.tree = y.tree AND x.level = y.level AND x.i // 16 = y.i // 16 WHERE x.n > 1 GROUP BY x.tree, x.level, x.i),
+w AS (SELECT r, tree, 0 AS level, i, '' AS proof, coalesce(forged, leaf) AS now FROM t
+  UNION ALL SELECT r, w.tree, w.level + 1, w.i // 16, proof || before || after, sha256(before || now || after) FROM w JOIN s ON w.tree = s.tree AND w.level = s.level AND w.i = s.i),
+v AS (SELECT r, 0 AS level, arg_max(tree, level) AS i, arg_max(proof, level) AS proof, arg_max(now, level) AS now FROM w GROUP BY r
+  UNION ALL SELECT r, v.level + 1, v.i // 16, proof || before || after, sha256(before || now || after) FROM v JOIN s ON s.tree = -1 AND v.level = s.level AND v.i = s.i),
+z AS (SELECT r, arg_max(proof, level) AS proof, arg_max(now, level) AS now FROM v GROUP BY r)
+SELECT doc_id, leaf, a.digest AS subroot, b.digest AS root, sha256(z.proof) AS proof_sha256, z.now AS folded_root, z.now = b.digest AS verified
+FROM t JOIN z USING (r) JOIN a ON a.tree = t.tree AND a.n = 1 JOIN b ON b.n = 1""",
+    "op13_exact_topk": """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT r, vec_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM e),
+p AS (SELECT q.r AS qr, q.vec_id AS query_id, o.r, o.vec_id, sum(q.x * o.x)::BIGINT AS score FROM c q JOIN c o ON q.i = o.i AND q.r <> o.r WHERE q.vec_id % 50 = 0 GROUP BY ALL)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5""",
 }
