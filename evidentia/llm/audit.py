@@ -41,6 +41,7 @@ FILTERS = "ABCDE"
 SUBSETS = 1 << len(FILTERS)
 SYMBOLS = separators(b"#$%&*|")
 ROWS = 4096
+HEAVY = 1000
 _JUDGED = "doc_id long, part string, fails int, digest binary"
 _INDEX = "parts array<string>, starts array<int>, n_rows array<int>, fails array<binary>, good binary, toxic binary"
 _COUNTS = "part string, subset int, alive long, good long, toxic long"
@@ -85,7 +86,11 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     copied = own.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1 and least is not null")
     said = labels.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`quality`").eqNullSafe(1).alias("good"), F.col("`toxic`").eqNullSafe(1).alias("toxic"))
     said = said.where("doc_id is not null").groupBy("doc_id").agg(F.max("good").alias("good"), F.max("toxic").alias("toxic"))
-    rows = own.join(copied.select("digest", "least"), "digest", "left").join(said, "doc_id", "left")
+    # digests of more than a HEAVYth of the rows are fewer than HEAVY: their rows meet them by broadcast, in their tasks
+    copied = staged(copied)
+    heavy = F.broadcast(copied.where(F.col("n") * HEAVY > own.count()).select("digest", "least"))
+    light = own.join(heavy, "digest", "left_anti").join(copied.select("digest", "least"), "digest", "left")
+    rows = light.unionByName(own.join(heavy, "digest")).join(said, "doc_id", "left")
     copy = F.coalesce((F.col("doc_id") > F.col("least")).cast("int"), F.lit(0)) * 16
     no = F.lit(False)
     return rows.select("doc_id", "part", (F.col("fails") + copy).alias("fails"), F.coalesce("good", no).alias("good"), F.coalesce("toxic", no).alias("toxic"))
