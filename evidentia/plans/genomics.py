@@ -25,7 +25,19 @@ def _kept(h):
     return V.resolve_overlaps(h, "item", "env_from", "env_to", [F.col(c) for c in RANK])
 
 
-@query()
+_HITS = "h AS (SELECT l_orderkey AS item, datediff('day', DATE '1992-01-01', l_shipdate::DATE) AS a, (datediff('day', DATE '1992-01-01', l_shipdate::DATE) + l_quantity)::INT AS b, l_discount AS ev, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk, l_returnflag AS label FROM lineitem)"
+
+
+def _resolved_sql(n, where="true"):
+    """Common table r{n}: hits taken one after another, each against all that its item has kept."""
+    both = "(least(x.b, o.b) - greatest(x.a, o.a) + 1)"
+    return f"""o{n} AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY ev, ln, pk, sk, a) AS k, count(*) OVER (PARTITION BY item) AS n FROM h WHERE {where}),
+g{n} AS (SELECT item, k, n, [{{'a': a, 'b': b, 'ev': ev, 'ln': ln, 'pk': pk, 'sk': sk, 'label': label}}] AS kept FROM o{n} WHERE k = 1
+ UNION ALL SELECT g.item, o.k, g.n, CASE WHEN len(list_filter(kept, lambda x: {both} > 0 AND {both} / (least(x.b - x.a, o.b - o.a) + 1) > 0.4::DOUBLE)) > 0 THEN kept ELSE list_append(kept, {{'a': o.a, 'b': o.b, 'ev': ev, 'ln': ln, 'pk': pk, 'sk': sk, 'label': label}}) END FROM g{n} g JOIN o{n} o ON o.item = g.item AND o.k = g.k + 1),
+r{n} AS (SELECT item, x.* FROM (SELECT item, unnest(kept) AS x FROM g{n} WHERE k = n))"""
+
+
+@query(f"WITH RECURSIVE {_HITS}, {_resolved_sql(1)} SELECT item, a AS env_from, b AS env_to, ev, ln, pk, sk, label FROM r1")
 def interval_resolve(spark, sf_dir):
     return _kept(hits(spark, sf_dir)).select("item", "env_from", "env_to", "ev", "ln", "pk", "sk", "label")
 
@@ -40,7 +52,18 @@ def architecture_string(spark, sf_dir):
     return V.architecture(h, "item", "s", "label", ["ln", "pk", "sk", "ep"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {_HITS}, {_resolved_sql(1, "ev <= 0.05")}, {_resolved_sql(2, "ev <= 0.08")},
+s AS (SELECT item, count(*) FILTER (label = 'N') AS nb, count(*) FILTER (label = 'R') AS nc, count(*) AS nd, count(*) FILTER (label = 'A') AS na, last(label ORDER BY a, ln, pk, sk, label) AS final,
+ string_agg(a || '-' || b, ';' ORDER BY a, b) FILTER (label = 'N') AS bs, string_agg(a || '-' || b, ';' ORDER BY a, b) FILTER (label = 'R') AS cs FROM r1 GROUP BY item),
+l AS (SELECT item, count(*) FILTER (label = 'N') AS nl FROM r2 GROUP BY item),
+n AS (SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY item, label ORDER BY a, ln, pk, sk) AS j FROM r1 WINDOW w AS (PARTITION BY item ORDER BY a, ln, pk, sk, label)),
+u AS (SELECT item, label, i - j AS isl, count(*) AS n, min(i) AS at FROM n GROUP BY ALL),
+t AS (SELECT item, string_agg(label || CASE WHEN n > 1 THEN 'x' || n ELSE '' END, '-' ORDER BY u.at) AS arch FROM u GROUP BY item),
+z AS (SELECT o_orderkey AS item, coalesce(nb, 0) AS nb, coalesce(nc, 0) AS nc, coalesce(nd, 0) AS nd, coalesce(na, 0) AS na, coalesce(nl, 0) AS nl, coalesce(final = 'R', false) AS last_ok, coalesce(arch, '') AS arch, coalesce(bs, '') AS bs, coalesce(cs, '') AS cs
+ FROM orders LEFT JOIN s ON s.item = o_orderkey LEFT JOIN l ON l.item = o_orderkey LEFT JOIN t ON t.item = o_orderkey)
+SELECT item, nb AS n_binding, nc AS n_catalytic, nd AS n_domains, nl AS n_binding_permissive, CASE WHEN na > 0 THEN 'A' ELSE '' END AS accessory_domains, last_ok::INT AS catalytic_is_last, arch AS architecture, bs AS binding_span, cs AS catalytic_span,
+ ((nb >= 3) <> (nl >= 3))::INT AS count_fragile, (nb >= 3)::INT AS binding_competent, (nb > 0)::INT AS rule_applies, CASE WHEN nb >= 3 THEN 'pseudomurein_sacculus' WHEN nb = 2 THEN 'murein_fragments_only' WHEN nb = 1 THEN 'none' ELSE 'no_pmbr_module' END AS predicted_binding,
+ CASE WHEN (nb >= 3) <> (nl >= 3) THEN 'count_ambiguous' WHEN nb = 0 AND na > 0 THEN 'accessory_binding' WHEN nb = 0 THEN 'catalytic_only' WHEN nb >= 3 THEN 'canonical' ELSE 'reduced' END AS architecture_class FROM z""")
 def architecture_table(spark, sf_dir):
     h = hits(spark, sf_dir)
     strict, loose = _kept(h.where("ev <= 0.05")), _kept(h.where("ev <= 0.08"))

@@ -356,6 +356,41 @@ def test_resolve_overlaps_against_loop(spark):
         assert sorted(got[item]) == greedy([(ev, a, b, i) for k, ev, a, b, i in rows if k == item])
 
 
+@pytest.mark.parametrize("hot", [10**9, 20])
+def test_resolve_overlaps_of_hot_items(spark, monkeypatch, hot):
+    """With and without dealing items by cluster: nulls, ends before starts, null items, long clusters."""
+    monkeypatch.setattr(IV, "HOT_ROWS", hot)
+    rng = np.random.default_rng(8)
+    rows = []
+    for item, n, wide in (("hot", 400, 3000), ("dense", 300, 60), ("few", 6, 30), (None, 40, 90)):
+        for a in rng.integers(0, wide, n):
+            rows.append((item, float(np.round(rng.random(), 2)), int(a), int(a + rng.integers(-3, 40)), len(rows)))
+    rows += [("hot", 0.5, None, 3, 9000), ("hot", 0.5, 3, None, 9001), ("few", None, 4, 9, 9002)]
+    df = spark.createDataFrame(rows, "item string, ev double, a int, b int, i long").repartition(5)
+    got = sorted((r["item"] or "", r["i"]) for r in IV.resolve_overlaps(df, "item", "a", "b", [F.col("ev"), F.col("i")]).collect())
+    want = []
+    for item in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == item]
+        want += [(item or "", r[4]) for r in mine if r[2] is None or r[3] is None or r[3] < r[2]]
+        kept = []
+        for _, _, a, b, i in sorted((r for r in mine if None not in r[2:4] and r[3] >= r[2]), key=lambda r: (r[1] is not None, r[1] or 0, r[4])):
+            if not any(min(b, y) >= max(a, x) and (min(b, y) - max(a, x) + 1) / (min(b - a, y - x) + 1) > 0.4 for x, y, _ in kept):
+                kept.append((a, b, i))
+        want += [(item or "", i) for _, _, i in kept]
+    assert got == sorted(want)
+
+
+def test_resolve_overlaps_of_a_million_hits(spark):
+    hits = spark.range(1_000_000).select(F.lit("one").alias("item"), (F.col("id") % 99991 * 7).cast("int").alias("a"), F.col("id").alias("ev"))
+    kept = IV.resolve_overlaps(hits.withColumn("b", F.col("a") + 9), "item", "a", "b", [F.col("ev")])
+    assert kept.count() == 99991 and kept.agg(F.max("ev")).first()[0] == 99990
+
+
+def test_run_lengths(spark):
+    df = spark.createDataFrame([(["A", "A", "B", "A"],), (["C"],), ([],), (["B"] * 3,)], "l array<string>")
+    assert [r[0] for r in df.select(IV.run_lengths(F.col("l"))).collect()] == ["Ax2-B-A", "C", "", "Bx3"]
+
+
 def test_architecture_classes(spark):
     rows = [("full", "N", 1, 30, 1e-9), ("full", "N", 41, 70, 1e-9), ("full", "N", 81, 110, 1e-9), ("full", "R", 150, 240, 1e-9)]
     rows += [("edge", "N", 1, 30, 1e-9), ("edge", "N", 41, 70, 1e-3), ("edge", "N", 81, 110, 1e-3), ("edge", "R", 150, 240, 1e-9)]
