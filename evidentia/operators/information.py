@@ -1,22 +1,26 @@
 """Mutual information of alignment columns with each other and with labels, and its nulls.
 
-Pair statistics work on the matrix in blocks of columns: counts of (i, j, a, b) come from one
-explode of position pairs per sequence, partially aggregated; what is shuffled is bounded by
-pairs x symbols squared per task, not by sequences.
+Pair statistics count (i, j, a, b) in batches of rows: what is shuffled is bounded by pairs x symbols squared for
+each batch, not by sequences.  Permutation nulls never see a sequence: a replicate's contingency tables are drawn
+from their margins (multivariate hypergeometric), so their cost is replicates x tables x symbols, whatever
+the number of sequences.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import GAP, RESIDUES
 from ..functions.special import gamma_tail, normal_sf
-from .alignment import counted
-from .joins import CheckFailed
+from .alignment import counted, long_form
+from .staging import staged
 
 
 def varied_columns(long: DataFrame, min_occupancy: float, copies: str | None = None) -> DataFrame:
@@ -26,17 +30,46 @@ def varied_columns(long: DataFrame, min_occupancy: float, copies: str | None = N
     return at.where((F.col("occupancy") >= min_occupancy) & (F.col("symbols") > 1)).select("pos")
 
 
+COUNTED_ROWS, COUNTED_CELLS = 1 << 16, 1 << 22
+_PAIRS = "col_i int, col_j int, a int, b int, n long"
+
+
+def _pair_cells(rows: list[str]):
+    """Arrow batches of (i, j, a, b, n) with i < j over some rows, a column j at a time."""
+    wide = max(map(len, rows))
+    text = np.frombuffer("".join(r.ljust(wide, "\0") for r in rows).encode("latin-1", "replace"), np.uint8).reshape(-1, wide)
+    symbols, code = np.unique(text, return_inverse=True)
+    k, code = len(symbols), code.reshape(text.shape).astype(np.int32)
+    for j in range(1, wide):
+        n = np.bincount((np.arange(j, dtype=np.int32) * (k * k) + code[:, :j] * k + code[:, j : j + 1]).ravel(), minlength=j * k * k)
+        at = np.flatnonzero(n)
+        a, b = symbols[at // k % k], symbols[at % k]
+        there = (a > 0) & (b > 0)
+        i = (at // (k * k))[there].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.full(len(i), j, np.int32)), pa.array(a[there].astype(np.int32)), pa.array(b[there].astype(np.int32)), pa.array(n[at][there].astype(np.int64))], names=["col_i", "col_j", "a", "b", "n"])
+
+
+def _count_pairs(batches):
+    held = []
+    for batch in batches:
+        held += [r for r in batch.column(0).to_pylist() if r and len(r) > 1]
+        while held and len(held) >= (take := max(1, min(COUNTED_ROWS, COUNTED_CELLS // len(held[0])))):
+            yield from _pair_cells(held[:take])
+            held = held[take:]
+    if held:
+        yield from _pair_cells(held)
+
+
+def pair_counts(matrix: DataFrame) -> DataFrame:
+    """(col_i, col_j, a, b, n) for i < j: rows with each pair of symbols (by code), gaps included; a
+    shorter row has no symbols beyond its end."""
+    return matrix.select("row").mapInArrow(_count_pairs, _PAIRS).groupBy("col_i", "col_j", "a", "b").agg(F.sum("n").alias("n"))
+
+
 def pair_information(matrix: DataFrame) -> DataFrame:
     """(col_i, col_j, n, mi_bits) of all column pairs, over rows where both are occupied;
     fewer than two such rows give 0."""
-    n = F.length("row")
-    # pairs i < j are numbers k = j (j - 1) / 2 + i, so all of this stays in generated code
-    long = matrix.where(n > 1).select("row", F.explode(F.sequence(F.lit(0), F.expr("length(row) * (length(row) - 1) div 2 - 1"))).alias("_k"))
-    long = long.withColumn("col_j", F.expr("cast(floor((1 + sqrt(1 + 8.0D * _k)) / 2) as int)"))
-    long = long.select("row", F.expr("cast(_k - cast(col_j as bigint) * (col_j - 1) div 2 as int)").alias("col_i"), "col_j")
-    code = lambda c: F.ascii(F.substring(F.col("row"), F.col(c) + 1, F.lit(1)))
-    cells = long.groupBy("col_i", "col_j", code("col_i").alias("a"), code("col_j").alias("b")).agg(F.count("*").alias("n"))
-    cells = cells.where((F.col("a") != ord(GAP)) & (F.col("b") != ord(GAP)))
+    cells = pair_counts(matrix).where((F.col("a") != ord(GAP)) & (F.col("b") != ord(GAP)))
     at = lambda *c: F.sum("n").over(W.partitionBy("col_i", "col_j", *c))
     c = cells.withColumn("t", at()).withColumn("na", at("a")).withColumn("nb", at("b"))
     term = F.col("n") / F.col("t") * F.log2(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))
@@ -44,15 +77,15 @@ def pair_information(matrix: DataFrame) -> DataFrame:
     return mi.withColumn("mi_bits", F.when(F.col("n") >= 2, F.greatest(F.lit(0.0), "mi_bits")).otherwise(0.0))
 
 
-def average_product(mi: DataFrame, value: str = "mi_bits") -> DataFrame:
-    """Adds ``mi_apc``: value less mean_i * mean_j / grand mean over off-diagonal pairs; as it
+def average_product(mi: DataFrame, value: str = "mi_bits", by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``mi_apc``: value less mean_i * mean_j / grand mean over off-diagonal pairs (of each ``by``); as it
     is where the grand mean is not positive."""
     # windows over pairs of columns, so that what made them runs once
-    own = [c for c in mi.columns if c not in ("col_i", "col_j")]
-    ends = mi.withColumn("_g", F.avg(value).over(W.partitionBy())).select("*", F.explode(F.array("col_i", "col_j")).alias("_c"))
-    ends = ends.withColumn("_m", F.avg(value).over(W.partitionBy("_c")))
+    own = [c for c in mi.columns if c not in ("col_i", "col_j", *by)]
+    ends = mi.withColumn("_g", F.avg(value).over(W.partitionBy(*by))).select("*", F.explode(F.array("col_i", "col_j")).alias("_c"))
+    ends = ends.withColumn("_m", F.avg(value).over(W.partitionBy(*by, "_c")))
     pick = lambda c: F.max(F.when(F.col("_c") == F.col(c), F.col("_m")))
-    out = ends.groupBy("col_i", "col_j").agg(*[F.max(c).alias(c) for c in own], F.max("_g").alias("_g"), pick("col_i").alias("_mi"), pick("col_j").alias("_mj"))
+    out = ends.groupBy(*by, "col_i", "col_j").agg(*[F.max(c).alias(c) for c in own], F.max("_g").alias("_g"), pick("col_i").alias("_mi"), pick("col_j").alias("_mj"))
     return out.withColumn("mi_apc", F.when(F.col("_g") > 0, F.col(value) - F.col("_mi") * F.col("_mj") / F.col("_g")).otherwise(F.col(value))).drop("_g", "_mi", "_mj")
 
 
@@ -76,148 +109,182 @@ def entropy_scaled(info: DataFrame) -> DataFrame:
     return info.crossJoin(F.broadcast(means)).withColumn("corrected", F.when(F.col("_h") > 0, F.col("mi_bits") - F.col("entropy_bits") * F.col("_s") / F.col("_h")).otherwise(F.col("mi_bits"))).drop("_s", "_h")
 
 
-# --- permutation nulls: a replicate is a task, and each task has the whole matrix ------------
-
-MATRIX_BYTES = 256 << 20
-
-
-def bounded(rows: DataFrame, limit: int = MATRIX_BYTES) -> pd.DataFrame:
-    """``rows`` on the driver, once their size is counted and found within ``limit``."""
-    size = rows.agg(F.sum(sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in rows.columns), F.lit(0)))).first()[0] or 0
-    if size > limit:
-        raise CheckFailed(f"a permutation matrix of {size} bytes; the limit is {limit}: dereplicate further")
-    return rows.toPandas()
-
-
-
-def encode_rows(rows: list[str]) -> np.ndarray:
-    code = np.full(256, 20, np.uint8)
-    for i, r in enumerate(RESIDUES):
-        code[ord(r)] = i
-    return code[np.frombuffer("".join(rows).encode(), np.uint8)].reshape(len(rows), -1)
-
-
-def mi_matrix(a: np.ndarray) -> np.ndarray:
-    """Information of all column pairs, over rows where both are occupied."""
-    width = a.shape[1]
-    columns = [np.ascontiguousarray(c, dtype=np.int32) for c in a.T]
-    out = np.zeros((width, width))
-    for i in range(width):
-        for j in range(i):
-            joint = np.bincount(columns[i] * 21 + columns[j], minlength=441).reshape(21, 21)[:20, :20]
-            t = joint.sum()
-            if t >= 2:
-                e = np.outer(joint.sum(1), joint.sum(0))
-                ok = joint > 0
-                out[i, j] = out[j, i] = max(0.0, float((joint[ok] / t * np.log2(joint[ok] * t / e[ok])).sum()))
+# --- permutation nulls: replicates are drawn from margins -------------------------------------
+
+BLOCK, PAIRED_PER_CELL = 50, 10
+DRAWN_EXACTLY = 10**9  # what numpy draws hypergeometrically; beyond it a normal of the same mean and variance
+
+
+def _hypergeometric(rng, good: np.ndarray, bad: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    if max(good.max(initial=0), bad.max(initial=0)) < DRAWN_EXACTLY:
+        return rng.hypergeometric(good, bad, drawn)
+    total = np.maximum(good + bad, 1).astype(float)
+    mean = drawn * (good / total)
+    var = mean * (bad / total) * ((total - drawn) / np.maximum(total - 1, 1))
+    return np.clip(np.rint(rng.normal(mean, np.sqrt(np.maximum(var, 0)))), np.maximum(0, drawn - bad), np.minimum(good, drawn)).astype(np.int64)
+
+
+def drawn_tables(rng, rows: np.ndarray, columns: np.ndarray, replicates: int) -> np.ndarray:
+    """(replicates, len(rows), len(columns)) tables with these margins, each as a random pairing
+    of the items gives it.  Few items are paired one by one, which takes as many draws as there are items."""
+    total, size = int(rows.sum()), len(rows) * len(columns)
+    if total <= PAIRED_PER_CELL * size:
+        a, b = np.repeat(np.arange(len(rows)), rows), np.repeat(np.arange(len(columns)), columns)
+        moved = rng.permuted(np.broadcast_to(b, (replicates, total)), axis=1)
+        at = (np.arange(replicates)[:, None] * len(rows) + a) * len(columns) + moved
+        return np.bincount(at.ravel(), minlength=replicates * size).reshape(replicates, len(rows), len(columns))
+    out = np.zeros((replicates, len(rows), len(columns)), np.int64)
+    left = np.broadcast_to(columns, (replicates, len(columns))).astype(np.int64)
+    for a in range(len(rows) - 1):
+        need, pool = np.full(replicates, rows[a], np.int64), left.sum(1)
+        for b in range(len(columns) - 1):
+            pool = pool - left[:, b]
+            out[:, a, b] = _hypergeometric(rng, left[:, b], pool, need)
+            need = need - out[:, a, b]
+        out[:, a, -1] = need
+        left = left - out[:, a]
+    out[:, -1] = left
     return out
 
 
-def apc_matrix(m: np.ndarray) -> np.ndarray:
-    off = len(m) - 1
-    row, grand = m.sum(1) / off, m.sum() / (len(m) * off)
-    out = m - np.outer(row, row) / grand if grand > 0 else m.copy()
-    np.fill_diagonal(out, 0)
-    return out
-
-
-def _replicates(spark, n: int, run, schema: str) -> DataFrame:
-    """One task per replicate, each with a seed of its own; results are sums to be reduced."""
-    return spark.range(0, n, 1, min(n, 4 * spark.sparkContext.defaultParallelism)).mapInPandas(run, schema)
-
-
-def coupling_null(spark, rows: list[str], replicates: int = 200, seed: int = 1) -> DataFrame:
-    """Pairs with information, APC-corrected information and a permutation null of it: mean,
-    sd, skew, z, an empirical p and a gamma (or normal) tail p.  ``rows`` are representatives
-    (a bounded set by the method); each column is shuffled by itself."""
-    a = encode_rows(rows)
-    observed = mi_matrix(a)
-    corrected = apc_matrix(observed)
-    i, j = np.triu_indices(a.shape[1], 1)
-    target = corrected[i, j]
-
-    def run(batches):
-        for batch in batches:
-            ge, s = np.zeros(len(i)), np.zeros((3, len(i)))
-            for r in batch["id"]:
-                rng = np.random.default_rng((seed, int(r)))
-                x = apc_matrix(mi_matrix(rng.permuted(a, axis=0)))[i, j]
-                ge += x >= target
-                s += np.stack([x, x**2, x**3])
-            yield pd.DataFrame({"k": np.arange(len(i)), "ge": ge, "s1": s[0], "s2": s[1], "s3": s[2]})
-
-    sums = _replicates(spark, replicates, run, "k int, ge double, s1 double, s2 double, s3 double").groupBy("k").agg(*[F.sum(c).alias(c) for c in ("ge", "s1", "s2", "s3")])
+def _bits(tables: np.ndarray) -> np.ndarray:
+    """Information of each table of the last two axes."""
+    total = tables.sum((-1, -2), keepdims=True)
+    share = tables / np.where(total > 0, total, 1)
+    expected = share.sum(-1, keepdims=True) * share.sum(-2, keepdims=True)
+    ok = share > 0
+    return np.where(ok, share * np.log2(np.where(ok, share, 1) / np.where(ok, expected, 1)), 0).sum((-1, -2))
+
+
+def column_counts(matrix: DataFrame) -> DataFrame:
+    """(pos, n): how often each residue and, last, anything else stands at a position."""
+    at = F.explode(F.sequence(F.lit(0), F.length("row") - 1)).alias("pos")
+    long = matrix.where(F.length("row") > 0).select("row", at)
+    found = F.instr(F.lit(RESIDUES), F.substring(F.col("row"), F.col("pos") + 1, F.lit(1)))
+    code = F.when(found > 0, found - 1).otherwise(len(RESIDUES))
+    cells = long.groupBy("pos", code.alias("_c")).agg(F.count("*").alias("_n"))
+    held = F.map_from_entries(F.collect_list(F.struct("_c", "_n")))
+    one = F.transform(F.sequence(F.lit(0), F.lit(len(RESIDUES))), lambda c: F.coalesce(F.try_element_at("_m", c), F.lit(0).cast("long")))
+    return cells.groupBy("pos").agg(held.alias("_m")).select("pos", one.alias("n"))
+
+
+def coupling_null(matrix: DataFrame, replicates: int = 200, seed: int = 1) -> DataFrame:
+    """Pairs of columns of ``matrix`` (row) with information, APC-corrected information and a permutation null of
+    it: mean, sd, skew, z, an empirical p and a gamma (or normal) tail p.
+
+    Columns are shuffled apart from each other, so a pair's table in a replicate is a random pairing of two
+    margins; tables of different pairs are drawn apart, which leaves means and variances of APC terms as
+    they are (two pairs of one replicate are independent, three that share columns are not quite).
+    """
+    counts = staged(column_counts(matrix))
+    observed = staged(average_product(pair_information(matrix)))
+    side = lambda c, n: counts.select(F.col("pos").alias(c), F.col("n").alias(n))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // BLOCK) - 1))).alias("_b")
+    work = observed.select("col_i", "col_j").join(side("col_i", "_x"), "col_i").join(side("col_j", "_y"), "col_j").select("*", blocks)
+
+    def draw(batches):
+        for p in batches:
+            out = []
+            for i, j, x, y, b in zip(p.col_i, p.col_j, p["_x"], p["_y"], p["_b"], strict=True):
+                n = min(BLOCK, replicates - b * BLOCK)
+                rng = np.random.default_rng((seed, i, j, b))
+                x, y = np.asarray(x), np.asarray(y)
+                # the gap stands last in both and is no symbol of the information
+                keep_x, keep_y = np.flatnonzero(x[:-1]), np.flatnonzero(y[:-1])
+                tables = drawn_tables(rng, np.append(x[keep_x], x[-1]), np.append(y[keep_y], y[-1]), n)[:, :-1, :-1]
+                bits = np.where(tables.sum((1, 2)) >= 2, np.maximum(_bits(tables), 0), 0) if tables.size else np.zeros(n)
+                out.append(pd.DataFrame({"r": b * BLOCK + np.arange(n), "col_i": i, "col_j": j, "mi": bits}))
+            if out:
+                yield pd.concat(out)
+
+    drawn = staged(work.repartition("col_i", "col_j", "_b").mapInPandas(draw, "r int, col_i int, col_j int, mi double"))
+    null = average_product(drawn, "mi", by=("r",)).select("r", "col_i", "col_j", F.col("mi_apc").alias("x"))
+    target = observed.select("col_i", "col_j", "mi_bits", "mi_apc")
+    x = F.col("x")
+    sums = null.join(target, ["col_i", "col_j"]).groupBy("col_i", "col_j").agg(
+        F.max("mi_bits").alias("mi_bits"), F.max("mi_apc").alias("mi_apc"), F.count_if(x >= F.col("mi_apc")).alias("ge"), F.avg(x).alias("s1"), F.avg(x * x).alias("s2"), F.avg(x * x * x).alias("s3")
+    )
 
     def tail(batches):
         for p in batches:
-            mean = p.s1 / replicates
-            var = np.maximum(p.s2 / replicates - mean**2, 0)
+            var = np.maximum(p.s2 - p.s1**2, 0)
             sd = np.sqrt(var * replicates / (replicates - 1))
-            third = p.s3 / replicates - 3 * mean * p.s2 / replicates + 2 * mean**3
-            skew = np.where(var > 0, third / np.maximum(var, 1e-300) ** 1.5, 0)
-            obs = target[p.k]
-            t = [gamma_tail(*x, floor=1 / (10 * (replicates + 1))) for x in zip(obs, mean, sd, skew, strict=True)]
-            z = np.where(sd > 0, (obs - mean) / np.where(sd > 0, sd, 1), 0)
-            yield pd.DataFrame({"col_i": i[p.k], "col_j": j[p.k], "mi_bits": observed[i, j][p.k], "mi_apc": obs, "null_mean": mean, "null_sd": sd, "null_skew": skew, "z": z, "p_normal": normal_sf(z), "p_empirical": (1 + p["ge"]) / (replicates + 1), "p": [x[0] for x in t], "tail_model": [x[1] for x in t]})
+            skew = np.where(var > 0, (p.s3 - 3 * p.s1 * p.s2 + 2 * p.s1**3) / np.maximum(var, 1e-300) ** 1.5, 0)
+            t = [gamma_tail(*v, floor=1 / (10 * (replicates + 1))) for v in zip(p.mi_apc, p.s1, sd, skew, strict=True)]
+            z = np.where(sd > 0, (p.mi_apc - p.s1) / np.where(sd > 0, sd, 1), 0)
+            yield pd.DataFrame({"col_i": p.col_i, "col_j": p.col_j, "mi_bits": p.mi_bits, "mi_apc": p.mi_apc, "null_mean": p.s1, "null_sd": sd, "null_skew": skew, "z": z, "p_normal": normal_sf(z), "p_empirical": (1 + p["ge"]) / (replicates + 1), "p": [v[0] for v in t], "tail_model": [v[1] for v in t]})
 
     return sums.mapInPandas(tail, "col_i int, col_j int, mi_bits double, mi_apc double, null_mean double, null_sd double, null_skew double, z double, p_normal double, p_empirical double, p double, tail_model string")
 
 
-def null_mode(clades: list, labelled: list[bool], least: float = 0.5) -> str:
-    """``within_clade`` unless fewer than half of the labelled tips are in clades of two or more."""
-    size = pd.Series([c for c, ok in zip(clades, labelled, strict=True) if ok]).value_counts()
-    return "within_clade" if size.sum() and size[size >= 2].sum() / size.sum() >= least else "global_fallback"
-
-
-def label_null(spark, rows: list[str], labels: list[str], weights: list[float], clades: list, replicates: int = 200, seed: int = 1) -> DataFrame:
-    """Per column: information about labels, corrected for entropy, against labels permuted
-    within clades (or globally, where clades are too small to permute)."""
-    a = encode_rows(rows)
-    group = pd.factorize(pd.Series(labels))[0]
-    clade = pd.factorize(pd.Series(clades))[0]
-    w = np.asarray(weights, float)
-    mode = null_mode(clades, [True] * len(clades))
-    k = group.max() + 1
-    p0 = np.stack([np.bincount(c, minlength=21) for c in a.T]) / len(a)
-    entropy = -np.where(p0 > 0, p0 * np.log2(np.where(p0 > 0, p0, 1)), 0).sum(1)
-
-    def score(g: np.ndarray) -> np.ndarray:
-        out = np.empty(a.shape[1])
-        for c in range(a.shape[1]):
-            t = np.bincount(a[:, c].astype(int) * k + g, w, 21 * k).reshape(21, k)
-            t = t / t.sum()
-            e = t.sum(1, keepdims=True) * t.sum(0, keepdims=True)
-            out[c] = np.where(t > 0, t * np.log2(np.where(t > 0, t, 1) / np.where(e > 0, e, 1)), 0).sum()
-        return out - entropy * out.mean() / entropy.mean() if entropy.mean() > 0 else out
-
-    observed = score(group)
-
-    def run(batches):
+def null_mode(rows: DataFrame, clade: str = "clade", label: str = "label", least: float = 0.5) -> str:
+    """``within_clade`` unless fewer than half of the labelled rows are in clades of two or more."""
+    size = rows.where(F.col(label).isNotNull()).groupBy(clade).agg(F.count("*").alias("n"))
+    whole, shared = size.agg(F.sum("n"), F.sum(F.when(F.col("n") >= 2, F.col("n")))).first()
+    return "within_clade" if whole and (shared or 0) / whole >= least else "global_fallback"
+
+
+def weight_class(weight: Column) -> Column:
+    """Weights that differ by less than a sixteenth of a doubling or so: one class."""
+    return F.when(weight > 0, F.round(16 * F.log2(weight))).otherwise(F.lit(None)).cast("int")
+
+
+def label_null(rows: DataFrame, replicates: int = 200, seed: int = 1) -> DataFrame:
+    """``rows``: row, label, weight, clade.  Per column: information about labels, corrected for entropy, against
+    labels permuted within clades (or globally, where clades are too small to permute).
+
+    In a clade a replicate pairs its rows with its labels at random.  Rows of one symbol and weight class
+    are alike, so their table is drawn from the two margins; a class counts with its mean weight.  Each column of
+    each block of replicates is one stream of clades; a task holds the summed tables of its replicates.
+    """
+    rows = rows.where(F.col("label").isNotNull())
+    mode = null_mode(rows)
+    rows = staged(rows.withColumn("clade", F.col("clade") if mode == "within_clade" else F.lit(None).cast("string")))
+    long = long_form(rows.select("clade", "label", "weight", "row"))
+    observed = entropy_scaled(label_information(long, "label"))
+    labels = staged(rows.groupBy("clade", "label").agg(F.count("*").alias("n")))
+    names = labels.groupBy("label").agg(F.sum("n").alias("n"))
+    numbered = names.select("label", (F.row_number().over(W.orderBy("label")) - 1).alias("g"))  # labels are few (``partitions``)
+    k = names.count()
+    per_clade = labels.join(F.broadcast(numbered), "label").groupBy("clade").agg(F.array_sort(F.collect_list(F.struct("g", "n"))).alias("labels"))
+    symbol = F.when(F.col("residue").isin(*RESIDUES), F.col("residue")).otherwise(GAP)
+    cells = counted(long.withColumn("_w", weight_class(F.col("weight"))), ["clade", "_w"], n=F.count("*"), m=F.sum("weight"))
+    cells = cells.groupBy("clade", "pos", symbol.alias("a"), "_w").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    symbols = F.array_sort(F.collect_list(F.struct((F.instr(F.lit(RESIDUES), F.col("a")) - 1).alias("a"), "_w", "n", "m")))
+    both = cells.groupBy("clade", "pos").agg(symbols.alias("symbols")).join(per_clade.withColumnRenamed("clade", "_c"), F.col("clade").eqNullSafe(F.col("_c"))).drop("_c")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // BLOCK) - 1))).alias("_b")
+    work = both.select("pos", "clade", "symbols", "labels", blocks)
+
+    def streams(batches):
         for batch in batches:
-            s1, s2 = np.zeros(len(observed)), np.zeros(len(observed))
-            for r in batch["id"]:
-                rng = np.random.default_rng((seed, int(r)))
-                key = rng.random(len(group))
-                if mode == "within_clade":
-                    moved = np.empty_like(group)
-                    moved[np.lexsort((np.arange(len(group)), clade))] = group[np.lexsort((key, clade))]
-                else:
-                    moved = group[np.argsort(key)]
-                x = score(moved)
-                s1 += x
-                s2 += x**2
-            yield pd.DataFrame({"match_col": np.arange(len(observed)), "s1": s1, "s2": s2})
-
-    sums = _replicates(spark, replicates, run, "match_col int, s1 double, s2 double").groupBy("match_col").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+            yield from batch.to_pylist()
+
+    def draw(batches):
+        for (pos, b), clades in groupby(streams(batches), key=lambda r: (r["pos"], r["_b"])):
+            n = min(BLOCK, replicates - b * BLOCK)
+            rng = np.random.default_rng((seed, pos, b))
+            sums = np.zeros((n, len(RESIDUES) + 1, k))  # the gap is symbol -1, the last
+            for c in clades:
+                margin, g = np.array([s["n"] for s in c["symbols"]]), [x["g"] for x in c["labels"]]
+                tables = drawn_tables(rng, margin, np.array([x["n"] for x in c["labels"]]), n)
+                for s, t in zip(c["symbols"], tables.transpose(1, 0, 2), strict=True):
+                    sums[:, s["a"], g] += t * (s["m"] / s["n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, pos, np.int32)), pa.array((b * BLOCK + np.arange(n)).astype(np.int32)), pa.array(np.maximum(_bits(sums), 0))], names=["pos", "r", "mi"])
+
+    drawn = staged(work.repartition("pos", "_b").sortWithinPartitions("pos", "_b", "clade").mapInArrow(draw, "pos int, r int, mi double"))
+    observed = staged(observed.select(F.col("pos").cast("int").alias("pos"), "corrected", "entropy_bits"))
+    mean_h = F.broadcast(observed.agg(F.avg("entropy_bits").alias("_h")))
+    means = drawn.groupBy("r").agg(F.avg("mi").alias("_s"))
+    scored = drawn.join(means, "r").join(observed, "pos").crossJoin(mean_h)
+    x = F.when(F.col("_h") > 0, F.col("mi") - F.col("entropy_bits") * F.col("_s") / F.col("_h")).otherwise(F.col("mi"))
+    out = scored.groupBy(F.col("pos").alias("match_col")).agg(F.max("corrected").alias("mi_bits"), F.avg(x).alias("null_mean"), F.stddev_samp(x).alias("null_sd"))
+    out = out.withColumn("z", F.when(F.col("null_sd") > 0, (F.col("mi_bits") - F.col("null_mean")) / F.col("null_sd")).otherwise(0.0))
 
     def tail(batches):
         for p in batches:
-            mean = p.s1 / replicates
-            sd = np.sqrt(np.maximum(p.s2 / replicates - mean**2, 0) * replicates / (replicates - 1))
-            z = np.where(sd > 0, (observed[p.match_col] - mean) / np.where(sd > 0, sd, 1), 0)
-            yield pd.DataFrame({"match_col": p.match_col, "mi_bits": observed[p.match_col], "null_mean": mean, "null_sd": sd, "z": z, "p": normal_sf(z), "null_mode": mode})
+            yield p.assign(p=normal_sf(p.z.to_numpy()), null_mode=mode)
 
-    return sums.mapInPandas(tail, "match_col int, mi_bits double, null_mean double, null_sd double, z double, p double, null_mode string")
+    return out.mapInPandas(tail, "match_col int, mi_bits double, null_mean double, null_sd double, z double, p double, null_mode string")
 
 
 def partitions(parts: dict[str, DataFrame], seq_id: str, min_size: int, max_groups: int, min_rows: int = 30) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,3 +43,16 @@ def numbered(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame
     sizes = kept.groupBy("_p").agg(F.count("*").alias("_n"))
     first = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
     return kept.join(F.broadcast(first), "_p").withColumn(out, F.col("_first") + F.col("_k")).drop("_p", "_k", "_first")
+
+
+MATRIX_BYTES = 256 << 20
+
+
+def bounded(rows: DataFrame, limit: int = MATRIX_BYTES) -> pd.DataFrame:
+    """``rows`` on the driver, once their size is counted and found within ``limit``."""
+    from .joins import CheckFailed
+
+    size = rows.agg(F.sum(sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in rows.columns), F.lit(0)))).first()[0] or 0
+    if size > limit:
+        raise CheckFailed(f"a table of {size} bytes; the limit is {limit}")
+    return rows.toPandas()

@@ -138,7 +138,7 @@ def outcomes_by_tier(spark, sf_dir):
 
 
 BARCODE_SQL = f"""{TRIPLE_SQL},
-bc AS (SELECT seq_id, substr(row, greatest(0, col_1 - {HALF}) + 1, least({LENGTH - 1}, col_1 + {HALF}) - greatest(0, col_1 - {HALF}) + 1)
+bc AS (SELECT seq_id, source, weight, substr(row, greatest(0, col_1 - {HALF}) + 1, least({LENGTH - 1}, col_1 + {HALF}) - greatest(0, col_1 - {HALF}) + 1)
  || substr(row, greatest(0, col_2 - {HALF}) + 1, least({LENGTH - 1}, col_2 + {HALF}) - greatest(0, col_2 - {HALF}) + 1)
  || substr(row, greatest(0, col_3 - {HALF}) + 1, least({LENGTH - 1}, col_3 + {HALF}) - greatest(0, col_3 - {HALF}) + 1) AS barcode FROM x, best)"""
 

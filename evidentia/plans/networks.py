@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import tree as P
-from ..operators.staging import staged
+from ..operators.staging import bounded, staged
 from .registry import query, table
 
 MIN_COSINE = 0.25
@@ -216,8 +216,6 @@ def rf_test(spark, sf_dir):
 @query()
 def convergence_null(spark, sf_dir):
     """The tree of nations; the trait is a mean balance above the mean of all customers."""
-    from ..operators.information import bounded
-
     t = bounded(tree(spark, sf_dir).where("depth < 3").withColumn("is_tip", F.col("depth") == 2))
     c = table(spark, sf_dir, "customer")
     mean = c.groupBy(F.concat(F.lit("n"), "c_nationkey").alias("node")).agg(F.avg("c_acctbal").alias("m")).crossJoin(c.agg(F.avg("c_acctbal").alias("a")))

@@ -147,22 +147,51 @@ def region_enrichment(spark, sf_dir):
     return out.select("region", "n11", F.round("odds_ratio", 6).alias("odds_ratio"), F.round("p", 6).alias("p"))
 
 
+WINDOW_SQL = f"""{BARCODE_SQL},
+bs AS (SELECT barcode, source, round(sum(weight), 6) AS weight FROM bc GROUP BY ALL),
+wn AS (SELECT barcode AS row, arg_max(source, (weight, source)) AS label, sum(weight) AS weight FROM bs GROUP BY barcode)"""
+
+
 def _windows(spark, sf_dir):
-    """Distinct windows, each with its most common source and the weight of its rows."""
+    """Distinct windows, each with its most common source and the weight of its rows; a clade is a window's
+    first two letters."""
     m = staged(matrix(spark, sf_dir))
-    b = barcodes(m.select("row", "source", "weight"), m).groupBy("barcode", "source").agg(F.sum("weight").alias("weight"))
-    return b.groupBy("barcode").agg(F.max_by("source", F.struct("weight", "source")).alias("source"), F.sum("weight").alias("weight")).orderBy("barcode")
+    b = barcodes(m.select("row", "source", "weight"), m).groupBy("barcode", "source").agg(F.round(F.sum("weight"), 6).alias("weight"))
+    one = b.groupBy(F.col("barcode").alias("row")).agg(F.max_by("source", F.struct("weight", "source")).alias("label"), F.sum("weight").alias("weight"))
+    return one.withColumn("clade", F.substring("row", 1, 2))
+
+
+def _coupling(spark, sf_dir, replicates):
+    return I.coupling_null(staged(_windows(spark, sf_dir).select("row")), replicates=replicates)
 
 
 @query()
 def coupling_permutation(spark, sf_dir):
-    rows = I.bounded(_windows(spark, sf_dir).select("barcode"))
-    out = I.coupling_null(spark, rows["barcode"].tolist(), replicates=100)
-    return T.bh_adjust(out, "p", ["col_i", "col_j"]).withColumn("significant", F.col("q_bh") < 0.05)
+    return T.bh_adjust(_coupling(spark, sf_dir, 100), "p", ["col_i", "col_j"]).withColumn("significant", F.col("q_bh") < 0.05)
+
+
+@query(f"""WITH {PAIR_SQL}, b AS (SELECT c, avg(mi) AS m FROM (SELECT col_i AS c, mi FROM mi UNION ALL SELECT col_j, mi FROM mi) GROUP BY c)
+SELECT col_i, col_j, round(mi, 6) + 0.0 AS mi_bits, round(mi - x.m * y.m / (SELECT avg(mi) FROM mi), 6) + 0.0 AS mi_apc, true AS tail_is_share FROM mi JOIN b x ON x.c = col_i JOIN b y ON y.c = col_j""")
+def coupling_observed(spark, sf_dir):
+    """What the null is held against, and that each tail is a share of replicates or of a distribution."""
+    out = _coupling(spark, sf_dir, 20)
+    share = (F.col("p_empirical") >= F.lit(1 / 21) - 1e-12) & (F.col("p_empirical") <= 1) & (F.col("p") > 0) & (F.col("p") <= 1)
+    return out.select("col_i", "col_j", (F.round("mi_bits", 6) + 0.0).alias("mi_bits"), (F.round("mi_apc", 6) + 0.0).alias("mi_apc"), share.alias("tail_is_share"))
 
 
 @query()
 def sdp_within_clade(spark, sf_dir):
-    rows = I.bounded(_windows(spark, sf_dir).withColumn("clade", F.substring("barcode", 1, 2)))
-    out = I.label_null(spark, rows["barcode"].tolist(), rows["source"].tolist(), rows["weight"].tolist(), rows["clade"].tolist(), replicates=100)
+    out = I.label_null(staged(_windows(spark, sf_dir)), replicates=100)
     return T.bh_adjust(out, "p", ["match_col"]).withColumn("significant", F.col("q_bh") < 0.05)
+
+
+@query(f"""WITH {WINDOW_SQL},
+lf2 AS (SELECT pos, CASE WHEN contains('ACDEFGHIKLMNPQRSTVWY', substr(row, pos + 1, 1)) THEN substr(row, pos + 1, 1) ELSE '-' END AS a, label AS b, weight FROM wn, range(0, 60) t(pos) WHERE pos < length(row)),
+lc AS (SELECT pos, a, b, sum(weight) AS m, count(*) AS k FROM lf2 GROUP BY ALL),
+lw AS (SELECT *, sum(m) OVER (PARTITION BY pos) AS t, sum(m) OVER (PARTITION BY pos, a) AS ma, sum(m) OVER (PARTITION BY pos, b) AS mb, sum(k) OVER (PARTITION BY pos, a) AS ka, sum(k) OVER (PARTITION BY pos) AS kt FROM lc),
+li AS (SELECT pos, greatest(0, sum(m / t * log2(m * t / (ma * mb)))) AS mi, -sum(k / kt * log2(ka / kt)) AS h FROM lw GROUP BY pos),
+md AS (SELECT CASE WHEN sum(n) FILTER (n > 1) * 2 >= sum(n) THEN 'within_clade' ELSE 'global_fallback' END AS mode FROM (SELECT row[1:2], count(*) AS n FROM wn GROUP BY 1))
+SELECT pos AS match_col, round(mi - h * (SELECT avg(mi) FROM li) / (SELECT avg(h) FROM li), 6) + 0.0 AS mi_bits, mode AS null_mode FROM li, md""")
+def sdp_observed(spark, sf_dir):
+    """What the null is held against, and how labels are permuted."""
+    return I.label_null(staged(_windows(spark, sf_dir)), replicates=20).select("match_col", (F.round("mi_bits", 6) + 0.0).alias("mi_bits"), "null_mode")

@@ -23,7 +23,7 @@ from evidentia.operators import sequences as Q
 from evidentia.operators import stats as T
 from evidentia.operators import synteny as Y
 from evidentia.operators import tree as P
-from evidentia.operators.staging import numbered
+from evidentia.operators.staging import bounded, numbered
 
 
 def one(spark, expr, **values):
@@ -194,37 +194,141 @@ def test_empty_matrix_keeps_schema(spark):
 def test_information_matches_numpy(spark):
     rng = np.random.default_rng(0)
     rows = ["".join(rng.choice(list("ACD-"), 5)) for _ in range(60)]
-    got = {(r["col_i"], r["col_j"]): r["mi_bits"] for r in I.pair_information(spark.createDataFrame([(r,) for r in rows], "row string")).collect()}
-    m = I.mi_matrix(I.encode_rows(rows))
-    for i, j in itertools.combinations(range(5), 2):
-        assert got[i, j] == pytest.approx(m[i, j], abs=1e-9)
+    m = mi_matrix(rows)
+    for df in (as_rows(spark, rows), as_rows(spark, rows).repartition(3)):
+        got = {(r["col_i"], r["col_j"]): r["mi_bits"] for r in I.pair_information(df).collect()}
+        assert len(got) == 10
+        for i, j in itertools.combinations(range(5), 2):
+            assert got[i, j] == pytest.approx(m[i, j], abs=1e-9)
 
 
-def test_coupling_finds_planted_pair(spark):
+def as_rows(spark, rows):
+    return spark.createDataFrame([(r,) for r in rows], "row string")
+
+
+def mi_matrix(rows):
+    wide = len(rows[0])
+    out = np.zeros((wide, wide))
+    for i, j in itertools.combinations(range(wide), 2):
+        both = [(r[i], r[j]) for r in rows if r[i] != "-" and r[j] != "-"]
+        if len(both) >= 2:
+            n, a, b, t = pd.Series(both).value_counts(), pd.Series([x for x, _ in both]).value_counts(), pd.Series([y for _, y in both]).value_counts(), len(both)
+            out[i, j] = out[j, i] = max(0.0, sum(k / t * math.log2(k * t / (a[x] * b[y])) for (x, y), k in n.items()))
+    return out
+
+
+def apc(m):
+    off = len(m) - 1
+    return m - np.outer(m.sum(1), m.sum(1)) / off**2 / (m.sum() / (len(m) * off))
+
+
+def test_pair_information_of_uneven_rows(spark, monkeypatch):
+    monkeypatch.setattr(I, "COUNTED_ROWS", 3)
+    got = {(r["col_i"], r["col_j"]): (r["n"], r["mi_bits"]) for r in I.pair_information(as_rows(spark, ["AC", "AC", "DE", "DEA", "A", "", None, "AE-"])).collect()}
+    assert got[0, 1][0] == 5 and got[0, 2] == (1, 0.0) and got[1, 2] == (1, 0.0)
+    assert got[0, 1][1] == pytest.approx(2 / 5 * math.log2(5 / 3) + 1 / 5 * math.log2(5 / 9) + 2 / 5 * math.log2(5 / 3), abs=1e-12)
+
+
+def test_drawn_tables_are_random_pairings(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows, columns = np.array([5, 1, 9]), np.array([4, 8, 3])
+    a, b = np.repeat(np.arange(3), rows), np.repeat(np.arange(3), columns)
+    want = np.array([np.bincount(a * 3 + rng.permutation(b), minlength=9) for _ in range(6000)])
+    for limit, paired in ((10**9, 0), (10**9, 10), (2, 0)):
+        monkeypatch.setattr(I, "DRAWN_EXACTLY", limit)
+        monkeypatch.setattr(I, "PAIRED_PER_CELL", paired)
+        got = I.drawn_tables(rng, rows, columns, 6000)
+        assert (got.sum(2) == rows).all() and (got.sum(1) == columns).all() and got.min() >= 0
+        assert np.allclose(got.reshape(-1, 9).mean(0), want.mean(0), atol=0.12)
+        if limit > 2:
+            assert np.allclose(got.reshape(-1, 9).std(0), want.std(0), atol=0.06)
+
+
+def planted(n=120):
     rng = np.random.default_rng(1)
     rows = []
-    for _ in range(120):
-        s = list(rng.choice(list("ACDEF"), 6))
-        s[4] = {"A": "G", "C": "H", "D": "I", "E": "K", "F": "L"}[s[1]]
+    for _ in range(n):
+        s = list(rng.choice(list("ACDEF-"), 6))
+        s[4] = {"A": "G", "C": "H", "D": "I", "E": "K", "F": "L", "-": "-"}[s[1]]
         rows.append("".join(s))
-    out = T.bh_adjust(I.coupling_null(spark, rows, replicates=40), "p", ["col_i", "col_j"]).collect()
+    return rows
+
+
+def test_coupling_finds_planted_pair(spark):
+    out = T.bh_adjust(I.coupling_null(as_rows(spark, planted()), replicates=70), "p", ["col_i", "col_j"]).collect()
     best = max(out, key=lambda r: r["z"])
-    assert (best["col_i"], best["col_j"]) == (1, 4) and best["q_bh"] < 0.05
+    assert len(out) == 15 and (best["col_i"], best["col_j"]) == (1, 4) and best["q_bh"] < 0.05
 
 
-def test_null_mode():
-    assert I.null_mode([1, 1, 2, 2], [True] * 4) == "within_clade"
-    assert I.null_mode([1, 2, 3, 4], [True] * 4) == "global_fallback"
+def test_coupling_null_has_the_moments_of_permuted_columns(spark):
+    rows = planted()
+    letters, rng = np.array([list(r) for r in rows]), np.random.default_rng(3)
+    null = []
+    for _ in range(300):
+        m = apc(mi_matrix(["".join(r) for r in rng.permuted(letters, axis=0)]))
+        null.append(m[np.triu_indices(6, 1)])
+    null = np.array(null)
+    got = {(r["col_i"], r["col_j"]): r for r in I.coupling_null(as_rows(spark, rows), replicates=300).collect()}
+    mine = np.array([(got[p]["null_mean"], got[p]["null_sd"]) for p in itertools.combinations(range(6), 2)])
+    assert np.abs(mine[:, 0] - null.mean(0)).max() < 5 * null.std(0).max() / 300**0.5
+    assert np.abs(mine[:, 1] / null.std(0, ddof=1) - 1).max() < 0.3 and abs(mine[:, 1].mean() / null.std(0, ddof=1).mean() - 1) < 0.1
+    seen = apc(mi_matrix(rows))
+    assert all(got[i, j]["mi_apc"] == pytest.approx(seen[i, j], abs=1e-9) for i, j in got)
 
 
-def test_label_null(spark):
+def labelled(spark, rows, labels, weights, clades):
+    return spark.createDataFrame(list(zip(rows, labels, weights, clades, strict=True)), "row string, label string, weight double, clade string")
+
+
+def test_null_mode(spark):
+    mode = lambda clades, labels=None: I.null_mode(labelled(spark, ["A"] * 4, labels or ["x"] * 4, [1.0] * 4, clades))
+    assert mode(["1", "1", "2", "2"]) == "within_clade" and mode(["1", "1", "2", "3"]) == "within_clade"
+    assert mode(["1", "2", "3", "4"]) == "global_fallback" and mode(["1", "1", "2", "3"], ["x", None, "x", "x"]) == "global_fallback"
+
+
+def label_rows():
     rng = np.random.default_rng(2)
-    labels = ["x", "y"] * 40
-    rows = [("A" if lab == "x" else "C") + rng.choice(list("DE")) + rng.choice(list("FG")) for lab in labels]
-    out = {r["match_col"]: r for r in I.label_null(spark, rows, labels, [1.0] * 80, [k // 8 for k in range(80)], replicates=40).collect()}
-    assert out[0]["p"] < 1e-3 and out[0]["null_mode"] == "within_clade"
+    labels = ["x", "y", "z", "x"] * 40
+    rows = [("A" if lab == "x" else "C") + rng.choice(list("DE")) + rng.choice(list("FG-")) for lab in labels]
+    return rows, labels, [[0.25, 0.5, 1.0][k % 3] for k in range(160)], [str(k // 16) for k in range(160)]
+
+
+def test_label_null(spark):
+    out = {r["match_col"]: r for r in I.label_null(labelled(spark, *label_rows()), replicates=60).collect()}
+    assert out[0]["p"] < 1e-3 and out[0]["null_mode"] == "within_clade" and min(out[1]["p"], out[2]["p"]) > 1e-3
+    assert I.label_null(labelled(spark, *label_rows()[:3], [str(k) for k in range(160)]), replicates=5).first()["null_mode"] == "global_fallback"
     with pytest.raises(J.CheckFailed):
-        I.bounded(spark.createDataFrame([("A" * 100,)], "row string"), limit=10)
+        bounded(as_rows(spark, ["A" * 100]), limit=10)
+
+
+def test_label_null_has_the_moments_of_permuted_labels(spark):
+    rows, labels, weights, clades = label_rows()
+    a, y, w, c = np.array([list(r) for r in rows]), np.array(labels), np.array(weights), np.array(clades).astype(int)
+
+    def score(y):
+        mi, h = [], []
+        for col in a.T:
+            t = pd.DataFrame({"a": col, "y": y, "w": w}).pivot_table(index="a", columns="y", values="w", aggfunc="sum", fill_value=0).to_numpy() / w.sum()
+            e = t.sum(1, keepdims=True) * t.sum(0, keepdims=True)
+            mi.append((t[t > 0] * np.log2(t[t > 0] / e[t > 0])).sum())
+            p = pd.Series(col).value_counts(normalize=True)
+            h.append(-(p * np.log2(p)).sum())
+        mi, h = np.array(mi), np.array(h)
+        return mi - h * mi.mean() / h.mean()
+
+    rng = np.random.default_rng(9)
+    null = []
+    for _ in range(300):
+        moved = y.copy()
+        for k in set(c):
+            moved[c == k] = rng.permutation(y[c == k])
+        null.append(score(moved))
+    null, seen = np.array(null), score(y)
+    got = {r["match_col"]: r for r in I.label_null(labelled(spark, rows, labels, weights, clades), replicates=300).collect()}
+    for k in range(3):
+        assert got[k]["mi_bits"] == pytest.approx(seen[k], abs=1e-9)
+        assert abs(got[k]["null_mean"] - null[:, k].mean()) < 5 * null[:, k].std() / 300**0.5
+        assert abs(got[k]["null_sd"] / null[:, k].std(ddof=1) - 1) < 0.35
 
 
 # --- statistics -------------------------------------------------------------------------------
