@@ -47,17 +47,6 @@ def pca(df: DataFrame, vector: str, k: int) -> tuple[DataFrame, list[float]]:
     return model.transform(centred).withColumn("pc", vector_to_array("_p")).drop("_v", "_c", "_p"), model.explainedVariance.toArray().tolist()
 
 
-def components_by_parallel_analysis(sample: np.ndarray, permutations: int = 25, quantile: float = 0.95, seed: int = 1) -> int:
-    """Leading components whose variance passes that of column-wise permuted data; two at least.
-    ``sample`` is a bounded sample of rows (a parameter of the method)."""
-    rng = np.random.default_rng(seed)
-    x = sample - sample.mean(0)
-    values = lambda m: np.linalg.svd(m, compute_uv=False) ** 2 / (len(m) - 1)
-    null = np.quantile([values(rng.permuted(x, axis=0)) for _ in range(permutations)], quantile, axis=0)
-    ok = values(x) > null
-    return max(2, int(np.argmin(ok)) if not ok.all() else len(ok))
-
-
 def normalised(df: DataFrame, vector: str, out: str = "features") -> DataFrame:
     return Normalizer(inputCol="_v", outputCol=out).transform(df.withColumn("_v", array_to_vector(vector))).drop("_v")
 
@@ -160,63 +149,3 @@ def average_linkage(distances: np.ndarray, names: list[str]) -> pd.DataFrame:
     from .tree import upgma
 
     return upgma(distances, names)
-
-
-def density_clusters(x: np.ndarray, min_size: int) -> np.ndarray:
-    """Labels of a bounded set of rows by a mutual-reachability tree cut where clusters of
-    ``min_size`` live longest; -1 is noise."""
-    n = len(x)
-    if n < min_size:
-        return np.full(n, -1)
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
-    core = np.sort(d, axis=1)[:, min(min_size, n) - 1]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
-    inside, near, edges = np.zeros(n, bool), np.full(n, np.inf), []
-    link = np.zeros(n, int)
-    now = 0
-    for _ in range(n - 1):
-        inside[now] = True
-        closer = (reach[now] < near) & ~inside
-        near[closer], link[closer] = reach[now][closer], now
-        nxt = int(np.argmin(np.where(inside, np.inf, near)))
-        edges.append((near[nxt], link[nxt], nxt))
-        now = nxt
-    parent, members = list(range(n)), {i: [i] for i in range(n)}
-    children: dict[int, tuple[int, int, float]] = {}
-    top, next_id = list(range(n)), n
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for w, a, b in sorted(edges):
-        a, b = find(a), find(b)
-        children[next_id] = (top[a], top[b], w)
-        members[next_id] = members[top[a]] + members[top[b]]
-        parent[b], top[a] = a, next_id
-        next_id += 1
-
-    def best(node: int, birth: float) -> tuple[float, list[int]]:
-        """Greatest total stability below ``node`` and the clusters that give it."""
-        stability, at = 0.0, node
-        while at in children:
-            a, b, w = children[at]
-            lam = 1 / max(w, 1e-12)
-            big = [c for c in (a, b) if len(members[c]) >= min_size]
-            if len(big) == 2:
-                stability += len(members[at]) * (lam - birth)
-                below = [best(c, lam) for c in big]
-                total = sum(s for s, _ in below)
-                return (total, [c for _, cs in below for c in cs]) if total > stability else (stability, [node])
-            stability += sum(len(members[c]) for c in (a, b) if c not in big) * (lam - birth)
-            if not big:
-                break
-            at = big[0]
-        return stability, [node]
-
-    labels = np.full(n, -1)
-    for k, c in enumerate(best(next_id - 1, 0.0)[1]):
-        labels[members[c]] = k
-    return labels

@@ -97,35 +97,6 @@ def adjusted_prevalence(tips: pd.DataFrame, response: str, group: str, covariate
     return pd.DataFrame({group: groups, "n_tips": n["size"].to_numpy(), "n_positive": n["sum"].to_numpy(), "prevalence": inv(b[:k]), "lower": inv(b[:k] - 1.959964 * se), "upper": inv(b[:k] + 1.959964 * se)})
 
 
-def phylogenetic_logit(x: np.ndarray, y: np.ndarray, shared: np.ndarray, alphas: np.ndarray | None = None) -> dict:
-    """Logistic fit whose residuals are correlated by shared history: generalised estimating
-    equations with correlation exp(-alpha * distance), alpha by penalised pseudo-likelihood.
-    ``shared``: depth of each pair's common ancestor over the tree's height; a bounded set of tips."""
-    best = None
-    distance = 1 - shared
-    for a in alphas if alphas is not None else np.geomspace(0.1, 50, 12):
-        corr = np.exp(-2 * a * distance)
-        np.fill_diagonal(corr, 1 + 1e-6)
-        inv = np.linalg.inv(corr)
-        b, _ = firth(x, y)
-        for _ in range(50):
-            p = np.clip(1 / (1 + np.exp(-x @ b)), 1e-6, 1 - 1e-6)
-            s = np.sqrt(p * (1 - p))
-            dx = x * s[:, None]
-            info = dx.T @ inv @ dx + 1e-8 * np.eye(x.shape[1])
-            step = np.linalg.solve(info, dx.T @ inv @ ((y - p) / s))
-            step *= min(1, 1 / max(1e-12, np.abs(step).max()))
-            b = b + step
-            if np.abs(step).max() < 1e-8:
-                break
-        r = (y - p) / s
-        like = -0.5 * (r @ inv @ r + np.linalg.slogdet(corr)[1]) - np.log(s).sum() + 0.5 * np.linalg.slogdet(info)[1]
-        if best is None or like > best["loglik"]:
-            best = {"alpha": float(a), "coefficients": b, "se": np.sqrt(np.diag(np.linalg.inv(info))), "loglik": float(like)}
-    best["p"] = 2 * normal_sf(np.abs(best["coefficients"] / best["se"]))
-    return best
-
-
 def binary_d(tree: pd.DataFrame, state: dict, replicates: int = 200, seed: int = 1) -> dict:
     """Signal of a binary trait: sum of sister-clade differences, scaled between the means
     under drift with a threshold (0) and under shuffling (1)."""

@@ -45,6 +45,17 @@ def numbered(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame
     return kept.join(F.broadcast(first), "_p").withColumn(out, F.col("_first") + F.col("_k")).drop("_p", "_k", "_first")
 
 
+def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows before, in each group by the order, without one task for a group: rows
+    are summed in ranges of (group, order), and the ranges before in a row for each range and group."""
+    ranged = staged(df.repartitionByRange(*group, *order).withColumn("_p", F.spark_partition_id()))
+    here = W.partitionBy("_p", *group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    sums = ranged.groupBy("_p", *group).agg(F.sum(value).alias("_s"))
+    first = sums.withColumn("_s", F.sum("_s").over(W.partitionBy(*group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)))
+    both = ranged.join(first, ["_p", *group])
+    return both.withColumn(out, F.coalesce(F.sum(value).over(here), F.lit(0)) + F.coalesce("_s", F.lit(0))).drop("_p", "_s")
+
+
 MATRIX_BYTES = 256 << 20
 
 

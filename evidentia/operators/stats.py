@@ -6,13 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .staging import numbered, staged
+
 LOG_FACTORIAL_LIMIT = 2_000_000
 
 
+BUCKET = 100_000
+
+
 def bh_adjust(df: DataFrame, p: str, ties: list[str], by: list[str] | None = None, out: str = "q_bh") -> DataFrame:
     """Benjamini-Hochberg: p * n / rank, made monotone from the largest p down, 1 at most;
-    null p stay out of n."""
-    w = W.partitionBy(*(by or []), F.col(p).isNull())
+    null p stay out of n.  Without groups the table is ranked over ranges; what is made monotone in one task
+    is a bucket of BUCKET ranks and then a row for each bucket."""
+    if not by:
+        known = df.where(F.col(p).isNotNull())
+        placed = staged(numbered(known, [F.col(p), *[F.col(t) for t in ties]], "_r"))
+        n = placed.count()
+        raw = placed.withColumn("_raw", F.col(p) * n / (F.col("_r") + 1)).withColumn("_b", F.expr(f"_r div {BUCKET}"))
+        later = raw.groupBy(F.col("_b").alias("_c")).agg(F.min("_raw").alias("_m"))
+        later = later.select("_c", F.min("_m").over(W.orderBy(F.col("_c").desc()).rowsBetween(W.unboundedPreceding, -1)).alias("_later"))
+        own = F.min("_raw").over(W.partitionBy("_b").orderBy(F.col("_r").desc()).rowsBetween(W.unboundedPreceding, 0))
+        done = raw.withColumn("_own", own).join(later, F.col("_b") == F.col("_c"))
+        done = done.withColumn(out, F.least(F.col("_own"), "_later", F.lit(1.0))).select(*df.columns, out)
+        return done.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+    w = W.partitionBy(*by, F.col(p).isNull())
     n, rank = F.count(p).over(w), F.row_number().over(w.orderBy(p, *ties))
     raw = df.withColumn("_raw", F.col(p) * n / rank)
     q = F.min("_raw").over(w.orderBy(F.col(p).desc(), *[F.col(t).desc() for t in ties]).rowsBetween(W.unboundedPreceding, 0))

@@ -3,50 +3,28 @@ world -> region -> nation -> customer, which has polytomies at every level."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import homology as H
+from ..operators import phylo as L
 from ..operators import tree as P
-from ..operators.staging import bounded, staged
+from ..operators import vectors as D
+from ..operators.staging import bounded, numbered, staged
+from .matrix import MATRIX_SQL
 from .registry import query, table
 
 MIN_COSINE = 0.25
 THRESHOLDS = [0.25, 0.28, 0.3, 0.32, 0.34, 0.36, 0.38, 0.4, 0.45, 0.5]
 COS = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6)"
 EDGE_SQL = f"ed AS (SELECT a.vec_id AS u, b.vec_id AS v, {COS} AS cosine FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND {COS} >= {MIN_COSINE})"
-MIN_BLOCKS, BLOCK_ROWS, TILE_ROWS = 8, 4096, 512
 
 
 def edges(vectors: DataFrame) -> DataFrame:
-    """All pairs of ``vectors`` (vec_id, embedding) from MIN_COSINE on, block by block: vectors are
-    dealt to blocks of some BLOCK_ROWS (by a count) and each pair of blocks is one task of dense
-    products of TILE_ROWS rows at a time, so no cross join of rows is made.  Written once, as
-    its readers go over it again and again."""
-    blocks = max(MIN_BLOCKS, -(-vectors.count() // BLOCK_ROWS))
-    at = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    dealt = vectors.withColumn("_at", at).withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("vec_id", "embedding", "_at", F.least("_at", "_to").alias("_i"), F.greatest("_at", "_to").alias("_j"))
-
-    def products(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(p["embedding"].to_numpy()).astype(float)
-        v = v / np.linalg.norm(v, axis=1, keepdims=True)
-        ids, at = p["vec_id"].to_numpy(), p["_at"].to_numpy()
-        left, b = np.flatnonzero(at == key[0]), np.flatnonzero(at == key[1])
-        us, vs, cs = [ids[:0]], [ids[:0]], [np.empty(0)]
-        for k in range(0, len(left), TILE_ROWS):
-            a = left[k : k + TILE_ROWS]
-            c = np.round(v[a] @ v[b].T, 6)
-            x, y = np.nonzero((c >= MIN_COSINE) & ((key[0] != key[1]) | (ids[a][:, None] < ids[b][None, :])))
-            us.append(ids[a][x])
-            vs.append(ids[b][y])
-            cs.append(c[x, y])
-        u, w = np.concatenate(us), np.concatenate(vs)
-        return pd.DataFrame({"u": np.minimum(u, w), "v": np.maximum(u, w), "cosine": np.concatenate(cs)})
-
-    return staged(dealt.groupBy("_i", "_j").applyInPandas(products, "u long, v long, cosine double"))
+    """All pairs of ``vectors`` (vec_id, embedding) from MIN_COSINE on.  Written once, as its readers go over it again
+    and again."""
+    return staged(D.edges_above(vectors, "vec_id", "embedding", MIN_COSINE))
 
 
 def vectors(spark, sf_dir):
@@ -141,30 +119,45 @@ def clade_cut(spark, sf_dir):
 
 
 @query(f"""
-WITH {TREE_SQL}, d AS (SELECT n.node AS tip, n.parent AS r, n.bl AS ln, g.bl AS lr FROM tree n JOIN tree g ON g.node = n.parent WHERE n.depth = 2)
-SELECT a.tip AS a, b.tip AS b, round(a.ln + b.ln + CASE WHEN a.r = b.r THEN 0 ELSE a.lr + b.lr END, 6) AS distance FROM d a, d b WHERE a.tip < b.tip""")
+WITH {TREE_SQL}, o AS (SELECT o_custkey AS a, lead(o_custkey) OVER (ORDER BY o_orderkey) AS b FROM orders), q AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM o WHERE a <> b),
+d AS (SELECT c.node AS tip, c.bl, n.node AS n, n.bl AS ln, g.node AS r, g.bl AS lr FROM tree c JOIN tree n ON n.node = c.parent JOIN tree g ON g.node = n.parent WHERE c.is_tip)
+SELECT x.tip AS a, y.tip AS b, round(x.bl + y.bl + CASE WHEN x.n = y.n THEN 0 ELSE x.ln + y.ln END + CASE WHEN x.r = y.r THEN 0 ELSE x.lr + y.lr END, 6) AS distance
+FROM q JOIN d x ON x.tip = 'c' || q.a JOIN d y ON y.tip = 'c' || q.b""")
 def patristic_distance(spark, sf_dir):
-    """The tree of nations: a pair table of all tips is the result."""
-    t = tree(spark, sf_dir).where("depth < 3").withColumn("is_tip", F.col("depth") == 2)
-    return P.patristic(t, t.where("is_tip").select(F.col("node").alias("tip"))).withColumn("distance", F.round("distance", 6))
+    """Customers of orders that follow each other."""
+    # a row's follower is needed across the whole table: orders are numbered over ranges and met by number
+    o = numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), [F.col("o_orderkey")], "k").select("k", "o_custkey")
+    both = o.join(o.select((F.col("k") - 1).alias("k"), F.col("o_custkey").alias("b")), "k").where("o_custkey != b")
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    pairs = both.select(name(F.least("o_custkey", "b")).alias("a"), name(F.greatest("o_custkey", "b")).alias("b"))
+    return P.patristic_pairs(tree(spark, sf_dir), pairs).withColumn("distance", F.round("distance", 6))
 
 
-def _nation_tree(spark, sf_dir, key):
-    n = table(spark, sf_dir, "nation")
-    top = n.select(F.concat(F.lit("g"), key.cast("string")).alias("node")).distinct().select("node", F.lit("root").alias("parent"), F.lit(1).alias("depth"), F.lit(False).alias("is_tip"), F.lit(None).cast("string").alias("name"))
-    low = n.select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("g"), key.cast("string")), F.lit(2), F.lit(True), "n_name")
+GROUPS_SQL = """k AS (SELECT c_name, c_custkey, c_nationkey AS a, c_nationkey + CASE WHEN c_custkey % 97 = 0 THEN 1 ELSE 0 END * (c_nationkey % 3) AS b FROM customer), t AS (SELECT count(*) AS n FROM k)"""
+
+
+def _customer_tree(spark, sf_dir, key):
+    """Customers under groups of ``key`` under the root."""
+    c = table(spark, sf_dir, "customer")
+    group = F.concat(F.lit("g"), key.cast("string"))
+    top = c.select(group.alias("node")).distinct().select("node", F.lit("root").alias("parent"), F.lit(1).alias("depth"), F.lit(False).alias("is_tip"), F.lit(None).cast("string").alias("name"))
+    low = c.select(F.concat(F.lit("c"), "c_custkey"), group, F.lit(2), F.lit(True), "c_name")
     root = spark.range(1).select(F.lit("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(False).alias("is_tip"), F.lit(None).cast("string").alias("name"))
     return root.unionByName(top).union(low)
 
 
-@query("""
-WITH k AS (SELECT n_name, n_regionkey AS a, n_nationkey % 5 + CASE WHEN n_nationkey = 7 THEN 1 ELSE 0 END AS b FROM nation), t AS (SELECT count(*) AS n FROM nation),
-sa AS (SELECT DISTINCT string_agg(n_name, ',' ORDER BY n_name) AS s FROM k GROUP BY a HAVING count(*) BETWEEN 2 AND (SELECT n - 2 FROM t)), sb AS (SELECT DISTINCT string_agg(n_name, ',' ORDER BY n_name) AS s FROM k GROUP BY b HAVING count(*) BETWEEN 2 AND (SELECT n - 2 FROM t)),
+def _other_group():
+    return F.col("c_nationkey") + F.when(F.col("c_custkey") % 97 == 0, F.col("c_nationkey") % 3).otherwise(0)
+
+
+@query(f"""
+WITH {GROUPS_SQL},
+sa AS (SELECT DISTINCT string_agg(c_name, ',' ORDER BY c_name) AS s FROM k GROUP BY a HAVING count(*) BETWEEN 2 AND (SELECT n - 2 FROM t)), sb AS (SELECT DISTINCT string_agg(c_name, ',' ORDER BY c_name) AS s FROM k GROUP BY b HAVING count(*) BETWEEN 2 AND (SELECT n - 2 FROM t)),
 m AS (SELECT count(*) FILTER (sa.s IS NOT NULL AND sb.s IS NOT NULL) AS shared, count(*) FILTER (sb.s IS NULL) AS only_a, count(*) FILTER (sa.s IS NULL) AS only_b FROM sa FULL JOIN sb ON sa.s = sb.s)
 SELECT shared, only_a, only_b, only_a + only_b AS rf_distance, round((only_a + only_b) / (2 * shared + only_a + only_b), 6) AS rf_normalised FROM m""")
 def rf_splits(spark, sf_dir):
-    b = F.col("n_nationkey") % 5 + F.when(F.col("n_nationkey") == 7, 1).otherwise(0)
-    out = P.robinson_foulds(_nation_tree(spark, sf_dir, F.col("n_regionkey")), _nation_tree(spark, sf_dir, b))
+    """Customers by nation, and with every 97th moved to another."""
+    out = P.robinson_foulds(_customer_tree(spark, sf_dir, F.col("c_nationkey")), _customer_tree(spark, sf_dir, _other_group()))
     return out.withColumn("rf_normalised", F.round("rf_normalised", 6))
 
 
@@ -184,9 +177,9 @@ def mantel_r(spark, sf_dir):
     return P.mantel(*_nation_pairs(spark, sf_dir)).withColumn("mantel_r", F.round("mantel_r", 6))
 
 
-def _moves(name):
-    return f"""m AS (SELECT r, {name} AS tip, row_number() OVER (PARTITION BY r ORDER BY md5('1:' || r || ':' || {name}), {name}) AS k FROM nation, range({REPLICATES}) t(r)),
-c AS (SELECT {name} AS dest, row_number() OVER (ORDER BY {name}) AS k FROM nation), mv AS (SELECT r, tip, dest FROM m JOIN c USING (k))"""
+def _moves(name, source="nation"):
+    return f"""m AS (SELECT r, {name} AS tip, row_number() OVER (PARTITION BY r ORDER BY md5('1:' || r || ':' || {name}), {name}) AS k FROM {source}, range({REPLICATES}) t(r)),
+c AS (SELECT {name} AS dest, row_number() OVER (ORDER BY {name}) AS k FROM {source}), mv AS (SELECT r, tip, dest FROM m JOIN c USING (k))"""
 
 
 @query(f"""
@@ -200,27 +193,65 @@ def mantel_test(spark, sf_dir):
 
 
 @query(f"""
-WITH {_moves('n_name')}, g AS (SELECT n_name, n_regionkey AS a, n_nationkey % 5 + CASE WHEN n_nationkey = 7 THEN 1 ELSE 0 END AS b FROM nation),
-sa AS (SELECT string_agg(n_name, ',' ORDER BY n_name) AS s FROM g GROUP BY a HAVING count(*) > 1), sb AS (SELECT string_agg(n_name, ',' ORDER BY n_name) AS s FROM g GROUP BY b HAVING count(*) > 1),
-q AS (SELECT r, b, string_agg(dest, ',' ORDER BY dest) AS s FROM g JOIN mv ON tip = n_name GROUP BY r, b HAVING count(*) > 1),
+WITH {_moves('c_name', 'customer')}, {GROUPS_SQL},
+sa AS (SELECT string_agg(c_name, ',' ORDER BY c_name) AS s FROM k GROUP BY a HAVING count(*) BETWEEN 2 AND (SELECT n - 2 FROM t)), sb AS (SELECT string_agg(c_name, ',' ORDER BY c_name) AS s FROM k GROUP BY b HAVING count(*) BETWEEN 2 AND (SELECT n - 2 FROM t)),
+q AS (SELECT r, b, string_agg(dest, ',' ORDER BY dest) AS s FROM k JOIN mv ON tip = c_name GROUP BY r, b HAVING count(*) BETWEEN 2 AND (SELECT n - 2 FROM t)),
 nl AS (SELECT r, count(*) + (SELECT count(*) FROM sa) - 2 * count(sa.s) AS d FROM q LEFT JOIN sa ON q.s = sa.s GROUP BY r),
 o AS (SELECT count(*) FILTER (sa.s IS NULL OR sb.s IS NULL) AS rf_distance FROM sa FULL JOIN sb ON sa.s = sb.s)
 SELECT rf_distance, round(avg(d), 6) AS null_mean, round((1 + count(*) FILTER (d <= rf_distance)) / {REPLICATES + 1}, 6) AS p_value FROM nl, o GROUP BY rf_distance""")
 def rf_test(spark, sf_dir):
-    b = F.col("n_nationkey") % 5 + F.when(F.col("n_nationkey") == 7, 1).otherwise(0)
-    out = P.robinson_foulds_test(_nation_tree(spark, sf_dir, F.col("n_regionkey")), _nation_tree(spark, sf_dir, b), REPLICATES)
+    out = P.robinson_foulds_test(_customer_tree(spark, sf_dir, F.col("c_nationkey")), _customer_tree(spark, sf_dir, _other_group()), REPLICATES)
     return out.select("rf_distance", F.round("null_mean", 6).alias("null_mean"), F.round("p_value", 6).alias("p_value"))
 
 
+def _convergence(spark, sf_dir, replicates):
+    """Customers as tips; the trait is a balance below nothing."""
+    t = bounded(tree(spark, sf_dir))
+    state = dict(table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey"), (F.col("c_acctbal") < 0).cast("int")).collect())
+    return P.convergence(spark, t, {n: state.get(n, 0) for n in t["node"]}, replicates=replicates)
+
 
 @query()
 def convergence_null(spark, sf_dir):
-    """The tree of nations; the trait is a mean balance above the mean of all customers."""
-    t = bounded(tree(spark, sf_dir).where("depth < 3").withColumn("is_tip", F.col("depth") == 2))
+    return _convergence(spark, sf_dir, 100)
+
+
+@query(f"""
+WITH {TREE_SQL}, m3 AS (SELECT 'n' || c_nationkey AS node, bit_and(s) AS a, bit_or(s) AS o FROM (SELECT c_nationkey, CASE WHEN c_acctbal < 0 THEN 2 ELSE 1 END AS s FROM customer) GROUP BY 1),
+s3 AS (SELECT node, CASE WHEN a > 0 THEN a ELSE o END AS m, (a = 0)::INT AS c FROM m3),
+m2 AS (SELECT parent AS node, bit_and(m) AS a, bit_or(m) AS o FROM s3 JOIN tree USING (node) GROUP BY 1), s2 AS (SELECT node, CASE WHEN a > 0 THEN a ELSE o END AS m, (a = 0)::INT AS c FROM m2),
+m1 AS (SELECT bit_and(m) AS a FROM s2)
+SELECT count(*) AS n_tips, round(avg((c_acctbal < 0)::INT), 6) AS prevalence, ((SELECT sum(c) FROM s3) + (SELECT sum(c) FROM s2) + (SELECT (a = 0)::INT FROM m1))::BIGINT AS parsimony_changes, true AS orders_nulls FROM customer""")
+def convergence_observed(spark, sf_dir):
+    """What the nulls are held against; drift along the tree needs no more changes than tips that are shuffled."""
+    out = _convergence(spark, sf_dir, 20)
+    return out.select(F.col("n_tips").cast("long").alias("n_tips"), F.round("prevalence", 6).alias("prevalence"), F.col("parsimony_changes").cast("long").alias("parsimony_changes"), (F.col("null_brownian_mean") <= F.col("null_random_mean")).alias("orders_nulls"))
+
+
+TIPS_SQL = """tp AS (SELECT 'c' || c_custkey AS node, (c_acctbal < 0)::INT AS y, log10(1 + coalesce(n, 0)) AS orders, log10(coalesce(m, 1)) AS price
+ FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, avg(o_totalprice) AS m FROM orders GROUP BY 1) ON o_custkey = c_custkey)"""
+MAX_TIPS, N_REPLICATES = 120, 6
+
+
+def _tips(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    mean = c.groupBy(F.concat(F.lit("n"), "c_nationkey").alias("node")).agg(F.avg("c_acctbal").alias("m")).crossJoin(c.agg(F.avg("c_acctbal").alias("a")))
-    state = dict(mean.select("node", (F.col("m") > F.col("a")).cast("int")).collect())
-    return P.convergence(spark, t, {n: state.get(n, 0) for n in t["node"]}, replicates=100)
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("m"))
+    own = c.join(o, "c_custkey", "left")
+    return own.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), (F.col("c_acctbal") < 0).cast("int").alias("y"), F.log10(1 + F.coalesce("n", F.lit(0))).alias("orders"), F.log10(F.coalesce("m", F.lit(1.0))).alias("price"))
+
+
+@query(f"""WITH {TIPS_SQL}, n AS (SELECT count(*) AS n, sum(y) AS k, least(sum(y), {MAX_TIPS // 2}) AS k1 FROM tp),
+d AS (SELECT r, node, y, row_number() OVER (PARTITION BY r, y ORDER BY md5('1:' || r || ':' || node), node) AS k2 FROM tp, range({N_REPLICATES}) t(r))
+SELECT r::INT AS r, node, y, round(orders, 6) AS orders FROM d JOIN tp USING (node, y), n WHERE (n.n <= {MAX_TIPS} AND r = 0) OR (n.n > {MAX_TIPS} AND k2 <= CASE WHEN y = 1 THEN k1 ELSE least(n.n - k, {MAX_TIPS} - k1) END)""")
+def outcome_subsamples(spark, sf_dir):
+    out = L.subsamples(_tips(spark, sf_dir), "node", "y", MAX_TIPS, N_REPLICATES)
+    return out.select("r", "node", "y", F.round("orders", 6).alias("orders"))
+
+
+@query()
+def phylogenetic_logit(spark, sf_dir):
+    """Customers on the tree of nations, in replicates of both outcomes."""
+    return L.phylogenetic_logit(tree(spark, sf_dir), _tips(spark, sf_dir), "node", "y", ["orders", "price"], MAX_TIPS, N_REPLICATES)
 
 
 GRAM_SQL = """
@@ -246,10 +277,47 @@ def greedy_clusters(spark, sf_dir):
     return G.greedy_clusters(one, "p_partkey", "n", G.kmer_similarity(one, "p_partkey", "q", 4, 0.5))
 
 
+def _names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.upper(F.regexp_replace("p_name", "[^A-Za-z]", "")).alias("q"))
+
+
 @query()
-def tree_input(spark, sf_dir):
-    """Rows of the matrix without repeats, with provenance."""
+def aligned_pairs(spark, sf_dir):
+    """Names of parts whose letters align with an identity of 0.8 over 0.7 of both."""
+    s = _names(spark, sf_dir).groupBy("q").agg(F.min("p_partkey").alias("p_partkey"))
+    return H.similar(s, "p_partkey", "q", 0.8, 0.7, 4, 0.4)
+
+
+@query()
+def identity_clusters(spark, sf_dir):
+    return H.identity_clusters(_names(spark, sf_dir), "p_partkey", "q", 0.9, 0.8, 4, 0.4)
+
+
+CUT = 6
+INPUT_SQL = f"""{MATRIX_SQL},
+sm AS (SELECT seq_id AS member, row, min(seq_id) OVER (PARTITION BY row) AS same FROM x), rp AS (SELECT DISTINCT same, row FROM sm),
+cl AS (SELECT same, min(same) OVER (PARTITION BY row[1:{CUT}]) AS representative FROM rp),
+fn AS (SELECT member, sm.row, sm.same, representative FROM sm JOIN cl ON cl.same = sm.same),
+tp AS (SELECT member AS seq_id, row FROM fn WHERE member = representative),
+kp AS (SELECT pos FROM tp, range(0, 60) t(pos) GROUP BY pos HAVING avg((row[pos + 1] <> '-')::INT) >= 0.99)"""
+
+
+def _tree_input(spark, sf_dir):
+    """Rows of the matrix; beyond a tip the rows of one beginning are a cluster, so clustering is always run."""
     from .matrix import rows
 
-    _, prov = P.tree_input(rows(spark, sf_dir).select("seq_id", "row"), "seq_id", "row")
-    return prov
+    r = staged(rows(spark, sf_dir).select("seq_id", "row"))
+    first = r.groupBy("row").agg(F.min("seq_id").alias("member")).withColumn("_cut", F.substring("row", 1, CUT))
+    least = first.groupBy("_cut").agg(F.min("member").alias("representative"))
+    return P.tree_input(r, "seq_id", "row", first.join(least, "_cut").select("member", "representative"), max_tips=1, min_occupancy=0.99)
+
+
+@query(f"WITH {INPUT_SQL} SELECT member AS sequence, representative, member = representative AS is_tip, member <> same AS dereplicated, same <> representative AS clustered FROM fn")
+def tree_input(spark, sf_dir):
+    return _tree_input(spark, sf_dir)[1]
+
+
+@query(f"WITH {INPUT_SQL} SELECT seq_id, string_agg(row[pos + 1], '' ORDER BY pos) AS row FROM tp, kp GROUP BY seq_id")
+def tree_input_alignment(spark, sf_dir):
+    """The trimmed alignment of the tips."""
+    return _tree_input(spark, sf_dir)[0].select("seq_id", "row")

@@ -18,6 +18,7 @@ from ..operators.reference_data import values
 from ..operators.staging import folder, numbered
 from ..sources import newick, sinks
 from ..sources import text as X
+from ..sources.lookup import lookup
 from .genomics import _CODON, NT_SQL, nucleotides
 from .registry import query, table
 
@@ -66,6 +67,27 @@ def fasta_headers_roundtrip(spark, sf_dir):
     return X.fasta_headers(spark, path).select("seq_id", "header")
 
 
+@query("""WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IS NOT NULL)
+SELECT source, 'd' || doc_id AS seq_id, 'ACD' || repeat('K', (doc_id % 90)::INT) AS seq, k AS records_read, n AS records FROM d WHERE 2 * k <= n AND doc_id % 3 = 0""")
+def early_lookup(spark, sf_dir):
+    """A file for each source, its documents by id; some of the first half of each are asked for, and no file is read
+    further than the last of them."""
+    d = table(spark, sf_dir, "documents").where("source is not null").select("doc_id", "source")
+    seq = F.concat(F.lit("ACD"), F.repeat(F.lit("K"), (F.col("doc_id") % 90).cast("int")))
+    record = F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" of "), F.col("source"), F.lit("\n"), F.substring(seq, F.lit(1), F.lit(50)), F.when(F.length(seq) > 50, F.concat(F.lit("\n"), F.substring(seq, F.lit(51), F.lit(90)))).otherwise(""))
+    path = place(spark, "lookup")
+    files = d.select("doc_id", "source", record.alias("value")).repartition("source").sortWithinPartitions("source", "doc_id")
+    files.select("value", "source").write.partitionBy("source").text(path)
+    # where each is: the files' own headers, met by id
+    heads = X.fasta_headers(spark, path, files=True).select("seq_id", "path")
+    per = d.groupBy("source").agg(F.count("*").alias("records"))
+    ranked = numbered(d, [F.col("source"), F.col("doc_id")], "at")
+    first = ranked.groupBy("source").agg(F.min("at").alias("_first"))
+    half = ranked.join(first, "source").join(per, "source").where((2 * (F.col("at") - F.col("_first") + 1) <= F.col("records")) & (F.col("doc_id") % 3 == 0))
+    asked = half.select("source", "records", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("seq_id")).join(heads, "seq_id")
+    return asked.join(lookup(asked), ["path", "seq_id"]).select("source", "seq_id", "seq", "records_read", "records")
+
+
 @query("SELECT l_returnflag AS label, lpad((ascii(l_returnflag))::VARCHAR, 5, '0') AS batch, l_linenumber::INT AS query_no, count(*) AS n, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY ALL")
 def match_batches(spark, sf_dir):
     """Match rows in files whose names carry batch and label."""

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cluster as C
+from ..operators import density as E
 from ..operators import guards as V
 from ..operators import models as M
 from ..operators import reference_data as R
+from ..operators import vectors as D
 from .registry import query, table
 
 SPECIES = ["s__Methanobrevibacter ruminantium", "s__Methanobrevibacter smithii", "s__Methanobrevibacter oralis", "s__Methanobacterium congolense", "s__Methanospirillum hungatei", "s__Methanopyrus kandleri", "s__Escherichia coli", "s__Methanobacterium formicicum", None]
@@ -90,16 +92,43 @@ def spherical_kmeans(spark, sf_dir):
     return C.spherical_kmeans(e, 5).transform(e).select("vec_id", "cluster")
 
 
+def _unit(spark, sf_dir):
+    return C.normalised(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), "embedding")
+
+
 @query()
 def k_sweep(spark, sf_dir):
-    e = C.normalised(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), "embedding")
-    return C.k_sweep(e, 2, 4)
+    """Four scores for each k, and the k that the gap statistic takes."""
+    e = _unit(spark, sf_dir)
+    k, gaps = C.gap_statistic(e, 1, 4, references=3)
+    gap = spark.createDataFrame([(int(r.k), float(r.gap), float(r.se)) for r in gaps.itertuples()], "k int, gap double, gap_se double")
+    return C.k_sweep(e, 2, 4).join(F.broadcast(gap), "k").withColumn("k_gap_statistic", F.lit(k))
 
 
 @query()
 def pca_parallel(spark, sf_dir):
-    out, variance = C.pca(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), "embedding", 5)
-    return out.select("vec_id", F.posexplode("pc").alias("component", "value")).withColumn("explained", F.element_at(F.array(*[F.lit(v) for v in variance]), F.col("component") + 1))
+    """As many components as pass parallel analysis."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    k, seen, bars = D.parallel_analysis(e, "vec_id", "embedding")
+    out, variance = C.pca(e, "embedding", k)
+    at = lambda v: F.element_at(F.array(*[F.lit(float(x)) for x in v[:k]]), F.col("component") + 1)
+    return out.select("vec_id", F.posexplode("pc").alias("component", "value")).withColumns({"explained": at(variance), "variance": at(seen), "bar": at(bars)})
+
+
+@query("""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT a.vec_id AS id, sqrt(greatest(0, round(list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) - 2 * list_dot_product(a.v, b.v), 10))) AS d FROM e a, e b WHERE a.vec_id <> b.vec_id),
+r AS (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d) AS k FROM d)
+SELECT id, round(max(d) FILTER (k <= 4), 6) AS core, round(max(d) FILTER (k <= 10), 6) AS radius FROM r GROUP BY id""")
+def core_distance(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    out = E.core_distances(D.neighbours(e, "vec_id", "embedding", 10), 5)
+    return out.select("id", F.round("core", 6).alias("core"), F.round("radius", 6).alias("radius"))
+
+
+@query()
+def density_clusters(spark, sf_dir):
+    return E.density_clusters(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 5)
 
 
 @query()

@@ -63,6 +63,15 @@ def bh_adjust(spark, sf_dir):
     return T.bh_adjust(p, "p", ["id"], ["grp"]).select("id", F.round("q_bh", 9).alias("q_bh"))
 
 
+@query("""
+WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice / 1000000 END AS p FROM orders), r AS (SELECT *, p * count(p) OVER () / row_number() OVER (PARTITION BY p IS NULL ORDER BY p, id) AS raw FROM t)
+SELECT id, round(CASE WHEN p IS NOT NULL THEN least(1, min(raw) OVER (PARTITION BY p IS NULL ORDER BY p DESC, id DESC ROWS UNBOUNDED PRECEDING)) END, 9) AS q_bh FROM r""")
+def bh_adjust_whole(spark, sf_dir):
+    """All orders are one family of tests."""
+    p = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice") / 1000000).alias("p"))
+    return T.bh_adjust(p, "p", ["id"]).select("id", F.round("q_bh", 9).alias("q_bh"))
+
+
 FISHER_SQL = """
 c AS (SELECT c_mktsegment AS a, c_nationkey AS b, count(*) AS n11 FROM customer GROUP BY ALL),
 m AS (SELECT *, (sum(n11) OVER (PARTITION BY a))::BIGINT AS r, (sum(n11) OVER (PARTITION BY b))::BIGINT AS k, (sum(n11) OVER ())::BIGINT AS n FROM c),

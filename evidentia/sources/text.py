@@ -20,8 +20,10 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return rec.select(F.trim(head).alias("header"), F.regexp_replace(F.expr("substring(v, length(substring_index(v, '\n', 1)) + 1)"), r"\s", "").alias("seq"), "path")
 
 
-def fasta_headers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).where(F.col("value").startswith(">")).select(F.trim(F.expr("substring(value, 2)")).alias("header"), first_token(F.expr("substring(value, 2)")).alias("seq_id"))
+def fasta_headers(spark: SparkSession, path: str, files: bool = False) -> DataFrame:
+    """(header, seq_id), with ``files`` the path of the file as well."""
+    where = [F.col("_metadata.file_path").alias("path")] if files else []
+    return spark.read.text(path).where(F.col("value").startswith(">")).select(F.trim(F.expr("substring(value, 2)")).alias("header"), first_token(F.expr("substring(value, 2)")).alias("seq_id"), *where)
 
 
 def first_token(header: Column) -> Column:

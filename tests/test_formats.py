@@ -3,6 +3,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
+from evidentia.sources import lookup as K
 from evidentia.sources import newick, sinks
 from evidentia.sources import text as X
 from evidentia.streaming import incremental
@@ -140,3 +141,52 @@ def test_incremental(spark, tmp_path):
     assert {r["k"]: (r["o"], r["n_matches"]) for r in incremental.latest(spark, str(tmp_path / "best")).collect()} == {"a": (3, 2), "b": (2, 2)}
     run(lambda st: incremental.counts(st, ["k"], str(tmp_path / "n"), str(tmp_path / "c2")))
     assert {r["k"]: r["n"] for r in incremental.latest(spark, str(tmp_path / "n")).collect()} == {"a": 2, "b": 2}
+
+
+def test_lookup_stops_when_all_is_found():
+    seen = []
+
+    def lines():
+        for x in (">a one", "AC", "D", "", ">b", ">a again", "KK", ">c", "EE F", ">d", "GG"):
+            seen.append(x)
+            yield x + "\n"
+
+    assert list(K.found(lines(), {"a", "b"})) == [("a", "a one", "ACD", 1), ("b", "b", "", 2)] and seen[-1] == ">a again"
+    assert list(K.found(lines(), {"c", "no"})) == [("c", "c", "EEF", 4)] and list(K.found(lines(), set())) == []
+    assert list(K.found(lines(), {"d"})) == [("d", "d", "GG", 5)]
+
+
+def test_lookup(spark, tmp_path):
+    one = put(tmp_path, "one.faa", ">a first\nACD\nEF\n>b\nGH\n>c\nIK\n")
+    # what stands beyond the last wanted record can't even be unpacked
+    whole = gzip.compress("".join(f">x{i}\n{'AC' * (i % 50)}\n" for i in range(50_000)).encode())
+    two = str(tmp_path / "two.faa.gz")
+    with open(two, "wb") as f:
+        f.write(whole[: len(whole) // 2])
+    rows = [(one, "a"), (one, "c"), (one, "c"), (two, "x7"), (two, "x9"), (one, "absent"), (None, "a"), (one, None)]
+    wanted = spark.createDataFrame(rows, "path string, seq_id string")
+    got = K.lookup(wanted.where("seq_id != 'absent'"))
+    assert {(r["path"], r["seq_id"], r["header"], r["seq"], r["records_read"]) for r in got.collect()} == {(one, "a", "a first", "ACDEF", 1), (one, "c", "c", "IK", 3), (two, "x7", "x7", "AC" * 7, 8), (two, "x9", "x9", "AC" * 9, 10)}
+    only = wanted.where("path like '%one%' and seq_id is not null")
+    assert [tuple(r) for r in K.missing(only, K.lookup(only)).collect()] == [(one, 1)]
+    assert K.lookup(wanted.where("false")).collect() == []
+    with pytest.raises(ValueError):
+        K.WANTED_BYTES, was = 3, K.WANTED_BYTES
+        try:
+            K.lookup(wanted)
+        finally:
+            K.WANTED_BYTES = was
+
+
+def test_lookup_pushes_filters(spark, tmp_path):
+    one = put(tmp_path, "one.faa", ">a\nAC\n>b\nGH\n")
+    asked = '[["%s", ["a", "b"]], ["%s", ["a"]]]' % (one, tmp_path / "gone.faa")
+    spark.dataSource.register(K.FastaLookup)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = spark.read.format("fasta_lookup").option("wanted", asked).option("pushdown", "true").load()
+        # the other file is not there, and is not opened as nothing is asked of it
+        assert [(r["seq_id"], r["records_read"]) for r in df.where("seq_id = 'b'").collect()] == [("b", 2)]
+        assert [r["seq"] for r in df.where(F.col("path") == one).where(F.col("seq_id").isin("a", "z")).collect()] == ["AC"]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")

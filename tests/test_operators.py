@@ -10,14 +10,17 @@ from evidentia.functions import scalars as S
 from evidentia.functions import special
 from evidentia.operators import alignment as A
 from evidentia.operators import cluster as C
+from evidentia.operators import density as DC
 from evidentia.operators import entities as N
 from evidentia.operators import evidence as E
 from evidentia.operators import graph as G
+from evidentia.operators import homology as H
 from evidentia.operators import guards as V
 from evidentia.operators import information as I
 from evidentia.operators import intervals as IV
 from evidentia.operators import joins as J
 from evidentia.operators import models as M
+from evidentia.operators import phylo as L
 from evidentia.operators import reference_data as R
 from evidentia.operators import sequences as Q
 from evidentia.operators import stats as T
@@ -331,9 +334,192 @@ def test_label_null_has_the_moments_of_permuted_labels(spark):
         assert abs(got[k]["null_sd"] / null[:, k].std(ddof=1) - 1) < 0.35
 
 
+# --- alignment --------------------------------------------------------------------------------
+
+
+def full_programme(a, b):
+    """(score, matches) of the best local alignment, of all; more matches win."""
+    best, prev = (0, 0), [(0, 0)] * (len(b) + 1)
+    for x in a:
+        row = [(0, 0)]
+        for j, y in enumerate(b, 1):
+            d = prev[j - 1] if prev[j - 1][0] > 0 else (0, 0)
+            cells = [(d[0] + H.MATCH, d[1] + 1) if x == y else (d[0] + H.MISMATCH, d[1]), (prev[j][0] + H.GAP, prev[j][1]), (row[j - 1][0] + H.GAP, row[j - 1][1])]
+            row.append(max(c if c[0] > 0 else (0, 0) for c in cells))
+        best, prev = max(best, *row), row
+    return best
+
+
+def mutated(rng, s, edits):
+    s = list(s)
+    for _ in range(edits):
+        k = rng.integers(len(s))
+        kind = rng.integers(3)
+        if kind == 0:
+            s[k] = rng.choice(list("ACDEFGHIKL"))
+        elif kind == 1 and len(s) > 5:
+            del s[k]
+        else:
+            s.insert(k, rng.choice(list("ACDEFGHIKL")))
+    return "".join(s)
+
+
+def test_aligned_against_the_full_programme():
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("ACDEFGHIKL"), n))
+    pairs = [("", "ACD"), ("A", "A"), ("ACDEF", "ACDEF"), ("AAAA", "CCCC")]
+    for _ in range(120):
+        s = word(rng.integers(12, 90))
+        pairs.append((word(rng.integers(0, 9)) + s + word(rng.integers(0, 9)), mutated(rng, s, rng.integers(0, 10))))
+    a, b = map(list, zip(*pairs, strict=True))
+    got = H.aligned(a, b)
+    want = [full_programme(x, y) for x, y in pairs]
+    assert [(int(s), int(m)) for s, m in zip(got["score"], got["matches"], strict=True)] == want
+    for k, (x, y) in enumerate(pairs):
+        if want[k][0]:
+            fa, ta, fb, tb, n = (int(got[c][k]) for c in ("a_from", "a_to", "b_from", "b_to", "columns"))
+            assert 0 <= fa <= ta < len(x) and 0 <= fb <= tb < len(y)
+            # the places told are those of an alignment of that score, and so is its length
+            assert full_programme(x[fa : ta + 1], y[fb : tb + 1]) == want[k] and n >= max(ta - fa, tb - fb) + 1
+            mismatches = 2 * n - (ta - fa + 1) - (tb - fb + 1)  # gaps
+            assert want[k][0] == H.MATCH * want[k][1] + H.GAP * mismatches + H.MISMATCH * (n - want[k][1] - mismatches)
+        else:
+            assert got["a_from"][k] == -1
+
+
+def test_identity_clusters(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("ACDEFGHIKL"), n))
+    families = [word(rng.integers(60, 100)) for _ in range(12)]
+    rows = [(i, s) for i, s in enumerate([m for f in families for m in [f, f, *[mutated(rng, f, 3) for _ in range(4)]]] + [word(40) for _ in range(10)] + ["AC", None])]
+    seqs = spark.createDataFrame(rows, "id long, s string").repartition(3)
+    distinct = sorted({s for _, s in rows if s}, key=lambda s: min(i for i, t in rows if t == s))
+    first = {s: min(i for i, t in rows if t == s) for s in distinct}
+    similar = set()
+    for x, y in itertools.combinations(distinct, 2):
+        got = H.aligned([x], [y], band=200)
+        n = int(got["columns"][0])
+        if n and got["matches"][0] / n >= 0.9 and min((got["a_to"][0] - got["a_from"][0] + 1) / len(x), (got["b_to"][0] - got["b_from"][0] + 1) / len(y)) >= 0.8:
+            similar.add((min(first[x], first[y]), max(first[x], first[y])))
+    one = spark.createDataFrame([(first[s], s) for s in distinct], "id long, s string")
+    pairs = H.similar(one, "id", "s").collect()
+    found = {(r["u"], r["v"]) for r in pairs}
+    assert found <= similar and len(found) >= 0.9 * len(similar) > 50 and all(r["identity"] >= 0.9 and r["coverage"] >= 0.8 for r in pairs)
+    got = {r["member"]: r["representative"] for r in H.identity_clusters(seqs.where("s is not null"), "id", "s").collect()}
+    reps, want = [], {}
+    for s in sorted(distinct, key=lambda s: (-len(s), first[s])):
+        hit = [r for r in reps if (min(r, first[s]), max(r, first[s])) in found]
+        want[first[s]] = hit[0] if hit else first[s]
+        if not hit:
+            reps.append(first[s])
+    assert got == {i: want[first[s]] for i, s in rows if s}
+
+
+# --- tree relations ---------------------------------------------------------------------------
+
+
+def random_tree(seed, n=90, chain=False):
+    """{node: (parent, length)} with polytomies and single children; tips are nodes without children."""
+    rng = np.random.default_rng(seed)
+    up = {"v0": (None, 0.0)}
+    for i in range(1, n):
+        up[f"v{i}"] = (f"v{i - 1 if chain and i < n // 2 else rng.integers(max(0, i - 12), i)}", float(rng.integers(0, 5)))
+    return up
+
+
+def tree_table(spark, up, rename=lambda x: x):
+    depth = lambda x: 0 if up[x][0] is None else 1 + depth(up[x][0])
+    inner = {p for p, _ in up.values()}
+    rows = [(x, p, length, depth(x), x not in inner, rename(x) if x not in inner else None) for x, (p, length) in up.items()]
+    return spark.createDataFrame(rows, "node string, parent string, branch_length double, depth int, is_tip boolean, name string").repartition(3)
+
+
+def path(up, x):
+    out = [x]
+    while up[out[-1]][0] is not None:
+        out.append(up[out[-1]][0])
+    return out
+
+
+def tips_below(up):
+    inner = {p for p, _ in up.values()}
+    below = {x: set() for x in up}
+    for x in up:
+        if x not in inner:
+            for node in path(up, x):
+                below[node].add(x)
+    return below
+
+
+def test_tree_relations(spark):
+    up = random_tree(2, 20, True)
+    t, below = tree_table(spark, up), tips_below(up)
+    lab = {r["node"]: r for r in P.labelled(t).collect()}
+    tips = {lab[x]["first"]: x for x in up if lab[x]["is_tip"]}
+    assert sorted(tips) == list(range(len(tips)))
+    for x in up:
+        assert {tips[k] for k in range(lab[x]["first"], lab[x]["last"] + 1)} == below[x] and lab[x]["n"] == len(below[x])
+        assert lab[x]["distance"] == sum(up[y][1] for y in path(up, x))
+    for size in (4,):
+        got = {r["tip"]: r["clade"] for r in P.clade_cut(t, size).collect()}
+        assert got == {x: [y for y in path(up, x) if len(below[y]) <= size][-1] for x in tips.values()}
+    pairs = [(a, b) for a in up for b in list(up)[::7]]
+    got = {(r["a"], r["b"]): r["distance"] for r in P.patristic_pairs(t, spark.createDataFrame(pairs, "a string, b string")).collect()}
+    for a, b in pairs:
+        m = next(y for y in path(up, a) if y in path(up, b))
+        assert got[a, b] == sum(up[y][1] for x in (a, b) for y in path(up, x)) - 2 * sum(up[y][1] for y in path(up, m))
+    some = spark.createDataFrame([(x,) for x in list(tips.values())[:5]], "tip string")
+    assert len(P.patristic(t, some).collect()) == 10
+
+
+def test_splits_and_rf_null(spark, monkeypatch):
+    up, other = random_tree(3, 30), random_tree(4, 30)
+    names = sorted(tips_below(up)["v0"])
+    # the second tree gets the first one's tips, as many as it has
+    theirs = sorted(tips_below(other)["v0"])
+    k = min(len(names), len(theirs))
+    keep = lambda up, tips: {x: v for x, v in up.items() if any(t in tips_below(up)[x] for t in tips)}
+    up, other = keep(up, names[:k]), keep(other, theirs[:k])
+    back = dict(zip(theirs[:k], names[:k], strict=True))
+    a, b = tree_table(spark, up), tree_table(spark, other, lambda x: back[x])
+    every = set(names[:k])
+    sa = {frozenset([frozenset(s), frozenset(every - s)]) for s in tips_below(up).values() if 2 <= len(s) <= k - 2}
+    sb = {frozenset(frozenset(back[t] for t in side) for side in s) for s in [frozenset([frozenset(x), frozenset(set(theirs[:k]) - x)]) for x in tips_below(other).values() if 2 <= len(x) <= k - 2]}
+    got = P.robinson_foulds(a, b).first()
+    assert (got["shared"], got["only_a"], got["only_b"]) == (len(sa & sb), len(sa - sb), len(sb - sa))
+    assert P.robinson_foulds(a, a).first()["rf_distance"] == 0
+    same = P.robinson_foulds_test(a, a, replicates=19).first()
+    assert same["rf_distance"] == 0 and same["p_value"] == pytest.approx(0.05) and same["null_mean"] > 0
+    with pytest.raises(J.CheckFailed):
+        monkeypatch.setattr(P, "TIPS", 3)
+        P.patristic(a, a.where("is_tip").select(F.col("node").alias("tip")))
+
+
+def test_relabelled_permutes(spark):
+    tips = spark.createDataFrame([(f"t{i}",) for i in range(23)], "tip string")
+    got = P.relabelled(tips, 5).collect()
+    for r in range(5):
+        mine = [(x["tip"], x["to"]) for x in got if x["r"] == r]
+        assert sorted(a for a, _ in mine) == sorted(b for _, b in mine) == sorted(f"t{i}" for i in range(23))
+    assert len({tuple(sorted((x["tip"], x["to"]) for x in got if x["r"] == r)) for r in range(5)}) == 5
+
+
 # --- statistics -------------------------------------------------------------------------------
 
 
+def test_bh_without_groups(spark, monkeypatch):
+    monkeypatch.setattr(T, "BUCKET", 4)
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i % 9 == 0 else float(np.round(rng.random() ** 3, 2))) for i in range(60)]
+    got = {r["i"]: r["q_bh"] for r in T.bh_adjust(spark.createDataFrame(rows, "i int, p double"), "p", ["i"]).collect()}
+    known = sorted(((p, i) for i, p in rows if p is not None), reverse=True)
+    low = 1.0
+    for k, (p, i) in enumerate(known):
+        low = min(low, p * len(known) / (len(known) - k))
+        assert got[i] == pytest.approx(low, abs=1e-12)
+    assert len(got) == 60 and all(got[i] is None for i, p in rows if p is None)
+
+
 def test_special_functions():
     assert special.gammainc_upper(3.0, 2.0) == pytest.approx(5 * math.exp(-2), abs=1e-12)
     assert special.gammainc_upper(3.0, 9.0) == pytest.approx(50.5 * math.exp(-9), abs=1e-12)
@@ -566,14 +752,94 @@ def test_embedding_and_pca(spark):
     out, var = C.pca(pts, "v", 2)
     assert sum(var) == pytest.approx(1, abs=1e-6)
     assert abs(out.agg(F.avg(F.col("pc")[0])).first()[0]) < 1e-9
-    assert C.components_by_parallel_analysis(rng.normal(size=(60, 6))) >= 2
 
 
-def test_density_clusters():
-    rng = np.random.default_rng(0)
-    x = np.concatenate([rng.normal(0, 0.1, (20, 2)), rng.normal(5, 0.1, (20, 2)), [[50, 50]]])
-    labels = C.density_clusters(x, 5)
-    assert len(set(labels[:20])) == 1 and len(set(labels[20:40])) == 1 and labels[0] != labels[20] and labels[40] == -1
+def dense_tree(x, ids, min_size):
+    """Prim over the whole matrix of mutual reachability: {(a, b): w}."""
+    d = np.sqrt(np.maximum(np.round(((x[:, None] - x[None]) ** 2).sum(2), 10), 0))
+    core = np.sort(d, axis=1)[:, min(min_size, len(x)) - 1]
+    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
+    inside, out = {0}, {}
+    while len(inside) < len(x):
+        w, a, b = min((reach[i, j], min(ids[i], ids[j]), max(ids[i], ids[j])) for i in inside for j in range(len(x)) if j not in inside)
+        out[a, b] = w
+        inside |= {list(ids).index(a), list(ids).index(b)}
+    return out
+
+
+def dense_labels(tree, ids, min_size):
+    """Sets of ids of the stablest clusters, from the top down by cutting the tree's heaviest edges."""
+
+    def pieces(edges, nodes):
+        left = {i: {i} for i in nodes}
+        for a, b in edges:
+            both = left[a] | left[b]
+            for k in both:
+                left[k] = both
+        return {frozenset(v) for v in left.values()}
+
+    def best(nodes, birth, whole):
+        edges = {e: w for e, w in tree.items() if set(e) <= nodes}
+        stability, now = 0.0, nodes
+        for e, w in sorted(edges.items(), key=lambda x: (-x[1], -x[0][0], -x[0][1])):
+            if not set(e) <= now:
+                continue
+            lam = 1 / w
+            edges = {k: v for k, v in edges.items() if set(k) <= now and k != e}
+            two = pieces(edges, now)
+            big = [p for p in two if len(p) >= min_size]
+            if len(big) == 2:
+                stability += len(now) * (lam - birth)
+                below = [best(p, lam, False) for p in big]
+                total = sum(s for s, _ in below)
+                return (total, [c for _, cs in below for c in cs]) if whole or total > stability else (stability, [frozenset(nodes)])
+            stability += sum(len(p) for p in two if p not in big) * (lam - birth)
+            if not big:
+                break
+            now = big[0]
+        return (0.0, []) if whole else (stability, [frozenset(nodes)])
+
+    return set(best(frozenset(ids), 0.0, True)[1])
+
+
+@pytest.mark.parametrize(("seed", "block", "listed"), [(0, 1024, 10), (1, 9, 2), (2, 16, 4)])
+def test_density_clusters(spark, monkeypatch, seed, block, listed):
+    monkeypatch.setattr(DC.V, "BLOCK", block)
+    monkeypatch.setattr(DC.V, "CHUNK", 2)
+    monkeypatch.setattr(DC, "LIST", listed)
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(0, 0.3, (16, 2)), rng.normal(4, 0.2, (14, 2)), rng.normal((0, 6), 0.5, (12, 2)), rng.uniform(-9, 9, (8, 2))])
+    ids = rng.permutation(500)[:50]
+    df = spark.createDataFrame([(int(i), [float(a) for a in v]) for i, v in zip(ids, x, strict=True)], "k long, v array<double>")
+    want = dense_tree(x, ids, 4)
+    tree = {(r["a"], r["b"]): r["w"] for r in DC.spanning_tree(df, "k", "v", 4).collect()}
+    assert tree.keys() == {(int(a), int(b)) for a, b in want} and all(w == pytest.approx(want[e], abs=1e-9) for e, w in tree.items())
+    got = {}
+    for r in DC.density_clusters(df.unionByName(spark.createDataFrame([(None, [1.0, 1.0]), (999, None)], df.schema)), "k", "v", 4).collect():
+        got.setdefault(r["cluster"], set()).add(r["id"])
+    found = dense_labels({(int(a), int(b)): w for (a, b), w in want.items()}, ids.tolist(), 4)
+    assert {frozenset(v) for c, v in got.items() if c >= 0} == found and len(found) >= 2 and sum(map(len, got.values())) == 50
+
+
+def test_density_of_few_rows(spark):
+    df = lambda rows: spark.createDataFrame(rows, "k long, v array<double>")
+    assert [r["cluster"] for r in DC.density_clusters(df([(1, [0.0]), (2, [1.0])]), "k", "v", 3).collect()] == [-1, -1]
+    assert DC.density_clusters(df([]), "k", "v", 3).collect() == []
+    assert {r["cluster"] for r in DC.density_clusters(df([(i, [0.0]) for i in range(9)]), "k", "v", 3).collect()} == {-1}
+
+
+def test_parallel_analysis(spark, monkeypatch):
+    monkeypatch.setattr(DC.V, "BLOCK", 100)
+    rng = np.random.default_rng(5)
+    turned = np.linalg.qr(rng.normal(size=(8, 8)))[0]
+    x = rng.normal(size=(900, 3)) * [5, 4, 4.5] @ turned[:3] + rng.normal(size=(900, 8)) + 7
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "k long, v array<double>").repartition(3)
+    k, seen, bars = DC.V.parallel_analysis(df, "k", "v")
+    values = lambda m: np.sort(np.linalg.eigvalsh(np.cov(m.T)))[::-1]
+    null = np.quantile([values(rng.permuted(x, axis=0)) for _ in range(100)], 0.95, axis=0)
+    assert k == 3 and np.allclose(seen, values(x), rtol=1e-9) and np.allclose(bars, null, rtol=0.05)
+    noise = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(rng.normal(size=(500, 4)))], "k long, v array<double>")
+    assert DC.V.parallel_analysis(noise, "k", "v")[0] == 2
 
 
 def test_models(spark):
@@ -602,11 +868,79 @@ def test_phylogenetic_signal():
     clumped = M.binary_d(t, {x: int(i < 8) for i, x in enumerate(tips)}, replicates=60)
     scattered = M.binary_d(t, {x: int(i % 4 == 0) for i, x in enumerate(tips)}, replicates=60)
     assert clumped["d"] < scattered["d"]
-    shared = np.array([[1.0 if i // 4 == j // 4 else 0.3 for j in range(32)] for i in range(32)])
-    np.fill_diagonal(shared, 1)
-    x = np.column_stack([np.ones(32), np.arange(32) / 32])
-    fit = M.phylogenetic_logit(x, (np.arange(32) % 5 < 2).astype(float), shared, np.array([0.5, 5.0]))
-    assert np.isfinite(fit["coefficients"]).all() and (fit["se"] > 0).all()
+
+
+def small_tree(seed=6, n=14):
+    up = random_tree(seed, n)
+    inner = {p for p, _ in up.values()}
+    nodes = pd.DataFrame([(x, p, length + 0.5 if p else 0.0, len(path(up, x)) - 1, x not in inner) for x, (p, length) in up.items()], columns=["node", "parent", "branch_length", "depth", "is_tip"])
+    return up, nodes, [x for x in up if x not in inner]
+
+
+def test_pruned_likelihood_against_all_histories():
+    up, nodes, tips = small_tree()
+    shape, rng = L.Shape(nodes, tips), np.random.default_rng(1)
+    mu, y, alpha = rng.uniform(0.1, 0.9, len(tips)), rng.integers(0, 2, len(tips)), 0.3
+    m, length = mu.mean(), dict(zip(nodes["node"], nodes["branch_length"], strict=True))
+    total = 0.0
+    for states in itertools.product([0, 1], repeat=len(up)):
+        s = dict(zip(up, states, strict=True))
+        p = m if s["v0"] else 1 - m
+        for x, (parent, _) in up.items():
+            if parent:
+                e = math.exp(-alpha * length[x])
+                one = m + (1 - m) * e if s[parent] else m * (1 - e)
+                p *= one if s[x] else 1 - one
+        for x, mu_x, y_x in zip(tips, mu, y, strict=True):
+            one = min(1, mu_x / m) if s[x] else max(0, 1 - (1 - mu_x) / (1 - m))
+            p *= one if y_x else 1 - one
+        total += p
+    assert L.log_likelihood(shape, y, mu, alpha) == pytest.approx(math.log(total), abs=1e-9)
+
+
+def test_information_against_the_dense_matrix():
+    up, nodes, tips = small_tree(8, 40)
+    shape, rng = L.Shape(nodes, tips), np.random.default_rng(2)
+    x, mu = np.column_stack([np.ones(len(tips)), rng.normal(size=(len(tips), 2))]), rng.uniform(0.1, 0.9, len(tips))
+    length = dict(zip(nodes["node"], nodes["branch_length"], strict=True))
+    for alpha in (0.02, 0.3, 2.0):
+        v = np.array([[math.exp(-alpha * sum(length[z] for z in set(path(up, a)) ^ set(path(up, b)))) for b in tips] for a in tips])
+        w = x * np.sqrt(mu * (1 - mu))[:, None]
+        assert np.allclose(L.information(shape, x, mu, alpha), w.T @ np.linalg.inv(v) @ w, rtol=1e-7)
+
+
+def test_fit_is_a_maximum():
+    up, nodes, tips = small_tree(9, 160)
+    shape, rng = L.Shape(nodes, tips), np.random.default_rng(3)
+    x = np.column_stack([np.ones(len(tips)), rng.normal(size=len(tips))])
+    y = (rng.random(len(tips)) < 1 / (1 + np.exp(-(0.3 + 1.4 * x[:, 1])))).astype(float)
+    got = L.fit(shape, x, y)
+
+    def value(b, alpha):
+        mu = 1 / (1 + np.exp(-x @ b))
+        return L.log_likelihood(shape, y, mu, alpha) + 0.5 * np.linalg.slogdet(L.information(shape, x, mu, alpha))[1]
+
+    best = value(got["coefficients"], got["alpha"])
+    assert best == pytest.approx(got["loglik"], abs=1e-6) and 0.5 < got["coefficients"][1] < 3
+    for step in (-0.05, 0.05):
+        assert value(got["coefficients"] + [step, 0], got["alpha"]) < best + 1e-9 and value(got["coefficients"] + [0, step], got["alpha"]) < best + 1e-9
+        if "alpha" not in got["discarded"]:
+            assert value(got["coefficients"], got["alpha"] * (1 + step)) < best + 1e-6
+
+
+def test_phylogenetic_logit_counts_what_it_discards(spark, monkeypatch):
+    up, nodes, tips = small_tree(5, 120)
+    t = spark.createDataFrame([tuple(None if v is None else v for v in r) for r in nodes.itertuples(index=False)], "node string, parent string, branch_length double, depth int, is_tip boolean")
+    rng = np.random.default_rng(1)
+    rows = [(x, int(rng.random() < 0.4), float(rng.normal())) for x in tips] + [("absent", 1, 0.0), (tips[0], None, 1.0), (tips[1], 1, None)]
+    df = spark.createDataFrame(rows, "tip string, y int, x double")
+    alone = L.phylogenetic_logit(t, df, "tip", "y", ["x"], max_tips=500, min_each=5).collect()
+    assert {r["n_replicates"] for r in alone} | {r["n_discarded"] for r in alone} <= {0, 1, None}
+    some = L.phylogenetic_logit(t, df, "tip", "y", ["x"], max_tips=30, replicates=4, min_each=5).collect()
+    assert all((r["n_replicates"] or 0) + r["n_discarded"] == 4 for r in some)
+    assert [r["term"] for r in L.phylogenetic_logit(t, df, "tip", "y", ["x"], min_each=500).collect()] == [None]
+    fits = L.replicate_fits(t, L.subsamples(df.dropna().where("tip != 'absent'"), "tip", "y", 30, 2), "tip", "y", ["x"]).collect()
+    assert {(r["r"], r["term"]) for r in fits} == {(r, term) for r in (0, 1) for term in ("x", "(Intercept)")} and {r["n_tips"] for r in fits} == {30} and {r["n_positive"] for r in fits} <= set(range(16))
 
 
 def test_gap_statistic(spark):
