@@ -100,7 +100,7 @@ def _unit(spark, sf_dir):
 def k_sweep(spark, sf_dir):
     """Four scores for each k, and the k that the gap statistic takes."""
     e = _unit(spark, sf_dir)
-    k, gaps = C.gap_statistic(e, 1, 4, references=3)
+    k, gaps = C.gap_statistic(e, 1, 4, references=2)
     gap = spark.createDataFrame([(int(r.k), float(r.gap), float(r.se)) for r in gaps.itertuples()], "k int, gap double, gap_se double")
     return C.k_sweep(e, 2, 4).join(F.broadcast(gap), "k").withColumn("k_gap_statistic", F.lit(k))
 

@@ -390,8 +390,8 @@ def test_aligned_against_the_full_programme():
 def test_identity_clusters(spark):
     rng = np.random.default_rng(5)
     word = lambda n: "".join(rng.choice(list("ACDEFGHIKL"), n))
-    families = [word(rng.integers(60, 100)) for _ in range(12)]
-    rows = [(i, s) for i, s in enumerate([m for f in families for m in [f, f, *[mutated(rng, f, 3) for _ in range(4)]]] + [word(40) for _ in range(10)] + ["AC", None])]
+    families = [word(rng.integers(40, 60)) for _ in range(6)]
+    rows = [(i, s) for i, s in enumerate([m for f in families for m in [f, f, *[mutated(rng, f, 2) for _ in range(4)]]] + [word(40) for _ in range(3)] + ["AC", None])]
     seqs = spark.createDataFrame(rows, "id long, s string").repartition(3)
     distinct = sorted({s for _, s in rows if s}, key=lambda s: min(i for i, t in rows if t == s))
     first = {s: min(i for i, t in rows if t == s) for s in distinct}
@@ -404,7 +404,7 @@ def test_identity_clusters(spark):
     one = spark.createDataFrame([(first[s], s) for s in distinct], "id long, s string")
     pairs = H.similar(one, "id", "s").collect()
     found = {(r["u"], r["v"]) for r in pairs}
-    assert found <= similar and len(found) >= 0.9 * len(similar) > 50 and all(r["identity"] >= 0.9 and r["coverage"] >= 0.8 for r in pairs)
+    assert found <= similar and len(found) >= 0.9 * len(similar) > 25 and all(r["identity"] >= 0.9 and r["coverage"] >= 0.8 for r in pairs)
     got = {r["member"]: r["representative"] for r in H.identity_clusters(seqs.where("s is not null"), "id", "s").collect()}
     reps, want = [], {}
     for s in sorted(distinct, key=lambda s: (-len(s), first[s])):
@@ -671,6 +671,7 @@ def test_resolve_overlaps_of_hot_items(spark, monkeypatch, hot):
 
 
 def test_resolve_overlaps_of_a_million_hits(spark):
+    """A million hits of one item, which are dealt by cluster; some ten for each place."""
     hits = spark.range(1_000_000).select(F.lit("one").alias("item"), (F.col("id") % 99991 * 7).cast("int").alias("a"), F.col("id").alias("ev"))
     kept = IV.resolve_overlaps(hits.withColumn("b", F.col("a") + 9), "item", "a", "b", [F.col("ev")])
     assert kept.count() == 99991 and kept.agg(F.max("ev")).first()[0] == 99990
@@ -802,7 +803,7 @@ def dense_labels(tree, ids, min_size):
     return set(best(frozenset(ids), 0.0, True)[1])
 
 
-@pytest.mark.parametrize(("seed", "block", "listed"), [(0, 1024, 10), (1, 9, 2), (2, 16, 4)])
+@pytest.mark.parametrize(("seed", "block", "listed"), [(0, 1024, 10), (1, 9, 2)])
 def test_density_clusters(spark, monkeypatch, seed, block, listed):
     monkeypatch.setattr(DC.V, "BLOCK", block)
     monkeypatch.setattr(DC.V, "CHUNK", 2)
@@ -929,15 +930,15 @@ def test_fit_is_a_maximum():
 
 
 def test_phylogenetic_logit_counts_what_it_discards(spark, monkeypatch):
-    up, nodes, tips = small_tree(5, 120)
+    up, nodes, tips = small_tree(5, 80)
     t = spark.createDataFrame([tuple(None if v is None else v for v in r) for r in nodes.itertuples(index=False)], "node string, parent string, branch_length double, depth int, is_tip boolean")
     rng = np.random.default_rng(1)
     rows = [(x, int(rng.random() < 0.4), float(rng.normal())) for x in tips] + [("absent", 1, 0.0), (tips[0], None, 1.0), (tips[1], 1, None)]
     df = spark.createDataFrame(rows, "tip string, y int, x double")
     alone = L.phylogenetic_logit(t, df, "tip", "y", ["x"], max_tips=500, min_each=5).collect()
     assert {r["n_replicates"] for r in alone} | {r["n_discarded"] for r in alone} <= {0, 1, None}
-    some = L.phylogenetic_logit(t, df, "tip", "y", ["x"], max_tips=30, replicates=4, min_each=5).collect()
-    assert all((r["n_replicates"] or 0) + r["n_discarded"] == 4 for r in some)
+    some = L.phylogenetic_logit(t, df, "tip", "y", ["x"], max_tips=30, replicates=3, min_each=5).collect()
+    assert all((r["n_replicates"] or 0) + r["n_discarded"] == 3 for r in some)
     assert [r["term"] for r in L.phylogenetic_logit(t, df, "tip", "y", ["x"], min_each=500).collect()] == [None]
     fits = L.replicate_fits(t, L.subsamples(df.dropna().where("tip != 'absent'"), "tip", "y", 30, 2), "tip", "y", ["x"]).collect()
     assert {(r["r"], r["term"]) for r in fits} == {(r, term) for r in (0, 1) for term in ("x", "(Intercept)")} and {r["n_tips"] for r in fits} == {30} and {r["n_positive"] for r in fits} <= set(range(16))
