@@ -39,6 +39,17 @@ def overlap(left: DataFrame, key: str, right: DataFrame, right_key: str, name: s
     return one.select(F.when(F.col("k") < least * F.col("n"), "ERROR").otherwise("OK").alias("level"), F.lit(f"{name}: key overlap").alias("check"), F.format_string("%d of %d keys found", "k", "n").alias("detail"))
 
 
+def why_empty(name: str, steps: list[tuple[str, DataFrame]]) -> DataFrame:
+    """One row: name, n_rows of the last of ``steps`` (label, table), and the first step that left nothing as the
+    reason for an empty result, else null.  A count for each step, no row comes to the driver."""
+    counts = None
+    for k, (label, df) in enumerate(steps):
+        one = df.agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), F.lit(label).alias("label"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    first = F.min_by(F.when(F.col("n") == 0, F.concat(F.lit("no row left after: "), "label")), F.when(F.col("n") == 0, F.col("k")))
+    return counts.agg(F.max_by("n", "k").alias("n_rows"), first.alias("reason")).select(F.lit(name).alias("name"), "n_rows", "reason")
+
+
 def stage_plan(spark: SparkSession, stages: list[tuple[str, bool, str | None]]) -> DataFrame:
     """(stage, status, reason): disabled, waiting for what it names, or ready."""
     rows = [(s, "disabled" if not on else "waiting" if needs else "ready", needs or ("switched off" if not on else "inputs present")) for s, on, needs in stages]

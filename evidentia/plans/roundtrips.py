@@ -67,6 +67,32 @@ def fasta_headers_roundtrip(spark, sf_dir):
     return X.fasta_headers(spark, path).select("seq_id", "header")
 
 
+@query("""SELECT 1 AS attempt, 'meta' AS mode, true AS wrote, count(*) AS n FROM supplier UNION ALL SELECT 2, 'meta', false, count(*) FROM supplier UNION ALL SELECT 3, 'single', true, count(*) FILTER (s_acctbal > 0) FROM supplier
+UNION ALL SELECT 4, 'single', false, count(*) FILTER (s_acctbal > 0) FROM supplier""")
+def marked_write(spark, sf_dir):
+    """A table written in a mode, asked for again, then in another mode."""
+    path, s = place(spark, "marked"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    rows = None
+    for k, mode in enumerate(["meta", "meta", "single", "single"], 1):
+        wrote = sinks.once(s if mode == "meta" else s.where("s_acctbal > 0"), path, mode, lambda df, at: sinks.tsv(df, at))
+        n = X.tsv(spark, path).agg(F.count("*").alias("n")).first()["n"]
+        one = values(spark, [(k, sinks.finished(spark, path), wrote, n)], "attempt", "mode", "wrote", "n")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (p_size > 40) AS large, count(*) FILTER (p_size > 40 AND p_retailprice > 0) AS dear, count(*) FILTER (p_size > 900) AS huge FROM part)
+SELECT 'dear' AS name, dear AS n_rows, CASE WHEN dear = 0 THEN 'no row left after: size' END AS reason FROM c UNION ALL SELECT 'huge', 0, 'no row left after: size' FROM c WHERE huge = 0 UNION ALL SELECT 'late', 0, 'no row left after: brand' FROM c""")
+def empty_reasons(spark, sf_dir):
+    """Results with what left them empty."""
+    p = table(spark, sf_dir, "part")
+    large, huge = p.where("p_size > 40"), p.where("p_size > 900")
+    dear = G.why_empty("dear", [("input", p), ("size", large), ("price", large.where("p_retailprice > 0"))])
+    none = G.why_empty("huge", [("input", p), ("size", huge), ("price", huge.where("p_retailprice > 1000"))])
+    late = G.why_empty("late", [("input", p), ("size", large), ("brand", large.where("p_brand = 'none'"))])
+    return dear.unionByName(none).unionByName(late)
+
+
 @query("""WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IS NOT NULL)
 SELECT source, 'd' || doc_id AS seq_id, 'ACD' || repeat('K', (doc_id % 90)::INT) AS seq, k AS records_read, n AS records FROM d WHERE 2 * k <= n AND doc_id % 3 = 0""")
 def early_lookup(spark, sf_dir):

@@ -2,13 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MARKER = "_done"
+
+
+def _marker(spark, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MARKER}")
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def finished(spark, path: str) -> str | None:
+    """The mode in which the table at ``path`` was made, or nothing where no marker says that it is whole."""
+    at, files = _marker(spark, path)
+    if not files.exists(at):
+        return None
+    stream = files.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def once(df: DataFrame, path: str, mode: str, write: Callable[[DataFrame, str], None]) -> bool:
+    """``write(df, path)`` unless it was done before in the same ``mode``; tells whether it wrote.  The marker, which
+    carries the mode, is written last, so a write that broke off or was made in another mode is made again."""
+    spark = df.sparkSession
+    if finished(spark, path) == mode:
+        return False
+    at, files = _marker(spark, path)
+    files.delete(at.getParent(), True)
+    write(df, path)
+    stream = files.create(at, True)
+    stream.write(bytearray(mode.encode()))
+    stream.close()
+    return True
+
+
 def tsv(df: DataFrame, path: str, compress: bool = True) -> None:
     """Tab-separated with a header; an empty table still writes its header."""
     df.write.csv(path, sep="\t", header=True, compression="gzip" if compress else "none", emptyValue="")

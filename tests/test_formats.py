@@ -190,3 +190,19 @@ def test_lookup_pushes_filters(spark, tmp_path):
         assert [r["seq"] for r in df.where(F.col("path") == one).where(F.col("seq_id").isin("a", "z")).collect()] == ["AC"]
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_once_writes_what_is_not_whole(spark, tmp_path):
+    path, df = str(tmp_path / "out"), spark.range(3)
+    write = lambda d, at: sinks.tsv(d, at)
+    assert sinks.finished(spark, path) is None and sinks.once(df, path, "a", write) and sinks.finished(spark, path) == "a"
+    assert not sinks.once(spark.range(9), path, "a", write) and X.tsv(spark, path).count() == 3
+    assert sinks.once(spark.range(9), path, "b", write) and X.tsv(spark, path).count() == 9 and sinks.finished(spark, path) == "b"
+
+    def breaks(d, at):
+        write(d, at)
+        raise OSError("disk")
+
+    with pytest.raises(OSError):
+        sinks.once(df, path, "c", breaks)
+    assert sinks.finished(spark, path) is None and sinks.once(df, path, "c", write) and X.tsv(spark, path).count() == 3
