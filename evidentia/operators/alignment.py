@@ -1,46 +1,117 @@
 """Redundancy-weighted statistics over an alignment, and the search for an anchor triple.
 
-A matrix is a table (seq_id, row) of strings of one length; statistics work on its long
-form (pos, residue) and aggregate partially, so they shuffle positions x residues per task,
-not sequences.  Positions are 0-based.
+A matrix is a table (…, row) of strings, as a rule of one length.  Statistics count its symbols by position in
+batches of rows (``counted``), so what is shuffled is positions x symbols for each batch, not sequences and not
+their characters.  Positions are 0-based.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import GAP, RESIDUES
 
-
-def long_form(matrix: DataFrame, row: str = "row") -> DataFrame:
-    """(…, pos, residue) for each character.  Positions are generated and characters cut by
-    place inside generated code, without an array of strings per row."""
-    keep = [c for c in matrix.columns if c != row]
-    at = matrix.where(F.length(row) > 0).select(*keep, row, F.explode(F.sequence(F.lit(0), F.length(row) - 1)).alias("pos"))
-    return at.select(*keep, "pos", F.substring(F.col(row), F.col("pos") + 1, F.lit(1)).alias("residue"))
-
-
-def counted(long: DataFrame, by: list[str], **sums) -> DataFrame:
-    """Grouped sums by ``by``, position and residue; residues are grouped by code, as a fixed
-    width key aggregates faster than a string."""
-    codes = long.groupBy(*by, "pos", F.ascii("residue").alias("_code")).agg(*[e.alias(k) for k, e in sums.items()])
-    return codes.withColumn("residue", F.char("_code")).drop("_code")
-
-
-def residue_masses(long: DataFrame, weight: str = "weight") -> DataFrame:
+#: Symbols counted at once: what bounds a task's memory, unless one row alone is longer.
+COUNTED_SYMBOLS = 1 << 20
+
+
+def _group_codes(batch: pa.RecordBatch, by: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each row's values of ``by``, and a row that holds each number's values."""
+    code = np.zeros(batch.num_rows, np.int64)
+    first = np.zeros(1, np.int64)
+    for name in by:
+        d = batch.column(name).dictionary_encode(null_encoding="encode")
+        code = code * len(d.dictionary) + d.indices.to_numpy(zero_copy_only=False)
+        _, first, code = np.unique(code, return_index=True, return_inverse=True)
+    return code, first
+
+
+def _summed(at: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``weight`` by place; whole numbers stay exact, as two halves each fit a double."""
+    if weight.dtype.kind == "f":
+        return np.bincount(at, weight, n)
+    low, high = weight & (2**26 - 1), weight >> 26
+    return (np.bincount(at, high, n).astype(np.int64) << 26) + np.bincount(at, low, n).astype(np.int64)
+
+
+def _symbol_sums(batch: pa.RecordBatch, row: str, by: list[str], sums: dict[str, str | None], at_once: int) -> pa.RecordBatch:
+    rows = batch.column(row).to_pylist()
+    length = np.array([len(r) for r in rows], np.int64)
+    text = "".join(rows)
+    try:
+        symbol, symbols = np.frombuffer(text.encode("latin-1"), np.uint8), None
+    except UnicodeEncodeError:
+        symbols, symbol = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    k, wide = 256 if symbols is None else len(symbols), int(length.max())
+    pos = np.arange(len(text)) - np.repeat(np.cumsum(length) - length, length)
+    code, first = _group_codes(batch, by)
+    key = (np.repeat(code, length) * wide + pos) * k + symbol
+    size = len(first) * wide * k
+    if size > 4 * at_once:  # many groups: only the cells that are there get a place
+        cells, key = np.unique(key, return_inverse=True)
+        there = slice(None)
+        size = len(cells)
+    else:
+        cells = there = np.flatnonzero(np.bincount(key, minlength=size))
+    out = [batch.column(c).take(pa.array(first[cells // (wide * k)])) for c in by]
+    out += [pa.array((cells // k % wide).astype(np.int32)), pa.array([chr(c) for c in ((cells % k) if symbols is None else symbols[cells % k]).tolist()], pa.string())]
+    for weight in sums.values():
+        w = np.ones(len(rows), np.int64) if weight is None else batch.column(weight).fill_null(0).to_numpy(zero_copy_only=False)
+        w = w.astype(np.float64 if w.dtype.kind == "f" else np.int64)
+        out.append(pa.array(_summed(key, np.repeat(w, length), size)[there]))
+    return pa.RecordBatch.from_arrays(out, names=[*by, "pos", "residue", *sums])
+
+
+def counted(matrix: DataFrame, by: list[str], sums: dict[str, str | None], row: str = "row", at_once: int = COUNTED_SYMBOLS) -> DataFrame:
+    """(*by, pos, residue, *sums): sums over the rows that hold a symbol at a position.  ``sums`` names the column to
+    sum for each output, None for the number of rows; sums of whole numbers are whole and exact.
+
+    A null or empty row holds nothing; rows may differ in length; a null weight counts as 0; a null in ``by`` is
+    a value of its own.
+    """
+    needed = list(dict.fromkeys([row, *by, *[w for w in sums.values() if w]]))
+    m = matrix.where(F.length(row) > 0).select(*needed)
+    kind = dict(m.dtypes)
+    whole = lambda w: w is None or kind[w] in ("tinyint", "smallint", "int", "bigint")
+    m = m.withColumns({w: F.col(w).cast("bigint" if whole(w) else "double") for w in sums.values() if w})
+    schema = ", ".join([*[f"`{c}` {kind[c]}" for c in by], "pos int", "residue string", *[f"`{c}` {'bigint' if whole(w) else 'double'}" for c, w in sums.items()]])
+
+    def count(batches):
+        held, cells = [], 0
+        for batch in batches:
+            lengths = pc.utf8_length(batch.column(row)).to_numpy(zero_copy_only=False)
+            start = 0
+            for i, c in enumerate(lengths.tolist()):
+                cells += c
+                if cells >= at_once:
+                    held.append(batch.slice(start, i + 1 - start))
+                    yield _symbol_sums(pa.concat_batches(held), row, by, sums, at_once)
+                    held, cells, start = [], 0, i + 1
+            if start < len(lengths):
+                held.append(batch.slice(start))
+        if held:
+            yield _symbol_sums(pa.concat_batches(held), row, by, sums, at_once)
+
+    return m.mapInArrow(count, schema).groupBy(*by, "pos", "residue").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def residue_masses(matrix: DataFrame, weight: str = "weight") -> DataFrame:
     """(pos, residue, mass)."""
-    return counted(long, [], mass=F.sum(weight))
+    return counted(matrix, [], {"mass": weight})
 
 
-def column_stats(long: DataFrame, weight: str = "weight") -> DataFrame:
+def column_stats(matrix: DataFrame, weight: str = "weight") -> DataFrame:
     """(pos, residue, freq, occupancy, entropy_bits) for the standard residues present.
 
     Occupancy is the non-gap share of all mass; a frequency is a residue's share of the mass
     of standard residues; entropy runs over those.
     """
-    mass = residue_masses(long, weight)
+    mass = residue_masses(matrix, weight)
     at = W.partitionBy("pos")
     standard = F.col("residue").isin(*RESIDUES)
     mass = mass.withColumn("_all", F.sum("mass").over(at)).withColumn("_full", F.sum(F.when(F.col("residue") != GAP, F.col("mass")).otherwise(0.0)).over(at))
@@ -49,10 +120,10 @@ def column_stats(long: DataFrame, weight: str = "weight") -> DataFrame:
     return own.select("pos", "residue", "freq", (F.col("_full") / F.col("_all")).alias("occupancy"), h.alias("entropy_bits"))
 
 
-def column_entropy(long: DataFrame, weight: str = "weight") -> DataFrame:
+def column_entropy(matrix: DataFrame, weight: str = "weight") -> DataFrame:
     """(pos, entropy_bits, conservation): over every symbol but gaps; conservation is
     1 - H / log2(20), clipped to [0, 1]."""
-    mass = residue_masses(long.where(F.col("residue") != GAP), weight)
+    mass = residue_masses(matrix, weight).where(F.col("residue") != GAP)
     p = F.col("mass") / F.sum("mass").over(W.partitionBy("pos"))
     h = mass.withColumn("p", p).groupBy("pos").agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy_bits"))
     return h.withColumn("conservation", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("entropy_bits") / F.log2(F.lit(20.0)))))
@@ -140,10 +211,10 @@ def anchor_window(row: Column, columns: list[Column], half: int) -> Column:
     return F.concat(*parts)
 
 
-def consensus(long: DataFrame, group: str, weight: str = "weight") -> DataFrame:
+def consensus(matrix: DataFrame, group: str, weight: str = "weight") -> DataFrame:
     """(group, n_positions, motif): the heaviest residue at each position, upper case from
     half the mass of non-gaps on, ``-`` where all are gaps; ties go to the smaller letter."""
-    mass = counted(long, [group], mass=F.sum(weight))
+    mass = counted(matrix, [group], {"mass": weight})
     full = F.when(F.col("residue") != GAP, F.col("mass"))
     at = mass.groupBy(group, "pos").agg(F.max_by("residue", F.struct(full, -F.ascii("residue"))).alias("r"), F.max(full).alias("top"), F.sum(full).alias("all"))
     letter = F.when(F.col("top").isNull(), GAP).when(F.col("top") / F.col("all") >= 0.5, F.upper("r")).otherwise(F.lower("r"))

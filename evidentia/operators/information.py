@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import GAP, RESIDUES
 from ..functions.special import gamma_tail, normal_sf
-from .alignment import counted, long_form
+from .alignment import counted
 from .staging import staged
 
 
-def varied_columns(long: DataFrame, min_occupancy: float, copies: str | None = None) -> DataFrame:
+def varied_columns(matrix: DataFrame, min_occupancy: float, copies: str | None = None) -> DataFrame:
     """Positions occupied often enough that show more than one symbol, the gap being one."""
-    n = counted(long, [], n=F.sum(copies) if copies else F.count("*"))
+    n = counted(matrix, [], {"n": copies})
     at = n.groupBy("pos").agg((F.sum(F.when(F.col("residue") != GAP, F.col("n")).otherwise(0)) / F.sum("n")).alias("occupancy"), F.count("*").alias("symbols"))
     return at.where((F.col("occupancy") >= min_occupancy) & (F.col("symbols") > 1)).select("pos")
 
@@ -89,11 +89,11 @@ def average_product(mi: DataFrame, value: str = "mi_bits", by: tuple[str, ...] =
     return out.withColumn("mi_apc", F.when(F.col("_g") > 0, F.col(value) - F.col("_mi") * F.col("_mj") / F.col("_g")).otherwise(F.col(value))).drop("_g", "_mi", "_mj")
 
 
-def label_information(long: DataFrame, label: str, weight: str = "weight", copies: str | None = None) -> DataFrame:
+def label_information(matrix: DataFrame, label: str, weight: str = "weight", copies: str | None = None) -> DataFrame:
     """(pos, mi_bits, entropy_bits): weighted information of a residue about a label with the
     gap as a symbol of its own, and the unweighted entropy of the column."""
     symbol = F.when(F.col("residue").isin(*RESIDUES), F.col("residue")).otherwise(GAP)
-    exact = counted(long, [label], m=F.sum(weight), k=F.sum(copies) if copies else F.count("*"))
+    exact = counted(matrix, [label], {"m": weight, "k": copies})
     cells = exact.groupBy("pos", symbol.alias("a"), F.col(label).alias("b")).agg(F.sum("m").alias("m"), F.sum("k").alias("k"))
     at = lambda x, *c: F.sum(x).over(W.partitionBy("pos", *c))
     c = cells.withColumn("t", at("m")).withColumn("ma", at("m", "a")).withColumn("mb", at("m", "b")).withColumn("ka", at("k", "a")).withColumn("kt", at("k"))
@@ -240,15 +240,14 @@ def label_null(rows: DataFrame, replicates: int = 200, seed: int = 1) -> DataFra
     rows = rows.where(F.col("label").isNotNull())
     mode = null_mode(rows)
     rows = staged(rows.withColumn("clade", F.col("clade") if mode == "within_clade" else F.lit(None).cast("string")))
-    long = long_form(rows.select("clade", "label", "weight", "row"))
-    observed = entropy_scaled(label_information(long, "label"))
+    observed = entropy_scaled(label_information(rows, "label"))
     labels = staged(rows.groupBy("clade", "label").agg(F.count("*").alias("n")))
     names = labels.groupBy("label").agg(F.sum("n").alias("n"))
     numbered = names.select("label", (F.row_number().over(W.orderBy("label")) - 1).alias("g"))  # labels are few (``partitions``)
     k = names.count()
     per_clade = labels.join(F.broadcast(numbered), "label").groupBy("clade").agg(F.array_sort(F.collect_list(F.struct("g", "n"))).alias("labels"))
     symbol = F.when(F.col("residue").isin(*RESIDUES), F.col("residue")).otherwise(GAP)
-    cells = counted(long.withColumn("_w", weight_class(F.col("weight"))), ["clade", "_w"], n=F.count("*"), m=F.sum("weight"))
+    cells = counted(rows.withColumn("_w", weight_class(F.col("weight"))), ["clade", "_w"], {"n": None, "m": "weight"})
     cells = cells.groupBy("clade", "pos", symbol.alias("a"), "_w").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     symbols = F.array_sort(F.collect_list(F.struct((F.instr(F.lit(RESIDUES), F.col("a")) - 1).alias("a"), "_w", "n", "m")))
     both = cells.groupBy("clade", "pos").agg(symbols.alias("symbols")).join(per_clade.withColumnRenamed("clade", "_c"), F.col("clade").eqNullSafe(F.col("_c"))).drop("_c")

@@ -73,7 +73,7 @@ def matrix(spark, sf_dir):
 
 
 def _stats(m):
-    return A.column_stats(A.long_form(m.where("tier = 'specific'").select("weight", "row")))
+    return A.column_stats(m.where("tier = 'specific'"))
 
 
 def _triple_tables(stats):
@@ -96,7 +96,7 @@ def column_stats(spark, sf_dir):
 p AS (SELECT pos, m / sum(m) OVER (PARTITION BY pos) AS p FROM mass), h AS (SELECT pos, -sum(p * log2(p)) AS h FROM p GROUP BY pos)
 SELECT pos, round(h, 6) + 0.0 AS entropy_bits, round(greatest(0, least(1, 1 - h / log2(20))), 6) AS conservation FROM h""")
 def column_entropy(spark, sf_dir):
-    out = A.column_entropy(A.long_form(matrix(spark, sf_dir).select("weight", "row")))
+    out = A.column_entropy(matrix(spark, sf_dir))
     return out.select("pos", (F.round("entropy_bits", 6) + 0.0).alias("entropy_bits"), F.round("conservation", 6).alias("conservation"))
 
 
@@ -161,8 +161,8 @@ r AS (SELECT m.source, m.pos, residue, w / total AS share FROM m JOIN t ON m.sou
 SELECT source, count(*) AS n_positions, string_agg(CASE WHEN residue = '-' THEN '-' WHEN share >= 0.5 THEN upper(residue) ELSE lower(residue) END, '' ORDER BY pos) AS motif FROM r GROUP BY source""")
 def consensus_motifs(spark, sf_dir):
     # weights summed in another order differ in their last bits; whole units of 1e-8 make ties exact
-    long = A.long_form(matrix(spark, sf_dir).select("source", F.expr("cast(round(weight * 1e8) as bigint)").alias("weight"), "row"))
-    return A.consensus(long, "source")
+    m = matrix(spark, sf_dir).withColumn("weight", F.expr("cast(round(weight * 1e8) as bigint)"))
+    return A.consensus(m, "source")
 
 
 def flagship(spark, sf_dir):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import alignment as A
 from ..operators import information as I
 from ..operators import stats as T
 from ..operators.staging import staged
@@ -44,14 +43,13 @@ li AS (SELECT pos, greatest(0, sum(m / t * log2(m * t / (ma * mb)))) AS mi, -sum
 
 @query(f"WITH {LABEL_SQL} SELECT pos, round(mi, 6) AS mi_bits, round(h, 6) AS entropy_bits, round(mi - h * (SELECT avg(mi) FROM li) / (SELECT avg(h) FROM li), 6) + 0.0 AS corrected FROM li")
 def label_information(spark, sf_dir):
-    long = A.long_form(matrix(spark, sf_dir).select("lang", "weight", "copies", "row"))
-    out = I.entropy_scaled(I.label_information(long, "lang", copies="copies"))
+    out = I.entropy_scaled(I.label_information(matrix(spark, sf_dir), "lang", copies="copies"))
     return out.select("pos", F.round("mi_bits", 6).alias("mi_bits"), F.round("entropy_bits", 6).alias("entropy_bits"), (F.round("corrected", 6) + 0.0).alias("corrected"))
 
 
 @query(f"WITH {MATRIX_SQL} SELECT pos FROM lf GROUP BY pos HAVING avg((residue <> '-')::INT) >= 0.5 AND count(DISTINCT residue) > 1")
 def varied_columns(spark, sf_dir):
-    return I.varied_columns(A.long_form(matrix(spark, sf_dir).select("copies", "row")), 0.5, copies="copies")
+    return I.varied_columns(matrix(spark, sf_dir), 0.5, copies="copies")
 
 
 @query("""

@@ -179,17 +179,37 @@ def test_learned_and_prior_spacing(spark):
         if i < 6:
             s[40], s[57] = "H", "D"
         rows.append(("".join(s), 1.0))
-    long = A.long_form(spark.createDataFrame(rows, "row string, weight double"))
-    stats = A.column_stats(long)
+    stats = A.column_stats(spark.createDataFrame(rows, "row string, weight double"))
     c, h, d = (A.candidates(stats, r, 0.5, 0.3) for r in "CHD")
     best = lambda w: tuple(A.best_triple({"CHD": A.score_triples(c, h, d, 35, 24, 5.0, w)}).select("col_1", "col_2", "col_3").first())
     assert best(0.0) == (5, 77, 90)
     assert best(5.0) == (5, 40, 57)
 
 
+@pytest.mark.parametrize("at_once", [7, 1 << 20])
+def test_symbols_counted_in_batches(spark, at_once):
+    """Against plain counts: ragged, empty and null rows, groups and weights with nulls, symbols of any plane."""
+    rng = np.random.default_rng(3)
+    letters = list("AC-d") + ["é", "字", "😀"]
+    rows = [("".join(rng.choice(letters, n)), g, int(u), float(w)) for n, g, u, w in zip(rng.integers(0, 9, 80), rng.choice(["x", "y"], 80), rng.integers(2**50, 2**52, 80), rng.random(80), strict=True)]
+    rows += [(None, "x", 1, 1.0), ("AC", None, 5, None), ("A-", None, None, 0.5), ("A" * 40, "y", 2**52, 1.0)]
+    want = {}
+    for row, g, u, w in rows:
+        for pos, c in enumerate(row or ""):
+            n, a, b = want.get((g, pos, c), (0, 0, 0.0))
+            want[g, pos, c] = (n + 1, a + (u or 0), b + (w or 0.0))
+    m = spark.createDataFrame(rows, "row string, g string, u long, w double").repartition(3)
+    got = {(r["g"], r["pos"], r["residue"]): (r["n"], r["u"], r["w"]) for r in A.counted(m, ["g"], {"n": None, "u": "u", "w": "w"}, at_once=at_once).collect()}
+    assert got.keys() == want.keys()
+    for k, (n, a, b) in want.items():
+        assert got[k][:2] == (n, a) and got[k][2] == pytest.approx(b)
+    assert A.counted(m.where("false"), [], {"n": None}).collect() == []
+    assert sum(r["n"] for r in A.counted(m, [], {"n": None}).collect()) == sum(v[0] for v in want.values())
+
+
 def test_empty_matrix_keeps_schema(spark):
     m = spark.createDataFrame([], "seq_id string, row string, tier string, weight double")
-    stats = A.column_stats(A.long_form(m.select("weight", "row")))
+    stats = A.column_stats(m)
     t = A.best_triple({"CHD": A.score_triples(*(A.candidates(stats, r, 0.5, 0.3) for r in "CHD"), 1, 1, 1.0, 0.0)})
     assert A.tier_census(A.outcomes(m, t, 0.5)).collect() == []
 
