@@ -148,6 +148,11 @@ def score_triples(first: DataFrame, second: DataFrame, third: DataFrame, gap12:
     return t.withColumn("score", F.col("freq_1") + F.col("freq_2") + F.col("freq_3") - F.col("spacing_penalty"))
 
 
+def score_by_prior(first: DataFrame, second: DataFrame, third: DataFrame, prior: tuple[int, int] | None, tolerance: float, penalty: float) -> DataFrame:
+    """Triples held against a family's known gaps; without a prior the columns' frequencies alone decide."""
+    return score_triples(first, second, third, *(prior or (0, 0)), tolerance, penalty if prior else 0.0)
+
+
 def ranked_triples(scored: DataFrame, n: int = 20) -> DataFrame:
     """The n best, ties by the first column's frequency rank, then position."""
     best = scored.orderBy(F.col("score").desc(), "_r1", "col_2", "col_3").limit(n)

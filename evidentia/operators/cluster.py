@@ -9,7 +9,6 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .staging import staged
@@ -116,9 +115,32 @@ def gap_statistic(df: DataFrame, k_min: int, k_max: int, references: int = 10, s
     return int(t.k[ok[0]] if ok else t.k[t.gap.idxmax()]), t
 
 
+def log_odds(counts: DataFrame, letters: str) -> dict[str, list[float]]:
+    """A substitution matrix learned from aligned columns: ``counts`` has (pos, residue, n), the rows of each letter in a
+    column.  A pair's score is log2 of how often two rows of a column hold it over what the letters' shares in those
+    pairs lead to expect, 0 where it was never seen.  What comes to the driver is letters squared."""
+    c = counts.where(F.col("residue").isin(*letters)).select("pos", "residue", F.col("n").cast("double").alias("n"))
+    other = c.select("pos", F.col("residue").alias("_b"), F.col("n").alias("_m"))
+    # both orders of a pair: n * m for different letters, n * (n - 1) for one
+    seen = c.join(other, "pos").groupBy("residue", "_b").agg(F.sum(F.col("n") * F.when(F.col("residue") == F.col("_b"), F.col("n") - 1).otherwise(F.col("_m"))).alias("q"))
+    q = {(r["residue"], r["_b"]): r["q"] for r in seen.collect()}
+    total = sum(q.values())
+    share = {a: sum(q.get((a, b), 0.0) for b in letters) / total if total else 0.0 for a in letters}
+    return {a: [float(np.log2(q[a, b] / total / (share[a] * share[b]))) if q.get((a, b)) else 0.0 for b in letters] for a in letters}
+
+
 def one_hot(df: DataFrame, row: str, letters: str, weights: list[float] | None = None) -> DataFrame:
-    """Adds ``vector``: 0/1 per position and letter, weighted by position, of length 1."""
-    return embed(df, row, {a: [float(a == b) for b in letters] for a in letters}, weights)
+    """Adds ``vector``: 0/1 per position and letter times the position's weight, then brought to length 1; a row with
+    none of the letters stays at zeros."""
+    out = embed(df, row, {a: [float(a == b) for b in letters] for a in letters}, weights)
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    return out.withColumn("_norm", norm).withColumn("vector", F.transform("vector", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(0.0))).drop("_norm")
+
+
+def dummies(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """``vector`` with a 0/1 for each of ``values`` at its end; anything else, null too, is all zeros."""
+    flags = F.array(*[F.coalesce((F.col(column) == v).cast("double"), F.lit(0.0)) for v in values])
+    return df.withColumn("vector", F.concat("vector", flags))
 
 
 def max_min(df: DataFrame, row_id: str, vector: str, n: int, seeds: list) -> DataFrame:
@@ -142,7 +164,8 @@ def max_min(df: DataFrame, row_id: str, vector: str, n: int, seeds: list) -> Dat
 
 
 def first_in_cluster(df: DataFrame, cluster: str, order: str) -> DataFrame:
-    return df.withColumn("_k", F.row_number().over(W.partitionBy(cluster).orderBy(order))).where("_k = 1").drop("_k")
+    """The row of each cluster that comes first by ``order`` (unique); one aggregate, so a large cluster is no heavy group."""
+    return df.groupBy(cluster).agg(F.min_by(F.struct(*df.columns), order).alias("_r")).select("_r.*")
 
 
 def average_linkage(distances: np.ndarray, names: list[str]) -> pd.DataFrame:

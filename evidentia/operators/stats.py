@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .staging import numbered, staged
+from .staging import numbered, running_sum, staged
 
 LOG_FACTORIAL_LIMIT = 2_000_000
 
@@ -152,6 +152,14 @@ def region_enrichment(positions: DataFrame, called: str, regions: list[str]) ->
     return fisher_greater(one.select(F.explode(F.array(*[F.col(f"r{i}") for i in range(len(regions))])).alias("x")).select("x.*"))
 
 
+def reaching(df: DataFrame, value: str, order: list[str], share: float) -> DataFrame:
+    """The leading rows, by descending ``value`` and then ``order`` (together unique), that reach ``share`` of the sum:
+    each whose rows before sum to less.  Adds ``before``, their sum; rows are summed over ranges, not in one task."""
+    total = df.agg(F.sum(value)).first()[0] or 0
+    falling = df.withColumn("_down", -F.col(value)).withColumn("_all", F.lit(0))
+    return running_sum(falling, ["_all"], ["_down", *order], value, "before").where(F.col("before") < share * total).drop("_down", "_all")
+
+
 def cumulative_cut(variance: list[float], share: float) -> int:
     """How many leading components reach a share of the variance."""
     total, run = sum(variance), 0.0

@@ -72,24 +72,24 @@ def matrix(spark, sf_dir):
     return one.withColumn("weight", F.col("copies") * share)
 
 
-def _stats(m):
+def stats_of(m):
     return A.column_stats(m.where("tier = 'specific'"))
 
 
+def scored_triples(stats, hypothesis, prior, tolerance, penalty):
+    parts = [A.candidates(stats, r, MIN_OCC, MIN_FREQ, CAP) for r in hypothesis]
+    return A.score_by_prior(*parts, prior, tolerance, penalty).withColumn("score", F.round("score", 9))
+
+
 def _triple_tables(stats):
     # a few rows per position, read by every candidate list
     stats = staged(stats)
-    c = {r: A.candidates(stats, r, MIN_OCC, MIN_FREQ, CAP) for r in "THDN"}
-    out = {}
-    for h in ("THD", "THN"):
-        t = A.score_triples(c[h[0]], c[h[1]], c[h[2]], *GAPS, TOLERANCE, PENALTY)
-        out[h] = t.withColumn("score", F.round("score", 9))
-    return out
+    return {h: scored_triples(stats, h, GAPS, TOLERANCE, PENALTY) for h in ("THD", "THN")}
 
 
 @query(f"WITH {STATS_SQL} SELECT pos, residue, round(freq, 6) AS freq, round(occupancy, 6) AS occupancy, round(entropy_bits, 6) AS entropy_bits FROM stats")
 def column_stats(spark, sf_dir):
-    return _stats(matrix(spark, sf_dir)).select("pos", "residue", *[F.round(c, 6).alias(c) for c in ("freq", "occupancy", "entropy_bits")])
+    return stats_of(matrix(spark, sf_dir)).select("pos", "residue", *[F.round(c, 6).alias(c) for c in ("freq", "occupancy", "entropy_bits")])
 
 
 @query(f"""WITH {MATRIX_SQL}, mass AS (SELECT pos, residue, sum(weight) AS m FROM lf WHERE residue <> '-' GROUP BY ALL),
@@ -102,7 +102,7 @@ def column_entropy(spark, sf_dir):
 
 @query(f"WITH {STATS_SQL} SELECT 'T' AS residue, pos, round(freq, 6) AS freq, rk AS rank FROM {_cands('T')} UNION ALL SELECT 'H', pos, round(freq, 6), rk FROM {_cands('H')} UNION ALL SELECT 'D', pos, round(freq, 6), rk FROM {_cands('D')}")
 def anchor_candidates(spark, sf_dir):
-    stats = _stats(matrix(spark, sf_dir))
+    stats = stats_of(matrix(spark, sf_dir))
     parts = [A.candidates(stats, r, MIN_OCC, MIN_FREQ, CAP).select(F.lit(r).alias("residue"), "pos", F.round("freq", 6).alias("freq"), "rank") for r in "THD"]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -110,13 +110,13 @@ def anchor_candidates(spark, sf_dir):
 @query(f"""WITH {TRIPLE_SQL} SELECT hypothesis, rank, col_1, col_2, col_3, round(score, 6) AS score, round(spacing_penalty, 6) AS spacing_penalty FROM
  (SELECT *, row_number() OVER (PARTITION BY hypothesis ORDER BY round(score, 9) DESC, r1, col_2, col_3) AS rank FROM tr) z WHERE z.rank <= 20""")
 def anchor_triples(spark, sf_dir):
-    parts = [A.ranked_triples(t).withColumn("hypothesis", F.lit(h)) for h, t in _triple_tables(_stats(matrix(spark, sf_dir))).items()]
+    parts = [A.ranked_triples(t).withColumn("hypothesis", F.lit(h)) for h, t in _triple_tables(stats_of(matrix(spark, sf_dir))).items()]
     both = parts[0].unionByName(parts[1])
     return both.select("hypothesis", "rank", "col_1", "col_2", "col_3", F.round("score", 6).alias("score"), F.round("spacing_penalty", 6).alias("spacing_penalty"))
 
 
 def _best(m):
-    return A.best_triple(_triple_tables(_stats(m)))
+    return A.best_triple(_triple_tables(stats_of(m)))
 
 
 @query(f"WITH {OUTCOME_SQL} SELECT seq_id, tier, round(match_coverage, 6) AS match_coverage, outcome, has_all_anywhere FROM j")

@@ -269,28 +269,20 @@ def kmer_similarity(spark, sf_dir):
     return out.select("u", "v", F.col("shared").cast("long").alias("shared"), F.round("jaccard", 6).alias("jaccard"))
 
 
-@query()
-def greedy_clusters(spark, sf_dir):
-    """Names of parts by shared 4-mers: classes of equal sets, then greedy from the longest."""
-    s = table(spark, sf_dir, "part").select("p_partkey", F.upper(F.regexp_replace("p_name", "[^A-Za-z]", "")).alias("q"))
-    one = s.groupBy("q").agg(F.min("p_partkey").alias("p_partkey")).withColumn("n", F.length("q"))
-    return G.greedy_clusters(one, "p_partkey", "n", G.kmer_similarity(one, "p_partkey", "q", 4, 0.5))
-
-
-def _names(spark, sf_dir):
+def part_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.upper(F.regexp_replace("p_name", "[^A-Za-z]", "")).alias("q"))
 
 
 @query()
 def aligned_pairs(spark, sf_dir):
     """Names of parts whose letters align with an identity of 0.8 over 0.7 of both."""
-    s = _names(spark, sf_dir).groupBy("q").agg(F.min("p_partkey").alias("p_partkey"))
+    s = part_names(spark, sf_dir).groupBy("q").agg(F.min("p_partkey").alias("p_partkey"))
     return H.similar(s, "p_partkey", "q", 0.8, 0.7, 4, 0.4)
 
 
 @query()
 def identity_clusters(spark, sf_dir):
-    return H.identity_clusters(_names(spark, sf_dir), "p_partkey", "q", 0.9, 0.8, 4, 0.4)
+    return H.identity_clusters(part_names(spark, sf_dir), "p_partkey", "q", 0.9, 0.8, 4, 0.4)
 
 
 CUT = 6

@@ -336,17 +336,21 @@ t AS (SELECT DISTINCT 'RS_GCF_' || lpad((s_suppkey // 2)::VARCHAR, 9, '0') || '.
 
 
 @query(f"""WITH {TIP_SQL} SELECT k, 'gtdb_accession' AS mode, tip AS tree_tip FROM e LEFT JOIN t ON tip = 'RS_' || replace(sample, 'GCA_', 'GCF_')
-UNION ALL SELECT k, 'identity', NULL FROM e UNION ALL SELECT k, 'gtdb_species', CASE WHEN length(species) % 2 = 0 THEN species END FROM e""")
+UNION ALL SELECT k, 'identity', NULL FROM e UNION ALL SELECT k, 'gtdb_species', CASE WHEN length(species) % 2 = 0 THEN species END FROM e
+UNION ALL SELECT k, 'gtdb_species_rep', coalesce(tip, 'RS_' || replace(acc, 'GCA_', 'GCF_')) FROM e LEFT JOIN t ON tip = 'RS_' || replace(sample, 'GCA_', 'GCF_')
+ LEFT JOIN (SELECT species AS sp, min(sample) AS acc FROM e WHERE k % 3 = 0 GROUP BY 1) ON sp = species""")
 def tip_modes(spark, sf_dir):
-    """Three ways from entities to tips: identity (none match), accession variants, species."""
+    """Four ways from entities to tips: identity (none match), accession variants, species, and the accession of a
+    species' representative where one's own has no tip."""
     s = table(spark, sf_dir, "supplier")
     acc = F.concat(F.lit("GCA_"), F.lpad(F.floor(F.col("s_suppkey") / 2).cast("string"), 9, "0"), F.lit(".1"))
     e = s.select(F.col("s_suppkey").alias("k"), acc.alias("sample"), F.concat(F.lit("Genus"), F.col("s_nationkey").cast("string"), F.lit(" sp")).alias("species"))
     tips = e.where("k % 3 = 0").select(F.concat(F.lit("RS_"), F.regexp_replace("sample", "GCA_", "GCF_")).alias("tip"))
     sp = e.where(F.length("species") % 2 == 0).select(F.col("species").alias("tip"))
     out = None
-    for mode, names in (("gtdb_accession", tips), ("identity", tips), ("gtdb_species", sp)):
-        one = E.resolve_tips(e, names, mode).select("k", F.lit(mode).alias("mode"), "tree_tip")
+    reps = e.where("k % 3 = 0").select("species", F.col("sample").alias("accession"))
+    for mode, names in (("gtdb_accession", tips), ("identity", tips), ("gtdb_species", sp), ("gtdb_species_rep", tips)):
+        one = E.resolve_tips(e, names, mode, reps).select("k", F.lit(mode).alias("mode"), "tree_tip")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -81,11 +81,6 @@ def preflight_report(spark, sf_dir):
     return out
 
 
-@query()
-def maxmin_panel(spark, sf_dir):
-    return C.max_min(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, [0, 1])
-
-
 @query()
 def spherical_kmeans(spark, sf_dir):
     e = C.normalised(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), "embedding")

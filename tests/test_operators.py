@@ -1021,3 +1021,39 @@ def test_yaml_settings(tmp_path):
     p.write_text("profiles:\n- {label: a}\n- {label: b, enabled: false}\nanchor:\n  gaps: [35, 24]\n")
     s = config.load(str(p))
     assert s.active() == ["a"] and s.anchor.gaps == (35, 24)
+
+
+def test_embedding_places_and_learned_scores(spark):
+    rows = spark.createDataFrame([("AC-",), ("",), (None,), ("é字A",)], "row string")
+    out = {r["row"]: r["vector"] for r in C.embed(rows, "row", {"A": [1.0, 2.0], "C": [3.0, 4.0]}, [1.0, 0.5]).collect()}
+    assert out == {"AC-": [1, 2, 1.5, 2, 0, 0], "": [], None: None, "é字A": [0] * 6}
+    hot = {r["row"]: r["vector"] for r in C.dummies(C.one_hot(rows.where("row is not null"), "row", "AC", [3.0, 4.0, 0.0]), "row", [""]).collect()}
+    assert hot["AC-"] == [0.6, 0, 0, 0.8, 0, 0, 0] and hot[""] == [1.0] and hot["é字A"] == [0] * 7
+    counts = A.counted(spark.createDataFrame([("AC",), ("AA",), ("AC",)], "row string"), [], {"n": None})
+    scores = C.log_odds(counts, "ACD")
+    # twelve ordered pairs: AA 6 + 0, CC 2, AC and CA 2 each
+    share = {"A": 8 / 12, "C": 4 / 12}
+    assert scores["A"] == pytest.approx([math.log2(6 / 12 / share["A"] ** 2), math.log2(2 / 12 / share["A"] / share["C"]), 0.0])
+    assert scores["D"] == [0.0] * 3 and C.log_odds(counts.where("false"), "AC") == {"A": [0.0] * 2, "C": [0.0] * 2}
+
+
+def test_first_members_and_reach(spark):
+    d = spark.createDataFrame([("x", 2, "b"), ("x", 1, "a"), (None, 5, "n"), ("y", 3, None)], "c string, k int, v string")
+    assert sorted(map(tuple, C.first_in_cluster(d, "c", "k").collect()), key=str) == sorted([("x", 1, "a"), (None, 5, "n"), ("y", 3, None)], key=str)
+    rng = np.random.default_rng(1)
+    values = rng.integers(1, 9, 200).tolist()
+    df = spark.createDataFrame(list(enumerate(values)), "id int, v long")
+    want, run = {}, 0
+    for i, v in sorted(enumerate(values), key=lambda x: (-x[1], x[0])):
+        if run < 0.7 * sum(values):
+            want[i] = run
+        run += v
+    assert {r["id"]: r["before"] for r in T.reaching(df, "v", ["id"], 0.7).collect()} == want
+    assert T.reaching(df.where("false"), "v", ["id"], 0.7).collect() == []
+
+
+def test_spacing_without_a_prior(spark):
+    c = [spark.createDataFrame([(p, 0.5, 1.0, k + 1) for k, p in enumerate(at)], "pos int, freq double, occupancy double, rank int") for at in ([0, 50], [10, 60], [90])]
+    free = A.score_by_prior(*c, None, 5.0, 2.0).collect()
+    assert {r["score"] for r in free} == {1.5} and len(free) == 3
+    assert {(r["col_1"], r["col_2"]): r["score"] for r in A.score_by_prior(*c, (10, 80), 5.0, 2.0).collect()}[0, 10] == 1.5
