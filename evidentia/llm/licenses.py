@@ -57,7 +57,8 @@ PERMISSIVE = {"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "0bsd"
 SEPARATE = ASCII_LOWER.translate(bytes(32 if x < 0x30 or 0x3A <= x <= 0x40 or 0x5B <= x <= 0x60 or 0x7B <= x <= 0x7F else x for x in range(256)))
 TAG = "spdx-license-identifier:"
 LINE_END = re.compile(r"[\n\r]|\Z")
-TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*)")
+#: An identifier may name the document that defines it.
+TOKEN = re.compile(r"\s*(\(|\)|(?:DocumentRef-[A-Za-z0-9.\-]+:)?[A-Za-z0-9][A-Za-z0-9.+\-]*)(:?)")
 RANK = {"or": 1, "and": 2, "with": 3}
 #: A text without these words in a row has no tag.
 WORDS_OF_TAG = ("spdx license identifier",)
@@ -66,7 +67,7 @@ WORDS_OF_TAG = ("spdx license identifier",)
 def parse_expression(text: str, at: int = 0, end: int | None = None):
     """Nested tuples (operator, left, right) or an identifier; None where it doesn't parse.
     Reading goes from ``at`` to ``end`` and stops at the first character that can't belong to an
-    expression."""
+    expression, or before a word with a colon, which is the next tag; an operator left open by it goes."""
     values: list = []
     stack: list[str] = []
 
@@ -80,6 +81,11 @@ def parse_expression(text: str, at: int = 0, end: int | None = None):
     value_next, end = True, len(text) if end is None else end
     while m := TOKEN.match(text, at, end):
         token, low = m[1], m[1].lower()
+        if m[2] and token not in ("(", ")"):
+            if value_next and stack and stack[-1] in RANK:
+                stack.pop()
+                value_next = False
+            break
         if token == "(":
             if not value_next:
                 break

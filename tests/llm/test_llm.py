@@ -475,6 +475,22 @@ def test_long_licence_expression():
     assert licenses.scan("SPDX-License-Identifier:\nMIT")[5] == ""
 
 
+@pytest.mark.parametrize(
+    "text,labels",
+    [
+        ("SPDX-License-Identifier: MIT AND SPDX-License-Identifier: ISC", "spdx:isc,spdx:mit"),
+        ("SPDX-License-Identifier: MIT SPDX-License-Identifier: ISC", "spdx:isc,spdx:mit"),
+        ("SPDX-License-Identifier: MIT OR ISC Copyright: someone", "spdx:isc,spdx:mit"),
+        ("SPDX-License-Identifier: (MIT OR note: x", ""),
+        ("SPDX-License-Identifier: SPDX-License-Identifier: Zlib", "spdx:zlib"),
+        ("SPDX-License-Identifier: DocumentRef-a.b:LicenseRef-1 OR MIT", "spdx:documentref-a.b:licenseref-1,spdx:mit"),
+        ("SPDX-License-Identifier: MIT:", ""),
+    ],
+)
+def test_words_with_a_colon_are_no_identifiers(text, labels):
+    assert licenses.scan(text)[5] == labels
+
+
 # --- 7 and 9 ----------------------------------------------------------------------------------
 
 tokenizers = pytest.importorskip("tokenizers")
