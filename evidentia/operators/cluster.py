@@ -16,12 +16,12 @@ from .staging import staged
 
 def embed(rows: DataFrame, row: str, vectors: dict[str, list[float]], weights: list[float] | None = None) -> DataFrame:
     """Adds ``vector``: the residues' vectors one after another, zeros for what has none, each
-    position times its weight."""
+    position times its weight, 0 beyond the weights; null for a null row."""
     size = len(next(iter(vectors.values())))
     table = F.create_map(*[x for r, v in vectors.items() for x in (F.lit(r), F.array(*[F.lit(float(e)) for e in v]))])
     zero = F.array(*[F.lit(0.0)] * size)
     w = F.array(*[F.lit(float(x)) for x in weights]) if weights else None
-    parts = F.transform(F.filter(F.split(row, ""), lambda c: c != ""), lambda c, i: F.transform(F.coalesce(F.try_element_at(table, c), zero), lambda x: x * F.get(w, i) if w is not None else x))
+    parts = F.transform(F.filter(F.split(row, ""), lambda c: c != ""), lambda c, i: F.transform(F.coalesce(F.try_element_at(table, c), zero), lambda x: x * F.coalesce(F.get(w, i), F.lit(0.0)) if w is not None else x))
     return rows.withColumn("vector", F.flatten(parts))
 
 
