@@ -59,6 +59,35 @@ def stockholm_roundtrip(spark, sf_dir):
     return rows.crossJoin(F.broadcast(rf))
 
 
+@query("SELECT 'c' || c_custkey AS seq_id, row_number() OVER (ORDER BY c_custkey) - 1 AS ord, 'AC' || c_custkey % 7 || '-EF' || c_nationkey AS aligned, 'xxx.xx.' AS rf FROM customer")
+def stockholm_parts(spark, sf_dir):
+    """Two blocks of one alignment of all customers, written by many tasks as parts in order and read by many."""
+    c = table(spark, sf_dir, "customer").withColumn("o", F.col("c_custkey").cast("double"))
+    last = 1e15
+    one = c.select(line("c%s  AC%s-", "c_custkey", F.col("c_custkey") % 7).alias("line"), "o")
+    two = c.select(line("c%s  EF%s", "c_custkey", "c_nationkey").alias("line"), (F.col("o") + 2 * last).alias("o"))
+    fixed = values(spark, [("# STOCKHOLM 1.0", -2.0), ("", -1.0), ("#=GC RF xxx.", last), ("", 1.5 * last), ("#=GC RF xx.", 4 * last), ("//", 5 * last)], "line", "o").select("line", F.col("o").cast("double").alias("o"))
+    path = place(spark, "parts")
+    fixed.unionByName(one).unionByName(two).repartitionByRange(32, "o").sortWithinPartitions("o").select("line").write.text(path)
+    rows, rf = X.stockholm(spark, path)
+    return rows.crossJoin(F.broadcast(rf))
+
+
+@query("SELECT 'q' || p_size AS query, 'P' || p_partkey AS target, (p_partkey % 100 + 0.5)::DOUBLE AS prob, 2e-5::DOUBLE AS evalue, 7.25::DOUBLE AS score FROM part")
+def hit_reports(spark, sf_dir):
+    """All parts as hits in a search report for each size, a file each, with rows outside the hit table that aren't hits."""
+    p = table(spark, sf_dir, "part")
+    hit = lambda target: line("%3d %s some name (x)   %.1f 2E-5 3.0E-09 7.25 0.0 120 1-120 3-122 (284)", F.lit(1), target, F.col("p_partkey") % 100 + F.lit(0.5))
+    rows = p.select(hit(line("P%s", "p_partkey")).alias("line"), "p_size", F.col("p_partkey").cast("double").alias("o"))
+    around = [(F.lit("  1 early 99.8 2.1E-24 3.0E-29 150.2 0.0 120 1-120 3-122 (284)"), -3.0), (line("Query         q%s", "p_size"), -2.0), (F.lit(" No Hit                             Prob"), -1.0), (F.lit(""), 1e15), (F.lit("  1 late 99.8 2.1E-24 3.0E-29 150.2 0.0 120 1-120 3-122 (284)"), 2e15)]
+    sizes = p.select("p_size").distinct()
+    for text, o in around:
+        rows = rows.unionByName(sizes.select(text.alias("line"), "p_size", F.lit(o).alias("o")))
+    path = place(spark, "reports")
+    rows.repartition("p_size").sortWithinPartitions("p_size", "o").select("line", "p_size").write.partitionBy("p_size").text(path)
+    return X.hhr(spark, path)
+
+
 @query("SELECT 'd' || doc_id AS seq_id, 'd' || doc_id || ' from ' || coalesce(source, '') AS header FROM documents")
 def fasta_headers_roundtrip(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(" from "), F.coalesce("source", F.lit(""))).alias("name"), F.lit("ACD").alias("s"))

@@ -2,7 +2,8 @@
 
 Each reader takes a path (any that Spark reads, gzip by suffix) or, with ``from_lines``, a
 table of lines, and returns a typed DataFrame.  Records are split by Spark's text source, so
-a file larger than one partition is read in parallel where the format allows it.
+a file larger than one partition is read in parallel; formats whose lines belong together in
+their order (Stockholm, search reports, gene features) sort by the place of a line in its file.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.staging import numbered
+
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(header, seq, path): wrapped rows joined, blank lines skipped."""
@@ -30,22 +33,28 @@ def first_token(header: Column) -> Column:
     return F.get(F.split(F.trim(header), r"\s+"), 0)
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value, ln): lines of text and an ``ln`` that sorts them as they stand, files by name.
+
+    A large file is read in splits by many tasks.  ``ln`` is the file, where the split begins in it
+    and a number that grows within the split, so no line needs to know how many lines are before it; it
+    says nothing of distance.  Compressed files are one split.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r$", "").alias("value"), at.alias("ln"))
+
+
 def stockholm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """((seq_id, ord, aligned), one row (rf)): blocks of a name are joined in file order."""
-    lines = _numbered(spark, path)
+    """((seq_id, ord, aligned), one row (rf)): blocks of a name are joined in file order.  The path is
+    one alignment, in one file or in a folder of parts that follow each other by name.  Without a
+    sequence there are no rows; without a reference line rf is ''."""
+    lines = ordered_lines(spark, path)
     body = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "") & (F.trim("value") != "//"))
     part = body.select("ln", F.split(F.trim("value"), r"\s+", 2).alias("p")).select("ln", F.col("p")[0].alias("seq_id"), F.get("p", 1).alias("chunk"))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", c))), lambda x: x[c]), "")
-    rows = part.groupBy("seq_id").agg(F.min("ln").alias("_first"), joined("chunk").alias("aligned"))
-    rows = rows.select("seq_id", (F.row_number().over(W.orderBy("_first")) - 1).alias("ord"), "aligned")
+    rows = part.groupBy("seq_id").agg(F.min("ln").alias("_at"), joined("chunk").alias("aligned"))
     rf = lines.where(F.col("value").startswith("#=GC RF")).select("ln", F.regexp_replace("value", r"^#=GC RF\s+", "").alias("chunk"))
-    return rows, rf.agg(joined("chunk").alias("rf"))
-
-
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one file with their numbers: the file is one record, as order is its format."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("ln", "value"))
+    return numbered(rows, [F.col("_at")], "ord").select("seq_id", "ord", "aligned"), rf.agg(joined("chunk").alias("rf"))
 
 
 DOMTBL = [
@@ -109,22 +118,34 @@ def structure_hits(spark: SparkSession, path: str) -> DataFrame:
     return out.where("identity is not null and evalue is not null and bits is not null")
 
 
+HIT_ROW = r"^\s*\d+\s+(\S+).*?\s(\d+(?:\.\d+)?)\s+([\d.Ee+-]+)\s+([\d.Ee+-]+)\s+([\d.-]+)\s+([\d.-]+)\s+(\d+)\s+\S+\s+\S+\s*\(\d+\)\s*$"
+
+
+def reports(spark: SparkSession, path: str) -> DataFrame:
+    """(path, query, target, prob, evalue, score): the hit tables of profile-profile search reports, a
+    report for each file: the lines between the first ``No Hit`` and the blank line after it, with the
+    first ``Query`` of the file (null if none).  Files without a hit table have no rows."""
+    lines = ordered_lines(spark, path)
+    head = F.ltrim("value").startswith("No Hit")
+    per = lines.where(head | F.col("value").startswith("Query")).groupBy("path").agg(
+        F.min(F.when(head, F.col("ln"))).alias("a"), F.trim(F.min_by(F.when(~head, F.expr("substring(value, 6)")), F.when(~head, F.col("ln")))).alias("query")
+    )
+    per = per.where("a is not null")
+    ends = lines.where("trim(value) = ''").join(per, "path").where("ln > a").groupBy("path").agg(F.min("ln").alias("b"))
+    hit = lines.where(F.col("value").rlike(HIT_ROW)).join(per, "path").join(ends, "path", "left").where("ln > a and (b is null or ln < b)")
+    g = lambda i: F.regexp_extract("value", HIT_ROW, i)
+    return hit.select("path", "query", g(1).alias("target"), g(2).try_cast("double").alias("prob"), g(3).try_cast("double").alias("evalue"), g(5).try_cast("double").alias("score"))
+
+
 def hhr(spark: SparkSession, path: str) -> DataFrame:
-    """The hit table of profile-profile search results: lines after ``No Hit`` up to a blank one."""
-    lines = _numbered(spark, path)
-    head = lines.where(F.ltrim("value").startswith("No Hit")).agg(F.min("ln").alias("a"))
-    end = lines.crossJoin(head).where("ln > a and trim(value) = ''").agg(F.min("ln").alias("b"))
-    query = lines.where(F.col("value").startswith("Query")).orderBy("ln").limit(1).select(F.trim(F.expr("substring(value, 6)")).alias("query"))
-    hit = lines.crossJoin(head).crossJoin(end).where("ln > a and (b is null or ln < b)")
-    tail = F.regexp_extract("value", r"^\s*\d+\s+(\S+).*?\s(\d+(?:\.\d+)?)\s+([\d.Ee+-]+)\s+([\d.Ee+-]+)\s+([\d.-]+)\s+([\d.-]+)\s+(\d+)\s+\S+\s+\S+\s*\(\d+\)\s*$", 0)
-    g = lambda i: F.regexp_extract("value", r"^\s*\d+\s+(\S+).*?\s(\d+(?:\.\d+)?)\s+([\d.Ee+-]+)\s+([\d.Ee+-]+)\s+([\d.-]+)\s+([\d.-]+)\s+(\d+)\s+\S+\s+\S+\s*\(\d+\)\s*$", i)
-    return hit.where(tail != "").crossJoin(query).select("query", g(1).alias("target"), g(2).try_cast("double").alias("prob"), g(3).try_cast("double").alias("evalue"), g(5).try_cast("double").alias("score"))
+    """``reports`` without the path."""
+    return reports(spark, path).drop("path")
 
 
 def gff3(spark: SparkSession, path: str) -> DataFrame:
     """(id, contig, start, end, strand, order): gene features under every id that they have;
     an id with ``-`` also under what follows it; a later feature replaces an earlier one."""
-    f = spark.read.text(path).where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f"), F.monotonically_increasing_id().alias("ln")).where("size(f) >= 9")
+    f = ordered_lines(spark, path).where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f"), "ln").where("size(f) >= 9")
     f = f.where(F.col("f")[2].isin("CDS", "gene", "mRNA"))
     genes = f.select("ln", F.col("f")[0].alias("contig"), F.col("f")[2].alias("type"), F.col("f")[3].try_cast("int").alias("start"), F.col("f")[4].try_cast("int").alias("end"), F.col("f")[6].alias("strand"), F.col("f")[8].alias("attrs")).where("start is not null and end is not null")
     genes = genes.withColumn("order", F.row_number().over(W.partitionBy("contig").orderBy("start", "ln")) - 1)
@@ -154,8 +175,9 @@ def coordinates(spark: SparkSession, source: str, faa: str | None, gff: str | No
 
 
 def profile_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, acc, length, ga, nc, tc) of profile files: the header ends at ``HMM ``."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.explode(F.split("value", r"(?m)^//\s*$")).alias("v")).where("trim(v) != ''")
+    """(path, name, acc, length, ga, nc, tc) of profile files: a profile ends at ``//``, its header at
+    ``HMM ``."""
+    whole = spark.read.option("lineSep", "\n//").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("v")).where(r"v rlike '\\S'")
     head = F.get(F.split("v", r"(?m)^HMM\s"), 0)
     field = lambda k: F.nullif(F.regexp_extract(head, rf"(?m)^{k}\s+(\S+)", 1), F.lit(""))
     number = lambda k: F.regexp_replace(field(k), ";$", "").try_cast("double")
@@ -190,9 +212,9 @@ def probe(spark: SparkSession, path: str, n: int = 50) -> str:
 def atoms(spark: SparkSession, path: str, chain: str, ions: tuple[str, ...] = ()) -> DataFrame:
     """(chain, resnum, resname, atom, x, y, z, is_ion) of a mmCIF or PDB file: author numbering,
     no hydrogens, one chain; ions by residue name from every chain."""
-    lines = _numbered(spark, path)
+    lines = spark.read.text(path)
     if path.endswith((".cif", ".cif.gz")):
-        names = lines.where(F.col("value").startswith("_atom_site.")).orderBy("ln").select(F.trim(F.regexp_replace("value", "^_atom_site\\.", "")).alias("c"))
+        names = ordered_lines(spark, path).where(F.col("value").startswith("_atom_site.")).orderBy("ln").select(F.trim(F.regexp_replace("value", "^_atom_site\\.", "")).alias("c"))
         place = {r["c"]: i for i, r in enumerate(names.collect())}
         f = lines.where(F.col("value").rlike("^(ATOM|HETATM)")).select(F.split(F.trim("value"), r"\s+").alias("f"))
         col = lambda *ks: F.get("f", next(place[k] for k in ks if k in place))

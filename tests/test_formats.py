@@ -38,6 +38,48 @@ def test_stockholm(spark, tmp_path):
     assert rf.first()["rf"] == "xx.xx"
 
 
+@pytest.fixture
+def fine_splits(spark):
+    keys = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k in keys:
+        spark.conf.unset(k)
+
+
+def test_formats_over_splits(spark, tmp_path, fine_splits):
+    """One file in many splits: line order, blocks, hit tables, later features and profiles."""
+    n = 200
+    first, second = [f"s{(7 * i) % n} A{i % 10}-" for i in range(n)], [f"s{(7 * i) % n} {'XY'[i % 2]}" for i in range(n)]
+    path = put(tmp_path, "b.sto", "# STOCKHOLM 1.0\r\n" + "\r\n".join([*first, "#=GC RF xx.", "", *second, "#=GC RF y", "//", ""]))
+    lines = X.ordered_lines(spark, path)
+    assert lines.rdd.getNumPartitions() > 4
+    assert [r["value"] for r in lines.orderBy("ln").collect()][1:-1] == [*first, "#=GC RF xx.", "", *second, "#=GC RF y"]
+    rows, rf = X.stockholm(spark, path)
+    assert [tuple(r) for r in rows.orderBy("ord").collect()] == [(f"s{(7 * i) % n}", i, f"A{i % 10}-{'XY'[i % 2]}") for i in range(n)]
+    assert rf.first()["rf"] == "xx.y"
+    hit = "  1 {} some name  99.8 2.1E-24 3.0E-29 150.2 0.0 120 1-120 3-122 (284)\n"
+    for f in ("q1", "q2"):
+        body = "".join(hit.format(f"{f}t{i}") for i in range(30))
+        put(tmp_path, f"{f}.hhr", hit.format("early") + f"Query  {f}\n No Hit\n{body}\n{hit.format('late')}Query  other\n")
+    put(tmp_path, "none.hhr", f"Query  none\n{hit.format('x')}")
+    got = X.reports(spark, str(tmp_path / "*.hhr")).select("query", "target").collect()
+    assert sorted(map(tuple, got)) == sorted((f, f"{f}t{i}") for f in ("q1", "q2") for i in range(30))
+    gff = "".join(f"c1\ts\tgene\t{1000 - i}\t{1000 - i}\t.\t+\t.\tID=g{i % 50}\n" for i in range(100))
+    assert {r["id"]: r["start"] for r in X.gff3(spark, put(tmp_path, "s.gff", gff)).collect()} == {f"g{i}": 950 - i for i in range(50)}
+    hmm = "".join(f"HMMER3/f\nNAME  p{i}\nLENG  {i}\nHMM   A\n 1 2\n//\n" for i in range(60))
+    assert {(r["name"], r["length"]) for r in X.profile_headers(spark, put(tmp_path, "s.hmm", hmm)).collect()} == {(f"p{i}", i) for i in range(60)}
+    pdb = "".join(f"ATOM  {i:5d}  CA  GLY A{i:4d}    {1:8.3f}{2:8.3f}{3:8.3f}  1.00  0.00           C\n" for i in range(80))
+    assert {r["resnum"] for r in X.atoms(spark, put(tmp_path, "s.pdb", pdb), "A").collect()} == set(range(80))
+
+
+def test_formats_without_rows(spark, tmp_path):
+    rows, rf = X.stockholm(spark, put(tmp_path, "e.sto", "# STOCKHOLM 1.0\n//\n"))
+    assert rows.count() == 0 and rf.first()["rf"] == ""
+    assert X.hhr(spark, put(tmp_path, "e.hhr", "")).count() == 0
+
+
 def test_match_rows(spark, tmp_path):
     row = "t1 - 100 P - 60 1e-9 55.5 0.1 1 2 1e-8 1e-7 50.2 0.0 1 50 3 60 2 61 0.95"
     path = put(tmp_path, "batch_00012.spec.domtblout", f"# c\n\n{row} prot genome more\n{row}\nshort row\n{row.replace('55.5', 'x')} p g\n")
