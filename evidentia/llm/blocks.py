@@ -1,7 +1,8 @@
 """Main text of raw HTML by a recurrent block labeller.
 
 A page is read into leaf blocks: runs of text between block-level tags, each with its tag
-path (tags, class and id words of its nearest ancestors).  A bidirectional LSTM in numpy reads
+path (tag and the first eight words of each class, id and role of its eight nearest
+ancestors: features of the classifier only, no text is cut).  A bidirectional LSTM in numpy reads
 the blocks of a page in order, as a path vector (mean of hashed tag-path embeddings), a word
 vector (mean of hashed word embeddings, all words of the block) and a few figures, and labels
 every block as article or not with the whole page as context.  Blocks labelled article are
