@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .staging import numbered
+from .joins import small
+from .staging import numbered, staged
 
 
 def best_match(rows: DataFrame, keys: list[str], score: str, ties: list[str]) -> DataFrame:
@@ -46,9 +47,11 @@ def empirical_fdr(scores: DataFrame, points: int = 60) -> DataFrame:
     99.5th percentile.  Rows are counted, not items; the ratio may pass 1 and is null without
     targets.
     """
-    ends = scores.groupBy("profile").agg(
-        F.floor(F.min("score")).cast("double").alias("lo"),
-        F.ceil(F.percentile(F.when(F.col("decoy") == 0, F.col("score").cast("double")), F.lit(0.995))).cast("double").alias("hi"),
+    ends = staged(
+        scores.groupBy("profile").agg(
+            F.floor(F.min("score")).cast("double").alias("lo"),
+            F.ceil(F.percentile(F.when(F.col("decoy") == 0, F.col("score").cast("double")), F.lit(0.995))).cast("double").alias("hi"),
+        )
     )
     width = (F.col("hi") - F.col("lo")) / (points - 1)
     at = F.floor(F.when(width > 0, (F.col("score") - F.col("lo")) / width).otherwise(F.lit(points - 1)))
@@ -56,7 +59,7 @@ def empirical_fdr(scores: DataFrame, points: int = 60) -> DataFrame:
     cut = lambda k: F.col("lo") + k * width
     k = F.least(at, F.lit(points - 1))
     k = F.when(cut(k) > F.col("score"), k - 1).when((k < points - 1) & (cut(k + 1) <= F.col("score")), k + 1).otherwise(k)
-    counts = scores.join(F.broadcast(ends), "profile").withColumn("_k", k.cast("int")).where("_k >= 0")
+    counts = scores.join(small(ends), "profile").withColumn("_k", k.cast("int")).where("_k >= 0")
     counts = counts.groupBy("profile", "_k").agg(F.count_if(F.col("decoy") == 0).alias("t"), F.count_if(F.col("decoy") == 1).alias("d"))
     grid = ends.select("profile", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_k"))
     filled = grid.join(counts, ["profile", "_k"], "left")

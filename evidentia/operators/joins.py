@@ -16,12 +16,15 @@ class CheckFailed(ValueError):
 
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast once it is counted and found within ``limit`` rows; beyond it
-    the join it is for shuffles."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast once it is measured and found within ``limit`` rows and ``most`` bytes
+    of its values as text; beyond it the join it is for shuffles."""
+    row = F.octet_length(F.struct(*[F.col(f"`{c}`") for c in df.columns]).cast("string")).cast("long")
+    rows, size = df.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(row), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and size <= most else df
 
 
 def require_unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:

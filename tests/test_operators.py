@@ -37,6 +37,13 @@ def one(spark, expr, **values):
 # --- joins and guards -------------------------------------------------------------------------
 
 
+def test_small_measures_rows_and_bytes(spark):
+    df = spark.createDataFrame([(i, "x" * 100, [i] * 3) for i in range(20)], "a long, `b.c` string, d array<long>")
+    hinted = lambda x: "broadcast" in x._jdf.queryExecution().logical().toString().lower()
+    assert hinted(J.small(df)) and not hinted(J.small(df, 19)) and not hinted(J.small(df, 20, 2000))
+    assert hinted(J.small(df.limit(0)))
+
+
 def test_many_to_one_checks(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     right = spark.createDataFrame([(1, "x"), (1, "y")], "k long, v string")
