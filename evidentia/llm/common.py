@@ -114,11 +114,13 @@ def maybe_in(rows: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
     least, most = FILTER_BITS
     size = min(most, max(least, 1 << (32 * ids.count()).bit_length()))
     spot = lambda x: F.pmod(F.xxhash64(x), F.lit(size))
-    bits = ids.select(spot(F.col("id")).alias("s")).groupBy(F.expr("s div 32768").alias("_w")).agg(F.expr("bitmap_construct_agg(s % 32768)").alias("_bits"))
+    bits = ids.select(spot(F.col("id")).alias("s")).groupBy(F.expr("s div 32768").alias("_w")).agg(F.expr("bitmap_construct_agg(s % 32768)").alias("_b"))
+    # longs can be read in place, where a binary value would be copied for each row
+    bits = bits.select("_w", F.expr("transform(sequence(1, 4089, 8), i -> cast(conv(hex(substring(_b, i, 8)), 16, -10) as bigint))").alias("_bits"))
     names = rows.columns
     found = rows.withColumn("_s", spot(key)).withColumn("_w", F.expr("_s div 32768")).join(F.broadcast(bits), "_w")
-    byte = F.expr("cast(conv(hex(substring(_bits, cast((_s % 32768) div 8 as int) + 1, 1)), 16, 10) as int)")
-    return found.where(F.call_function("shiftright", byte, F.expr("cast(_s % 8 as int)")).bitwiseAND(F.lit(1)) == 1).select(*names)
+    word = F.expr("get(_bits, cast((_s % 32768) div 64 as int))")
+    return found.where(F.call_function("shiftright", word, F.expr("cast((_s % 64) ^ 56 as int)")).bitwiseAND(F.lit(1)) == 1).select(*names)  # bytes stand in a long from its highest down
 
 
 # --- hashed words -----------------------------------------------------------------
@@ -127,7 +129,7 @@ _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 2**64)
-SEGMENT = 1 << 20
+SEGMENT = 1 << 17  # what is made for its bytes stays in a core's cache
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -144,7 +146,7 @@ NON_WORD = np.array([x < 0x30 or 0x3A <= x <= 0x60 or 0x7B <= x <= 0x7F for x in
 def _powers(base: int, n: int) -> np.ndarray:
     key = str(base)
     if key not in _POWERS or len(_POWERS[key]) < n:
-        seq = np.full(max(n, SEGMENT + 1), base, np.uint64)
+        seq = np.full(max(n, 1 << 20), base, np.uint64)
         seq[0] = 1
         _POWERS[key] = np.cumprod(seq, dtype=np.uint64)
     return _POWERS[key]
@@ -158,12 +160,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _hash_segment(buf: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of one buffer and the places where they start."""
-    is_word = ~sep[buf]
-    edge = np.diff(is_word.view(np.int8), prepend=0, append=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    inside = np.zeros(len(buf) + 2, bool)
+    np.logical_not(sep[buf], out=inside[1:-1])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.empty(0, np.uint64), start
-    total = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[buf] * _powers(_P, len(buf))[: len(buf)], dtype=np.uint64)))
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * _powers(_P, len(buf))[: len(buf)], out=total[1:])
     return mix((total[end] - total[start]) * _powers(_PINV, len(buf))[start] + (end - start).astype(np.uint64)), start
 
 
@@ -226,6 +230,18 @@ def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
     return mix(total)
 
 
+def ordered_parts(part: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
+    """``np.lexsort((s, part))`` for parts below ``n``, but for the order of equal values: by one sort of
+    keys that hold the part and the highest bits of ``s``, which is an order of magnitude faster."""
+    bits = np.uint64(max(1, (n - 1).bit_length()))
+    key = (part.astype(np.uint64) << (np.uint64(64) - bits)) | (s >> bits)
+    order = np.argsort(key)
+    key, held = key[order], s[order]
+    if ((key[1:] == key[:-1]) & (held[1:] < held[:-1])).any():  # values that differ in their lowest bits only
+        return np.lexsort((s, part))
+    return order
+
+
 def encode(values: list) -> list[bytes]:
     return [b"" if x is None else x.encode("utf-8", "surrogatepass") for x in values]
 

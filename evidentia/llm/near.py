@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, BLANKS, encode, hashed_words, mapped, maybe_in, mix, shingles, small, staged, text_groups
+from .common import ASCII_LOWER, BLANKS, encode, hashed_words, mapped, maybe_in, mix, ordered_parts, shingles, small, staged, text_groups
 from .graph import components
 
 K = 64
@@ -63,8 +63,18 @@ def shingle_sets(texts: list, width: int):
     raw = [x.translate(ASCII_LOWER) for x in encode(texts)]
     for a, b in text_groups([len(x) for x in raw]):
         words, cut = hashed_words(raw[a:b], BLANKS)
+        if b - a == 1:
+            yield np.unique(shingles(words, width))
+            continue
+        many = np.maximum(np.diff(cut) - (width - 1), 0)
+        of = np.repeat(np.arange(b - a), many)
+        s = shingles(words, width)[np.arange(len(of)) + np.repeat(cut[:-1] - np.cumsum(many) + many, many)] if len(of) else words[:0]
+        s = s[ordered_parts(of, s, b - a)]
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:] != s[:-1]) | (of[1:] != of[:-1])
+        s, bound = s[new], np.searchsorted(of[new], np.arange(b - a + 1))
         for i in range(b - a):
-            yield np.unique(shingles(words[cut[i] : cut[i + 1]], width))
+            yield s[bound[i] : bound[i + 1]] if many[i] else np.unique(shingles(words[cut[i] : cut[i + 1]], width))
 
 
 def signature(s: np.ndarray, rows: int = 4096) -> np.ndarray:
@@ -117,7 +127,7 @@ def _colliding(pairs: DataFrame, classes: DataFrame, match: int) -> DataFrame:
     a = classes.select(F.col("node").alias("u"), F.col("sig").alias("_a"))
     b = classes.select(F.col("node").alias("v"), F.col("sig").alias("_b"))
     both = pairs.join(a, "u").join(b, "v")
-    same = F.size(F.filter(F.zip_with("_a", "_b", lambda x, y: x == y), lambda x: x))
+    same = F.expr(" + ".join(f"int(_a[{i}] = _b[{i}])" for i in range(K)))  # compiled, as functions of arrays are not
     return both.where(same >= match).select("u", "v").distinct()
 
 
@@ -125,7 +135,7 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     """Sizes of the intersections of sets, pair by pair, by one sort of them all."""
     both = [np.concatenate(x) for x in zip(left, right, strict=True)]
     pair, s = np.repeat(np.arange(len(both)), [len(x) for x in both]), np.concatenate(both)
-    order = np.lexsort((s, pair))
+    order = ordered_parts(pair, s, len(both))
     pair, s = pair[order], s[order]
     twice = (s[1:] == s[:-1]) & (pair[1:] == pair[:-1])
     return np.bincount(pair[1:][twice], minlength=len(both))
@@ -265,12 +275,11 @@ def links(post: DataFrame, classes: DataFrame, docs: DataFrame, width: int, simi
     post = staged(post)
     ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
-    hubs = post.groupBy("key").agg(
-        F.max_by(F.struct("node", "n"), F.struct("popular", -F.col("node"))).alias("_h1"),
-        F.max_by(F.struct("node", "n"), F.xxhash64("node", "key")).alias("_h2"),
-        F.count("*").alias("_size"),
-    ).where("_size > 1")
-    spread = hubs.select("key", F.explode(F.array_distinct(F.array("_h1", "_h2"))).alias("_h"))
+    # hubs by ranks that are longs, as maxima of structs would be sorted for; any choice of hubs gives the same components
+    popular = F.expr("shiftleft(cast(least(popular, 2147483647) as bigint), 32) | (xxhash64(node) & 4294967295L)")
+    hub = lambda rank, name: [F.max_by(c, rank).alias(f"{name}{c}") for c in ("node", "n")]
+    hubs = post.groupBy("key").agg(*hub(popular, "_1"), *hub(F.xxhash64("node", "key"), "_2"), F.count("*").alias("_size")).where("_size > 1")
+    spread = hubs.select("key", F.explode(F.expr("array_distinct(array(struct(_1node as node, _1n as n), struct(_2node as node, _2n as n)))")).alias("_h"))
     tried = ordered(post.join(spread, "key").select(F.col("node").alias("u"), "n", F.col("_h.node").alias("v"), F.col("_h.n").alias("m")).where(F.col("u") != F.col("v")).where(_near_size(similarity)))
     tried = staged(tried)
     first = staged(_confirmed(staged(_colliding(tried, classes, match)), docs, width, similarity))

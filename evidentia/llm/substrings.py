@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, BLANKS, _powers, discard, encode, hashed_words, mapped, maybe_in, mix, shingles, staged, text_groups
+from .common import ASCII_LOWER, BLANKS, _powers, discard, encode, hashed_words, mapped, maybe_in, mix, ordered_parts, shingles, staged, text_groups
 from .graph import components
 from .near import _A, _B, K, links
 
@@ -79,7 +79,7 @@ def signed(words: np.ndarray, start: np.ndarray, end: np.ndarray, width: int, k:
         s = every[np.arange(int(many.sum())) - at[part] + start[first:last][part]]
         for i in range(k):
             sig[i, first:last] = np.minimum.reduceat(s * _A[i] + _B[i], at)
-        order = np.lexsort((s, part))
+        order = ordered_parts(part, s, len(many))
         s, part = s[order], part[order]
         new = np.concatenate(([True], (s[1:] != s[:-1]) | (part[1:] != part[:-1])))
         node[first:last] = np.add.reduceat(np.where(new, mix(s), np.uint64(0)), at)
@@ -231,24 +231,26 @@ def window_posts(marked: DataFrame, min_words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             raw = [x.translate(ASCII_LOWER) for x in encode(batch.column(1).to_pylist())]
-            marks = batch.column(2)
+            ths, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
             for a, b in text_groups([len(x) for x in raw]):
                 words, bound = hashed_words(raw[a:b], BLANKS)
                 text, at, h = picked(words, bound, window, every)
-                for k in range(b - a):
-                    lo, hi = np.searchsorted(text, (k, k + 1))
-                    mine = at[lo:hi][np.isin(h[lo:hi].view(np.int64), marks[a + k].values.to_numpy(zero_copy_only=False))]
-                    own = words[bound[k] : bound[k + 1]]
-                    if not len(mine) or len(own) < min_words:
-                        continue
-                    held = np.zeros(len(own) - min_words + 2, np.int32)  # ranges that hold a start, by differences
-                    np.add.at(held, np.maximum(mine - (every - 1), 0), 1)
-                    np.add.at(held, np.minimum(mine, len(own) - min_words) + 1, -1)
-                    pos = np.flatnonzero(np.cumsum(held)[:-1] > 0)
-                    hashes = _hash(own, pos, min_words).view(np.int64)
-                    first = np.zeros(len(pos), bool)
-                    first[np.unique(hashes, return_index=True)[1]] = True
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), batch.column(0)[a + k].as_py(), np.int64)), pa.array(hashes), pa.array(pos, pa.int64()), pa.array(first)], schema=out)
+                last = np.diff(bound) - min_words
+                # a seed that another of these texts has in its marks is shared, so the text's own marks have it too
+                mine = np.isin(h.view(np.int64), marks[a:b].flatten().to_numpy(zero_copy_only=False)) & (last[text] >= 0)
+                text, at = text[mine], at[mine]
+                held = np.zeros(len(words) + 1, np.int32)  # ranges that hold a start, by differences
+                np.add.at(held, bound[text] + np.maximum(at - (every - 1), 0), 1)
+                np.add.at(held, bound[text] + np.minimum(at, last[text]) + 1, -1)
+                pos = np.flatnonzero(np.cumsum(held)[:-1] > 0)
+                if not len(pos):
+                    continue
+                hashes, of = _hash(words, pos, min_words), np.searchsorted(bound, pos, "right") - 1
+                order = ordered_parts(of, hashes, b - a)
+                new = np.concatenate(([True], (np.diff(of[order]) > 0) | (hashes[order][1:] != hashes[order][:-1])))
+                first = np.zeros(len(pos), bool)
+                first[np.minimum.reduceat(order, np.flatnonzero(new))] = True
+                yield pa.RecordBatch.from_arrays([pa.array(ths[a:b][of]), pa.array(hashes.view(np.int64)), pa.array(pos - bound[of], pa.int64()), pa.array(first)], schema=out)
 
     return mapped(marked.select("th", "body", "marks"), run, "th long, h long, pos long, first boolean")
 
@@ -269,12 +271,14 @@ def stretches(texts: DataFrame, per: DataFrame, reps: DataFrame, min_words: int)
     posts = staged(window_posts(_bodies(texts, marks), min_words))
     # one first place in each text, so the place in the least text is one
     known = _shared(posts.where("first"), F.min_by("pos", "th").alias("at"))
-    held = posts.select("th", "h", "pos").join(known, "h")
+    held = posts.select("th", "h", "pos").join(known.hint("shuffle_hash"), "h")
     by = W.partitionBy("th").orderBy("pos")
-    new = (F.col("pos") - 1).eqNullSafe(F.lag("pos").over(by)) & F.col("lo").eqNullSafe(F.lag("lo").over(by))
-    held = held.withColumn("new", F.when(new, 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
-    runs = held.groupBy("th", "run").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + min_words).alias("n"), F.min("lo").alias("lo"), F.min_by("at", "pos").alias("at"), F.max_by("at", "pos").alias("end"))
-    runs = staged(runs.withColumn("own", (F.col("lo") == F.col("th")) & (F.col("at") == F.col("start"))).withColumn("row", F.col("end") - F.col("at") == F.col("n") - min_words).drop("run", "end"))
+    beside = lambda f, step: (f("pos").over(by) == F.col("pos") + step) & (f("lo").over(by) == F.col("lo"))
+    ends = held.withColumn("first", ~F.coalesce(beside(F.lag, -1), F.lit(False))).withColumn("last", ~F.coalesce(beside(F.lead, 1), F.lit(False))).where("first or last")
+    to = lambda c: F.when(F.col("last"), F.col(c)).otherwise(F.lead(c).over(by))
+    runs = ends.withColumn("to", to("pos")).withColumn("end", to("at")).where("first")
+    runs = runs.select("th", F.col("pos").alias("start"), (F.col("to") - F.col("pos") + min_words).alias("n"), "lo", "at", "end")
+    runs = staged(runs.withColumn("own", (F.col("lo") == F.col("th")) & (F.col("at") == F.col("start"))).withColumn("row", F.col("end") - F.col("at") == F.col("n") - min_words).drop("end"))
     discard(shared, marks, posts, known)
     copy = runs.where("not own")
     named = copy.select("th", "start", "n", F.when(F.col("row"), F.col("lo")).otherwise(F.col("th")).alias("src"), F.when(F.col("row"), F.col("at")).otherwise(F.col("start")).alias("at"))
@@ -361,8 +365,9 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     ids = post.select(F.col("node").alias("id")).distinct()
     seen = staged(parts.select("th", "start", "n", "node").unionByName(found).distinct())
     some = maybe_in(seen, F.col("node"), ids).join(ids, F.col("node") == F.col("id"), "left_semi")
-    one = some.groupBy("node").agg(F.min(F.struct("th", "start", "n")).alias("p"))
-    one = one.groupBy(F.col("p.th").alias("th")).agg(F.collect_list(F.struct(F.col("node").alias("id"), "p.start", "p.n")).alias("places"))
+    # start and n in one long, as minima of structs would be sorted for; a text has fewer than 2^31 bytes
+    one = some.groupBy("node").agg(F.min("th").alias("th"), F.min_by(F.expr("shiftleft(start, 32) | n"), "th").alias("p"))
+    one = one.groupBy("th").agg(F.collect_list(F.expr("struct(node as id, shiftright(p, 32) as start, p & 4294967295L as n)")).alias("places"))
     classes = staged(paragraph_texts(_bodies(texts, staged(one.join(reps, "th").drop("many"))), width))
     post = post.join(classes.select("node", "n"), "node").withColumn("popular", F.count("*").over(W.partitionBy("node")))
     post = post.select("key", F.col("key").bitwiseAND(63).cast("int").alias("slot"), "node", "n", "popular")

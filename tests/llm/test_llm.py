@@ -74,6 +74,43 @@ def test_hashed_words_segments(monkeypatch):
     assert whole[0] == whole[2] and whole[0] != whole[1] and whole[-1] == whole[0]
 
 
+def test_ordered_parts():
+    rng = np.random.default_rng(5)
+    part = np.sort(rng.integers(0, 40, 3000))
+    for s in (rng.integers(0, 2**64, 3000, dtype=np.uint64), rng.integers(0, 90, 3000, dtype=np.uint64)):  # those of 90 differ in their lowest bits only
+        order = common.ordered_parts(part, s, 40)
+        want = np.lexsort((s, part))
+        assert (part[order] == part[want]).all() and (s[order] == s[want]).all() and len(set(order.tolist())) == 3000
+
+
+def test_parts_are_signed_without_a_sort_by_two_keys(monkeypatch):
+    """It took most of the time of op5's first pass over the texts."""
+    rng = np.random.default_rng(6)
+    words = rng.integers(1, 2**60, 500, dtype=np.uint64)
+    words[100:200] = words[300:400]
+    monkeypatch.setattr(np, "lexsort", None)
+    node, _, size = substrings.signed(words, np.array([0, 100, 300, 20]), np.array([100, 200, 400, 120]), 5, 4)
+    assert node[1] == node[2] and len(set(node.tolist())) == 3 and size.tolist() == [96] * 4
+    assert near._intersections([np.array([1, 5, 9], np.uint64) << np.uint64(50)] * 2, [np.array([5, 9], np.uint64) << np.uint64(50), np.array([7], np.uint64)]).tolist() == [2, 0]
+
+
+def test_shingle_sets():
+    texts = ["a b c d e f a b c d e", None, "", "one two", "x " * 40, "A b C d E", " \n "]
+    got = list(near.shingle_sets(texts, 5))
+    assert [len(x) for x in got] == [len(shingle_set(t)) for t in texts] and all((np.diff(x.astype(object)) > 0).all() for x in got)
+    assert got[5][0] in got[0] and all((x == y).all() for t, x in zip(texts, got, strict=True) for y in near.shingle_sets([t], 5))
+
+
+def test_maybe_in(spark):
+    ids = spark.range(0, 6000, 3)
+    rows = spark.range(200_000).selectExpr("id as x", "if(id % 5 = 0, null, id) as y")
+    got = [r["y"] for r in common.maybe_in(rows, F.col("y"), ids).collect()]
+    want = {i for i in range(0, 6000, 3) if i % 5}
+    assert want <= set(got) and len(got) < len(want) + 40
+    plan = common.maybe_in(rows, F.col("y"), ids)._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(_bits" not in plan  # that copies 4 KB for each row
+
+
 def test_slots(spark):
     df = spark.createDataFrame([(g, i) for g in ("a", "b") for i in range(50)] + [("a", 3)], "g string, i long")
     got = common.slots(df, "g", ["i"]).collect()
