@@ -187,25 +187,25 @@ v AS (SELECT id, k, any_value(p) AS p, array_to_string(list(CASE WHEN c IN ('-',
 
 
 def stretches(spark, sf_dir, step):
-    """(id, k, s): a row for each stretch of ``step`` letters of a whole sequence."""
-    s = sequences(spark, sf_dir)
-    return s.select("id", "s", F.explode(F.sequence(F.lit(0), F.ceil(F.length("s") / step).cast("int") - 1)).alias("k"))
+    """(id, k, part): a row for each stretch of ``step`` letters of a whole sequence."""
+    return sequences(spark, sf_dir).select("id", F.posexplode(S.pieces(F.col("s"), step)).alias("k", "part"))
 
 
 def _aligned(spark, sf_dir):
     """Every stretch of each sequence, with two gaps put into it, and its protein: the stretch
     and up to BEFORE letters before it."""
-    s = stretches(spark, sf_dir, STEP).withColumn("i0", STEP * F.col("k") + 1).withColumn("p0", F.greatest(F.lit(1), F.col("i0") - BEFORE))
-    part = lambda at, n: F.substring(F.col("s"), F.col("i0") + at, F.lit(n))
-    al = F.rpad(F.concat(part(0, 6), F.lit("-"), part(6, 4), F.lit("."), part(10, 6)), len(RF), "-")
-    s = s.select("id", "k", F.substring(F.col("s"), F.col("p0"), F.col("i0") + STEP - F.col("p0")).alias("p"), al.alias("al"))
-    s = s.withColumn("off", Q.fragment_offset(F.col("al"), F.col("p"))).where("off is not null")
+    parts = sequences(spark, sf_dir).withColumn("parts", S.pieces(F.col("s"), STEP))
+    whole = lambda x, k: F.struct(x.alias("part"), F.concat(F.coalesce(F.right(F.get(F.col("parts"), k - 1), F.lit(BEFORE)), F.lit("")), x).alias("p"))
+    s = parts.select("id", F.posexplode(F.transform("parts", whole)).alias("k", "x")).select("id", "k", "x.*")
+    cut = lambda at, n: F.substring("part", at, n)
+    al = F.rpad(F.concat(cut(1, 6), F.lit("-"), cut(7, 4), F.lit("."), cut(11, 6)), len(RF), "-")
+    s = s.select("id", "k", "p", al.alias("al")).withColumn("off", Q.fragment_offset(F.col("al"), F.col("p"))).where("off is not null")
     return s.withColumn("ix", Q.residue_index(F.col("al"), F.lit(RF), F.col("off")))
 
 
 @query(f"WITH {MAP_SQL} SELECT id, k, residue_index FROM v")
 def residue_index_map(spark, sf_dir):
-    return _aligned(spark, sf_dir).select("id", "k", F.array_join(F.transform("ix", lambda i: F.coalesce(i.cast("string"), F.lit("null"))), ",").alias("residue_index"))
+    return _aligned(spark, sf_dir).select("id", "k", F.array_join(F.col("ix").cast("array<string>"), ",", "null").alias("residue_index"))
 
 
 @query(f"""WITH {MAP_SQL}, r AS (SELECT id, k, p || p || CASE WHEN k % 4 = 3 THEN substr(p, 4) ELSE p END AS cds, unnest(string_split(residue_index, ',')) AS r, unnest(range(1, len(string_split(residue_index, ',')) + 1)) AS i FROM v)
@@ -249,8 +249,8 @@ def provenance_decode(spark, sf_dir):
 @query(f"""WITH {SEQ_SQL}, e AS (SELECT id, s, unnest(range(0, (length(s) + {len(RF) - 1}) // {len(RF)})) AS k FROM q WHERE s IS NOT NULL),
 a AS (SELECT id, k, rpad(substr(s, {len(RF)} * k + 1, {len(RF)}), {len(RF)}, '.') AS al FROM e) SELECT id, k, {' || '.join(f"replace(al[{i + 1}], '.', '-')" for i, c in enumerate(RF) if c == 'x')} AS projected FROM a""")
 def match_projection(spark, sf_dir):
-    al = F.rpad(F.substring(F.col("s"), len(RF) * F.col("k") + 1, F.lit(len(RF))), len(RF), ".")
-    return stretches(spark, sf_dir, len(RF)).select("id", "k", S.match_projection(al, F.lit(RF)).alias("projected"))
+    al = F.rpad("part", len(RF), ".")
+    return stretches(spark, sf_dir, len(RF)).select("id", "k", S.match_projection(al, RF).alias("projected"))
 
 
 @query(f"""WITH {SEQ_SQL} SELECT id, substr(s, 3, 8) || substr(s, 15, 6) AS module FROM q WHERE s IS NOT NULL""")

@@ -127,6 +127,28 @@ def test_scalars(spark):
     assert one(spark, S.provenance_parts(S.provenance(F.lit(3), F.lit(7), F.lit("p"), F.lit("g"))))["sample"] == "g"
 
 
+def test_pieces_and_fixed_projection(spark):
+    assert one(spark, S.pieces(F.lit("ABCDEFG"), 3)) == ["ABC", "DEF", "G"] and one(spark, S.pieces(F.lit("AB\nC"), 3)) == ["AB\n", "C"]
+    assert one(spark, S.pieces(F.lit("é字𝒳A"), 2)) == ["é字", "𝒳A"] and one(spark, S.pieces(F.lit(""), 2)) == [] and one(spark, S.pieces(F.lit(None).cast("string"), 2)) is None
+    assert one(spark, S.match_projection(F.lit(None).cast("string"), "x.x")) is None
+    for aligned in ("Ac.d~", "A", "", "é.字"):
+        for rf in ("x.xxx", "..", "xx", "x"):
+            assert one(spark, S.match_projection(F.lit(aligned), rf)) == one(spark, S.match_projection(F.lit(aligned), F.lit(rf)))
+
+
+def test_stretches_of_a_long_text(spark, tmp_path):
+    from evidentia.plans import QUERIES
+
+    text = "".join(np.random.default_rng(0).choice(list("ACDEFGHIKLMNPQRSTVWY"), 300_000))
+    spark.createDataFrame([(1, text), (2, "1"), (3, None), (4, "ac")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["id"], r["k"]): r["projected"] for r in QUERIES["match_projection"](spark, str(tmp_path)).collect()}
+    assert len(got) == -(-300_000 // 18) + 1 and got[4, 0] == "AC" + "-" * 12
+    assert all(got[1, k] == "".join(text[18 * k + i] for i, c in enumerate("xxx.xx.xxxxx..xxxx") if c == "x") for k in range(0, 16_000, 997))
+    rows = QUERIES["residue_index_map"](spark, str(tmp_path)).where("id = 1").orderBy("k").collect()
+    assert len(rows) == 300_000 // 16 and rows[0]["residue_index"] == "0,1,2,4,5,6,7,8,9,null,12,13,14,15"
+    assert rows[9]["residue_index"].startswith("4,5,6")
+
+
 def test_isoelectric_point(spark):
     assert one(spark, S.isoelectric_point(F.lit("DDDDEEEE"))) < 4.5
     assert one(spark, S.isoelectric_point(F.lit("KKKKRRRR"))) > 10
@@ -146,6 +168,16 @@ def test_residue_index_and_codons(spark):
     assert one(spark, Q.cds_status(F.lit("ATGTAAATG"), F.lit("M"))) == "internal_stop"
 
 
+def test_residue_index_over_batches(spark):
+    rows = [("ACD-", "xxxx", 2), ("AC", "xxxx", 0), ("A.~-é字", "x_xx.x", 1), ("", "xx", 0), (None, "x", 0), ("A", None, 0), ("AC-", "xx", None), ("AAAA", "x", 3)]
+    df = spark.createDataFrame(rows, "al string, rf string, off int")
+    got = [r[0] for r in df.select(Q.residue_index(F.col("al"), F.col("rf"), F.col("off"))).collect()]
+    assert got == [[2, 3, 4, None], [0, 1], [1, None, None, 3], [], None, None, [None, None], [3]]
+    rows = [([0, None, 1], "ACGTTT"), ([0, 2], "ACGTTT"), ([], "A"), (None, "ACG"), ([0], None), ([1], "éééé字é"), ([None], "")]
+    got = [r[0] for r in spark.createDataFrame(rows, "i array<int>, s string").select(Q.codon_row(F.col("i"), F.col("s"))).collect()]
+    assert got == ["ACG---TTT", None, "", None, None, "é字é", "---"]
+
+
 # --- evidence and alignment -------------------------------------------------------------------
 
 
