@@ -48,16 +48,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return full.join(sizes, "component").select("node", "component", "size", "rank")
 
 
-def threshold_sweep(nodes: DataFrame, edges: DataFrame, score: str, thresholds: list[float]) -> DataFrame:
+def threshold_sweep(nodes: DataFrame, edges: DataFrame, score: str, thresholds: list[float], counts: DataFrame | None = None) -> DataFrame:
     """(threshold, n_edges, n_components, largest_component, n_singletons) of the graphs of edges
-    with at least that score.  All thresholds are labelled together, by one loop."""
+    with at least that score.  All thresholds are labelled together, by one loop.  ``counts`` (threshold,
+    n_edges) where ``edges`` are only what the components need."""
     grid = F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: t <= F.col(score))
     e = edges.select("u", "v", F.explode(grid).alias("threshold"))
     n = nodes.count()
     labels = hook(e, ["threshold"])
     sizes = labels.groupBy("threshold", "component").agg(F.count("*").alias("size"))
     per = sizes.groupBy("threshold").agg(F.count("*").alias("_k"), F.sum("size").alias("_linked"), F.max("size").alias("_largest"))
-    counts = e.groupBy("threshold").agg(F.count("*").alias("n_edges"))
+    counts = e.groupBy("threshold").agg(F.count("*").alias("n_edges")) if counts is None else counts
     one = edges.sparkSession.range(1).select(F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
     out = one.join(counts, "threshold", "left").join(per, "threshold", "left").na.fill(0)
     alone = F.lit(n) - F.col("_linked")

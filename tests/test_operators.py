@@ -26,6 +26,7 @@ from evidentia.operators import sequences as Q
 from evidentia.operators import stats as T
 from evidentia.operators import synteny as Y
 from evidentia.operators import tree as P
+from evidentia.operators import vectors as D
 from evidentia.operators.staging import bounded, numbered
 
 
@@ -796,6 +797,46 @@ def test_spacing_candidates(spark):
     assert one(spark, R.spacing_candidates(F.lit("ACAHAAH"), F.lit(2), "H", 6, 1)) == [5]
 
 
+def test_links_have_the_components_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 16)
+    monkeypatch.setattr(D, "CHUNK", 3)
+    x = np.random.default_rng(3).normal(size=(150, 12)).round(3)
+    x[20:24] = x[19]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(200, None), (201, [0.0] * 12)], "id long, v array<double>")
+    bars = [0.5, 0.6, 0.7, 0.8, 0.9]
+    unit = x / np.sqrt((x**2).sum(1))[:, None]
+    cos = np.round(unit @ unit.T, 6)
+    edges, counts = D.links_above(rows, "id", "v", bars)
+    pairs = [(i, j, float(cos[i, j])) for i in range(150) for j in range(i + 1, 150) if cos[i, j] >= 0.5]
+    assert {r[0]: r[1] for r in counts.collect()} == {t: n for t in bars if (n := sum(c >= t for _, _, c in pairs))}
+    assert edges.count() < len(pairs) and {(min(r[0], r[1]), max(r[0], r[1])) for r in edges.collect()} <= {(i, j) for i, j, _ in pairs}
+    full = spark.createDataFrame(pairs, "u long, v long, score double")
+    sweep = lambda e, *more: sorted(tuple(r) for r in G.threshold_sweep(rows.select("id"), e, "score", bars, *more).collect())
+    assert sweep(edges, counts) == sweep(full)
+    assert sorted(tuple(r) for r in D.edges_above(rows, "id", "v", 0.5).select("u", "v", "cosine").collect()) == pytest.approx(pairs)
+
+
+def test_canonical_edges(spark):
+    e = spark.createDataFrame([(2, 1, 0.5), (1, 2, 0.3), (1, 1, 0.0), (1, 9, 0.1), (3, 2, 0.2)], "a long, b long, evalue double")
+    nodes = spark.createDataFrame([(1,), (2,), (3,)], "n long")
+    assert sorted(tuple(r) for r in G.canonical_edges(e, nodes).collect()) == [(1, 2, 0.3), (2, 3, 0.2)]
+
+
+def test_nearest_rows_are_held_by_the_task(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 8)
+    monkeypatch.setattr(D, "CHUNK", 2)
+    x = np.random.default_rng(4).integers(0, 4, size=(70, 3)).astype(float)  # many ties
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>")
+    got = {(r["u"], r["rank"]): (r["v"], r["d"]) for r in D.neighbours(df, "id", "v", 4).collect()}
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i in range(70):
+        want = sorted((gap[i, j], j) for j in range(70) if j != i)[:4]
+        assert [got[i, k + 1] for k in range(4)] == [(j, pytest.approx(d)) for d, j in want]
+    # a task gives some rows for each query row, not some for each pair of blocks
+    blocks = D.packed(df, "id", "v").coalesce(1)
+    assert D.meet(blocks, blocks, lambda: D.Nearest(4), "u long, v long, d double", held=True).groupBy("u").count().agg(F.max("count")).first()[0] <= 4
+
+
 def test_max_min(spark):
     df = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [10.0, 0.0]), (3, [0.0, 5.0]), (4, [0.0, 0.0])], "id long, v array<double>")
     assert [r["id"] for r in C.max_min(df, "id", "v", 4, [0]).orderBy("step").collect()] == [0, 2, 3, 1]
