@@ -32,6 +32,44 @@ def core_distances(near: DataFrame, min_size: int) -> DataFrame:
     return near.groupBy(F.col("u").alias("id")).agg(core.alias("core"), F.max("d").alias("radius"))
 
 
+class Outwards:
+    """The least edge (w, a, b) out of each component that a task finds.  ``bar`` of a row is the edge its component
+    has already: only what is no longer than that is looked at."""
+
+    def __init__(self):
+        self.best = {}
+
+    def __call__(self, q: V.Rows, b: V.Rows) -> None:
+        comp, core = q.numbers["comp"].astype(np.int64), q.numbers["core"]
+        some, at = np.unique(comp, return_inverse=True)
+        bar = np.minimum(q.numbers["bar"], np.array([self.best.get(c, (np.inf,))[0] for c in some.tolist()])[at])
+        other = b.numbers["comp"]
+        far = q.squared(b)
+        open_ = np.flatnonzero(core <= bar)
+        limit = bar[open_] ** 2 + V.NEAR
+        inf = np.isinf(limit)
+        if inf.any():  # the nearest that leads out, or one that is as near by its core
+            w = np.maximum(far[open_[inf]], np.maximum(core[open_[inf], None], b.numbers["core"][None]) ** 2)
+            w[comp[open_[inf], None] == other[None]] = np.inf
+            least = w.min(1)
+            limit[inf] = np.where(np.isfinite(least), least + V.NEAR, -1.0)
+        x, y = np.nonzero(far[open_] <= limit[:, None])
+        x = open_[x]
+        out = comp[x] != other[y]
+        x, y = x[out], y[out]
+        w = np.maximum(np.maximum(np.sqrt(np.maximum(np.round(far[x, y], 10), 0)), core[x]), b.numbers["core"][y])
+        low, high = np.minimum(q.ids[x], b.ids[y]), np.maximum(q.ids[x], b.ids[y])
+        order = np.lexsort((high, low, w, comp[x]))
+        first = order[np.concatenate(([True], comp[x[order[1:]]] != comp[x[order[:-1]]]))] if len(x) else order
+        for c, *e in zip(comp[x[first]].tolist(), w[first].tolist(), low[first].tolist(), high[first].tolist(), strict=True):
+            if c not in self.best or tuple(e) < self.best[c]:
+                self.best[c] = tuple(e)
+
+    def rest(self):
+        c, e = list(self.best), list(self.best.values())
+        yield {"comp": np.array(c, np.int64), **{n: np.array([x[i] for x in e], t) for i, (n, t) in enumerate((("w", float), ("a", np.int64), ("b", np.int64)))}}
+
+
 def spanning_tree(df: DataFrame, row_id: str, vector: str, min_size: int) -> DataFrame:
     """(a, b, w) with a < b: the minimum spanning tree of mutual reachability over rows with unique ids."""
     near = staged(V.neighbours(df, row_id, vector, max(LIST, min_size)))
@@ -42,31 +80,20 @@ def spanning_tree(df: DataFrame, row_id: str, vector: str, min_size: int) -> Dat
     label = staged(core.select("id", F.col("id").alias("comp")))
     tree = None
 
-    def outwards(q: V.Rows, b: V.Rows) -> dict:
-        w = np.maximum(np.maximum(q.distances(b), q.numbers["core"][:, None]), b.numbers["core"][None])
-        w[q.numbers["comp"][:, None] == b.numbers["comp"][None]] = np.inf
-        # of one reachability the least pair of ids, which is told by the other end's for a fixed row
-        best = w.min(1, keepdims=True)
-        x, y = np.nonzero((w == best) & np.isfinite(w))
-        pair = np.lexsort((np.maximum(q.ids[x], b.ids[y]), np.minimum(q.ids[x], b.ids[y]), x))
-        x, y = x[pair], y[pair]
-        first = np.concatenate(([True], x[1:] != x[:-1])) if len(x) else np.zeros(0, bool)
-        x, y = x[first], y[first]
-        return {"comp": q.numbers["comp"][x].astype(np.int64), "w": w[x, y], "a": np.minimum(q.ids[x], b.ids[y]), "b": np.maximum(q.ids[x], b.ids[y])}
-
     while label.select("comp").distinct().limit(2).count() > 1:
         side = lambda c: label.select(F.col("id").alias(c), F.col("comp").alias(f"comp_{c}"))  # noqa: E731, B023
         listed = reach.join(side("u"), "u").join(side("v"), "v").where("comp_u != comp_v")
         listed = staged(listed.groupBy(F.col("comp_u").alias("comp")).agg(F.min(F.struct("w", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))).alias("e")))
         bound = F.greatest("core", "radius")
-        open_ = label.join(core, "id").join(listed, "comp", "left").where(F.col("e").isNull() | (bound <= F.col("e.w"))).select("id")
+        open_ = label.join(core, "id").join(listed, "comp", "left").where(F.col("e").isNull() | (bound <= F.col("e.w")))
+        open_ = open_.select("id", F.coalesce("e.w", F.lit(float("inf"))).alias("bar"))
         best = listed.select("comp", "e.*")
         open_ = staged(open_)
         if not open_.isEmpty():
             rows = df.select(F.col(row_id).cast("long").alias("id"), vector).join(core.join(label, "id"), "id")
             blocks = V.packed(rows, "id", vector, ["core", "comp"])
-            asked = V.packed(rows.join(open_, "id", "left_semi"), "id", vector, ["core", "comp"])
-            best = best.unionByName(V.meet(asked, blocks, outwards, "comp long, w double, a long, b long"))
+            asked = V.packed(rows.join(open_, "id"), "id", vector, ["core", "comp", "bar"])
+            best = best.unionByName(V.meet(asked, blocks, Outwards, "comp long, w double, a long, b long", held=True))
         chosen = staged(best.groupBy("comp").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.*").distinct())
         tree = chosen if tree is None else tree.unionByName(chosen)
         ends = lambda c: label.select(F.col("id").alias(c), F.col("comp").alias(f"_{c}"))  # noqa: E731, B023
