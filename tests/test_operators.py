@@ -837,6 +837,20 @@ def test_nearest_rows_are_held_by_the_task(spark, monkeypatch):
     assert D.meet(blocks, blocks, lambda: D.Nearest(4), "u long, v long, d double", held=True).groupBy("u").count().agg(F.max("count")).first()[0] <= 4
 
 
+def test_embedding_reduced_in_its_task(spark):
+    e = C.Embedding({"A": [3.0, 0.0], "C": [0.0, 4.0]}, [1.0, 1.0], unit=True, values=["x", "y"])
+    df = spark.createDataFrame([("AC", "x"), ("", "y"), ("é字A", None), ("A-C", "z"), ("CA", "y")], "row string, kind string")
+
+    def keep(values, length):
+        ends = np.cumsum(length)
+        return {"n": length.astype(np.int32), "last": values[ends - 1], "sum": np.add.reduceat(values, ends - length)}
+
+    got = {r["row"]: (r["d"]["n"], r["d"]["last"], round(r["d"]["sum"], 9)) for r in df.select("row", e.reduced("row", "kind", keep, "n int, last double, sum double").alias("d")).collect()}
+    assert got == {"AC": (6, 0.0, 2.4), "": (2, 1.0, 1.0), "é字A": (8, 0.0, 0.0), "A-C": (8, 0.0, 1.0), "CA": (6, 1.0, 2.4)}
+    whole = C.dummies(C.one_hot(df, "row", "AC"), "kind", ["x", "y"])
+    assert {r["row"]: len(r["vector"]) for r in whole.collect()} == {k: v[0] for k, v in got.items()}
+
+
 def test_max_min(spark):
     df = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [10.0, 0.0]), (3, [0.0, 5.0]), (4, [0.0, 0.0])], "id long, v array<double>")
     assert [r["id"] for r in C.max_min(df, "id", "v", 4, [0]).orderBy("step").collect()] == [0, 2, 3, 1]
