@@ -667,6 +667,21 @@ def test_fitch_clumped_and_scattered(spark):
         assert (row["clustering_index"] < 0.25) == (want == 1)
 
 
+def test_nulls_have_the_prevalence_and_never_meet_on_the_driver(spark, monkeypatch):
+    rows = spark.createDataFrame([(r, float(v)) for r in range(2) for v in np.random.default_rng(r).normal(size=500)], "r int, v double")
+    monkeypatch.setattr(P, "BINS", 8)
+    for k in (0, 1, 250, 499):
+        cut = {r["r"]: r["cut"] for r in P.cuts(rows, "v", k, 2, -50.0, 50.0).collect()}
+        assert len(cut) == 2 and {r["r"]: r["count"] for r in rows.where(F.col("v") > F.when(F.col("r") == 0, cut[0]).otherwise(cut[1])).groupBy("r").count().collect()} == ({0: k, 1: k} if k else {})
+    normal = spark.range(20_000).select(P._normal(F.lit(1), F.lit(7), F.col("id")).alias("x")).agg(F.avg("x"), F.stddev_samp("x"), F.kurtosis("x")).first()
+    assert abs(normal[0]) < 0.03 and abs(normal[1] - 1) < 0.03 and abs(normal[2]) < 0.15
+    tree = spark.createDataFrame([(0, None, 0.0, 0, False)] + [(i, 0, 1.0, 1, True) for i in range(1, 9)], "node long, parent long, branch_length double, depth int, is_tip boolean")
+    for marked, want in ((8, 0), (0, 0), (3, 1)):
+        state = spark.createDataFrame([(i, 1) for i in range(1, marked + 1)], "node long, state int")
+        row = P.convergence(spark, tree, state, replicates=3).first()
+        assert (row["n_tips"], row["prevalence"], row["parsimony_changes"]) == (8, marked / 8, want) and row["null_random_mean"] == row["null_brownian_mean"] == want
+
+
 def test_polytomy(spark):
     tree = spark.createDataFrame([(0, None, 0, False), (1, 0, 1, True), (2, 0, 1, True), (3, 0, 1, True)], "node long, parent long, depth int, is_tip boolean")
     s = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "node long, state int")
